@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import fingerprints, sharding
+from sparkloom.llm import fingerprints, packing, sharding, simhash
 
 #: Contract of op4: shards 0 to 39, equal weights.
 SHARDS = 40
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary file lies: the same on the driver and on all executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,8 +31,16 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_table(_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups_table(_table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_table(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op6_fingerprints)}
+    return {f.__name__: f for f in (op3_simhash, op4_sharding, op6_fingerprints, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
