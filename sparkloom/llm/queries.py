@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import fingerprints, packing, sharding, simhash
+from sparkloom.llm import fingerprints, packing, quality, sharding, simhash, toxicity
 
 #: Contract of op4: shards 0 to 39, equal weights.
 SHARDS = 40
@@ -27,10 +27,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_table(_table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups_table(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op4_sharding, op6_fingerprints, op8_packing)}
+    return {f.__name__: f for f in (op1_quality, op3_simhash, op4_sharding, op5_toxicity, op6_fingerprints, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
