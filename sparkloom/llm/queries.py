@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import fingerprints, packing, quality, sharding, simhash, toxicity
+from sparkloom.llm import decontamination, fingerprints, html_text, packing, quality, sharding, simhash, toxicity
 
 #: Contract of op4: shards 0 to 39, equal weights.
 SHARDS = 40
@@ -39,16 +39,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups_table(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text_table(_table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_table(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_simhash, op4_sharding, op5_toxicity, op6_fingerprints, op8_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_simhash, op4_sharding, op5_toxicity, op6_fingerprints, op7_html_text, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
