@@ -179,15 +179,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, min_cha
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, min_chars: int = MIN_CHARS, block_bytes: int = 1 << 22, text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """``docs`` without the documents that hold a passage within the budget of any item; columns as they were."""
-    spark = docs.sparkSession
     for block in _blocks(_items(benchmark, item_col, item_text_col), min_chars, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block), share)(text_col))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher(shared.value, share)
-            for texts in batches:
-                yield texts.map(lambda t: t is None or not matcher.find(normalized(t), first=True)).astype(bool)
 
-        docs = docs.where(clean(text_col))
-    return docs
+def _clean(block, share: float):
+    """A UDF: whether no passage of the text matches an item of the broadcast ``block``."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(block.value, share)
+        for texts in batches:
+            yield pd.Series([t is None or not matcher.find(normalized(t), first=True) for t in texts], dtype=bool)
+
+    return clean
