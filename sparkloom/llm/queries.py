@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontamination, fingerprints, html_text, packing, quality, sharding, simhash, toxicity
+from sparkloom.llm import chat, decontamination, fingerprints, html_text, packing, quality, sharding, simhash, token_counts, toxicity
 
 #: Contract of op4: shards 0 to 39, equal weights.
 SHARDS = 40
@@ -55,8 +55,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_table(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(_table(spark, sf_dir, "conversations"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts_table(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_simhash, op4_sharding, op5_toxicity, op6_fingerprints, op7_html_text, op8_packing)}
+    each = (op1_quality, op2_decontamination, op3_simhash, op4_sharding, op5_toxicity, op6_fingerprints, op7_html_text, op8_packing, op9_chat, op10_token_counts)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
