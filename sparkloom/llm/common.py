@@ -38,17 +38,21 @@ def held_out(key: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, row_bytes: int, id_col="doc_id", text_col="text"):
     """At most ``rows`` (text, label) pairs on the driver, half of them of either label where there are enough.
 
-    Only training folds; texts over ``row_bytes`` bytes are left out, so the sample has at most rows * row_bytes bytes.
-    Rows come in the order of a hash of their key, so the sample doesn't depend on partitions.
+    Only training folds; keys are drawn in the order of a hash, whatever the partitions. The keys drawn, ``rows`` at most, are
+    broadcast; texts over ``row_bytes`` bytes are then left out, so the sample has at most rows * row_bytes bytes. Only keys are shuffled.
     """
-    known = labels.select(F.col(id_col).alias("__key"), F.col(label).cast("int").alias("__label")).where("__label in (0, 1)").dropDuplicates(["__key"])
-    texts = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")).where(~held_out(F.col("__key")) & F.col("__text").isNotNull() & (F.octet_length("__text") <= row_bytes))
-    both = texts.join(known, "__key")
-    found = []
+    known = labels.select(F.col(id_col).alias("__key"), F.col(label).cast("int").alias("__label")).where("__label in (0, 1)").where(~held_out(F.col("__key")))
+    known = known.join(docs.select(F.col(id_col).alias("__key")), "__key", "left_semi").groupBy("__key").agg(F.min("__label").alias("__label"))
+    drawn = []
     for value in (0, 1):
-        part = both.where(F.col("__label") == value).select("__text", "__label", F.xxhash64(F.col("__key").cast("string")).alias("__at"), "__key").orderBy("__at", "__key").limit(rows // 2)
-        found += [(r["__text"], r["__label"]) for r in part.collect()]
-    return found
+        part = known.where(F.col("__label") == value).select("__key", "__label", F.xxhash64(F.col("__key").cast("string")).alias("__at")).orderBy("__at", "__key").limit(rows // 2)
+        drawn += [tuple(r) for r in part.collect()]
+    if not drawn:
+        return []
+    drawn = docs.sparkSession.createDataFrame(drawn, part.schema)
+    texts = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull() & (F.octet_length("__text") <= row_bytes))
+    found = texts.join(F.broadcast(drawn), "__key").select("__at", "__key", "__text", "__label").collect()
+    return [(r["__text"], r["__label"]) for r in sorted(found, key=lambda r: (r["__label"], r["__at"], r["__text"]))]
 
 
 def with_slots(df: DataFrame, group: str, order: list[str], out: str, salts: int = 64) -> DataFrame:
