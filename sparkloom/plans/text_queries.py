@@ -28,7 +28,7 @@ _docs("s12_without_controls", lambda: F.md5(text.without_controls(F.concat(T, F.
 _docs("s13_squeezed", lambda: F.md5(text.squeezed(T)), "md5(trim(regexp_replace(text, '\\s+', ' ', 'g')))")
 _docs("s22_clean_cell", lambda: F.md5(text.clean_cell(T)), "md5(trim(regexp_replace(replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '|', '\\|'), '\\s+', ' ', 'g')))")
 _docs("s23_postprocessed", lambda: F.md5(text.half_width(text.replaced(T, [(r"\*\*\*|%%%|###|&&&", ""), (r"[ \t]+", " "), (r"\n\n+", "\n")]))), "md5(regexp_replace(regexp_replace(regexp_replace(text, '\\*\\*\\*|%%%|###|&&&', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\n+', chr(10), 'g'))")
-_docs("s25_citations", lambda: F.array_join(text.citations(T, [r"\b(Th[a-z]+)\b", r"\b([A-Z]{3,})\b"]), "|"), "array_to_string((list_filter(x, lambda v, i: list_position(x, v) = i))[1:15], '|') AS x FROM (SELECT doc_id, list_filter(list_transform(list_concat(regexp_extract_all(text, '\\b(Th[a-z]+)\\b', 1), regexp_extract_all(text, '\\b([A-Z]{3,})\\b', 1)), lambda s: trim(s)), lambda s: s <> '' AND length(s) < 200) AS x FROM documents) --")
+_docs("s25_citations", lambda: F.array_join(text.citations(T, ["(Th[a-z]+)", "([A-Z]{3,})"]), "|"), "array_to_string((list_filter(x, lambda v, i: list_position(x, v) = i))[1:15], '|') AS x FROM (SELECT doc_id, list_filter(list_transform(list_concat(regexp_extract_all(text, '(Th[a-z]+)', 1), regexp_extract_all(text, '([A-Z]{3,})', 1)), lambda s: trim(s)), lambda s: s <> '' AND length(s) < 200) AS x FROM documents) --")
 _docs("s29_keyword_count", lambda: F.size(text.keywords(T, "[a-z0-9]+", ["the", "and", "of"])).cast("long"), "len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'and', 'of')))")
 _docs("s33_token_estimate_words", lambda: text.token_estimate_words(T, "[àâçéèêëîïôûùüÿñæœäöß]"), f"ceil(2.5 * {N('[àâçéèêëîïôûùüÿñæœäöß]')} + 0.4 * {N('[A-Za-z]+')} + 0.5 * len(regexp_extract_all(regexp_replace(text, '[àâçéèêëîïôûùüÿñæœäöß]', '', 'g'), '[^A-Za-z\\s]')))::BIGINT")
 _docs("c29_quality_gate", lambda: quality.gate(T), f"CASE WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) < 50 THEN 'short' WHEN {N('[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')} / greatest(length(text), 1) > 0.1 THEN 'broken' WHEN {N('[A-Za-z]')} / greatest(length(text), 1) < 0.2 THEN 'no_script' END")
