@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import relational_queries, retrieval_queries, stats_queries, text_queries
+from sparkloom.plans import corpus_queries, file_stream_queries, more_queries, relational_queries, retrieval_queries, stats_queries, text_queries
 
-MODULES = [stats_queries, relational_queries, text_queries, retrieval_queries]
+MODULES = [stats_queries, relational_queries, text_queries, retrieval_queries, corpus_queries, file_stream_queries, more_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

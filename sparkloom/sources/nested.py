@@ -39,4 +39,4 @@ def records(raw: Column, paths: list[str], schema: str) -> Column:
     each = f"array<struct<{schema}>>"
     found = [F.from_json(F.get_json_object(raw, p), each) for p in paths]
     some = [F.when(F.substring(F.ltrim(F.get_json_object(raw, p)), 1, 1) == "[", x) for p, x in zip(paths, found, strict=True)]
-    return F.coalesce(*some, F.array(F.from_json(raw, schema)))
+    return F.coalesce(*some, F.array(F.from_json(raw, f"struct<{schema}>")))
