@@ -31,8 +31,7 @@ def misread_utf16(x: Column, least: float = 0.5) -> Column:
     return count(x, pairs) > least * F.greatest(F.char_length(x), F.lit(1))
 
 
-@F.pandas_udf("string")
-def _as_bytes(texts: pd.Series) -> pd.Series:
+def _as_bytes(x: Column) -> Column:
     def one(t):
         raw = (t or "").encode("utf-16-le", "surrogatepass")
         try:
@@ -40,7 +39,11 @@ def _as_bytes(texts: pd.Series) -> pd.Series:
         except UnicodeDecodeError:
             return t
 
-    return texts.map(one)
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return read(x)
 
 
 def reread(x: Column) -> Column:
