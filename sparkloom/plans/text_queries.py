@@ -9,7 +9,11 @@ from sparkloom.plans.registry import Registry, table
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
-T = F.col("text")
+
+
+def _text():
+    return F.col("text")
+
 
 
 def _docs(name, column, sql, out="x"):
@@ -22,17 +26,17 @@ def _docs(name, column, sql, out="x"):
 
 N = lambda p: f"len(regexp_extract_all(text, '{p}'))"
 
-_docs("s10_token_estimate", lambda: text.token_estimate(T, "[aeiou]"), f"ceil({N('[aeiou]')} / 1.7 + (length(text) + {N('[^\\x00-\\x{FFFF}]')} - {N('[aeiou]')}) / 4.0)::BIGINT")
+_docs("s10_token_estimate", lambda: text.token_estimate(_text(), "[aeiou]"), f"ceil({N('[aeiou]')} / 1.7 + (length(text) + {N('[^\\x00-\\x{FFFF}]')} - {N('[aeiou]')}) / 4.0)::BIGINT")
 _docs("s11_token_fallback", lambda: F.floor(F.char_length("text") / 2), "(length(text) // 2)::BIGINT")
-_docs("s12_without_controls", lambda: F.md5(text.without_controls(F.concat(T, F.lit("\x01\x0b")))), "md5(text)")
-_docs("s13_squeezed", lambda: F.md5(text.squeezed(T)), "md5(trim(regexp_replace(text, '\\s+', ' ', 'g')))")
-_docs("s22_clean_cell", lambda: F.md5(text.clean_cell(T)), "md5(trim(regexp_replace(replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '|', '\\|'), '\\s+', ' ', 'g')))")
-_docs("s23_postprocessed", lambda: F.md5(text.half_width(text.replaced(T, [(r"\*\*\*|%%%|###|&&&", ""), (r"[ \t]+", " "), (r"\n\n+", "\n")]))), "md5(regexp_replace(regexp_replace(regexp_replace(text, '\\*\\*\\*|%%%|###|&&&', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\n+', chr(10), 'g'))")
-_docs("s25_citations", lambda: F.array_join(text.citations(T, ["(Th[a-z]+)", "([A-Z]{3,})"]), "|"), "array_to_string((list_filter(x, lambda v, i: list_position(x, v) = i))[1:15], '|') AS x FROM (SELECT doc_id, list_filter(list_transform(list_concat(regexp_extract_all(text, '(Th[a-z]+)', 1), regexp_extract_all(text, '([A-Z]{3,})', 1)), lambda s: trim(s)), lambda s: s <> '' AND length(s) < 200) AS x FROM documents) --")
-_docs("s29_keyword_count", lambda: F.size(text.keywords(T, "[a-z0-9]+", ["the", "and", "of"])).cast("long"), "len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'and', 'of')))")
-_docs("s33_token_estimate_words", lambda: text.token_estimate_words(T, "[àâçéèêëîïôûùüÿñæœäöß]"), f"ceil(2.5 * {N('[àâçéèêëîïôûùüÿñæœäöß]')} + 0.4 * {N('[A-Za-z]+')} + 0.5 * len(regexp_extract_all(regexp_replace(text, '[àâçéèêëîïôûùüÿñæœäöß]', '', 'g'), '[^A-Za-z\\s]')))::BIGINT")
-_docs("c29_quality_gate", lambda: quality.gate(T), f"CASE WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) < 50 THEN 'short' WHEN {N('[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')} / greatest(length(text), 1) > 0.1 THEN 'broken' WHEN {N('[A-Za-z]')} / greatest(length(text), 1) < 0.2 THEN 'no_script' END")
-_docs("c30_decoding_score", lambda: F.round(quality.decoding_score(T), 6), "round(0.6 * len(regexp_extract_all(text, '[A-Za-z0-9\\s.,!?;:''()\\-]')) / greatest(length(text), 1) + 0.4 * 1, 6)")
+_docs("s12_without_controls", lambda: F.md5(text.without_controls(F.concat(_text(), F.lit("\x01\x0b")))), "md5(text)")
+_docs("s13_squeezed", lambda: F.md5(text.squeezed(_text())), "md5(trim(regexp_replace(text, '\\s+', ' ', 'g')))")
+_docs("s22_clean_cell", lambda: F.md5(text.clean_cell(_text())), "md5(trim(regexp_replace(replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '|', '\\|'), '\\s+', ' ', 'g')))")
+_docs("s23_postprocessed", lambda: F.md5(text.half_width(text.replaced(_text(), [(r"\*\*\*|%%%|###|&&&", ""), (r"[ \t]+", " "), (r"\n\n+", "\n")]))), "md5(regexp_replace(regexp_replace(regexp_replace(text, '\\*\\*\\*|%%%|###|&&&', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\n+', chr(10), 'g'))")
+_docs("s25_citations", lambda: F.array_join(text.citations(_text(), ["(Th[a-z]+)", "([A-Z]{3,})"]), "|"), "array_to_string((list_filter(x, lambda v, i: list_position(x, v) = i))[1:15], '|') AS x FROM (SELECT doc_id, list_filter(list_transform(list_concat(regexp_extract_all(text, '(Th[a-z]+)', 1), regexp_extract_all(text, '([A-Z]{3,})', 1)), lambda s: trim(s)), lambda s: s <> '' AND length(s) < 200) AS x FROM documents) --")
+_docs("s29_keyword_count", lambda: F.size(text.keywords(_text(), "[a-z0-9]+", ["the", "and", "of"])).cast("long"), "len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'and', 'of')))")
+_docs("s33_token_estimate_words", lambda: text.token_estimate_words(_text(), "[àâçéèêëîïôûùüÿñæœäöß]"), f"ceil(2.5 * {N('[àâçéèêëîïôûùüÿñæœäöß]')} + 0.4 * {N('[A-Za-z]+')} + 0.5 * len(regexp_extract_all(regexp_replace(text, '[àâçéèêëîïôûùüÿñæœäöß]', '', 'g'), '[^A-Za-z\\s]')))::BIGINT")
+_docs("c29_quality_gate", lambda: quality.gate(_text()), f"CASE WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) < 50 THEN 'short' WHEN {N('[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')} / greatest(length(text), 1) > 0.1 THEN 'broken' WHEN {N('[A-Za-z]')} / greatest(length(text), 1) < 0.2 THEN 'no_script' END")
+_docs("c30_decoding_score", lambda: F.round(quality.decoding_score(_text()), 6), "round(0.6 * len(regexp_extract_all(text, '[A-Za-z0-9\\s.,!?;:''()\\-]')) / greatest(length(text), 1) + 0.4 * 1, 6)")
 
 _SOLID = f"greatest({N('\\S')}, 1)"
 _LEN = "greatest(length(text), 1)"
@@ -41,12 +45,12 @@ _PARTS = {
     "repetition": f"greatest(0.0, 1 - 5.0 * {N('!!+|[*][*]+|%%+|##+|[$][$]+|&&+')} / {_LEN})", "encoding": f"greatest(0.0, 1 - 20.0 * {N('Ã.|â€')} / {_LEN})",
 }
 _SCORE = f"0.30 * {_PARTS['script']} + 0.25 + 0.15 * {_PARTS['sentence']} + 0.10 * {_PARTS['repetition']} + 0.20 * {_PARTS['encoding']}"
-_docs("c27_quality_score", lambda: F.round(quality.score(T), 5), f"round({_SCORE}, 5)")
+_docs("c27_quality_score", lambda: F.round(quality.score(_text()), 5), f"round({_SCORE}, 5)")
 
 
 @R.add("c35_retry_advice", f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN {_PARTS['script']} < 0.9 THEN 'language' END, CASE WHEN {_PARTS['sentence']} < 0.9 THEN 'layout' END, CASE WHEN {_PARTS['repetition']} < 0.9 THEN 'engine' END], lambda x: x IS NOT NULL), ',') AS advice FROM documents""")
 def _(spark, d):
-    found = quality.advice(quality.parts(T), 0.9, {"script": "language", "sentence": "layout", "repetition": "engine"})
+    found = quality.advice(quality.parts(_text()), 0.9, {"script": "language", "sentence": "layout", "repetition": "engine"})
     return table(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("advice"))
 
 
@@ -58,7 +62,7 @@ def _(spark, d):
 
 @R.add("c32_best_engine", """WITH c AS (SELECT source || '/' || lang AS file, doc_id, round(1.0 * len(regexp_extract_all(text, '[A-Za-z]')) / greatest(length(text), 1), 6) AS q FROM documents) SELECT file, arg_max(doc_id, (q, -doc_id)) AS best, max(q) AS quality FROM c GROUP BY 1""")
 def _(spark, d):
-    q = F.round(1.0 * text.count(T, "[A-Za-z]") / F.greatest(F.char_length("text"), F.lit(1)), 6)
+    q = F.round(1.0 * text.count(_text(), "[A-Za-z]") / F.greatest(F.char_length("text"), F.lit(1)), 6)
     c = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("file"), "doc_id", q.alias("q"))
     return c.groupBy("file").agg(F.max_by("doc_id", F.struct("q", -F.col("doc_id"))).alias("best"), F.max("q").alias("quality"))
 
@@ -89,7 +93,7 @@ def _(spark, d):
 
 @R.add("s20_stable_ids", "SELECT doc_id, 'doc_' || source || '_' || substr(sha256(text), 1, 16) AS key, substr(md5(text), 1, 16) AS print FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.stable_id(F.col("source"), T).alias("key"), F.substring(F.md5("text"), 1, 16).alias("print"))
+    return table(spark, d, "documents").select("doc_id", text.stable_id(F.col("source"), _text()).alias("key"), F.substring(F.md5("text"), 1, 16).alias("print"))
 
 
 @R.add("s21_name_key", "SELECT p_partkey, lower(regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z0-9]', '', 'g')) AS key FROM part")
@@ -105,12 +109,12 @@ def _(spark, d):
 
 @R.add("s26_confidence", "SELECT doc_id, round(least(1.0, 0.5 + least(0.05 * len(list_distinct(regexp_extract_all(text, '[A-Z]{4,}'))), 0.2) + CASE WHEN regexp_matches(text, '(19|20)[0-9][0-9]') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9] ?(USD|EUR|[$])|[$] ?[0-9]') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9] ?%') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(text, 'License') THEN 0.1 ELSE 0 END), 6)::DOUBLE AS score FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(text.confidence(T, F.size(F.array_distinct(text.all_matches(T, "[A-Z]{4,}"))), "License"), 6).alias("score"))
+    return table(spark, d, "documents").select("doc_id", F.round(text.confidence(_text(), F.size(F.array_distinct(text.all_matches(_text(), "[A-Z]{4,}"))), "License"), 6).alias("score"))
 
 
 @R.add("s3_ordered_distinct", "SELECT doc_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ' ') AS words FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+') AS x FROM documents)")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(text.all_matches(T, "[A-Z][a-z]+")), " ").alias("words"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(text.all_matches(_text(), "[A-Z][a-z]+")), " ").alias("words"))
 
 
 @R.add("s27_expanded_query")
@@ -121,7 +125,7 @@ def _(spark, d):
 
 @R.add("s28_decomposed_query", "SELECT item_id, array_to_string(list_concat(['what is ' || t, 'why ' || t, t || ' effects', t || ' costs'], list_transform(regexp_extract_all(text, '[A-Z][a-z]{3,}')[1:3], lambda w: t || ' ' || w))[1:6], '|') AS queries FROM (SELECT item_id, text, substr(text, 1, 20) AS t FROM benchmark)")
 def _(spark, d):
-    found = text.decomposed(F.substring("text", 1, 20), T, ["what is {}", "why {}", "{} effects", "{} costs"], "[A-Z][a-z]{3,}")
+    found = text.decomposed(F.substring("text", 1, 20), _text(), ["what is {}", "why {}", "{} effects", "{} costs"], "[A-Z][a-z]{3,}")
     return table(spark, d, "benchmark").select("item_id", F.array_join(found, "|").alias("queries"))
 
 
@@ -280,7 +284,7 @@ def _(spark, d):
     from sparkloom.sources.nested import document_text
 
     k = F.col("doc_id") % 5
-    raw = F.when(k == 0, F.to_json(F.struct(T.alias("extracted_text")))).when(k == 1, F.to_json(F.struct(F.struct(T.alias("text")).alias("content")))).when(k == 2, F.to_json(F.struct(T.alias("text")))).when(k == 3, F.to_json(F.struct(F.array(F.struct(T.alias("content"))).alias("sections"), F.lit("other").alias("text")))).otherwise(T)
+    raw = F.when(k == 0, F.to_json(F.struct(_text().alias("extracted_text")))).when(k == 1, F.to_json(F.struct(F.struct(_text().alias("text")).alias("content")))).when(k == 2, F.to_json(F.struct(_text().alias("text")))).when(k == 3, F.to_json(F.struct(F.array(F.struct(_text().alias("content"))).alias("sections"), F.lit("other").alias("text")))).otherwise(_text())
     return table(spark, d, "documents").select("doc_id", document_text(raw).alias("text"))
 
 
