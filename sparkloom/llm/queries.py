@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import chat, decontamination, fingerprints, html_text, packing, quality, sharding, simhash, token_counts, toxicity
+from sparkloom.llm.oracles import ORACLES
 
 #: Contract of op4: shards 0 to 39, equal weights.
 SHARDS = 40
@@ -69,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
