@@ -100,7 +100,7 @@ class CellIndex:
 
         return nearest
 
-    def search(self, queries: DataFrame, query_key: str, query_vector: str, k: int, probe: int = 6) -> DataFrame:
+    def search(self, queries: DataFrame, query_key: str, query_vector: str, k: int, probe: int = 10) -> DataFrame:
         asked = queries.select(F.col(query_key), F.col(query_vector).alias("asked"), F.explode(self._nearest(probe)(query_vector)).alias("cell"))
         pairs = asked.join(self.rows, "cell").withColumn("score", cosine(F.col("asked"), F.col("vector"), 0.0))
         return best(pairs.select(query_key, self.key, "score"), query_key, self.key, k)
