@@ -148,7 +148,7 @@ def test_hot_buckets_find_the_same_links(spark):
     random.seed(5)
     base = random.getrandbits(64)
     fps = {base ^ sum(1 << b for b in random.sample(range(64), random.randint(0, 5))) for _ in range(400)} | {random.getrandbits(64) for _ in range(200)}
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    df = spark.createDataFrame([(0, f - (1 << 64) if f >> 63 else f) for f in fps], "part int, fp long")
     from sparkloom.llm.components import components
 
     want = brute_groups([(i, f) for i, f in enumerate(sorted(fps))])
@@ -162,10 +162,47 @@ def test_hot_buckets_find_the_same_links(spark):
         assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
-def test_one_of_each_group_stays(documents):
-    kept = simhash.keep_one(documents)
-    want = set(brute_groups([(i, brute_simhash(t)) for i, t in documents.select("doc_id", "text").collect()]).values())
-    assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} == want
+def brute_copies(rows):
+    """Least id of each row's group by the exact similarity of shingle sets."""
+    sets = {}
+    for _, text in rows:
+        ws = __import__("re").split(r"[ \t-\r]+", (text or "").lower().strip())
+        sets[text or ""] = {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+    texts = sorted(sets)
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for a, b in itertools.combinations(texts, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and find(a) != find(b):
+            root[find(a)] = find(b)
+    least = {}
+    for i, text in rows:
+        if i is not None:
+            least[find(text or "")] = min(i, least.get(find(text or ""), i))
+    return least
+
+
+def test_one_of_each_group_of_near_copies_stays(spark, documents, odd, none):
+    random.seed(9)
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    long = [t for _, t in rows if len(t.split()) > 80][:12]
+    for k, t in enumerate(long):  # copies of every kind: a word changed here and there, a line put in front, the same text
+        for j in range(4):
+            ws = t.split(" ")
+            for _ in range(max(1, len(ws) // 90)):
+                ws[random.randrange(len(ws))] = random.choice(["the", "xyz", "und"])
+            rows.append((5000 + 10 * k + j, " ".join(ws)))
+        rows.append((5000 + 10 * k + 9, t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one(df)
+    assert {r.doc_id for r in kept.collect()} == set(brute_copies(rows).values())
+    assert simhash.keep_one(documents).columns == documents.columns
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(odd).collect()) == ["1", "1", "2", "7", "8", "None"]
+    assert simhash.keep_one(none).count() == 0
 
 
 # Packing
