@@ -100,9 +100,9 @@ def grid(rows_):
 
 
 def test_header_detection_and_flattening(spark):
-    t = grid([["Item", "2024", ""], ["", "amount", "rate"], ["a", "10", "5%"], ["b", "20", "6%"]])
+    t = grid([["Item", "2024년", ""], ["", "amount", "rate"], ["a", "10", "5%"], ["b", "20", "6%"]])
     assert one(spark, tables.header_rows(t)) == 2
-    assert one(spark, tables.flat_header(t, F.lit(2))) == ["Item", "2024_amount", "2024_rate"]
+    assert one(spark, tables.flat_header(t, F.lit(2))) == ["Item", "2024년_amount", "2024년_rate"]
 
 
 def test_cells_are_padded_filled_and_cleaned(spark):
