@@ -8,7 +8,10 @@ fingerprints that differ in them alone meet in its table. No link is missed, wha
 
 Copies are one fingerprint before any of this. A bucket of more than ``BUCKET`` fingerprints is dealt again by masks over the bits
 that its mask leaves out, by the same guarantee; after three deals at most 10 bits are free, so at most
-1,024 fingerprints meet. Within a bucket only the edges of a spanning forest come out, never all pairs.
+1,024 fingerprints meet. Within a bucket only the edges of a spanning forest come out (all links, where it has a few members), never all pairs.
+
+``near_groups`` are the components of these links. ``near_copies`` are documents whose shingle sets are alike: the covering search over several
+fingerprints proposes pairs, which are then held against the sets.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; texts with fewer words than a shingle hash
 whole; a null id is a document like any other (component ids ignore it); no documents give no rows.
