@@ -10,8 +10,8 @@ Copies are one fingerprint before any of this. A bucket of more than ``BUCKET``
 that its mask leaves out, by the same guarantee; after three deals at most 10 bits are free, so at most
 1,024 fingerprints meet. Within a bucket only the edges of a spanning forest come out (all links, where it has a few members), never all pairs.
 
-``near_groups`` are the components of these links. ``near_copies`` are documents whose shingle sets are alike: the covering search over several
-fingerprints proposes pairs, which are then held against the sets.
+``near_groups`` are the components of these links. ``near_copies`` are documents whose shingle sets are alike; no fingerprint
+decides there: an exact prefix filter proposes pairs, which are then held against the sets.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; texts with fewer words than a shingle hash
 whole; a null id is a document like any other (component ids ignore it); no documents give no rows.
@@ -20,13 +20,14 @@ whole; a null id is a document like any other (component ids ignore it); no docu
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import staged
@@ -205,65 +206,198 @@ def near_groups_table(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
     return found.select(F.col("__id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def word_sketch(text: str | None, parts: int) -> list[int]:
-    """``parts`` independent fingerprints (signed) over the distinct words of a text; two to each 128-bit hash."""
-    ws = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
-    out: list[int] = []
-    for seed in range(-(-parts // 2)):
-        hashes = np.frombuffer(b"".join([xxhash.xxh128_digest(w, seed) for w in ws]), np.uint8).reshape(-1, 2, 8)
-        for side in (0, 1):
-            bits = 2 * _bit_counts(np.ascontiguousarray(hashes[:, side]).tobytes(), len(ws)) > len(ws)
-            out.append(int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True))
-    return out[:parts]
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the distinct word shingles of a text (the whole of it, if it has fewer words)."""
+    ws = (text or "").lower().encode("utf-8", "surrogatepass").split()  # of bytes: 09-0D and 20
+    x = np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+    span, n = (words, len(ws) - words + 1) if len(ws) >= words else (len(ws), 1)
+    h = np.full(n, span, np.uint64)
+    for i in range(span):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + n]
+    return np.unique(_mixed(h))
 
 
-def shingle_set(text: Column, words: int) -> Column:
-    """array<long>: hashes of the distinct word shingles of a text (the whole of it, if it has fewer words)."""
-    ws = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - words + 1))
-    return F.transform(F.array(ws), lambda x: F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(x, i, words), " ")))))[0]
+def _key(tokens: np.ndarray) -> int:
+    """What stands for a shingle set: a signed 64-bit hash of it."""
+    return int(np.array(xxhash.xxh64_intdigest(tokens.tobytes()), np.uint64).view(np.int64))
 
 
-def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, parts: int = 5, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def _prefix_length(size: int, similarity: float) -> int:
+    """Two sets at the similarity share one of so many first members of either, in any order that both keep to."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
+
+
+def _tokens_by(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """key and shingles of each text (column 0), a set once in a task."""
+    seen = set()
+    for batch in batches:
+        for text in batch.column(0):
+            tokens = shingles(text.as_py(), words)
+            key = _key(tokens)
+            if key not in seen:
+                seen.add(key)
+                yield key, tokens
+
+
+def _common_shingles(texts: DataFrame, words: int, least: int = 4, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the texts, with their counts. They only set the order in which shingles are looked at: any order finds all pairs."""
+    every = min(16, max(1, texts.count() // 2000))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _tokens_by(batches, words):
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64))], ["token"])
+
+    counts = texts.where(F.pmod(F.xxhash64("__text"), F.lit(every)) == 0).mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most).toArrow()
+    token, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of rows sorted by the first column, never parting rows of one value; where each row's bucket starts, and its size."""
+    held: list[pa.RecordBatch] = []
+
+    def columns(rows: pa.Table):
+        x = [c.to_numpy() for c in rows.columns]
+        starts = np.flatnonzero(np.concatenate(([True], x[0][1:] != x[0][:-1])))
+        sizes = np.diff(np.append(starts, len(x[0])))
+        return x, np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column(0).to_numpy()
+        if held and held[-1].column(0)[-1].as_py() != token[0]:
+            yield columns(pa.Table.from_batches(held))
+            held = []
+        cut = int(np.searchsorted(token, token[-1]))
+        if cut:
+            yield columns(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield columns(pa.Table.from_batches(held))
+
+
+def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """__id, component: of every document, component being the least id of its group of near copies.
 
-    Documents link if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or more. A shingle fingerprint within
-    4 bits asks for more likeness than that, so candidates come from ``parts`` independent fingerprints over distinct words, which differ
-    in few bits where few words do, and the one over shingles with repeats, for texts of few distinct words; each is searched by the covering
-    masks, and every candidate is then held against the shingle sets themselves. So no pair below the similarity links; of those above, some may
-    be missed (of the pairs in the test tables at 0.8 or more, 4 parts find 98 % and 6 parts all). Copies are one text throughout.
+    Documents link if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or more; groups are the components of all
+    such links, and none is missed. Two such sets share a member within the first 1 - ``similarity`` of each, in any fixed order (a prefix filter);
+    shingles that recur come last, so few unlike texts meet. Texts of one shingle set are one throughout (told by 64 bits). Where many meet at a
+    shingle, all are first held against the two whose shingles the others share most; then all that meet and aren't in one component yet against
+    each other. Sizes and the places of the shared shingle leave out pairs that can't reach the similarity; the rest are held against the sets.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    texts = rows.select("__text")
+    common, times = _common_shingles(texts, words)
 
-    @F.pandas_udf("array<long>")
-    def sketched(texts: pd.Series) -> pd.Series:
-        return pd.Series([[*word_sketch(t, parts), int(np.array(simhash(t), np.uint64).view(np.int64))] for t in texts])
+    @F.pandas_udf("long")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([_key(shingles(t, words)) for t in texts], dtype=np.int64)
 
-    keyed = rows.withColumn("__key", F.md5("__text"))
-    own = staged(keyed.select("__id", "__key"), "keys")
+    own = staged(rows.select("__id", F.md5("__text").alias("__md5"), keys("__text").alias("__key")), "keys")
     least = own.groupBy("__key").agg(F.min("__id").alias("__least"))
-    sketches = staged(keyed.select("__key", sketched("__text").alias("fps")).dropDuplicates(["__key"]), "sketches")
-    each = sketches.select("__key", F.posexplode("fps").alias("part", "fp"))
-    # Texts of one fingerprint: up to four of them stand for all (so up to four stand for themselves).
-    order = F.xxhash64("__key")
-    stand = F.array_distinct(F.array(F.min("__key"), F.max("__key"), F.min_by("__key", order), F.max_by("__key", order)))
-    heads = staged(each.groupBy("part", "fp").agg(stand.alias("heads")), "heads")
-    # A link of the forest may fall short where another in its stead would hold, so small buckets give all of theirs; in large ones
-    # the forest begins at what the copies have in common.
-    edges = near_links(heads.select("part", "fp"), radius, bucket, complete=16)
-    side = lambda c: heads.select("part", F.col("fp").alias(c), F.col("heads").alias(f"{c}_keys"))
-    across = edges.join(side("u"), ["part", "u"]).join(side("v"), ["part", "v"]).select(F.explode("u_keys").alias("u"), "v_keys").select("u", F.explode("v_keys").alias("v"))
-    within = each.join(heads.where(F.size("heads") > 1), ["part", "fp"]).select(F.explode("heads").alias("u"), F.col("__key").alias("v"))
-    pairs = across.union(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = staged(pairs, "pairs")
-    # Only texts with a candidate are read again; of copies, one.
-    wanted = pairs.select(F.col("u").alias("__key")).union(pairs.select("v")).distinct()
-    sets = keyed.join(wanted, "__key", "left_semi").dropDuplicates(["__key"]).select("__key", shingle_set(F.col("__text"), words).alias("set"))
-    sets = staged(sets, "shingles")
-    both = pairs.join(sets.select(F.col("__key").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("__key").alias("v"), F.col("set").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    linked = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["token", "key", "size", "pos"])
+        rows, waiting = [], 0
+        for key, tokens in _tokens_by(batches, words):
+            n = len(tokens)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+                seen = np.where(common[at] == tokens, times[at], 0)
+                tokens = tokens[np.argsort(seen, kind="stable")]
+            first = tokens[: _prefix_length(n, similarity)].view(np.int64)
+            rows.append((first, np.full(len(first), key), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
+            waiting += len(first)
+            if waiting >= 1 << 15:
+                yield batch_of(rows)
+                rows, waiting = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of shingles that several sets have, each set once, with their number."""
+        for (token, key, size, pos), _, _ in _whole_buckets(batches):
+            once = np.concatenate(([True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])))
+            token, key, size, pos = token[once], key[once], size[once], pos[once]
+            _, inverse, counts = np.unique(token, return_inverse=True, return_counts=True)
+            n = counts[inverse]
+            many = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (token, key, size, pos, n.astype(np.int64))], ["token", "key", "size", "pos", "n"])
+
+    def pairs_of(key: np.ndarray, size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        """The pairs of places that may reach the similarity."""
+        a, b = size[i].astype(np.int64), size[j].astype(np.int64)
+        shared = np.minimum(a - pos[i], b - pos[j])  # at most, if this is the first shingle that both have
+        fit = (key[i] != key[j]) & (shared * (1 + similarity) >= similarity * (a + b) - 1e-6)
+        u, v = key[i[fit]], key[j[fit]]
+        found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["u", "v"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All pairs of up to four; of more, those with the first two."""
+        for (_, key, size, pos, _), start, n in _whole_buckets(batches):
+            at = np.arange(len(key))
+            few, i, j = n <= 4, [], []
+            for d in (1, 2, 3):
+                ok = few & (at - start >= d)
+                i.append(at[ok])
+                j.append(at[ok] - d)
+            for d in (0, 1):
+                ok = ~few & (at - start > d)
+                i.append(at[ok])
+                j.append(start[ok] + d)
+            yield pairs_of(key, size, pos, np.concatenate(i), np.concatenate(j))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All pairs of different components."""
+        for (_, key, size, pos, root), start, n in _whole_buckets(batches):
+            i, j, waiting = [], [], 0
+            for s in np.unique(start):
+                e = s + n[s]
+                if (root[s:e] == root[s]).all():
+                    continue
+                for at in range(s, e):
+                    j.append(np.flatnonzero(root[at + 1 : e] != root[at]) + at + 1)
+                    i.append(np.full(len(j[-1]), at))
+                    waiting += len(j[-1])
+                    if waiting >= 1 << 18:
+                        yield pairs_of(key, size, pos, np.concatenate(i), np.concatenate(j))
+                        i, j, waiting = [], [], 0
+            if waiting:
+                yield pairs_of(key, size, pos, np.concatenate(i), np.concatenate(j))
+
+    met = texts.mapInArrow(prefixes, "token long, key long, size int, pos int").repartition("token").sortWithinPartitions("token", "key")
+    met = staged(met.mapInArrow(meeting, "token long, key long, size int, pos int, n long"), "met")
+    central = met.groupBy("key").agg((F.sum("n") / F.first("size")).alias("weight"))
+    dealt = met.join(central, "key").select("token", "key", "size", "pos", "weight").repartition("token").sortWithinPartitions("token", F.desc("weight"), "key")
+    pairs = staged(dealt.mapInArrow(stars, "u long, v long").distinct(), "pairs")
+
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words).view(np.int64) for t in texts])
+
+    # Only texts that meet another are read again; of those with one shingle set, one.
+    wanted = own.groupBy("__key").agg(F.min("__md5").alias("__md5")).join(central.select(F.col("key").alias("__key")), "__key")
+    again = texts.withColumn("__md5", F.md5("__text")).join(wanted, "__md5").dropDuplicates(["__key"])
+    again = staged(again.select("__key", sets("__text").alias("set")), "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(again.select(F.col("__key").alias("u"), F.col("set").alias("a")), "u").join(again.select(F.col("__key").alias("v"), F.col("set").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return staged(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v"), "linked")
+
+    linked = verified(pairs)
     roots = components(linked)
+    large = met.where("n > 4").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    large = large.select("token", "key", "size", "pos", F.coalesce("root", "key").alias("root")).repartition("token").sortWithinPartitions("token")
+    rest = staged(large.mapInArrow(across, "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
+    more = verified(rest)
+    if not more.isEmpty():
+        roots = components(linked.union(more))
     rooted = least.join(roots.select(F.col("node").alias("__key"), "root"), "__key", "left").withColumn("root", F.coalesce("root", "__key"))
     groups = rooted.groupBy("root").agg(F.min("__least").alias("component"))
     return own.join(rooted.join(groups, "root").select("__key", "component"), "__key").select("__id", "component")

@@ -206,6 +206,25 @@ def test_one_of_each_group_of_near_copies_stays(spark, documents, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def block_edited(base, new):
+    """Copies of a text of distinct words at 0.8 and more: cut off, a block put in, a block replaced; and one cut off at under 0.8."""
+    n = len(base)
+    cut, put, swapped = base[: n * 85 // 100], base[: n // 3] + new[: n // 7] + base[n // 3 :], base[: n // 2] + new[: n // 16] + base[n // 2 + n // 16 :]
+    return [cut, put, swapped], base[: n * 76 // 100]
+
+
+def test_block_edited_copies_go(spark):
+    rows = []
+    for k in range(12):
+        base = [f"w{k}x{i}" for i in range(120 + 40 * k)]
+        near, far = block_edited(base, [f"n{k}x{i}" for i in range(200)])
+        rows += [(100 * k + j, " ".join(ws)) for j, ws in enumerate([base, *near[:2]])]
+        rows += [(100 * k + 50, " ".join(f"{w}y" for w in base)), (100 * k + 51, " ".join(f"{w}y" for w in near[2])), (100 * k + 52, " ".join(f"{w}y" for w in far))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(brute_copies(rows).values())
+    assert kept >= {100 * k for k in range(12)} and not kept & {100 * k + j for k in range(12) for j in (1, 2, 51)}
+
+
 # Packing
 
 
