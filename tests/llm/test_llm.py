@@ -225,6 +225,20 @@ def test_block_edited_copies_go(spark):
     assert kept >= {100 * k for k in range(12)} and not kept & {100 * k + j for k in range(12) for j in (1, 2, 51)}
 
 
+def test_copies_among_texts_of_the_same_words(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(60):  # one word set throughout, so one sketch of it; pairs of copies with a word changed here and there
+        ws = [*rng.permutation(vocabulary), *rng.choice(vocabulary, 540)]
+        rows.append((2 * k, " ".join(ws)))
+        for at in range(70, 600, 60):
+            ws[at] = ws[at - 7]
+        rows.append((2 * k + 1, " ".join(ws)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(brute_copies(rows).values()) == set(range(0, 120, 2))
+
+
 # Packing
 
 
