@@ -239,6 +239,22 @@ def test_copies_among_texts_of_the_same_words(spark):
     assert kept == set(brute_copies(rows).values()) == set(range(0, 120, 2))
 
 
+def test_copies_of_copies_in_a_large_group(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 61):  # edited twice: the first edit is a near copy of the base, the second of the first only
+        ws = list(base)
+        for step, key in ((6, 1000 + k), (9, 2000 + k)):
+            for at in rng.choice(390, step, replace=False):
+                ws[at] = f"e{key}x{at}"
+            if k % 3 or key > 2000:
+                rows.append((key, " ".join(ws)))
+    roots = brute_copies(rows)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(roots.values()) and 1 < len(kept) < len(rows) - 20
+
+
 # Packing
 
 
