@@ -21,7 +21,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +42,9 @@ ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 #: What isn't part of an article, by tag and by words of class, id or role.
 OUTSIDE_TAGS = set("head title nav footer aside form button dialog menu fieldset".split())
 OUTSIDE_WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments discussion replies disqus cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pager pagination alert complementary contentinfo".split())
+#: Never told to be outside by words; ids of the latter only name a place.
+KEPT_TAGS = set("html body main article".split())
+NAMED_BY_ID = set("h1 h2 h3 h4 h5 h6 section".split())
 ARTICLE_WORDS = {"article", "articlebody", "post", "entry", "story", "main", "content"}
 
 Node = list  # [key, children, characters of text directly inside, optional, repeated]; the text slot's key is "#"
@@ -49,13 +52,13 @@ Node = list  # [key, children, characters of text directly inside, optional, rep
 
 def _key(tag: str, attributes: str) -> str:
     """The tag, and the words of its class, id, role or itemprop."""
-    words = {w for m in _MARK.finditer(attributes) for w in _NAME.findall((m[2] or m[3] or m[4] or "").lower())} if attributes else ()
+    words = {w for m in _MARK.finditer(attributes) if m[1].lower() != "id" or tag not in NAMED_BY_ID for w in _NAME.findall((m[2] or m[3] or m[4] or "").lower())} if attributes else ()
     return ".".join([tag, *sorted(words)]) if words else tag
 
 
 def outside(key: str) -> bool:
     tag, *words = key.split(".")
-    return tag in OUTSIDE_TAGS or not OUTSIDE_WORDS.isdisjoint(words)
+    return tag in OUTSIDE_TAGS or tag not in KEPT_TAGS and not OUTSIDE_WORDS.isdisjoint(words)
 
 
 def parse(page: str) -> Iterator[tuple[str, str]]:
@@ -165,36 +168,66 @@ def expression(node: Node) -> str:
     return f"({inner}){mark}" if mark and inner != "#" else inner
 
 
-def _mass(node: Node) -> int:
-    return 0 if outside(node[0]) else node[2] + sum(map(_mass, node[1]))
+def _mass(node: Node, spared: Set[str] = frozenset(), path: str = "") -> int:
+    if outside(node[0]) and path not in spared:
+        return 0
+    return node[2] + sum(_mass(c, spared, f"{path} {c[0]}".strip()) for c in node[1])
 
 
-def article_paths(root: Node) -> list[str]:
-    """Paths (keys joined by spaces) of the groups that hold the article."""
-    named: dict[int, list[tuple[int, str]]] = {}
+def _spared(root: Node) -> set[str]:
+    """Paths of groups that words tell to be outside but without which less than a fifth of the text would be left."""
+    spared: set[str] = set()
+    left = _mass(root)
 
     def look(node: Node, path: str) -> None:
+        nonlocal left
         for c in node[1]:
-            if c[0] == "#" or outside(c[0]):
+            at = f"{path} {c[0]}".strip()
+            if c[0].split(".")[0] in OUTSIDE_TAGS or c[0] == "#":
                 continue
+            if outside(c[0]) and at not in spared:
+                held = _mass(c, {at}, at)
+                if held <= 4 * left:
+                    continue
+                spared.add(at)
+                left += held
+            look(c, at)
+
+    look(root, "")
+    return spared
+
+
+def article_paths(root: Node) -> list[str]:
+    """Paths (keys joined by spaces) of the groups that hold the article, and of those under them that stay against their words."""
+    spared = _spared(root)
+    mass = lambda c, at: _mass(c, spared | {at}, at)
+    named: dict[int, list[tuple[int, str]]] = {}
+
+    def look(node: Node, path: str, deep: bool) -> None:
+        for c in node[1]:
             at = f"{path} {c[0]}".strip()
             tag, *words = c[0].split(".")
-            rank = 0 if tag == "article" else 1 if tag == "main" else 2 if not ARTICLE_WORDS.isdisjoint(words) else None
-            if rank is not None and _mass(c):
-                named.setdefault(rank, []).append((_mass(c), at))
+            if tag == "#" or outside(c[0]) and at not in spared and not (deep and tag not in OUTSIDE_TAGS):
+                continue
+            rank = 0 if tag == "article" else 1 if tag == "main" else 2 if not deep and not ARTICLE_WORDS.isdisjoint(words) else None
+            if rank is not None and mass(c, at):
+                named.setdefault(rank, []).append((mass(c, at), at))
             if rank != 0:
-                look(c, at)
+                look(c, at, deep)
 
-    look(root, "")
+    look(root, "", False)
+    if not named or min(named) > 1:
+        look(root, "", True)  # an article or main within a group whose words are of layout
     if named:
-        return sorted({at for _, at in named[min(named)]})
+        paths = {at for _, at in named[min(named)]}
+        return sorted(paths | {s for s in spared if any(s.startswith(at + " ") for at in paths)})
     node, path = root, ""
     while True:  # down while one group holds most of the text
-        total = _mass(node)
-        inner = [c for c in node[1] if c[0] != "#"]
-        top = max(inner, key=_mass, default=None)
-        if top is None or top[4] or _mass(top) < 0.6 * total or top[0].split(".")[0] in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol", "table"):
-            return [path]
+        total = _mass(node, spared | {path}, path)
+        inner = [(_mass(c, spared, f"{path} {c[0]}".strip()), c) for c in node[1] if c[0] != "#"]
+        held, top = max(inner, key=lambda x: x[0], default=(0, None))
+        if top is None or top[4] or held < 0.6 * total or top[0].split(".")[0] in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol", "table"):
+            return sorted({path} | {s for s in spared if not path or s.startswith(path + " ")})
         node, path = top, f"{path} {top[0]}".strip()
 
 
@@ -209,9 +242,10 @@ def main_text(page: str, paths: list[str]) -> str | None:
     for what, value in parse(page):
         if what == "open":
             path.append(value)
-            if within < 0 and " ".join(path) in wanted:
+            chosen = " ".join(path) in wanted
+            if within < 0 and chosen:
                 within, found = len(path), True
-            if out < 0 and outside(value):
+            if within >= 0 and out < 0 and not chosen and outside(value):
                 out = len(path)
             blocks.append([])
         elif what == "close":

@@ -521,3 +521,16 @@ def test_wrapper_alignment_is_union_free():
     b = html_text.shape("<body><p>x</p><div>z</div><ul><li>1</li><li>2</li></ul></body>")
     got = html_text.expression(html_text.merge(a, b))
     assert got == "<body>(<h1>#</h1>)?(<p>#</p>)+(<div>#</div>)?<ul>(<li>#</li>)+</ul></body>" and "|" not in got
+
+
+def html_of(spark, pages):
+    rows = [(i, f"http://h{i}.example/p", p) for i, p in enumerate(pages)]
+    return [r.text for r in html_text.main_text_table(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_words_of_layout_leave_the_article(spark):
+    body = '<h1>T</h1><h2 id="related-work">Related</h2><section id="discussion"><p>one two three four five</p></section><p>six seven eight nine ten</p>'
+    want = "T Related one two three four five six seven eight nine ten"
+    shells = ['<body class="single has-sidebar">{}<div class="sidebar"><p>x</p></div></body>', '<body><div class="has-sidebar"><article>{}</article></div><div>other text here</div></body>',
+              '<body><article><div class="content search">{}</div></article></body>', '<body><main class="overlay">{}<div class="comments"><p>no</p></div></main></body>']
+    assert html_of(spark, [s.format(body) for s in shells]) == [want] * len(shells)
