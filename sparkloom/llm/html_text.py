@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import staged
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|math|object)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(noscript|template|svg|iframe|textarea|select)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?<!/)>.*?</\2\s*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<""", re.S | re.I)
 _MARK = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -42,6 +42,8 @@ ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 #: What isn't part of an article, by tag and by words of class, id or role.
 OUTSIDE_TAGS = set("head title nav footer aside form button dialog menu fieldset".split())
 OUTSIDE_WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments discussion replies disqus cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pager pagination alert complementary contentinfo".split())
+#: HTML's own groups, which a slash at the end of the tag doesn't close.
+CLOSED_BY_TAG = ENDS_P | set(ENDS_SELF) | OUTSIDE_TAGS | set("html body".split())
 #: Never told to be outside by words; ids of the latter only name a place.
 KEPT_TAGS = set("html body main article".split())
 NAMED_BY_ID = set("h1 h2 h3 h4 h5 h6 section".split())
@@ -65,7 +67,7 @@ def parse(page: str) -> Iterator[tuple[str, str]]:
     """("open", key), ("close", key) and ("text", raw) of a page, nested properly whatever the page does; line breaks are ("text", " ")."""
     stack: list[str] = []  # of (tag, key) as "tag key"
     for m in _TOKEN.finditer(page):
-        tag = m[3]
+        tag = m[4]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 yield "text", m[0]
@@ -73,11 +75,11 @@ def parse(page: str) -> Iterator[tuple[str, str]]:
         tag = tag.lower()
         if tag in INLINE:
             continue
-        if tag in VOID:
+        if tag in VOID or m[5].endswith("/") and tag not in CLOSED_BY_TAG:
             yield "text", " "
             continue
         tags = [s.partition(" ")[0] for s in stack]
-        if m[2]:
+        if m[3]:
             if tag in tags:
                 while stack:
                     top, _, key = stack.pop().partition(" ")
@@ -95,7 +97,7 @@ def parse(page: str) -> Iterator[tuple[str, str]]:
                 depth -= 1
         while len(stack) > depth:
             yield "close", stack.pop().partition(" ")[2]
-        key = _key(tag, m[4])
+        key = _key(tag, m[5])
         stack.append(f"{tag} {key}")
         yield "open", key
     while stack:

@@ -534,3 +534,9 @@ def test_words_of_layout_leave_the_article(spark):
     shells = ['<body class="single has-sidebar">{}<div class="sidebar"><p>x</p></div></body>', '<body><div class="has-sidebar"><article>{}</article></div><div>other text here</div></body>',
               '<body><article><div class="content search">{}</div></article></body>', '<body><main class="overlay">{}<div class="comments"><p>no</p></div></main></body>']
     assert html_of(spark, [s.format(body) for s in shells]) == [want] * len(shells)
+
+
+def test_self_closed_and_unclosed_tags_swallow_nothing(spark):
+    cases = [("<p>one <svg class=\"i\"/> two</p><p>three</p>", "one two three"), ("<p>one <math/> two</p><p>three</p>", "one two three"), ("<p>one <svg><text>no</text></svg> two</p>", "one two"),
+             ("<p>one <math><mi>x</mi></math> two</p>", "one x two"), ("<p>one</p><object><p>two</p></object><p>three</p>", "one two three"), ("<p>one</p><select><p>two</p>", "one two"), ("<p>one</p><script>two", "one")]
+    assert html_of(spark, [f"<body><article>{c}" for c, _ in cases]) == [want for _, want in cases]
