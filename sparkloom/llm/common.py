@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, r
     return [(r["__text"], r["__label"]) for r in sorted(found, key=lambda r: (r["__label"], r["__at"], r["__text"]))]
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of the batch's rows with at most ``limit`` bytes in a text column, a longer row alone, so that a task holds few texts as objects."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(ends.searchsorted((ends[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def with_slots(df: DataFrame, group: str, order: list[str], out: str, salts: int = 64) -> DataFrame:
     """A gapless number from 0 within each value of ``group``, though no task reads more than a ``salts``-th of a group.
 

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import words
-from sparkloom.llm.common import staged, with_slots
+from sparkloom.llm.common import by_bytes, staged, with_slots
 
-CAPACITY, END_ID, AT_ONCE = 2048, 0, 200
+CAPACITY, END_ID = 2048, 0
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col="doc_id", text_col="text") -> DataFrame:
@@ -42,11 +42,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = words.loaded(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
+            for part in by_bytes(batch, 1):
                 own, piece, length, crc = [], [], [], []
                 for i, ids in enumerate(encoder.batch(part.column(1).to_pylist())):
-                    ids += end
+                    ids = ids.astype("<u4").tobytes() + end
                     for k in range(0, len(ids), width):
                         x = ids[k : k + width]
                         own.append(i)
@@ -57,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(own, pa.int64())), pa.array(p.astype(np.int32)), pa.array(p * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+                )
 
     return rows.mapInArrow(cut, f"doc_id {key}, piece int, start long, length long, ids_crc32 long")
 

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import by_bytes
+
 BLOCK, LOOK = 64, 3
 #: Fixed value: the pre-token pattern of the 50k byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -170,10 +172,13 @@ def build_trees(docs: DataFrame, vocabulary: str, id_col="doc_id", text_col="tex
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(vocabulary)
+        kind = pa.list_(pa.list_(pa.int32()))
         for batch in batches:
-            trees = [Tree.of(t, encoder) for t in batch.column(1).to_pylist()]
-            kind = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([[b[k] for b in t.blocks] for t in trees], kind) for k in (0, 1)), pa.array([t.tokens for t in trees], pa.int64())], ["doc_id", "lengths", "counts", "n_tokens"])
+            for part in by_bytes(batch, 1):
+                trees = [Tree.of(t, encoder) for t in part.column(1).to_pylist()]
+                blocks = [pa.array([[b[k] for b in t.blocks] for t in trees], kind) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *blocks, pa.array([t.tokens for t in trees], pa.int64())], ["doc_id", "lengths", "counts", "n_tokens"])
+        encoder.known.clear()  # workers are reused
 
     return rows.mapInArrow(build, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {TREE}, n_tokens long")
 
@@ -190,8 +195,7 @@ def update_trees(edited: DataFrame, vocabulary: str) -> DataFrame:
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in by_bytes(batch, 1):
                 columns = [c.to_pylist() for c in part.columns[1:]]
                 out = []
                 for text, edits, *tree in zip(*columns, strict=True):
@@ -201,6 +205,7 @@ def update_trees(edited: DataFrame, vocabulary: str) -> DataFrame:
                     out.append((new, [b[0] for b in tree.blocks], [b[1] for b in tree.blocks], before, tree.tokens, sum(len(b[0]) for b in tree.blocks), again))
                 kinds = [pa.string(), *[pa.list_(pa.list_(pa.int32()))] * 2, *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], ["doc_id", "edited_text", "lengths", "counts", "n_tokens", "edited_tokens", "n_pretokens", "reencoded"])
+        encoder.known.clear()  # workers are reused
 
     return rows.mapInArrow(update, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, edited_text string, {TREE}, n_tokens long, edited_tokens long, n_pretokens long, reencoded long")
 
