@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -49,6 +50,14 @@ def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterat
         at = end
 
 
+def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs flat[starts[i] : starts[i] + lengths[i]] end to end."""
+    ends = np.cumsum(lengths)
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 def with_slots(df: DataFrame, group: str, order: list[str], out: str, salts: int = 64) -> DataFrame:
     """A gapless number from 0 within each value of ``group``, though no task reads more than a ``salts``-th of a group.
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import held_out, labelled_sample
+from sparkloom.llm.common import held_out, labelled_sample, ragged
 
 WINDOW, STEP, DIM, HIDDEN, ATTENTION, GRAMS = 32, 24, 12, 10, 8, (4, 6, 8)
 BUCKETS = 1 << 15
@@ -66,10 +66,15 @@ def word_vectors(w: Weights, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(w["table"][ids], starts, axis=0) / np.sqrt(n)[:, None].astype(np.float32)
 
 
+def window_counts(n: np.ndarray) -> np.ndarray:
+    """How many windows cover n words."""
+    return np.maximum(1, -(-(n - WINDOW) // STEP) + 1)
+
+
 def windows(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places (one per window and word; -1: padding) in the documents' words end to end, and each document's first window."""
     n = np.array(counts)
-    per = np.maximum(1, -(-(n - WINDOW) // STEP) + 1)
+    per = window_counts(n)
     first = np.concatenate(([0], np.cumsum(per)))
     within = np.arange(first[-1]) - np.repeat(first[:-1], per)
     at = within[:, None] * STEP + np.arange(WINDOW)
@@ -211,15 +216,66 @@ def gradient(w: Weights, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarra
             carry = dh_t * z + da @ u.T
         g[f"u{k}"], g[f"b{k}"] = du, dx.sum((0, 1))
         by_word = np.zeros((len(vectors) + 1, 3 * HIDDEN), np.float32)
-        np.add.at(by_word, ids.ravel(), dx.reshape(-1, 3 * HIDDEN))  # -1 is the last row: padding
+        rows, sums = summed(ids.ravel(), dx.reshape(-1, 3 * HIDDEN))
+        by_word[rows] = sums  # -1 is the last row: padding
         g[f"x{k}"] = vectors.T @ by_word[:-1]
         dv += by_word @ w[f"x{k}"].T
     return g, dv[:-1], logit
 
 
+class Sample:
+    """Labelled texts as places among their distinct words, and the hashed inputs of each such word."""
+
+    def __init__(self, texts: list[str]):
+        lists = [words_of(t) for t in texts]
+        known, flat = numbered(lists)
+        self.counts = np.array([len(ws) for ws in lists])
+        self.begin = np.cumsum(self.counts) - self.counts
+        self.flat = flat.astype(np.int32)
+        parts = [gram_ids(known[i : i + WORDS]) for i in range(0, len(known), WORDS)]
+        self.ids = np.concatenate([ids.astype(np.int32) for ids, _ in parts] or [np.zeros(0, np.int32)])
+        self.sizes = np.concatenate([np.diff(np.append(starts, len(ids))) for ids, starts in parts] or [np.zeros(0, np.int64)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def inputs_of(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``gram_ids``, of these words."""
+        return ragged(self.ids, self.starts[known], self.sizes[known]), np.cumsum(self.sizes[known]) - self.sizes[known]
+
+    def places(self, docs: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """(step, window): words of one window of each of ``docs``; -1 is padding."""
+        at = window * STEP + np.arange(WINDOW)[:, None]
+        held = at < self.counts[docs]
+        out = np.full(at.shape, -1)
+        out[held] = self.flat[(self.begin[docs] + at)[held]]
+        return out
+
+    def worst(self, w: Weights) -> np.ndarray:
+        """The window of each document that scores highest."""
+        vectors = [word_vectors(w, *self.inputs_of(np.arange(i, min(i + WORDS, len(self.sizes))))) for i in range(0, len(self.sizes), WORDS)]
+        inputs = [np.concatenate([v @ w[f"x{k}"] for v in vectors] + [np.zeros((1, 3 * HIDDEN), np.float32)]) + w[f"b{k}"] for k in (0, 1)]
+        per = window_counts(self.counts)
+        ends = np.cumsum(per)
+        found = np.empty(ends[-1], np.float32)
+        for i in range(0, len(found), WINDOWS):
+            number = np.arange(i, min(i + WINDOWS, len(found)))
+            docs = np.searchsorted(ends, number, "right")
+            ids = self.places(docs, number - (ends - per)[docs])
+            found[number] = read(w, (inputs[0][ids], inputs[1][ids]), _mask(ids))
+        return np.array([found[a:b].argmax() for a, b in zip(ends - per, ends, strict=True)])
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows``, and the sum of ``values`` over each."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+
+
 def train(sample: list[tuple[str, int]], seed: int = 1, seen: int = 24_000, batch: int = 32, rate: float = 0.01, table_rate: float = 0.05, decay: float = 0.002, toxic_share: float = 0.3) -> Weights:
     """Weights by Adam (Adagrad with decay for the table), over about ``seen`` documents in 8 to 60 epochs.
 
+    The first epoch learns from windows at random, for a start, each later one from every document's worst window at its beginning.
     Label 1 weighs ``toxic_share`` of all, whatever its share of the sample.
     """
     w = initial(seed)
@@ -228,7 +284,7 @@ def train(sample: list[tuple[str, int]], seed: int = 1, seen: int = 24_000, batc
         w["out"][:], w["prior"][:] = 0, -30
         return w
     rng = np.random.default_rng(seed)
-    lists = [words_of(t) for t, _ in sample]
+    texts = Sample([t for t, _ in sample])
     weight = np.where(labels == 1, toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean())).astype(np.float32)
     dense = [k for k in w if k != "table"]
     m, v = ({k: np.zeros_like(w[k]) for k in dense} for _ in range(2))
@@ -236,37 +292,31 @@ def train(sample: list[tuple[str, int]], seed: int = 1, seen: int = 24_000, batc
     epochs, step = min(60, max(8, seen // len(sample))), 0
     for epoch in range(epochs):
         slow = 1 - epoch / epochs
-        order = rng.permutation(len(lists))
+        worst = texts.worst(w) if epoch else None
+        order = rng.permutation(len(sample))
         for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            known, flat = numbered([lists[i] for i in some])
-            known = known or ["_"]
-            ids, starts = gram_ids(known)
-            vectors = word_vectors(w, ids, starts)
-            place, first = windows([len(lists[i]) for i in some])
-            every = np.ascontiguousarray(np.append(flat, -1)[place].T)
-            if epoch:  # the worst window of each document, and one at random of those without the label
-                found = np.concatenate([read(w, _inputs(w, vectors, every[:, i : i + WINDOWS]), _mask(every[:, i : i + WINDOWS])) for i in range(0, every.shape[1], WINDOWS)])
-                pick = np.array([a + found[a:b].argmax() for a, b in zip(first[:-1], first[1:], strict=True)])
-                whose = np.arange(len(some))
-            else:  # first a few windows at random, for a start
-                pick = np.concatenate([rng.integers(a, b, 4) for a, b in zip(first[:-1], first[1:], strict=True)])
-                whose = np.repeat(np.arange(len(some)), 4)
-            y, s = labels[some][whose], weight[some][whose] / len(pick)
-            g, dv, _ = gradient(w, vectors, every[:, pick], y, s)
+            docs = order[at : at + batch]
+            if epoch:
+                window = worst[docs]
+            else:
+                docs = np.repeat(docs, 4)
+                window = rng.integers(0, window_counts(texts.counts[docs]))
+            place = texts.places(docs, window)
+            known, ids = np.unique(place[place >= 0], return_inverse=True)
+            place[place >= 0] = ids
+            inputs, starts = texts.inputs_of(known)
+            vectors = word_vectors(w, inputs, starts) if len(known) else np.zeros((0, DIM), np.float32)
+            g, dv, _ = gradient(w, vectors, place, labels[docs], weight[docs] / len(docs))
             step += 1
             for k in dense:
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.001 * (g[k] ** 2 - v[k])
                 w[k] -= rate * slow * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-            n = np.diff(np.append(starts, len(ids)))
-            used = np.abs(dv).sum(1) > 0
-            rows = np.repeat(used, n)
-            dt = np.zeros((2 * BUCKETS, DIM), np.float32)
-            np.add.at(dt, ids[rows], np.repeat(dv[used] / np.sqrt(n[used])[:, None], n[used], axis=0))
-            touched = np.unique(ids[rows])
-            seen_sq[touched] += (dt[touched] ** 2).mean(1)
-            w["table"][touched] -= table_rate * slow * dt[touched] / np.sqrt(seen_sq[touched])[:, None]
+            if len(known):
+                n = texts.sizes[known]
+                touched, dt = summed(inputs, np.repeat(dv / np.sqrt(n)[:, None].astype(np.float32), n, axis=0))
+                seen_sq[touched] += (dt**2).mean(1)
+                w["table"][touched] -= table_rate * slow * dt / np.sqrt(seen_sq[touched])[:, None]
             w["table"] *= 1 - decay * slow
     return w
 

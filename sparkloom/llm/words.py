@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from sparkloom.llm.common import ragged
+
 #: The tokenizer's special tokens, and the classes of its pre-token pattern, 's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -75,14 +77,6 @@ def cut(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, at
 
 
-def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs flat[starts[i] : starts[i] + lengths[i]] end to end."""
-    ends = np.cumsum(lengths)
-    at = np.repeat(starts - (ends - lengths), lengths)
-    at += np.arange(len(at))
-    return flat[at]
-
-
 class WordIds:
     """The tokenizer of a file; holds the vocabulary's tables alone (some 20 MB)."""
 
