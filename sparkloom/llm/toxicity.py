@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import held_out, labelled_sample, ragged
 
-WINDOW, STEP, DIM, HIDDEN, ATTENTION, GRAMS = 32, 24, 12, 10, 8, (4, 6, 8)
+WINDOW, STEP, DIM, HIDDEN, ATTENTION, GRAMS = 32, 24, 12, 10, 8, (3, 4, 6)
 BUCKETS = 1 << 15
 #: Documents, words and windows that a task handles at once.
 DOCS, WORDS, WINDOWS = 400, 40_000, 4096
@@ -272,7 +272,7 @@ def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ordered[first], np.add.reduceat(values[order], first, axis=0)
 
 
-def train(sample: list[tuple[str, int]], seed: int = 1, seen: int = 24_000, batch: int = 32, rate: float = 0.01, table_rate: float = 0.05, decay: float = 0.002, toxic_share: float = 0.3) -> Weights:
+def train(sample: list[tuple[str, int]], seed: int = 1, seen: int = 24_000, batch: int = 32, rate: float = 0.01, table_rate: float = 0.05, decay: float = 0.003, toxic_share: float = 0.3) -> Weights:
     """Weights by Adam (Adagrad with decay for the table), over about ``seen`` documents in 8 to 60 epochs.
 
     The first epoch learns from windows at random, for a start, each later one from every document's worst window at its beginning.
