@@ -1,19 +1,22 @@
-"""Main text of web pages by wrappers inferred per host: union-free regular expressions over tag streams.
-
-1. A page is its stream of block tags and text, read as nested groups; tags that only style text don't count. Like neighbours
-   become one repeated group, so pages of one template come to few different shapes, whatever their length.
-2. Shapes of one host are aligned, two at a time: groups that both have, in order, are aligned inside in turn; a group that one side lacks
-   becomes optional; a group that either side repeats is repeated; all texts become slots. No unions arise, and the
-   wrapper says what any page of the host may look like. Each slot keeps how much text the pages had there.
-3. The wrapper tells where the article is: the group marked as such, else the group that most of the text is under. Menus, forms,
-   adverts and the like are told by their tags and by words in their class, id or role.
-4. Each page is read again by its host's wrapper: the texts under the article's path are decoded and joined.
-
-Shapes are deduplicated per host before they are aligned, and aligned in salted parts first, so a host with very many
-pages is no long task. Wrappers are joined to pages by host as Spark sees fit.
+"""Main text of web pages by wrappers inferred per host: union-free regular expressions over tag and text streams.
+
+1. A page is its stream of block tags and texts, read as nested groups; tags that only style text don't count.
+2. Pages of one host are aligned one after another: groups that both have, in order (those of the same text first), are aligned inside in turn; a group that
+   one side lacks becomes optional; neighbours of one kind become one repeated group; a text that is the same on all pages stays what it is, one
+   that differs becomes a slot. No unions arise, and the wrapper says what any page of the host may look like.
+3. What differs from page to page is the article, what stays is the template: the wrapper's article is the group marked as such that has slots, else
+   the group that most of the text in slots is under. Menus, forms and the like are told by their tags; words in class, id or role
+   choose between groups, but take nothing out of an article unless it is the same on all pages, or names adverts or comments.
+4. Each page is read by its host's wrapper: the texts under the article's path are decoded and joined. Where no group is marked,
+   groups (not paragraphs, lists and the like) beside the article whose text is the same on all pages are left out.
+
+Every task aligns its own pages of each host; the wrappers that come of it are aligned in three rounds of salted groups, so a host with very
+many pages is no long task. Wrappers are joined to pages by host as Spark sees fit. A host with one page, or copies of one, has no
+slots: then all of its text counts. The order of alignment follows the partitions; what all pages share doesn't depend on it.
 
 Edge cases: a null page is empty; a null or odd URL has the host ""; a page that doesn't have its wrapper's article path is read by its own
-shape; unclosed and cut-off tags, comments and scripts end with the page; no pages give no rows.
+wrapper; unclosed and cut-off tags, comments and scripts end with the page; groups over ``DEPTH`` deep are text of the group at that depth, as far as
+wrappers go; no pages give no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator, Set
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +44,25 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 VOID = set("area base br col embed hr img input link meta param source track".split())
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: What isn't part of an article, by tag and by words of class, id or role.
+#: What isn't part of an article, by tag. A header is, within an article.
 OUTSIDE_TAGS = set("head title nav footer aside form button dialog menu fieldset".split())
-OUTSIDE_WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments discussion replies disqus cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pager pagination alert complementary contentinfo".split())
+#: Words of class, id or role that say the same; those of STRONG_WORDS within an article too.
+STRONG_WORDS = set("ad ads adv advert adverts advertisement advertising sponsored sidebar navbar breadcrumb breadcrumbs comment comments disqus cookie cookies gdpr".split())
+OUTSIDE_WORDS = STRONG_WORDS | set("banner sponsor promo promotion menu menubar nav navigation footer masthead topbar discussion replies consent notice notices popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pager pagination alert complementary contentinfo".split())
 #: HTML's own groups, which a slash at the end of the tag doesn't close.
 CLOSED_BY_TAG = ENDS_P | set(ENDS_SELF) | OUTSIDE_TAGS | set("html body".split())
 #: Never told to be outside by words; ids of the latter only name a place.
 KEPT_TAGS = set("html body main article".split())
 NAMED_BY_ID = set("h1 h2 h3 h4 h5 h6 section".split())
 ARTICLE_WORDS = {"article", "articlebody", "post", "entry", "story", "main", "content"}
+#: Groups of running text: neighbours of one kind are one repeated group, whatever they say.
+RUNNING = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr td th table tbody thead tfoot pre blockquote option figure figcaption hr #".split())
+#: Groups within groups that a wrapper tells apart; like neighbours that it tells apart; pairs of children that are aligned one by one.
+DEPTH, RUN, PAIRS = 100, 8, 40_000
+#: Wrappers that a task holds at once.
+HELD = 2000
 
-Node = list  # [key, children, characters of text directly inside, optional, repeated]; the text slot's key is "#"
+Node = list  # [key, children, characters of text directly inside, optional, repeated, literal]; a text's key is "#"; literal: hash of all its text, 0 if it differs
 
 
 def _key(tag: str, attributes: str) -> str:
@@ -58,14 +71,24 @@ def _key(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(words)]) if words else tag
 
 
-def outside(key: str) -> bool:
+def outside(key: str, within: bool = False) -> bool:
+    """Whether a group is not part of an article; ``within``: that it lies in."""
     tag, *words = key.split(".")
-    return tag in OUTSIDE_TAGS or tag not in KEPT_TAGS and not OUTSIDE_WORDS.isdisjoint(words)
+    if tag in OUTSIDE_TAGS or tag == "header" and not within:
+        return True
+    return tag not in KEPT_TAGS and not (STRONG_WORDS if within else OUTSIDE_WORDS).isdisjoint(words)
 
 
 def parse(page: str) -> Iterator[tuple[str, str]]:
     """("open", key), ("close", key) and ("text", raw) of a page, nested properly whatever the page does; line breaks are ("text", " ")."""
-    stack: list[str] = []  # of (tag, key) as "tag key"
+    stack: list[tuple[str, str]] = []  # tag, key
+    held: Counter[str] = Counter()
+
+    def close() -> tuple[str, str]:
+        tag, key = stack.pop()
+        held[tag] -= 1
+        return tag, key
+
     for m in _TOKEN.finditer(page):
         tag = m[4]
         if tag is None:
@@ -78,60 +101,99 @@ def parse(page: str) -> Iterator[tuple[str, str]]:
         if tag in VOID or m[5].endswith("/") and tag not in CLOSED_BY_TAG:
             yield "text", " "
             continue
-        tags = [s.partition(" ")[0] for s in stack]
         if m[3]:
-            if tag in tags:
-                while stack:
-                    top, _, key = stack.pop().partition(" ")
-                    yield "close", key
-                    if top == tag:
-                        break
+            while held[tag]:
+                top, key = close()
+                yield "close", key
+                if top == tag:
+                    break
             continue
-        ends = ENDS_SELF.get(tag)
-        depth = len(tags)
-        if tag in ENDS_P and "p" in tags:
-            depth = len(tags) - 1 - tags[::-1].index("p")
-        elif ends and tags and tags[-1] in ends:
-            depth = len(tags) - 1
-            if tag == "tr" and depth and tags[-1] in ("td", "th") and tags[depth - 1] == "tr":
-                depth -= 1
-        while len(stack) > depth:
-            yield "close", stack.pop().partition(" ")[2]
+        if tag in ENDS_P:
+            while held["p"]:
+                yield "close", close()[1]
+        elif stack and stack[-1][0] in ENDS_SELF.get(tag, ()):
+            cell = close()
+            yield "close", cell[1]
+            if tag == "tr" and cell[0] != "tr" and stack and stack[-1][0] == "tr":
+                yield "close", close()[1]
         key = _key(tag, m[5])
-        stack.append(f"{tag} {key}")
+        stack.append((tag, key))
+        held[tag] += 1
         yield "open", key
     while stack:
-        yield "close", stack.pop().partition(" ")[2]
+        yield "close", close()[1]
+
+
+def _literal(parts: list[int]) -> int:
+    """What stands for a group's text: a hash of those of its parts; without any, or of one alone, that one."""
+    return parts[0] if len(parts) == 1 else xxhash.xxh64_intdigest(",".join(map(str, parts))) >> 1 | 1
+
+
+def read(page: str) -> Iterator[tuple[str, str, int]]:
+    """As ``parse``, but with texts between tags together (those of white space left out), and with the literal of texts and closed groups."""
+    parts: list[list[int]] = [[]]
+    run: list[str] = []
+    for what, value in parse(page):
+        if what == "text":
+            run.append(value)
+            continue
+        if run:
+            text = "".join(run)
+            run = []
+            if bare := text.strip():
+                parts[-1].append(xxhash.xxh64_intdigest(bare) >> 1 | 1)
+                yield "text", text, parts[-1][-1]
+        if what == "open":
+            parts.append([])
+            yield what, value, 0
+        else:
+            literal = _literal(parts.pop())
+            parts[-1].append(literal)
+            yield what, value, literal
+    if bare := "".join(run).strip():
+        yield "text", "".join(run), xxhash.xxh64_intdigest(bare) >> 1 | 1
 
 
 def shape(page: str) -> Node:
     """The page's own wrapper: one group without a name over all."""
-    root: Node = ["", [], 0, False, False]
+    root: Node = ["", [], 0, False, False, 0]
     path = [root]
-    for what, value in parse(page):
-        top = path[-1]
+    deeper = 0  # groups below DEPTH
+    for what, value, literal in read(page):
         if what == "open":
-            path.append([value, [], 0, False, False])
+            if deeper or len(path) > DEPTH:
+                deeper += 1
+            else:
+                path.append([value, [], 0, False, False, 0])
         elif what == "close":
+            if deeper:
+                deeper -= 1
+                continue
             done = path.pop()
+            done[1], done[5] = fold(done[1]), literal
             path[-1][1].append(done)
-            done[1] = fold(done[1])
-        elif n := len(value.strip()):
-            if not top[1] or top[1][-1][0] != "#":
-                top[1].append(["#", [], 0, False, False])
-            top[1][-1][2] += n
+        else:
+            path[-1][1].append(["#", [], len(value.strip()), False, False, literal])
     root[1] = fold(root[1])
+    root[5] = _literal([c[5] for c in root[1]])
     return root
 
 
+def _alike(a: Node, b: Node) -> bool:
+    """Whether two neighbours are one repeated group: of running text, or both with slots."""
+    return a[0] == b[0] and (a[0].partition(".")[0] in RUNNING or not a[5] and not b[5])
+
+
 def fold(children: list[Node]) -> list[Node]:
     """Like neighbours as one repeated group; the same for runs of two unlike groups (terms and their texts, rows and rules)."""
     out: list[Node] = []
+    run = 0
     for c in children:
-        if out and out[-1][0] == c[0]:
+        run = run + 1 if out and out[-1][0] == c[0] else 1
+        if out and (_alike(out[-1], c) or run > RUN and out[-1][0] == c[0]):
             out[-1] = merge(out[-1], c)
             out[-1][4] = True
-        elif len(out) >= 3 and out[-1][0] == out[-3][0] and out[-2][0] == c[0]:
+        elif len(out) >= 3 and _alike(out[-3], out[-1]) and _alike(out[-2], c):
             out[-3], out[-2] = merge(out[-3], out[-1]), merge(out[-2], c)
             out[-3][4] = out[-2][4] = True
             out.pop()
@@ -140,122 +202,179 @@ def fold(children: list[Node]) -> list[Node]:
     return out
 
 
+def _squeezed(children: list[Node]) -> list[Node]:
+    """One repeated group of each kind, in the order of the first."""
+    out: dict[str, Node] = {}
+    for c in children:
+        if c[0] in out:
+            out[c[0]] = merge(out[c[0]], c)
+            out[c[0]][4] = True
+        else:
+            out[c[0]] = c
+    return list(out.values())
+
+
 def merge(a: Node, b: Node) -> Node:
     """The least wrapper of one kind of group that has both: children aligned in order, the rest optional."""
-    if a[1] == b[1]:
-        return [a[0], a[1] if not a[1] else [merge(x, y) for x, y in zip(a[1], b[1], strict=True)], a[2] + b[2], a[3] or b[3], a[4] or b[4]]
+    literal = a[5] if a[5] == b[5] else 0
+    if literal and not a[4] and not b[4] or a[0] == "#":
+        return [a[0], a[1], a[2] + b[2], a[3] or b[3], a[4] or b[4], literal]
     x, y = a[1], b[1]
+    if len(x) * len(y) > PAIRS:
+        x, y = _squeezed(x), _squeezed(y)
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    worth = lambda c, d: (2 + (c[5] == d[5] != 0)) if c[0] == d[0] else 0
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
+            fit = worth(x[i], y[j])
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + fit if fit else 0)
     out, i, j = [], 0, 0
     while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
+        fit = worth(x[i], y[j]) if i < len(x) and j < len(y) else 0
+        if fit and best[i][j] == best[i + 1][j + 1] + fit:
             out.append(merge(x[i], y[j]))
             i, j = i + 1, j + 1
         elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*x[i][:3], True, x[i][4]])
+            out.append([*x[i][:3], True, *x[i][4:]])
             i += 1
         else:
-            out.append([*y[j][:3], True, y[j][4]])
+            out.append([*y[j][:3], True, *y[j][4:]])
             j += 1
-    return [a[0], fold(out), a[2] + b[2], a[3] or b[3], a[4] or b[4]]
+    return [a[0], fold(out), a[2] + b[2], a[3] or b[3], a[4] or b[4], literal]
 
 
 def expression(node: Node) -> str:
-    """The wrapper as a regular expression over tags, ``#`` being a text slot: groups with ``?`` are optional, with ``+`` repeated."""
-    inner = "#" if node[0] == "#" else (f"<{node[0]}>" if node[0] else "") + "".join(map(expression, node[1])) + (f"</{node[0].split('.')[0]}>" if node[0] else "")
+    """The wrapper as a regular expression over tags, ``#`` being a text slot and ``=`` a text that all pages share: groups with ``?`` are optional, with ``+`` repeated."""
+    tag = node[0].split(".")[0]
+    inner = ("=" if node[5] else "#") if tag == "#" else (f"<{node[0]}>" if tag else "") + "".join(map(expression, node[1])) + (f"</{tag}>" if tag else "")
     mark = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[bool(node[3]), bool(node[4])]
-    return f"({inner}){mark}" if mark and inner != "#" else inner
-
-
-def _mass(node: Node, spared: Set[str] = frozenset(), path: str = "") -> int:
-    if outside(node[0]) and path not in spared:
-        return 0
-    return node[2] + sum(_mass(c, spared, f"{path} {c[0]}".strip()) for c in node[1])
-
-
-def _spared(root: Node) -> set[str]:
-    """Paths of groups that words tell to be outside but without which less than a fifth of the text would be left."""
-    spared: set[str] = set()
-    left = _mass(root)
-
-    def look(node: Node, path: str) -> None:
-        nonlocal left
+    return f"({inner}){mark}" if mark and tag != "#" else inner
+
+
+def _has_text(node: Node) -> bool:
+    return node[0] == "#" or any(map(_has_text, node[1]))
+
+
+class Reading:
+    """Where a wrapper's article is: ``paths`` (keys joined by spaces) of its groups, and of those under them that stay against their words;
+    ``drops``: literals of groups in it that are the template's; ``marked``: whether the page says so itself."""
+
+    def __init__(self, root: Node):
+        self.root = root
+        self.spared: set[str] = set()
+        self.differs = not root[5]
+        self.differs = self.differs and self.mass(root, "") > 0
+        self._spare()
+        self.paths, self.marked = self._article()
+        self.drops: set[int] = set()
+        if self.differs:
+            self._template(root, "")
+
+    def mass(self, node: Node, path: str, within: bool = False) -> int:
+        """Characters under a group, but for what is outside and, where pages differ, for what they share."""
+        if outside(node[0], within) and path not in self.spared:
+            return 0
+        if self.differs and node[5]:
+            return 0
+        own = node[2] if node[0] == "#" else 0
+        within = within or node[0].partition(".")[0] in ("article", "main")
+        return own + sum(self.mass(c, f"{path} {c[0]}".strip(), within) for c in node[1])
+
+    def _spare(self) -> None:
+        """Groups that words tell to be outside, but without which less than a fifth of the text would be left, stay."""
+        left = self.mass(self.root, "")
+
+        def look(node: Node, path: str) -> None:
+            nonlocal left
+            for c in node[1]:
+                at = f"{path} {c[0]}".strip()
+                tag = c[0].partition(".")[0]
+                if tag in OUTSIDE_TAGS or tag in ("#", "header"):
+                    continue
+                if outside(c[0]) and at not in self.spared:
+                    self.spared.add(at)
+                    held = self.mass(c, at)
+                    if held <= 4 * left:
+                        self.spared.discard(at)
+                        continue
+                    left += held
+                look(c, at)
+
+        look(self.root, "")
+
+    def _article(self) -> tuple[list[str], bool]:
+        named: dict[int, set[str]] = {}
+
+        def look(node: Node, path: str, deep: bool) -> None:
+            for c in node[1]:
+                at = f"{path} {c[0]}".strip()
+                tag, *words = c[0].split(".")
+                if tag in ("#", "header") or outside(c[0]) and at not in self.spared and not (deep and tag not in OUTSIDE_TAGS):
+                    continue
+                rank = 0 if tag == "article" else 1 if tag == "main" else 2 if not deep and not ARTICLE_WORDS.isdisjoint(words) else None
+                if rank is not None and any(self.mass(x, f"{at} {x[0]}", True) for x in c[1]):
+                    named.setdefault(rank, set()).add(at)
+                elif rank in (0, 1) and c[5] and _has_text(c):
+                    named.setdefault(rank + 3, set()).add(at)  # marked, but the same on all pages: if there is no other
+                if rank != 0:
+                    look(c, at, deep)
+
+        look(self.root, "", False)
+        if not named or min(named) == 2:
+            look(self.root, "", True)  # an article or main within a group whose words are of layout
+        if named:
+            paths = named[min(named)]
+            return sorted(paths | {s for s in self.spared if any(s.startswith(at + " ") for at in paths)}), min(named) != 2
+        node, path = self.root, ""
+        while True:  # down while one group holds most of the text that differs
+            inner = [(self.mass(c, f"{path} {c[0]}".strip()), c) for c in node[1]]
+            total = sum(held for held, _ in inner)
+            held, top = max(inner, key=lambda x: x[0], default=(0, None))
+            if top is None or top[4] or not held or held < 0.6 * total or top[0].partition(".")[0] in RUNNING:
+                return sorted({path} | {s for s in self.spared if not path or s.startswith(path + " ")}), False
+            node, path = top, f"{path} {top[0]}".strip()
+
+    def _template(self, node: Node, path: str) -> None:
         for c in node[1]:
             at = f"{path} {c[0]}".strip()
-            if c[0].split(".")[0] in OUTSIDE_TAGS or c[0] == "#":
-                continue
-            if outside(c[0]) and at not in spared:
-                held = _mass(c, {at}, at)
-                if held <= 4 * left:
-                    continue
-                spared.add(at)
-                left += held
-            look(c, at)
-
-    look(root, "")
-    return spared
+            tag = c[0].partition(".")[0]
+            inside = any(at == p or at.startswith(p + " ") or not p for p in self.paths)
+            if c[5] and inside and not c[4] and tag not in RUNNING and (not self.marked or outside(c[0]) and not outside(c[0], True)):
+                self.drops.add(c[5])
+            elif not c[5] or not inside:
+                self._template(c, at)
 
 
-def article_paths(root: Node) -> list[str]:
-    """Paths (keys joined by spaces) of the groups that hold the article, and of those under them that stay against their words."""
-    spared = _spared(root)
-    mass = lambda c, at: _mass(c, spared | {at}, at)
-    named: dict[int, list[tuple[int, str]]] = {}
-
-    def look(node: Node, path: str, deep: bool) -> None:
-        for c in node[1]:
-            at = f"{path} {c[0]}".strip()
-            tag, *words = c[0].split(".")
-            if tag == "#" or outside(c[0]) and at not in spared and not (deep and tag not in OUTSIDE_TAGS):
-                continue
-            rank = 0 if tag == "article" else 1 if tag == "main" else 2 if not deep and not ARTICLE_WORDS.isdisjoint(words) else None
-            if rank is not None and mass(c, at):
-                named.setdefault(rank, []).append((mass(c, at), at))
-            if rank != 0:
-                look(c, at, deep)
-
-    look(root, "", False)
-    if not named or min(named) > 1:
-        look(root, "", True)  # an article or main within a group whose words are of layout
-    if named:
-        paths = {at for _, at in named[min(named)]}
-        return sorted(paths | {s for s in spared if any(s.startswith(at + " ") for at in paths)})
-    node, path = root, ""
-    while True:  # down while one group holds most of the text
-        total = _mass(node, spared | {path}, path)
-        inner = [(_mass(c, spared, f"{path} {c[0]}".strip()), c) for c in node[1] if c[0] != "#"]
-        held, top = max(inner, key=lambda x: x[0], default=(0, None))
-        if top is None or top[4] or held < 0.6 * total or top[0].split(".")[0] in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol", "table"):
-            return sorted({path} | {s for s in spared if not path or s.startswith(path + " ")})
-        node, path = top, f"{path} {top[0]}".strip()
-
-
-def main_text(page: str, paths: list[str]) -> str | None:
-    """The text under these paths; None if the page has none of them."""
+def main_text(page: str, paths: list[str], drops: set[int] = frozenset()) -> str | None:
+    """The text under these paths, without groups whose literal is in ``drops``; None if the page has none of them."""
     blocks: list[list[str]] = [[]]
     path: list[str] = []
+    begun: list[int] = []
     within, out, found = -1, -1, "" in paths
     wanted = set(paths)
     if found:
         within = 0
-    for what, value in parse(page):
+    marks = 0  # articles and mains around
+    for what, value, literal in read(page):
         if what == "open":
             path.append(value)
-            chosen = " ".join(path) in wanted
+            chosen = len(path) <= DEPTH and " ".join(path) in wanted
             if within < 0 and chosen:
                 within, found = len(path), True
-            if within >= 0 and out < 0 and not chosen and outside(value):
+            if within >= 0 and out < 0 and not chosen and outside(value, within > 0 and (marks > 0 or "" not in wanted)):
                 out = len(path)
+            marks += value.partition(".")[0] in ("article", "main")
+            begun.append(len(blocks))
             blocks.append([])
         elif what == "close":
             if within == len(path) and within:
                 within = -1
             if out == len(path):
                 out = -1
-            path.pop()
+            marks -= path.pop().partition(".")[0] in ("article", "main")
+            at = begun.pop()
+            if literal in drops:
+                del blocks[at:]
             blocks.append([])
         elif within >= 0 and out < 0:
             blocks[-1].append(value)
@@ -268,55 +387,65 @@ def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def infer_wrappers(pages: DataFrame, url_col="url", html_col="html", salts: int = 32) -> DataFrame:
-    """host, wrapper (as JSON), expression, paths: of every host, from all its pages."""
+def infer_wrappers(pages: DataFrame, url_col="url", html_col="html") -> DataFrame:
+    """host, wrapper (as JSON), expression, paths, drops: of every host, from all its pages."""
+    text = lambda node: json.dumps(node, separators=(",", ":"))
 
-    @F.pandas_udf("string")
-    def shapes(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: json.dumps(_plain(shape(t or "")), separators=(",", ":")))
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A wrapper of each host's pages in this task (of several, with many hosts)."""
+        held: dict[str, Node] = {}
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(map(text, held.values()), pa.string())], ["host", "wrapper"])
+
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = shape(page.as_py() or "")
+                held[host] = merge(held[host], found) if host in held else found
+                if len(held) >= HELD:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
 
     def aligned(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups:
             out = []
-            for found in batch.column(1).to_pylist():
+            for found in batch.column(1):
                 wrapper = None
-                for s in sorted(found):  # in an order that doesn't depend on partitions
+                for s in sorted(x.as_py() for x in found.values):
                     s = json.loads(s)
                     wrapper = s if wrapper is None else merge(wrapper, s)
-                out.append(json.dumps(_plain(wrapper), separators=(",", ":")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "shape"])
+                out.append(text(wrapper))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "wrapper"])
 
-    # The text's amount is told to a power of two, so that pages of one template have one shape.
-    each = pages.select(_host(F.col(url_col)).alias("host"), shapes(html_col).alias("shape")).distinct()
-    salted = each.groupBy("host", (F.abs(F.xxhash64("shape")) % salts).alias("__salt")).agg(F.collect_set("shape").alias("shapes"))
-    parts = salted.select("host", "shapes").mapInArrow(aligned, "host string, shape string").distinct()
-    whole = parts.groupBy("host").agg(F.collect_set("shape").alias("shapes")).mapInArrow(aligned, "host string, shape string")
+    whole = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(own, "host string, wrapper string")
+    for salts in (4096, 64, 1):
+        salted = whole.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).alias("__salt")).agg(F.collect_list("wrapper").alias("wrappers"))
+        whole = salted.select("host", "wrappers").mapInArrow(aligned, "host string, wrapper string")
 
-    @F.pandas_udf("expression string, paths array<string>")
-    def read(wrappers: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("expression string, paths array<string>, drops array<long>")
+    def decided(wrappers: pd.Series) -> pd.DataFrame:
         parsed = [json.loads(w) for w in wrappers]
-        return pd.DataFrame({"expression": [expression(w) for w in parsed], "paths": [article_paths(w) for w in parsed]})
-
-    return whole.withColumn("__read", read("shape")).select("host", F.col("shape").alias("wrapper"), "__read.expression", "__read.paths")
-
+        readings = [Reading(w) for w in parsed]
+        return pd.DataFrame({"expression": [expression(w) for w in parsed], "paths": [r.paths for r in readings], "drops": [sorted(r.drops) for r in readings]})
 
-def _plain(node: Node) -> Node:
-    return [node[0], [_plain(c) for c in node[1]], 1 << (node[2].bit_length() - 1) if node[2] else 0, int(node[3]), int(node[4])]
+    return whole.withColumn("__read", decided("wrapper")).select("host", "wrapper", "__read.expression", "__read.paths", "__read.drops")
 
 
 def main_text_table(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    wrappers = staged(infer_wrappers(pages, url_col, html_col).select("host", "paths"), "wrappers")
+    wrappers = staged(infer_wrappers(pages, url_col, html_col).select("host", "paths", "drops"), "wrappers")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
 
     @F.pandas_udf("string")
-    def extract(texts: pd.Series, paths: pd.Series) -> pd.Series:
+    def extract(texts: pd.Series, paths: pd.Series, drops: pd.Series) -> pd.Series:
         out = []
-        for t, p in zip(texts, paths, strict=True):
+        for t, p, d in zip(texts, paths, drops, strict=True):
             t = t or ""
-            found = main_text(t, list(p)) if p is not None else None
-            out.append(main_text(t, article_paths(shape(t))) or "" if found is None else found)
+            found = main_text(t, list(p), set(d)) if p is not None else None
+            out.append(main_text(t, Reading(shape(t)).paths) or "" if found is None else found)
         return pd.Series(out, dtype=object)
 
-    found = rows.join(wrappers, "host", "left").withColumn("text", extract("html", "paths"))
+    found = rows.join(wrappers, "host", "left").withColumn("text", extract("html", "paths", "drops"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
