@@ -9,7 +9,7 @@ and a paragraph is its leaves' hashes, joined by dots; all but the root are cut
 the sections whose hashes differ say where. Likeness is the share of leaves that two trees have in common.
 
 Edge cases: null and empty texts have the tree of no leaves (all alike: likeness 1; with any other text 0); equal ids
-order by text; an empty table gives an empty result.
+order by a hash of the text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,37 +68,64 @@ def changed_sections(a: Column, b: Column) -> Column:
     return _with(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), lambda t: F.filter(F.transform(t["a"], lambda h, i: F.when(~F.array_contains(t["b"], h), i)), lambda i: i.isNotNull()))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], buckets: int, tie: str) -> DataFrame:
-    """Each row with ``next_<column>`` of the row that follows by descending key (after the last: the first).
+def _ranges(rows: DataFrame, key: str, tie: str, ranges: int) -> DataFrame:
+    """``rows`` with ``__range``, an array of numbers: a range of the order by descending key (null last), then ``tie`` (a long hash).
 
-    Rows are dealt by ranges of the key (quantiles), so each window has about 1 / buckets of the rows. The first row
-    of a range is also put at the end of the range before it, so that it follows there too. Null keys come last; equal keys order by ``tie``.
+    Quantiles of the keys cut coarse ranges, quantiles within these the fine ones (so that neither step needs many). A key that spans several
+    ranges, and rows without a key, are cut by ``tie``. What goes to all tasks is one number a range.
     """
-    cuts = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
-    over = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col(key))) if cuts else F.lit(0)
-    rows = df.withColumn("__bucket", F.coalesce(F.when(F.col(key).isNotNull(), over), F.lit(len(cuts) + 1)).cast("int"))
-    # As many rows as there are ranges, each with the key of its first row.
-    heads = rows.groupBy("__bucket").agg(F.max(key).alias("__head"))
-    whole = Window.orderBy("__bucket")
-    first = F.max("__bucket").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("__head", F.col("__bucket").alias("__own"), F.coalesce(F.lag("__bucket").over(whole), first).alias("__to"))
-    at_head = rows.join(F.broadcast(heads), (F.col("__bucket") == F.col("__own")) & F.col(key).eqNullSafe(F.col("__head")))
-    one = at_head.withColumn("__n", F.row_number().over(Window.partitionBy("__own").orderBy(tie))).where("__n = 1")
-    added = one.withColumn("__bucket", F.col("__to")).select(*rows.columns).withColumn("__added", F.lit(1))
-    within = Window.partitionBy("__bucket").orderBy("__added", F.col(key).desc_nulls_last(), F.col(tie))
-    both = rows.withColumn("__added", F.lit(0)).unionByName(added).withColumn("__next", F.lead(F.struct(*columns)).over(within))
-    return both.where("__added = 0").select(*df.columns, *[F.col("__next")[c].alias(f"next_{c}") for c in columns])
-
-
-def fingerprint_table(docs: DataFrame, id_col="doc_id", text_col="text", buckets: int | None = None) -> DataFrame:
+    coarse = max(1, round(ranges**0.5))
+    fine = -(-ranges // coarse)
+    above = lambda cuts, k: F.size(F.filter(cuts, lambda c: c >= k))
+    steps = lambda n: [i / n for i in range(1, n)]
+    found = sorted(set(rows.approxQuantile(key, steps(coarse), 0.1 / coarse))) if coarse > 1 else []
+    first = above(F.array(*map(F.lit, found)), F.col(key)) if found else F.lit(0)
+    rows = rows.withColumn("__coarse", F.when(F.col(key).isNotNull(), first).cast("int"))
+    if fine > 1:
+        each = rows.where(F.col(key).isNotNull()).groupBy("__coarse").agg(F.percentile_approx(key, steps(fine), 20 * fine).alias("cuts"))
+        rows = rows.crossJoin(F.broadcast(each.agg(F.map_from_entries(F.collect_list(F.struct("__coarse", "cuts"))).alias("__cuts"))))
+        cuts = F.col("__cuts")[F.col("__coarse")]
+        rows = rows.withColumn("__fine", above(cuts, F.col(key))).withColumn("__hot", F.size(F.filter(cuts, lambda c: c == F.col(key))) > 1).drop("__cuts")
+    else:
+        rows = rows.withColumn("__fine", F.lit(0)).withColumn("__hot", F.lit(False))
+    part = F.floor((F.col(tie) / F.lit(2.0**64) + F.lit(0.5)) * ranges)  # a hot key is the first of its range
+    by_tie = F.when(F.coalesce("__hot", F.col(key).isNull()), part).otherwise(F.lit(ranges))
+    number = F.array(F.coalesce("__coarse", F.lit(coarse)).cast("long"), F.coalesce("__fine", F.lit(0)).cast("long"), by_tie.cast("long"))
+    return rows.withColumn("__range", number).drop("__coarse", "__fine", "__hot")
+
+
+def with_next(rows: DataFrame, key: str, text: str, ranges: int, add) -> DataFrame:
+    """``add(rows)`` with ``__next``, a struct of all its columns of the row that follows by descending key (after the last: the first).
+
+    Rows (columns ``key``, numeric, and ``text``) are dealt by ranges, and each range is a window of its own. The first row of a range is also put
+    at the end of the range before it, so that it follows there too. Null keys come last; equal keys order by a hash of the text.
+    """
+    dealt = _ranges(rows.withColumn("__tie", F.xxhash64(text)), key, "__tie", ranges)
+    # The first row of each range, by key and tie alone, and the range before it.
+    heads = dealt.groupBy("__range").agg(F.max(F.struct(F.col(key), F.bitwise_not("__tie").alias("t"))).alias("h"))
+    whole = Window.orderBy("__range")
+    last = F.last("__range").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select(F.col("h")[key].alias("__head"), F.bitwise_not(F.col("h")["t"]).alias("__head_tie"), F.col("__range").alias("__own"), F.coalesce(F.lag("__range").over(whole), last).alias("__to"))
+    at_head = dealt.join(F.broadcast(heads), (F.col("__range") == F.col("__own")) & F.col(key).eqNullSafe(F.col("__head")) & (F.col("__tie") == F.col("__head_tie")))
+    one = at_head.groupBy("__own").agg(F.first("__to").alias("__range"), F.min(F.struct(key, text, "__tie")).alias("r")).select("r.*", "__range")
+    both = add(dealt.select(key, text, "__tie", "__range").withColumn("__added", F.lit(0)).union(one.withColumn("__added", F.lit(1))))
+    columns = [c for c in both.columns if c not in ("__tie", "__range", "__added")]
+    within = Window.partitionBy("__range").orderBy("__added", F.col(key).desc_nulls_last(), "__tie", text)
+    return both.withColumn("__next", F.lead(F.struct(*columns)).over(within)).where("__added = 0").select(*columns, "__next")
+
+
+def fingerprint_table(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int | None = None, range_bytes: int = 128 << 20) -> DataFrame:
     """Fingerprints of every text and of its edited text: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Edited: the last floor(n_chars / 3) characters give way to the first as many of the next document, by descending id.
+    Edited: the last floor(n_chars / 3) characters give way to the first as many of the next document, by descending id (a number). ``ranges``:
+    windows that the documents are dealt to; one for each ``range_bytes`` of text if not given, and as many as shuffle partitions at least.
     """
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("text")))
-    rows = with_next(rows, "doc_id", ["text", "fingerprint"], buckets, "text")
+    if ranges is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    rows = with_next(rows, "doc_id", "text", ranges, lambda df: df.withColumn("fingerprint", fingerprint(F.col("text"))))
+    rows = rows.select("doc_id", "text", "fingerprint", F.col("__next.text").alias("next_text"), F.col("__next.fingerprint").alias("next_fingerprint"))
     n, cut = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))

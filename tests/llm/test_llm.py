@@ -65,7 +65,7 @@ def test_weights_set_the_shares(spark):
 
 
 def test_fingerprints_equal_for_equal_texts_and_next_document(documents, odd, none):
-    got = fingerprints.fingerprint_table(documents, buckets=7).toPandas().set_index("doc_id")
+    got = fingerprints.fingerprint_table(documents, ranges=7).toPandas().set_index("doc_id")
     rows = sorted(documents.select("doc_id", "text").collect(), reverse=True)
     by_text = {}
     for (i, text), (_, following) in zip(rows, [*rows[1:], rows[0]], strict=True):
@@ -77,8 +77,22 @@ def test_fingerprints_equal_for_equal_texts_and_next_document(documents, odd, no
         assert 0 <= r.near_next <= 1 and (r.near_edited == 1) == (edited == text)
     assert len(set(by_text.values())) == len(by_text)
     assert got.near_edited.median() > 0.5 > 0.1 > got.near_next.median()
-    assert len(fingerprints.fingerprint_table(odd, buckets=3).collect()) == len(ROWS)
-    assert fingerprints.fingerprint_table(none, buckets=3).count() == 0
+    assert len(fingerprints.fingerprint_table(odd, ranges=3).collect()) == len(ROWS)
+    assert fingerprints.fingerprint_table(none, ranges=3).count() == 0
+
+
+def test_hot_and_missing_ids_are_dealt_by_their_texts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"text {k}") for k in range(60)] + [(30, f"hot {k}") for k in range(90)] + [(None, f"lost {k}") for k in range(80)] + [(7, "text 7")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    order = sorted(((r.doc_id is None, -(r.doc_id or 0), r.h), r.doc_id, r.text) for r in df.collect())
+    want = sorted((str(a[1]), a[2], str(b[1]), b[2]) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    for ranges in (1, 4, 30):
+        got = fingerprints.with_next(df.drop("h"), "doc_id", "text", ranges, lambda x: x)
+        assert sorted((str(r.doc_id), r.text, str(r["__next"].doc_id), r["__next"].text) for r in got.collect()) == want
+    sizes = [r["count"] for r in fingerprints._ranges(df, "doc_id", "h", 30).groupBy("__range").count().collect()]
+    assert max(sizes) <= 40
 
 
 def test_branches_locate_an_edit(spark):
