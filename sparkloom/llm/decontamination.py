@@ -3,13 +3,13 @@
 Texts are compared as normalized text: lower case, every run of characters that are neither letters nor digits one space.
 A test item of n characters may differ from a passage by ``budget(n)`` edits (an insertion, deletion or change of one character).
 It is cut into budget + 1 pieces of equal length; whatever the edits, one piece stays whole, so every passage within the budget shows
-an exact hit of some piece at about its place. All pieces are looked up in one pass over a document (Aho-Corasick); around each hit
+an exact hit of some piece at about its place. Items of under ``EXACT_UNDER`` characters are one piece: they have to be there as they are, as whole words. All pieces are looked up in one pass over a document (Aho-Corasick); around each hit
 Myers' bit-parallel algorithm finds the least distance between the item and any part of the document, exactly.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text: the driver and a task hold one block at a time and each block meets
-all documents, so no size of benchmark is too large and none is cut. Items are first reduced to distinct texts.
+The benchmark is read in blocks of at most ``block_bytes`` of text, and each block meets all documents, so none is cut. A task holds one block
+at a time; the blocks themselves stay broadcast until the job ends, that is the benchmark's text once on each executor, on disk where memory is short. Items are first reduced to distinct texts.
 
-Edge cases: null or empty items and those without ``min_chars`` normalized characters aren't searched for; null texts have no hits;
+Edge cases: null or empty items and those without ``min_chars`` (12) normalized characters, which say too little, aren't searched for; null texts have no hits;
 rows that repeat are reported each; no documents or no items give no rows.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARE, MIN_CHARS, MIN_PIECE = 0.1, 40, 12
+SHARE, MIN_CHARS, MIN_PIECE, EXACT_UNDER = 0.1, 12, 12, 40
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -33,8 +33,18 @@ def normalized(text: str | None) -> str:
 
 
 def budget(n: int, share: float = SHARE) -> int:
-    """Edits allowed for n characters: a share of them, and so few that no piece is shorter than MIN_PIECE."""
-    return max(0, min(int(n * share), n // MIN_PIECE - 1))
+    """Edits allowed for n characters: a share of them, and so few that no piece is shorter than MIN_PIECE; none under EXACT_UNDER."""
+    return 0 if n < EXACT_UNDER else max(0, min(int(n * share), n // MIN_PIECE - 1))
+
+
+#: Scripts written without spaces (Thai to Khmer, and from the CJK radicals on, but for Hangul).
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uabff\ud7b0-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether a part of the normalized text begins and ends with a word; where a script has no spaces, any place will do."""
+    edge = lambda out, at: not 0 <= out < len(text) or text[out] == " " or bool(_UNSPACED.match(text[at]))
+    return edge(start - 1, start) and edge(end, end - 1)
 
 
 def cut(item: str, edits: int) -> list[tuple[int, str]]:
@@ -95,12 +105,19 @@ class Matcher:
         ``first``: of one such item, whichever is found first.
         """
         spans: dict[int, list[tuple[int, int]]] = {}
+        exact: dict[int, int] = {}
         for end, (n, where) in self.automaton.iter(text):
             for i, place in where:
                 m, edits = len(self.items[i][1]), self.items[i][3]
+                if m < EXACT_UNDER:
+                    if i not in exact and whole_words(text, end + 1 - n, end + 1):
+                        exact[i] = end + 1
+                    continue
                 start = end + 1 - n - place
                 spans.setdefault(i, []).append((max(0, start - edits), min(len(text), start + m + edits)))
-        out = []
+        out = [(self.items[i][0], 0, 0, len(self.items[i][1]), end) for i, end in exact.items()]
+        if out and first:
+            return out[:1]
         for i, found in spans.items():
             number, item, bits, edits = self.items[i]
             best = None

@@ -426,6 +426,39 @@ def test_edited_passages_are_found_and_clean_documents_left(spark, documents, od
     assert decontamination.matches(none, benchmark).count() == 0 and decontamination.matches(docs, benchmark.limit(0)).count() == 0
 
 
+def edited(rng, text, edits):
+    """The text after so many insertions, deletions and changes of a character."""
+    x = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(1, len(x) - 1), rng.choice("idc")
+        x[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice("abcdefgh")]
+    return "".join(x)
+
+
+def test_all_edits_up_to_the_budget_against_dynamic_programming(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    items = [" ".join(word() for _ in range(n)) for n in (4, 5, 7, 9, 12, 20, 30)]
+    docs, base = [], [" ".join(word() for _ in range(25)) for _ in range(12)]
+    for item in items:
+        for edits in (0, 1, decontamination.budget(len(item)), decontamination.budget(len(item)) + 1, decontamination.budget(len(item)) + 3):
+            at = rng.randrange(len(base))
+            docs.append(f"{base[at]} {edited(rng, item, edits)} {base[at - 1]}")
+    docs += [base[0] + items[0] + base[1], items[1].upper().replace(" ", " -- "), items[0][1:], None, ""]
+    limit = [decontamination.budget(len(x)) for x in items]
+    want = set()
+    for d, text in enumerate(docs):
+        norm = decontamination.normalized(text)
+        for i, item in enumerate(items):
+            if f" {item} " in f" {norm} " if len(item) < decontamination.EXACT_UNDER else brute_distance(item, norm) <= limit[i]:
+                want.add((d, i))
+    got = decontamination.matches(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 20 and any(len(x) < decontamination.EXACT_UNDER for x in items)
+    chinese = "这是一个没有空格的基准问题请回答"
+    got = decontamination.matches(spark.createDataFrame([(0, f"前文{chinese}后文"), (1, chinese[1:])], "doc_id long, text string"), spark.createDataFrame([(0, chinese)], "item_id long, text string"))
+    assert [r.doc_id for r in got.collect()] == [0]
+
+
 # Chat
 
 
