@@ -106,24 +106,26 @@ def with_next(rows: DataFrame, key: str, text: str, ranges: int, add) -> DataFra
     whole = Window.orderBy("__range")
     last = F.last("__range").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select(F.col("h")[key].alias("__head"), F.bitwise_not(F.col("h")["t"]).alias("__head_tie"), F.col("__range").alias("__own"), F.coalesce(F.lag("__range").over(whole), last).alias("__to"))
+    dealt = dealt.select(key, text, "__tie", "__range")
     at_head = dealt.join(F.broadcast(heads), (F.col("__range") == F.col("__own")) & F.col(key).eqNullSafe(F.col("__head")) & (F.col("__tie") == F.col("__head_tie")))
     one = at_head.groupBy("__own").agg(F.first("__to").alias("__range"), F.min(F.struct(key, text, "__tie")).alias("r")).select("r.*", "__range")
-    both = add(dealt.select(key, text, "__tie", "__range").withColumn("__added", F.lit(0)).union(one.withColumn("__added", F.lit(1))))
+    both = add(dealt.withColumn("__added", F.lit(0)).union(one.withColumn("__added", F.lit(1))))
     columns = [c for c in both.columns if c not in ("__tie", "__range", "__added")]
     within = Window.partitionBy("__range").orderBy("__added", F.col(key).desc_nulls_last(), "__tie", text)
+    both = both.repartition(-(-ranges // 2), "__range")  # so that tasks grow in number, not in size
     return both.withColumn("__next", F.lead(F.struct(*columns)).over(within)).where("__added = 0").select(*columns, "__next")
 
 
-def fingerprint_table(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int | None = None, range_bytes: int = 128 << 20) -> DataFrame:
+def fingerprint_table(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int | None = None, range_bytes: int = 32 << 20) -> DataFrame:
     """Fingerprints of every text and of its edited text: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Edited: the last floor(n_chars / 3) characters give way to the first as many of the next document, by descending id (a number). ``ranges``:
-    windows that the documents are dealt to; one for each ``range_bytes`` of text if not given, and as many as shuffle partitions at least.
+    windows that the documents are dealt to; one for each ``range_bytes`` of text if not given, and twice as many as shuffle partitions at least.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ranges is None:
         size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+        ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
     rows = with_next(rows, "doc_id", "text", ranges, lambda df: df.withColumn("fingerprint", fingerprint(F.col("text"))))
     rows = rows.select("doc_id", "text", "fingerprint", F.col("__next.text").alias("next_text"), F.col("__next.fingerprint").alias("next_fingerprint"))
     n, cut = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")

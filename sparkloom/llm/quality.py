@@ -110,7 +110,8 @@ def train(sample: list[tuple[str, int]], seed: int = 1, seen: int = 40_000, batc
             for side, shift in (("left", 0), ("right", 1)):
                 at_rows = rows[arg + shift]  # documents x filters x STRIDE
                 g[side] = np.einsum("df,dfk->kf", dp, w["bytes"][at_rows].reshape(*arg.shape, -1), optimize=True)
-                np.add.at(g["bytes"], at_rows, (dp[:, :, None] * w[side].T).reshape(*at_rows.shape, DIM))
+                back = (dp[:, :, None] * w[side].T).reshape(-1, DIM)
+                g["bytes"] += np.stack([np.bincount(at_rows.ravel(), back[:, k], 257) for k in range(DIM)], 1).astype(np.float32)
             step += 1
             for k in w:
                 first_moment[k] += 0.1 * (g[k] - first_moment[k])
