@@ -222,6 +222,13 @@ def _key(tokens: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(tokens.tobytes()), np.uint64).view(np.int64))
 
 
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """2,048 bits, one set for each value of the shingles' highest bits: bits that one of two sets alone has count shingles that it alone has."""
+    bits = np.zeros(2048, bool)
+    bits[tokens >> np.uint64(53)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _prefix_length(size: int, similarity: float) -> int:
     """Two sets at the similarity share one of so many first members of either, in any order that both keep to."""
     return size - math.ceil(similarity * size - 1e-9) + 1
@@ -287,18 +294,21 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     such links, and none is missed. Two such sets share a member within the first 1 - ``similarity`` of each, in any fixed order (a prefix filter);
     shingles that recur come last, so few unlike texts meet. Texts of one shingle set are one throughout (told by 64 bits). Where many meet at a
     shingle, all are first held against the two whose shingles the others share most; then all that meet and aren't in one component yet against
-    each other. Sizes and the places of the shared shingle leave out pairs that can't reach the similarity; the rest are held against the sets.
+    each other. Sizes and the places of the shared shingle leave out pairs that can't reach the similarity, so do bitmaps of the sets; the rest are held against the sets.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     texts = rows.select("__text")
     common, times = _common_shingles(texts, words)
 
-    @F.pandas_udf("long")
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([_key(shingles(t, words)) for t in texts], dtype=np.int64)
+    @F.pandas_udf("key long, size int, bits array<long>")
+    def signature(texts: pd.Series) -> pd.DataFrame:
+        found = [shingles(t, words) for t in texts]
+        return pd.DataFrame({"key": np.array([_key(x) for x in found], np.int64), "size": np.array([len(x) for x in found], np.int32), "bits": [_bitmap(x) for x in found]})
 
-    own = staged(rows.select("__id", F.md5("__text").alias("__md5"), keys("__text").alias("__key")), "keys")
+    own = rows.select("__id", F.md5("__text").alias("__md5"), signature("__text").alias("s"))
+    own = staged(own.select("__id", "__md5", F.col("s.key").alias("__key"), "s.size", "s.bits"), "keys")
     least = own.groupBy("__key").agg(F.min("__id").alias("__least"))
+    known = staged(own.groupBy("__key").agg(F.min("__md5").alias("__md5"), F.first("size").alias("size"), F.first("bits").alias("bits")), "sets")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["token", "key", "size", "pos"])
@@ -380,13 +390,17 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, words).view(np.int64) for t in texts])
 
-    # Only texts that meet another are read again; of those with one shingle set, one.
-    wanted = own.groupBy("__key").agg(F.min("__md5").alias("__md5")).join(central.select(F.col("key").alias("__key")), "__key")
-    again = texts.withColumn("__md5", F.md5("__text")).join(wanted, "__md5").dropDuplicates(["__key"])
-    again = staged(again.select("__key", sets("__text").alias("set")), "shingles")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(again.select(F.col("__key").alias("u"), F.col("set").alias("a")), "u").join(again.select(F.col("__key").alias("v"), F.col("set").alias("b")), "v")
+        """The pairs at the similarity: first by bounds from bitmaps of the sets, then, for what is left, by the sets, each made once."""
+        side = lambda k, a: known.select(F.col("__key").alias(k), F.col("size").alias(f"n{a}"), F.col("bits").alias(a))
+        lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+        most = F.least(F.col("na") - lacks("a", "b"), F.col("nb") - lacks("b", "a"))  # a bit that one side alone has is a shingle that it alone has
+        near = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(most * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
+        near = staged(near.select("u", "v"), "near")
+        wanted = near.select(F.col("u").alias("__key")).union(near.select("v")).distinct().join(known.select("__key", "__md5"), "__key")
+        made = texts.withColumn("__md5", F.md5("__text")).join(wanted, "__md5").dropDuplicates(["__key"])
+        made = staged(made.select("__key", sets("__text").alias("set")), "shingles")
+        both = near.join(made.select(F.col("__key").alias("u"), F.col("set").alias("a")), "u").join(made.select(F.col("__key").alias("v"), F.col("set").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
         return staged(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v"), "linked")
 
