@@ -20,6 +20,7 @@ def kmeans(df: DataFrame, vector: str, k: int = 15, seed: int = 42, starts: int
         k = max(2, n // 3)
     models = [KMeans(k=k, seed=seed + i, featuresCol="__features", predictionCol="cluster").fit(rows) for i in range(starts)]
     model = min(models, key=lambda m: m.summary.trainingCost)
+    rows.unpersist()
     centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>")
     found = model.transform(rows).drop("__features").join(F.broadcast(centres), "cluster")
     difference = F.zip_with(vector, "centroid", lambda a, b: a.cast("double") - b)

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 def prefix_join(left: DataFrame, right: DataFrame, code: str, prefix: str) -> DataFrame:
     """Rows of ``left`` with each row of ``right`` whose ``prefix`` is the whole ``code`` or begins it.
 
-    The code is exploded into its prefixes of the lengths that occur (few), which then join by equality: no nested loop.
+    The code is exploded into its prefixes of the lengths that occur, which then join by equality: no nested loop. What all tasks get is the one
+    row of those lengths, at most as many as the longest prefix has characters.
     """
-    lengths = [r[0] for r in right.where(F.length(prefix) > 0).select(F.length(prefix)).distinct().orderBy(F.length(prefix)).limit(1024).collect()]
-    cut = F.array_distinct(F.array(*[F.substring(code, 1, n) for n in lengths] or [F.lit(None).cast("string")]))
-    keyed = left.withColumn("__prefix", F.explode(cut))
+    lengths = right.where(F.length(prefix) > 0).agg(F.array_sort(F.collect_set(F.length(prefix))).alias("__lengths"))
+    cut = F.array_distinct(F.transform("__lengths", lambda n: F.substr(F.col(code), F.lit(1), n)))
+    keyed = left.crossJoin(F.broadcast(lengths)).withColumn("__prefix", F.explode(cut)).drop("__lengths")
     return keyed.join(right, keyed["__prefix"] == right[prefix]).drop("__prefix")
 
 

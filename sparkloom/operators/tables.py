@@ -115,20 +115,31 @@ def signature(headers: Column) -> Column:
     return F.struct(F.size(headers).alias("n"), names.alias("names"), F.substring(F.md5(F.array_join(names, "|")), 1, 16).alias("print"))
 
 
-def signature_score(pairs: DataFrame, a: str, b: str, out: str = "score") -> DataFrame:
-    """0.30 count + 0.50 names (a name counts at likeness 0.8 or more) + 0.20 print of two signatures."""
+def signature_score(pairs: DataFrame, a: str, b: str, out: str = "score", tolerance: float = 0.15) -> DataFrame:
+    """0.25 count + 0.45 names + 0.15 widths + 0.15 print of two signatures.
+
+    count: one less the share of columns that one side lacks. names: a name counts its likeness to the one at its place, if 0.8 or more; the mean over the shorter header, times the
+    share of the longer that it is. widths: columns' shares of the width; each counts one less its difference over ``tolerance``; where a signature has none (no field ``widths``), 1.
+    """
+    has_widths = all("widths" in pairs.schema[c].dataType.names for c in (a, b))
 
     @F.pandas_udf("double")
     def names(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p, q):
-            n = max(len(p), len(q))
-            return sum(SequenceMatcher(None, s, t).ratio() >= 0.8 for s, t in zip(p, q, strict=False)) / n if n else 1.0
+            likeness = [1.0 if s == t else SequenceMatcher(None, s, t).ratio() for s, t in zip(p, q, strict=False)]
+            return sum(x for x in likeness if x >= 0.8) / max(len(p), len(q)) if likeness else 0.0
 
         return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     f = lambda s, c: F.col(f"{s}.{c}")
     count = F.least(f(a, "n"), f(b, "n")) / F.greatest(f(a, "n"), f(b, "n"), F.lit(1))
-    return pairs.withColumn(out, 0.30 * count + 0.50 * names(f(a, "names"), f(b, "names")) + 0.20 * (f(a, "print") == f(b, "print")).cast("double"))
+    widths = F.lit(1.0)
+    if has_widths:
+        shorter = F.least(F.size(f(a, "widths")), F.size(f(b, "widths")))
+        each = F.zip_with(F.slice(f(a, "widths"), 1, shorter), F.slice(f(b, "widths"), 1, shorter), lambda x, y: F.greatest(F.lit(0.0), 1 - F.abs(x - y) / tolerance))
+        widths = F.when((F.size(f(a, "widths")) > 0) & (F.size(f(b, "widths")) > 0), F.aggregate(each, F.lit(0.0), lambda n, x: n + x) / shorter).otherwise(1.0)
+    same = (f(a, "print") == f(b, "print")).cast("double")
+    return pairs.withColumn(out, 0.25 * count + 0.45 * names(f(a, "names"), f(b, "names")) + 0.15 * widths + 0.15 * same)
 
 
 def merged_across_pages(tables: DataFrame, doc: str = "doc_id", page: str = "page_num", index: str = "table_index", rows: str = "rows", accept: float = 0.6) -> DataFrame:

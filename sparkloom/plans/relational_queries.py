@@ -395,16 +395,16 @@ def _(spark, d):
     return items.join(new.select("l_orderkey").distinct(), "l_orderkey", "left_anti").unionByName(new)
 
 
-@R.add("i9_upsert_vectors", "SELECT count(*) FILTER (vec_id >= 300) AS added, count(*) FILTER (vec_id >= 200 AND vec_id < 300) AS updated, count(*) AS total FROM embeddings")
+@R.add("i9_upsert_vectors", "SELECT count(*) FILTER (label > 5) AS added, count(*) FILTER (label IN (4, 5)) AS updated, count(*) AS total FROM embeddings")
 def _(spark, d):
     v = table(spark, d, "embeddings")
-    return ranking.upsert_report(v.where("vec_id < 300"), v.where("vec_id >= 200 and embedding is not null"), "vec_id")
+    return ranking.upsert_report(v.where("label <= 5"), v.where("label >= 4 and embedding is not null"), "vec_id")
 
 
-@R.add("i10_bulk_upsert", "SELECT vec_id, CASE WHEN vec_id >= 200 THEN label + 100 ELSE label END AS label, lang FROM embeddings LEFT JOIN documents ON doc_id = vec_id")
+@R.add("i10_bulk_upsert", "SELECT vec_id, CASE WHEN label >= 4 THEN label + 100 ELSE label END AS label, lang FROM embeddings LEFT JOIN documents ON doc_id = vec_id")
 def _(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "label")
-    merged = ranking.upsert(v.where("vec_id < 300"), v.where("vec_id >= 200").withColumn("label", F.col("label") + 100), ["vec_id"])
+    merged = ranking.upsert(v.where("label <= 5"), v.where("label >= 4").withColumn("label", F.col("label") + 100), ["vec_id"])
     return merged.join(table(spark, d, "documents"), F.col("doc_id") == F.col("vec_id"), "left").select("vec_id", "label", "lang")
 
 

@@ -114,12 +114,14 @@ def _(spark, d):
     return retrieval.multi_query(hits, "query", "vec_id", 80)
 
 
-@R.add("r10_keyword_rerank", """WITH c AS (SELECT item_id, doc_id, b.text AS q, d.text FROM benchmark b JOIN documents d ON d.doc_id % 20 = b.item_id % 20), w AS (SELECT item_id, doc_id, text, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda w: length(w) >= 2))) AS w FROM c),
- s AS (SELECT item_id, doc_id, round(sum(CASE WHEN contains(lower(text), w) THEN 1.3 ELSE 0 END + CASE WHEN contains(lower(substr(text, 1, 200)), w) THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS score FROM w GROUP BY 1, 2)
- SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5""")
-def _(spark, d):
-    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), (F.col("item_id") % 20).alias("k"))
-    pairs = table(spark, d, "documents").withColumn("k", F.col("doc_id") % 20).join(asked, "k")
+@R.add("r10_keyword_rerank", f"""WITH {_BM25}, h AS (SELECT item_id, doc_id FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10),
+ c AS (SELECT item_id, doc_id, b.text AS q, d.text FROM h JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)), w AS (SELECT item_id, doc_id, text, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda w: length(w) >= 2))) AS w FROM c),
+ k AS (SELECT item_id, doc_id, round(sum(CASE WHEN contains(lower(text), w) THEN 1.3 ELSE 0 END + CASE WHEN contains(lower(substr(text, 1, 200)), w) THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS score FROM w GROUP BY 1, 2)
+ SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM k QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5""")
+def _(spark, d):
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    hits = bm25_top10(spark, d).select("item_id", "doc_id")
+    pairs = table(spark, d, "documents").join(hits, "doc_id").join(asked, "item_id")
     return lexical.keyword_rerank(pairs, "q", "text", "item_id", "doc_id", 5, PATTERN).select("item_id", "doc_id", "score", "rank")
 
 

@@ -194,3 +194,40 @@ def test_document_text_variants(spark):
     cases = ['{"extracted_text": "a", "text": "b"}', '{"content": {"text": "c"}}', '{"text": "d"}', '{"sections": [{"content": "e"}, {"content": ""}, {"content": "f"}], "text": "g"}', "not json", '{"content": "h"}']
     df = spark.createDataFrame([(c,) for c in cases], "raw string").select(nested.document_text(F.col("raw")))
     assert [r[0] for r in df.collect()] == ["a", "c", "d", "e\n\nf", "not json", "h"]
+
+
+def test_prefixes_of_all_lengths_join(spark):
+    codes = spark.createDataFrame([("x" * n,) for n in range(1, 1501)] + [("",), (None,)], "code string")
+    got = joins.prefix_join(spark.createDataFrame([("x" * 1400,), ("y",), (None,)], "full string"), codes, "full", "code")
+    assert got.count() == 1400 and got.columns == ["full", "code"]
+    assert joins.prefix_join(spark.createDataFrame([("x",)], "full string"), codes.limit(0), "full", "code").count() == 0
+
+
+def test_signatures_of_headers(spark):
+    from difflib import SequenceMatcher
+
+    cases = [(["Name", "Total", "2024"], ["name", "Totals", "x"], [0.5, 0.3, 0.2], [0.5, 0.35, 0.15]), (["A", "B"], ["A", "B"], [0.5, 0.5], [0.5, 0.5]), (["A"], ["A", "B", "C"], None, [0.2]), ([], ["A"], [], [])]
+    for with_widths in (True, False):
+        rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, x array<string>, y array<string>, p array<double>, q array<double>")
+        for c, names, widths in (("a", "x", "p"), ("b", "y", "q")):
+            rows = rows.withColumn(c, tables.signature(F.col(names)))
+            rows = rows.withColumn(c, F.col(c).withField("widths", F.col(widths))) if with_widths else rows
+        for r in tables.signature_score(rows, "a", "b").collect():
+            x, y, p, q = cases[r.i]
+            x, y = [s.lower() for s in x], [s.lower() for s in y]
+            ratios = [SequenceMatcher(None, s, t).ratio() for s, t in zip(x, y, strict=False)]
+            count = 1 - abs(len(x) - len(y)) / max(len(x), len(y))
+            names = sum(v for v in ratios if v >= 0.8) / len(ratios) * len(ratios) / max(len(x), len(y)) if ratios else 0
+            widths = sum(max(0, 1 - abs(s - t) / 0.15) for s, t in zip(p, q, strict=False)) / min(len(p), len(q)) if with_widths and p and q else 1
+            assert abs(r.score - (0.25 * count + 0.45 * names + 0.15 * widths + 0.15 * (x == y))) < 1e-9
+
+
+def test_no_cluster_without_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from sparkloom.sources import staging
+
+    none = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True)))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(_jsc=none, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(cluster)
