@@ -58,6 +58,11 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[at]
 
 
+def broadcast_if_small(keys: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A staged table of keys, to be broadcast if it has at most ``rows`` rows (tens of MB); else joined as Spark sees fit."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
 def with_slots(df: DataFrame, group: str, order: list[str], out: str, salts: int = 64) -> DataFrame:
     """A gapless number from 0 within each value of ``group``, though no task reads more than a ``salts``-th of a group.
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import staged
+from sparkloom.llm.common import broadcast_if_small, staged
 from sparkloom.llm.components import components
 
 BITS, RADIUS, WORDS, SEED, BUCKET = 64, 4, 4, 42, 2000
@@ -398,6 +398,7 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
         near = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(most * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
         near = staged(near.select("u", "v"), "near")
         wanted = near.select(F.col("u").alias("__key")).union(near.select("v")).distinct().join(known.select("__key", "__md5"), "__key")
+        wanted = broadcast_if_small(staged(wanted, "wanted"))  # so that the other texts aren't shuffled
         made = texts.withColumn("__md5", F.md5("__text")).join(wanted, "__md5").dropDuplicates(["__key"])
         made = staged(made.select("__key", sets("__text").alias("set")), "shingles")
         both = near.join(made.select(F.col("__key").alias("u"), F.col("set").alias("a")), "u").join(made.select(F.col("__key").alias("v"), F.col("set").alias("b")), "v")
@@ -423,4 +424,5 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5,
     Rows without an id all stay; rows that repeat an id that stays, stay.
     """
     gone = near_copies(docs, id_col, text_col, words, similarity).where(F.col("__id") != F.col("component")).select("__id").distinct()
+    gone = broadcast_if_small(staged(gone, "gone"))
     return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
