@@ -142,28 +142,169 @@ def signature_score(pairs: DataFrame, a: str, b: str, out: str = "score", tolera
     return pairs.withColumn(out, 0.25 * count + 0.45 * names(f(a, "names"), f(b, "names")) + 0.15 * widths + 0.15 * same)
 
 
-def merged_across_pages(tables: DataFrame, doc: str = "doc_id", page: str = "page_num", index: str = "table_index", rows: str = "rows", accept: float = 0.6) -> DataFrame:
+def _alike(row: list, other: list, blank: str) -> bool:
+    """Rows of one length whose cells (any case, white space as ``blank``) are alike by 0.9 in 0.9 of the places."""
+    if len(row) != len(other):
+        return False
+    hits = 0
+    for s, t in zip(row, other, strict=True):
+        s, t = (blank.join((x or "").lower().split()) for x in (s, t))
+        hits += s == t or bool(s and t and SequenceMatcher(None, s, t).ratio() >= 0.9)
+    return hits >= 0.9 * len(row)
+
+
+def repeats_header(header: Column, rows: Column) -> Column:
+    """True if a row of ``header`` is alike to the row of ``rows`` in its place."""
+
+    @F.pandas_udf("boolean")
+    def found(heads: pd.Series, tables: pd.Series) -> pd.Series:
+        return pd.Series([any(_alike(h, r, "") for h, r in zip(a, b, strict=False)) for a, b in zip(heads, tables, strict=True)], dtype=bool)
+
+    return found(header, rows)
+
+
+def duplicate_headers(header: Column, rows: Column, first: Column) -> Column:
+    """Places (from 0) of rows that repeat ``header``: at the start, row by row until one differs, unless ``first``; after that, whole headers anywhere.
+
+    Of a first table the header itself stays; headers of no rows repeat nowhere.
+    """
+
+    def places(head: list, table: list, keep: bool) -> list[int]:
+        depth = len(head)
+        if not depth:
+            return []
+        at, out = depth if keep else 0, []
+        while not keep and at < min(depth, len(table)) and _alike(table[at], head[at], " "):
+            out.append(at)
+            at += 1
+        while at + depth <= len(table):
+            if all(_alike(r, h, " ") for r, h in zip(table[at : at + depth], head, strict=True)):
+                out += range(at, at + depth)
+                at += depth
+            else:
+                at += 1
+        return out
+
+    @F.pandas_udf("array<int>")
+    def found(heads: pd.Series, tables: pd.Series, keeps: pd.Series) -> pd.Series:
+        return pd.Series([places(h, t, k) for h, t, k in zip(heads, tables, keeps, strict=True)])
+
+    return found(header, rows, first)
+
+
+def without_duplicate_headers(tables: DataFrame, rows: str, header: str, first: Column, removed: str = "removed_headers") -> DataFrame:
+    """``tables`` with the rows that repeat the header taken out, and their number."""
+    marked = tables.withColumn("__places", duplicate_headers(F.col(header), F.col(rows), first))
+    kept = F.filter(rows, lambda r, i: ~F.array_contains("__places", i))
+    return marked.withColumn(rows, kept).withColumn(removed, F.size("__places")).drop("__places")
+
+
+#: What a cell is by its look, in this order; text if none fits.
+CELL_KINDS = [("percentage", r"^[0-9,.]+\s*%$"), ("numeric", r"^[0-9,.\-+]+$"), ("date", r"^[0-9]{4}[-/년][0-9]{1,2}[-/월]?[0-9]{0,2}")]
+
+
+def data_patterns(rows: Column) -> Column:
+    """array<struct<kind, share>>, one for each column of the first row: what over half of its filled cells are, with their share; text else; empty."""
+    kind_of = lambda c: F.coalesce(*[F.when(c.rlike(p), k) for k, p in CELL_KINDS], F.lit("text"))
+    cells = F.transform(F.sequence(F.lit(0), F.size(F.get(rows, 0)) - 1), lambda i: F.transform(F.filter(F.transform(rows, lambda r: F.trim(F.coalesce(F.get(r, i), F.lit("")))), lambda c: c != ""), kind_of))
+
+    def pattern(kinds: Column) -> Column:
+        share = lambda k: F.size(F.filter(kinds, lambda x: x == k)) / F.size(kinds)
+        of = lambda k: F.struct(F.lit(k).alias("kind"), share(k).alias("share"))
+        empty = F.struct(F.lit("empty").alias("kind"), F.lit(1.0).alias("share"))
+        chosen = F.when(F.size(kinds) == 0, empty)
+        for k, _ in CELL_KINDS:
+            chosen = chosen.when(share(k) > 0.5, of(k))
+        return chosen.otherwise(of("text"))
+
+    return F.when(F.size(F.get(rows, 0)) > 0, F.transform(cells, pattern)).otherwise(F.array().cast("array<struct<kind:string,share:double>>"))
+
+
+#: The weights of the parts of a continuity score.
+CONTINUITY = {"columns": 0.30, "header": 0.25, "position": 0.20, "pattern": 0.15, "repeated": 0.10}
+
+
+def continuity(pairs: DataFrame, a: str, b: str, height: str | None = None, least_columns: float = 0.85, accept: float = 0.70, gaps: int = 1, tolerance: float = 0.15) -> DataFrame:
+    """``pairs`` with a struct ``continuity``: gap, columns, header, repeated, position, pattern, score, accepted, and depth (header rows of ``a``).
+
+    a, b: structs with ``page`` and ``rows``, and where known ``widths`` (array<double>) and ``box`` (array<double>: left, top, right, bottom).
+    columns: the fewer over the more, with widths 0.6 of that and 0.4 their likeness. header: ``signature_score``. repeated: ``b`` begins with a
+    header row of ``a``. position: 0.4 for an end in the page's last 0.15, 0.4 for a beginning in its first 0.15, 0.2 by the horizontal overlap; 0.5
+    if unknown. pattern: the mean over columns of 1 (same kind and share), 0.7 (same kind), 0; 0.5 without data. The sum is taken times 0.9 for every
+    page after the first; over ``gaps`` + 1 pages it is 0. Accepted, with columns of ``least_columns``: a score of ``accept``; of 0.85 of it with a repeated header, or on the next
+    page with columns of 0.95 and pattern of 0.5. Null rows and tables without rows or columns are never accepted.
+    """
+    f = lambda s, c: F.col(f"{s}.{c}")
+    has = lambda c: all(c in pairs.schema[s].dataType.names for s in (a, b))
+    side = lambda name: {s: F.col(f"__{s}_{name}") for s in (a, b)}
+    rows, depth, width, data, shares = map(side, ("rows", "depth", "width", "data", "shares"))
+    for s in (a, b):  # each a column of its own, so that none is worked out again wherever it is used
+        pairs = pairs.withColumn(f"__{s}_rows", F.coalesce(f(s, "rows"), F.array().cast("array<array<string>>")))
+        pairs = pairs.withColumn(f"__{s}_depth", F.when(F.size(rows[s]) > 0, header_rows(rows[s])).otherwise(0)).withColumn(f"__{s}_width", F.coalesce(F.size(F.get(rows[s], 0)), F.lit(0)))
+        pairs = pairs.withColumn(f"__{s}_data", F.slice(rows[s], depth[s] + 1, F.greatest(F.size(rows[s]), F.lit(1))))
+        pairs = pairs.withColumn(f"__{s}_patterns", data_patterns(data[s]))
+        total = F.aggregate(f(s, "widths"), F.lit(0.0), lambda n, x: n + x) if has("widths") else None
+        pairs = pairs.withColumn(f"__{s}_shares", F.coalesce(F.transform(f(s, "widths"), lambda x: x / total), F.array().cast("array<double>")) if has("widths") else F.array().cast("array<double>"))  # noqa: B023
+        head = F.when((F.size(rows[s]) > 0) & (width[s] > 0), flat_header(rows[s], depth[s])).otherwise(F.array().cast("array<string>"))
+        pairs = pairs.withColumn(f"__{s}_head", head)
+        sig = signature(F.col(f"__{s}_head"))
+        pairs = pairs.withColumn(f"__{s}", F.struct(sig["n"].alias("n"), sig["names"].alias("names"), sig["print"].alias("print"), shares[s].alias("widths")))
+    pairs = signature_score(pairs, f"__{a}", f"__{b}", "__header", tolerance)
+
+    columns = F.least(width[a], width[b]) / F.greatest(width[a], width[b], F.lit(1))
+    near = F.zip_with(F.slice(shares[a], 1, F.size(shares[b])), F.slice(shares[b], 1, F.size(shares[a])), lambda x, y: F.greatest(F.lit(0.0), 1 - F.abs(x - y) / tolerance))
+    likeness = F.aggregate(near, F.lit(0.0), lambda n, x: n + x) / F.size(near)
+    columns = F.when((F.size(shares[a]) > 0) & (F.size(shares[b]) > 0) & (columns > 0), 0.6 * columns + 0.4 * likeness).otherwise(columns)
+
+    position = F.lit(0.5)
+    if height and has("box"):
+        at = lambda s, i: F.get(f(s, "box"), i)
+        overlap = F.least(at(a, 2), at(b, 2)) - F.greatest(at(a, 0), at(b, 0))
+        union = F.greatest(at(a, 2), at(b, 2)) - F.least(at(a, 0), at(b, 0))
+        ends = F.when(at(a, 3) >= F.col(height) * 0.85, 0.4).otherwise(0.0)
+        begins = F.when(at(b, 1) <= F.col(height) * 0.15, 0.4).otherwise(0.0)
+        found = F.least(F.lit(1.0), ends + begins + F.when(union > 0, 0.2 * overlap / union).otherwise(0.0))
+        position = F.when(F.col(height).isNull() | f(a, "box").isNull() | f(b, "box").isNull(), 0.5).otherwise(found)
+
+    alike = F.zip_with(F.col(f"__{a}_patterns"), F.col(f"__{b}_patterns"), lambda x, y: F.when(x == y, 1.0).when(x["kind"] == y["kind"], 0.7).when(x.isNotNull() & y.isNotNull(), 0.0))
+    pairs = pairs.withColumn("__alike", F.array_compact(alike))
+    both = F.col("__alike")
+    pattern = F.when((F.size(data[a]) == 0) | (F.size(data[b]) == 0), 0.5).when(F.size(both) == 0, 0.0).otherwise(F.aggregate(both, F.lit(0.0), lambda n, x: n + x) / F.size(both))
+
+    parts = F.struct(
+        F.abs(f(b, "page") - f(a, "page")).alias("gap"), columns.alias("columns"), F.col("__header").alias("header"),
+        repeats_header(F.slice(rows[a], 1, depth[a]), rows[b]).alias("repeated"), position.alias("position"), pattern.alias("pattern"), depth[a].alias("depth"),
+    )
+    pairs = pairs.withColumn("__parts", parts)
+    c = lambda name: F.col(f"__parts.{name}")
+    total = sum((w * c(name).cast("double") for name, w in CONTINUITY.items()), F.lit(0.0)) * F.pow(F.lit(0.9), F.greatest(c("gap") - 1, F.lit(0)))
+    score = F.when(c("gap") <= gaps + 1, total).otherwise(0.0)
+    pairs = pairs.withColumn("__score", score)
+    lowered = c("repeated") | ((c("columns") >= 0.95) & (c("pattern") >= 0.5) & (c("gap") == 1))
+    fits = (c("columns") >= least_columns) & ((F.col("__score") >= accept) | (lowered & (F.col("__score") >= 0.85 * accept)))
+    fields = [c(n).alias(n) for n in ("gap", "columns", "header", "repeated", "position", "pattern", "depth")]
+    return pairs.withColumn("continuity", F.struct(*fields, F.col("__score").alias("score"), F.coalesce(fits, F.lit(False)).alias("accepted"))).drop("__parts", "__score", "__header", "__alike", *[f"__{s}{n}" for s in (a, b) for n in ("", "_rows", "_depth", "_width", "_data", "_patterns", "_shares", "_head")])
+
+
+def merged_across_pages(tables: DataFrame, doc: str = "doc_id", page: str = "page_num", index: str = "table_index", rows: str = "rows", accept: float = 0.70) -> DataFrame:
     """Tables that go on over pages as one: doc, chain, first_page, parts, rows, removed_headers.
 
-    A table continues the one before, in page order, if it is on the same page or the next but few and their columns, headers and
-    widths score ``accept`` or more. Repeated headers are dropped.
+    A table continues the one before, in page order, if their ``continuity`` is accepted. Of those that continue, rows that repeat the first table's
+    header are dropped, at the start and inside. Columns ``widths``, ``box`` and ``height`` count where ``tables`` has them.
     """
     w = Window.partitionBy(doc).orderBy(page, index)
-    head = F.element_at(rows, 1)
-    t = tables.withColumn("__head", head).withColumn("__width", F.array_max(F.transform(rows, lambda r: F.size(r))))
-    t = t.withColumn("__before", F.lag(F.struct("__head", "__width", page)).over(w))
-    gap = F.col(page) - F.col(f"__before.{page}")
-    same_width = (F.col("__width") == F.col("__before.__width")).cast("double")
-    same_head = (F.col("__head") == F.col("__before.__head")).cast("double")
-    looks_data = (numeric_share(F.col("__head")) >= 0.5).cast("double")
-    score = (0.5 * same_width + 0.5 * F.greatest(same_head, looks_data)) * F.pow(F.lit(0.9), F.greatest(gap - 1, F.lit(0)))
-    t = t.withColumn("__score", F.when((gap >= 1) & (gap <= 3), score).otherwise(0.0))
-    t = islands(t, [doc], [page, index], F.col("__score") >= accept)
-    parts = t.groupBy(doc, "chain").agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(index).alias("i"), F.col(rows).alias("r")))).alias("__parts"))
-    first = F.col("__parts")[0]["r"][0]
-    body = F.flatten(F.transform("__parts", lambda x, k: F.when(k > 0, F.filter(x["r"], lambda r: r != first)).otherwise(F.concat(F.array(first), F.filter(F.slice(x["r"], 2, F.size(x["r"])), lambda r: r != first)))))
-    every = F.aggregate(F.transform("__parts", lambda x: F.size(x["r"])), F.lit(0), lambda a, b: a + b)
-    return parts.select(doc, "chain", F.col("__parts")[0]["p"].alias("first_page"), F.size("__parts").alias("parts"), body.alias("rows"), (every - F.size(body)).alias("removed_headers"))
+    extra = [F.col(c) for c in ("widths", "box") if c in tables.columns]
+    t = tables.withColumn("__own", F.struct(F.col(page).alias("page"), F.col(rows).alias("rows"), *extra)).withColumn("__before", F.lag("__own").over(w))
+    t = continuity(t, "__before", "__own", "height" if "height" in tables.columns else None, accept=accept)
+    t = islands(t, [doc], [page, index], F.coalesce(F.col("__before").isNotNull() & F.col("continuity.accepted"), F.lit(False)))
+    no_rows = F.array().cast("array<array<string>>")
+    own = F.coalesce(F.col(rows), no_rows)
+    chain = Window.partitionBy(doc, "chain").orderBy(page, index)
+    t = t.select(doc, "chain", page, index, own.alias("__rows"), F.first(F.when(F.size(own) > 0, F.slice(own, 1, header_rows(own))).otherwise(no_rows)).over(chain).alias("__head"), F.row_number().over(chain).alias("__part"))
+    t = without_duplicate_headers(t, "__rows", "__head", F.col("__part") == 1)
+    parts = F.array_sort(F.collect_list(F.struct("__part", "__rows")))
+    merged = t.groupBy(doc, "chain").agg(F.min(page).alias("first_page"), F.count("*").cast("int").alias("parts"), F.flatten(F.transform(parts, lambda x: x["__rows"])).alias("rows"), F.sum("removed_headers").cast("int").alias("removed_headers"))
+    return merged.select(doc, "chain", "first_page", "parts", "rows", "removed_headers")
 
 
 def separators(cells: DataFrame, sheet: str, row: str, column: str, text: str, first_rows: int = 20, empty: float = 0.9) -> DataFrame:

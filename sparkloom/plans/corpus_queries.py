@@ -146,6 +146,41 @@ def _(spark, d):
     return found.select("doc_id", "chain", "first_page", "parts", F.size("rows").alias("n_rows"), "removed_headers", keys.alias("keys"))
 
 
+# Four orders a page; pages of even customers change the kind of a column, some change its header, lie apart, or are placed on the page.
+_CONTINUITY = """WITH r AS (SELECT o_custkey AS c, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS p FROM orders),
+ s AS (SELECT DISTINCT c AS doc_id, p AS page, 1 + c % 3 AS gap, ((c + p) % 3 = 0) = ((c + p - 1) % 3 = 0) AS repeated, CASE WHEN c % 2 = 0 THEN 0.5 ELSE 1 END AS pattern,
+  CASE WHEN c % 4 = 0 THEN CASE WHEN p % 2 = 1 THEN 0.4 ELSE 0 END + 0.4 + 0.2 * 0.98 ELSE 0.5 END AS position FROM r WHERE p > 0),
+ t AS (SELECT *, CASE WHEN gap > 2 THEN 0 ELSE (0.3 + 0.25 * CASE WHEN repeated THEN 1 ELSE 0.625 END + 0.2 * position + 0.15 * pattern + CASE WHEN repeated THEN 0.1 ELSE 0 END) * pow(0.9, gap - 1) END AS score FROM s)
+ SELECT doc_id, page::INT AS page, repeated, round(score, 6)::DOUBLE AS score, round(score, 6) >= 0.7 OR (round(score, 6) >= 0.595 AND (repeated OR gap = 1)) AS accepted FROM t"""
+
+
+@R.add("c19_continuity", _CONTINUITY)
+def _(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    c, p = F.col("o_custkey"), F.col("p")
+    rows = table(spark, d, "orders").withColumn("p", F.floor((F.row_number().over(w) - 1) / 4).cast("int"))
+    second = F.when((c % 2 == 0) & (p % 2 == 1), F.floor("o_totalprice").cast("string")).otherwise(F.col("o_orderstatus"))
+    head = F.array(F.array(F.lit("key"), F.when((c + p) % 3 == 0, "total").otherwise("status")))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.array(F.col("o_orderkey").cast("string"), second).alias("cells")))), lambda r: r["cells"])
+    pages = rows.groupBy("o_custkey", "p").agg(body.alias("body")).withColumn("rows", F.concat(head, "body"))
+    left = (10 * (p % 2)).cast("double")
+    box = F.when(c % 4 == 0, F.array(left, F.lit(100.0), F.lit(500.0), F.when(p % 2 == 0, 800.0).otherwise(500.0)))
+    pages = pages.withColumn("own", F.struct((p * (1 + c % 3)).alias("page"), "rows", box.alias("box"))).withColumn("height", F.lit(900.0))
+    pages = pages.withColumn("before", F.lag("own").over(Window.partitionBy("o_custkey").orderBy("p"))).where("before is not null")
+    found = tables.continuity(pages, "before", "own", "height")
+    return found.select(c.alias("doc_id"), p.alias("page"), F.col("continuity.repeated").alias("repeated"), F.round("continuity.score", 6).alias("score"), F.col("continuity.accepted").alias("accepted"))
+
+
+@R.add("c22_duplicate_headers", "SELECT o_custkey, count(*) FILTER (o_orderkey % 3 = 0)::INT AS removed_headers, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1")
+def _(spark, d):
+    row = F.array(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"))
+    each = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.array(F.lit(" KEY"), F.lit("total  Price")), row)).otherwise(F.array(row))  # a header again before every third key
+    rows = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", each.alias("r")))), lambda x: x["r"]))
+    found = table(spark, d, "orders").groupBy("o_custkey").agg(rows.alias("rows")).withColumn("head", F.array(F.array(F.lit("key"), F.lit("total price"))))
+    found = tables.without_duplicate_headers(found, "rows", "head", F.lit(False))
+    return found.select("o_custkey", "removed_headers", F.array_join(F.transform("rows", lambda r: r[0]), ",").alias("keys"))
+
+
 @R.add("c18_signature_scores")
 def _(spark, d):
     names = lambda s: tables.signature(F.array("p_name", "p_type", F.lit(s))).alias("sig")
