@@ -192,10 +192,40 @@ def impact(score: Column) -> Column:
     return F.when(score > 0.7, "high").when(score > 0.4, "medium").otherwise("low")
 
 
-def next_daily_run(as_of: str, hour: int) -> Column:
-    now = F.lit(as_of).cast("timestamp_ntz")
-    today = (F.date_trunc("day", now) + F.expr(f"interval {hour} hours")).cast("timestamp_ntz")
-    return F.when(today > now, today).otherwise(today + F.expr("interval 1 day"))
+def _cron(cron: Column) -> tuple[Column, Column, Column, Column]:
+    """(five fields?, minutes of the day, day of month, weekday); a field that isn't a number counts as 0, ``*`` as null."""
+    part = F.split(F.trim(cron), " ")
+    number = lambda i: F.coalesce(F.regexp_extract(F.get(part, i), r"^([0-9]{1,4})", 1).try_cast("int"), F.lit(0))
+    day = lambda i: F.when(F.get(part, i) != "*", number(i))
+    return F.size(part) == 5, number(1) * 60 + number(0), day(2), day(4)
+
+
+def _at(day: Column, minutes: Column) -> Column:
+    return F.timestamp_add("MINUTE", minutes, day.cast("timestamp"))
+
+
+def next_run(cron: Column, as_of: Column) -> Column:
+    """The first time after ``as_of`` of a cron text that is daily, on a weekday (0 is Sunday) or on a day of the month, in any month; null for all others.
+
+    A day that the month lacks runs over into the next month.
+    """
+    ok, minutes, day, weekday = _cron(cron)
+    any_month = F.get(F.split(F.trim(cron), " "), 3) == "*"
+    today = as_of.cast("date")
+    later = lambda first, second: F.when(_at(first, minutes) > as_of, _at(first, minutes)).otherwise(_at(second, minutes))
+    on_weekday = F.date_add(today, F.pmod(weekday - (F.dayofweek(today) - 1), F.lit(7)))
+    in_month = F.date_add(F.trunc(today, "month"), day - 1)
+    after = F.date_add(F.add_months(F.trunc(in_month, "month"), 1), F.day(in_month) - 1)
+    weekly = F.when(weekday <= 6, later(on_weekday, F.date_add(on_weekday, 7)))
+    return F.when(ok & any_month, F.when(day.isNotNull(), later(in_month, after)).when(weekday.isNotNull(), weekly).otherwise(later(today, F.date_add(today, 1))))
+
+
+def next_runs(cron: Column, as_of: Column, n: int = 7, days: int = 30) -> Column:
+    """The first ``n`` times after ``as_of`` within ``days`` days, its own the first; the month's field isn't looked at, a day of month goes before a weekday."""
+    ok, minutes, day, weekday = _cron(cron)
+    times = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: _at(F.date_add(as_of.cast("date"), i), minutes))
+    fits = lambda x: F.when(day.isNotNull(), F.day(x) == day).when(weekday.isNotNull(), F.dayofweek(x) - 1 == weekday).otherwise(True)
+    return F.when(ok, F.slice(F.filter(times, lambda x: fits(x) & (x > as_of)), 1, n)).otherwise(F.array().cast("array<timestamp>"))
 
 
 def json_array(x: Column, n: int = 10) -> Column:

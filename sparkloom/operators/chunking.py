@@ -28,11 +28,13 @@ def tokens(text: str) -> int:
 
 
 def tail(text: str, size: int) -> str:
-    """The last sentences of at most ``size`` tokens."""
+    """The last sentences, up to and with the one that reaches ``size`` tokens."""
     out: list[str] = []
+    have = 0
     for s in reversed(_SENTENCE.split(text)):
-        if tokens(" ".join([s, *out])) > size:
+        if have >= size:
             break
+        have += tokens(s)
         out.insert(0, s)
     return " ".join(out)
 

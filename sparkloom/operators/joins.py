@@ -42,6 +42,31 @@ def latest_target(schedules: DataFrame, targets: str, schedule: str, pos: str) -
     return schedules.select(F.explode(targets).alias("target"), schedule, pos).groupBy("target").agg(F.max_by(schedule, F.struct(pos, schedule)).alias("schedule"), F.count("*").alias("schedules"))
 
 
+def file_stem(name: Column, n: int = 30) -> Column:
+    """The first ``n`` characters of a file name, characters that paths can't have as ``_``."""
+    return F.substring(F.regexp_replace(name, r'[\\\\/:*?"<>|]', "_"), 1, n)
+
+
+def attached_files(attachments: DataFrame, files: DataFrame, name: str, path: str, longest: int = 255) -> DataFrame:
+    """``attachments`` with the first file, by path, whose name contains the stem of theirs (column ``file``); null if none does or the stem is empty.
+
+    Stems meet file names by their first 1, 2, 4, 8 or 16 characters, the most they have, at any place of the name, so both sides join by equality; then the
+    whole stem is looked for. Only file names of up to ``longest`` characters are cut up, which is all that file systems allow; a longer one raises.
+    """
+    stem = file_stem(F.col(name))
+    size = lambda n: F.when(n >= 16, 16).when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
+    asked = attachments.select(F.col(name).alias("__name"), stem.alias("__stem")).where("__stem != ''").distinct()
+    asked = asked.withColumn("__key", F.substr("__stem", F.lit(1), size(F.char_length("__stem"))))
+    own = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    named = files.select(F.col(path).alias("__path"), own.alias("__own")).distinct()
+    named = named.withColumn("__own", F.when(F.char_length("__own") <= longest, F.col("__own")).otherwise(F.raise_error(F.lit("a file name is too long"))))
+    cuts = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 4, 8, 16))), lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("__own") - g + 1, F.lit(1))), lambda i: F.substr(F.col("__own"), i, g))))
+    wanted = asked.select("__key").distinct()
+    pieces = named.withColumn("__key", F.explode(F.array_distinct(cuts))).join(wanted, "__key", "left_semi")
+    found = asked.join(pieces, "__key").where(F.contains("__own", "__stem")).groupBy("__name").agg(F.min("__path").alias("file"))
+    return attachments.join(found, attachments[name].eqNullSafe(found["__name"]), "left").drop("__name")
+
+
 def keyword_hits(docs: DataFrame, text: str, keywords: DataFrame, word: str) -> DataFrame:
     """Documents with each keyword that their text contains (any case). ``keywords`` is a dictionary: it is broadcast, so keep it small."""
     return docs.withColumn("__text", F.lower(text)).join(F.broadcast(keywords), F.col("__text").contains(F.lower(word))).drop("__text")

@@ -75,3 +75,8 @@ def upsert_report(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     flagged = new.select(key).distinct().join(old.select(F.col(key), F.lit(1).alias("__old")).distinct(), key, "left")
     counts = flagged.agg(F.count_if(F.col("__old").isNull()).alias("added"), F.count_if(F.col("__old").isNotNull()).alias("updated"))
     return counts.crossJoin(old.agg(F.countDistinct(key).alias("__n"))).select("added", "updated", (F.col("__n") + F.col("added")).alias("total"))
+
+
+def named_order(*names: str, locale: str = "ko") -> list[Column]:
+    """What to order by for names as a reader of the locale expects them: letters of any case together, the small one first."""
+    return [F.collate(F.col(n), locale) for n in names]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import repair, table_functions, text
@@ -142,6 +143,22 @@ def _(spark, d):
     return parts.join(parts.select("stem").distinct(), "stem").groupBy("p_partkey").agg(F.count("*").alias("files"))
 
 
+@R.add("j12_attached_files", """WITH a AS (SELECT p_partkey, replace(p_name, ' ', ':') || '*' || p_brand AS name, regexp_replace(replace(p_name, ' ', ':') || '*' || p_brand, '[:*]', '_', 'g')[1:30] AS stem FROM part),
+ f AS (SELECT DISTINCT 'out/' || p_size || '_' || replace(p_name, ' ', '_') || '_' || p_brand || '.pdf' AS path FROM part WHERE p_partkey % 3 = 0) SELECT p_partkey, name, min(path) AS file FROM a LEFT JOIN f ON contains(split_part(path, '/', 2), stem) GROUP BY 1, 2""")
+def _(spark, d):
+    part = table(spark, d, "part")
+    asked = part.select("p_partkey", F.concat(F.translate("p_name", " ", ":"), F.lit("*"), "p_brand").alias("name"))
+    files_ = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("out/"), F.col("p_size").cast("string"), F.lit("_"), F.translate("p_name", " ", "_"), F.lit("_"), "p_brand", F.lit(".pdf")).alias("path"))
+    return joins.attached_files(asked, files_, "name", "path").select("p_partkey", "name", "file")
+
+
+@R.add("t9_locale_order", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(c_mktsegment), c_mktsegment DESC, c_custkey)::INT AS pos FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer)")
+def _(spark, d):
+    name = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    named = table(spark, d, "customer").select("c_custkey", "c_nationkey", name.alias("name"))
+    return named.withColumn("pos", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*ranking.named_order("name"), "c_custkey"))).select("c_custkey", "pos")
+
+
 @R.add("i14_import_backup", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM documents")
 def _(spark, d):
     docs = vectors.hashed_vectors(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "vector")

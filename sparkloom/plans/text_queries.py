@@ -212,6 +212,35 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.explode(F.transform(F.slice(days, 1, 3), lambda x: F.date_format(x, "yyyy-MM-dd"))).alias("day"))
 
 
+# Cron texts out of the order keys: daily, weekly, on a day of the month, and in one month alone; as of the order's day and a minute of it.
+_CRON = """SELECT o_orderkey, o_orderkey % 4 AS form, to_minutes((o_orderkey // 7) % 24 * 60 + (o_orderkey // 4) % 60) AS clock, o_orderkey % 7 AS weekday, (o_orderkey % 31)::INT AS day,
+ date_trunc('day', o_orderdate) AS today, date_trunc('day', o_orderdate) + to_minutes(o_orderkey % 1440) AS now FROM orders"""
+
+
+def _crons(spark, d):
+    k = F.col("o_orderkey")
+    whole = lambda x: x.cast("long").cast("string")
+    time = F.concat_ws(" ", whole(F.floor(k / 4) % 60), whole(F.floor(k / 7) % 24))
+    weekday, day = whole(k % 7), whole(k % 31 + 1)
+    rest = F.when(k % 4 == 0, F.lit("* * *")).when(k % 4 == 1, F.concat(F.lit("* * "), weekday)).when(k % 4 == 2, F.concat(day, F.lit(" * *"))).otherwise(F.concat(day, F.lit(" 3 *")))
+    now = F.timestamp_add("MINUTE", (k % 1440).cast("int"), F.date_trunc("day", "o_orderdate").cast("timestamp"))
+    return table(spark, d, "orders").select("o_orderkey", F.concat_ws(" ", time, rest).alias("cron"), now.alias("now"))
+
+
+@R.add("d5_next_run_of_crons", f"""WITH c AS ({_CRON}), b AS (SELECT *, today + to_days(((weekday - dayofweek(today) + 7) % 7)::INT) AS w, date_trunc('month', today) + to_days(day) AS m FROM c)
+ SELECT o_orderkey, strftime(CASE form WHEN 0 THEN CASE WHEN today + clock > now THEN today + clock ELSE today + INTERVAL 1 DAY + clock END WHEN 1 THEN CASE WHEN w + clock > now THEN w + clock ELSE w + INTERVAL 7 DAY + clock END
+ WHEN 2 THEN CASE WHEN m + clock > now THEN m + clock ELSE date_trunc('month', m) + INTERVAL 1 MONTH + to_days(day(m)::INT - 1) + clock END END, '%Y-%m-%d %H:%M') AS next FROM b""")
+def _(spark, d):
+    return _crons(spark, d).select("o_orderkey", F.date_format(text.next_run(F.col("cron"), F.col("now")), "yyyy-MM-dd HH:mm").alias("next"))
+
+
+@R.add("d16_next_runs_of_crons", f"""WITH c AS ({_CRON}), r AS (SELECT o_orderkey, form, weekday, day, now, today + to_days(i::INT) + clock AS x FROM c, range(0, 30) t(i))
+ SELECT o_orderkey, strftime(x, '%Y-%m-%d %H:%M') AS next FROM r WHERE x > now AND CASE form WHEN 0 THEN true WHEN 1 THEN dayofweek(x) = weekday ELSE day(x) = day + 1 END QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY x) <= 7""")
+def _(spark, d):
+    runs = text.next_runs(F.col("cron"), F.col("now"))
+    return _crons(spark, d).select("o_orderkey", F.explode(F.transform(runs, lambda x: F.date_format(x, "yyyy-MM-dd HH:mm"))).alias("next"))
+
+
 @R.add("d6_weighted_score", "SELECT doc_id, round(least(1, greatest(0, 0.6 * quality + 0.5 * toxic)), 6)::DOUBLE AS score FROM labels")
 def _(spark, d):
     return table(spark, d, "labels").select("doc_id", F.round(text.weighted({"quality": 0.6, "toxic": 0.5}), 6).alias("score"))
