@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +17,13 @@ from pyspark.sql import functions as F
 
 _HANGUL = re.compile("[가-힯ᄀ-ᇿ㄰-㆏]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
-_TABLE = re.compile(r"^[ \t]*\|.*\|[ \t]*(?:\n[ \t]*\|.*\|[ \t]*)+", re.M)
+# Fixed formats: a piped table (header, rule, rows), the tag of a table, a tagged list of ``- key: value`` and where it ends, its items.
+_PIPED = re.compile(r"^[ \t]*\|[^\n]+\|[ \t]*\n[ \t]*\|[ \t:|-]+\|[ \t]*\n(?:[ \t]*\|[^\n]+\|[ \t]*(?:\n|\Z))+", re.M)
+_TAG = re.compile(r"<!-- 표 (\d+) -->")
+_LIST_TAG = re.compile(r"<!-- 표 (\d+) -->\[표 데이터\]")
+_LIST_END = re.compile(r"<!-- 표 \d+ -->|\n\n(?![항목\[\-])|\n\n\n|\Z")
+_ITEM = re.compile(r"(?=항목 \d+:|\n\[)")
+_PAIR = re.compile(r"- ([^:：]+)[：:]\s*([^\n]+)")
 _HEADER = re.compile(r"^(?:#{1,6}[ \t]+\S|[IVX]+\.[ \t]|§)", re.M)
 _BLOCK = re.compile(r"\n[ \t]*\n|\n(?=[ \t]*(?:[-*•]|\d+[.)])[ \t])")
 
@@ -109,22 +116,108 @@ STRATEGIES = {"recursive": recursive, "sentence": by_sentence, "block": by_block
 
 
 def table_chunks(table: str, rows: int = 10) -> list[str]:
-    """Blocks of at most ``rows`` data rows of a piped table, each under its header."""
-    lines = [x.strip() for x in table.strip().split("\n")]
+    """Blocks of at most ``rows`` data rows of a piped table, each under its header and what stands before it; a tagged list is one block."""
+    m = _PIPED.search(table)
+    if not m and _LIST_TAG.match(table.strip()):
+        return [table.strip()]
+    lead, piped = (table[: m.start()].strip(), m[0]) if m else ("", table)
+    lines = [x.strip() for x in piped.strip().split("\n")]
     head = lines[:2] if len(lines) > 1 and re.fullmatch(r"[|\s:-]+", lines[1]) else lines[:1]
     body = lines[len(head) :]
+    head = [lead, *head] if lead else head
     return ["\n".join(head + body[i : i + rows]) for i in range(0, len(body), rows)] or ["\n".join(head)]
 
 
+@dataclass(frozen=True)
+class Table:
+    start: int
+    end: int
+    kind: str  # piped or list
+    title: str | None
+    headers: list[str]
+    rows: list[list[str]]
+
+
+def _cells(line: str) -> list[str]:
+    return [c.strip() for c in line.split("|") if c.strip()]
+
+
+def _piped_tables(text: str) -> Iterator[Table]:
+    """Piped tables. One after a tag begins at the tag, at the first of several since the table before, and has its number for a title."""
+    tags, at = [(m.start(), m[1]) for m in _TAG.finditer(text)], 0
+    for m in _PIPED.finditer(text):
+        lines = m[0].strip().split("\n")
+        start, title = m.start(), None
+        if at < len(tags) and tags[at][0] < start:
+            start, title = tags[at][0], f"표 {tags[at][1]}"
+        while at < len(tags) and tags[at][0] < m.end():
+            at += 1
+        yield Table(start, m.end(), "piped", title, _cells(lines[0]), [c for x in lines[2:] if (c := _cells(x))])
+
+
+def _list_tables(text: str) -> Iterator[Table]:
+    """Tagged lists of keys and values: a row for each item, headed by the keys of the first."""
+    at = 0
+    for m in _LIST_TAG.finditer(text):
+        if m.start() < at:
+            continue
+        at = _LIST_END.search(text, m.end()).start()
+        items = [{k.strip(): v.strip() for k, v in _PAIR.findall(x) if k.strip() and v.strip()} for x in _ITEM.split(text[m.end() : at].strip())]
+        items = [x for x in items if x]
+        yield Table(m.start(), at, "list", f"표 {m[1]}", list(items[0]) if items else [], [list(x.values()) for x in items])
+
+
+def detected_tables(text: str) -> list[Table]:
+    """Tables of both kinds in order; of those that overlap the one that starts first, a piped one before a list."""
+    out: list[Table] = []
+    for t in sorted([*_piped_tables(text), *_list_tables(text)], key=lambda t: t.start):
+        if not out or (t.start >= out[-1].end and t.end > out[-1].end):
+            out.append(t)
+    return out
+
+
+def tagged_parts(text: str) -> list[dict[str, str]]:
+    """The text as stretches up to and with a tag and an empty line, each with the piped table that comes next before any other tag ("" at the end, or if there is none)."""
+    out, at = [], 0
+    tags = list(_TAG.finditer(text))
+    for m, following in zip(tags, [*tags[1:], None], strict=True):
+        t = _PIPED.search(text, m.end(), following.start() if following else len(text))
+        if t and not text[m.end() : t.start()].strip():
+            piped = t[0].rstrip("\n")
+            out.append({"before": text[at : m.end()] + "\n\n", "piped": piped})
+            at = t.start() + len(piped)
+    return [*out, {"before": text[at:], "piped": ""}]
+
+
+def table_list(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, table_index, kind, title, headers, rows, start, end (in characters) of every table of every text. Null texts have none."""
+
+    @F.pandas_udf("array<struct<kind:string,title:string,headers:array<string>,rows:array<array<string>>,start:int,end:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[asdict(t) for t in detected_tables(x or "")] for x in texts])
+
+    return docs.select(key, F.posexplode(found(text)).alias("table_index", "t")).select(key, "table_index", "t.kind", "t.title", "t.headers", "t.rows", "t.start", "t.end")
+
+
 def segments(text: str, tables: bool = True) -> list[tuple[str, str]]:
-    """(kind, text): tables, and what is between them."""
+    """(kind, text): tables, and what is between them, blank stretches left out."""
     out, at = [], 0
-    for m in _TABLE.finditer(text) if tables else ():
-        out += [("text", text[at : m.start()]), ("table", m[0])]
-        at = m.end()
+    for t in detected_tables(text) if tables else ():
+        out += [("text", text[at : t.start]), ("table", text[t.start : t.end])]
+        at = t.end
     return [(k, t) for k, t in [*out, ("text", text[at:])] if t.strip()]
 
 
+def segmented(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, segment, kind, content: texts cut around their tables. Null and blank texts have no segment."""
+
+    @F.pandas_udf("array<struct<kind:string,content:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "content": c} for k, c in segments(t or "")] for t in texts])
+
+    return docs.select(key, F.posexplode(cut(text)).alias("segment", "s")).select(key, "segment", "s.kind", "s.content")
+
+
 def chunk_text(text: str, strategy: str = "recursive", size: int = 800, overlap: int = 0, rows: int = 10, tables: bool = True) -> list[tuple[str, str, int]]:
     """(kind, text, tokens) of each chunk, in order."""
     out = []

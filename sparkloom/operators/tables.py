@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,11 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import clean_cell
+from sparkloom.operators.chunking import detected_tables, tagged_parts
 from sparkloom.operators.ranking import islands
 
 NUMERIC = r"^[-+]?[0-9][0-9,]*(\.[0-9]+)?%?$"
 
 
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x worked out once, wherever in it x stands."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def parse_markdown(x: Column) -> Column:
     """Rows of a piped table without its separator line."""
     lines = F.filter(F.split(x, "\n"), lambda p: p.contains("|") & ~p.rlike(r"^[\s|:\-]+$"))
@@ -23,10 +29,13 @@ def parse_markdown(x: Column) -> Column:
 
 def to_markdown(rows: Column) -> Column:
     """A piped table; short rows are padded, cells cleaned."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda i: clean_cell(F.get(r, i))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
-    return F.concat_ws("\n", line(rows[0]), rule, F.array_join(F.transform(F.slice(rows, 2, F.size(rows)), line), "\n"))
+
+    def lines(width: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda i: clean_cell(F.get(r, i))), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+        return F.concat_ws("\n", line(rows[0]), rule, F.array_join(F.transform(F.slice(rows, 2, F.size(rows)), line), "\n"))
+
+    return _let(F.array_max(F.transform(rows, lambda r: F.size(r))), lines)
 
 
 def padded(rows: Column, width: int | Column) -> Column:
@@ -339,18 +348,38 @@ def hierarchy_paths(rows: Column, sep: str = " > ") -> Column:
     return F.transform(stacks, lambda s: F.array_join(s, sep))
 
 
+def normalized(rows: Column, policy: str = "inherit") -> Column:
+    """A piped table of rows of cells: rows of one width, header rows as one, empty cells filled. Null where there are no rows."""
+
+    def table(even: Column) -> Column:
+        head = lambda n: F.concat(F.array(flat_header(even, n)), filled(F.slice(even, n + 1, F.size(even)), policy))
+        return _let(_let(header_rows(even), head), to_markdown)
+
+    even = lambda x: _let(F.array_max(F.transform(x, lambda r: F.size(r))), lambda width: padded(x, width))
+    return _let(rows, lambda x: F.when(F.size(x) > 0, _let(even(x), table)))
+
+
 def normalized_tables(texts: DataFrame, key: str, text: str, policy: str = "inherit") -> DataFrame:
-    """key, table_index, header, markdown of every piped table inside a text."""
+    """key, table_index, header, markdown of every piped table inside a text, tagged or not."""
 
     @F.pandas_udf("array<string>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from sparkloom.operators.chunking import segments
-
         for x in batches:
-            yield pd.Series([[t for k, t in segments(s or "") if k == "table"] for s in x])
+            yield pd.Series([[s[t.start : t.end] for t in detected_tables(s) if t.kind == "piped"] for s in (y or "" for y in x)])
 
     each = texts.select(key, F.posexplode(found(text)).alias("table_index", "__t")).withColumn("__rows", parse_markdown(F.col("__t"))).where(F.size("__rows") > 0)
-    each = each.withColumn("__rows", padded(F.col("__rows"), F.array_max(F.transform("__rows", lambda r: F.size(r))))).withColumn("__n", header_rows(F.col("__rows")))
-    body = filled(F.slice("__rows", F.col("__n") + 1, F.size("__rows")), policy)
-    each = each.withColumn("header", flat_header(F.col("__rows"), F.col("__n"))).withColumn("__body", body)
-    return each.select(key, "table_index", "header", to_markdown(F.concat(F.array("header"), "__body")).alias("markdown"))
+    each = each.withColumn("__rows", padded(F.col("__rows"), F.array_max(F.transform("__rows", lambda r: F.size(r)))))
+    return each.select(key, "table_index", flat_header(F.col("__rows"), header_rows(F.col("__rows"))).alias("header"), normalized(F.col("__rows"), policy).alias("markdown"))
+
+
+def normalized_texts(texts: DataFrame, text: str, policy: str = "inherit", out: str = "normalized") -> DataFrame:
+    """``texts`` with every tagged piped table in the text written anew, after its tag and an empty line; all else stays as it is. Null stays null."""
+
+    @F.pandas_udf("array<struct<before:string,piped:string>>")
+    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series([None if s is None else tagged_parts(s) for s in x])
+
+    rows = lambda p: parse_markdown(p["piped"])
+    each = F.transform("__parts", lambda p: F.concat(p["before"], F.coalesce(normalized(rows(p), policy), p["piped"])))
+    return texts.withColumn("__parts", parts(text)).withColumn(out, F.array_join(each, "")).drop("__parts")

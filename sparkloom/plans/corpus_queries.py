@@ -196,6 +196,42 @@ def _(spark, d):
     return tables.normalized_tables(texts, "o_custkey", "text").select("o_custkey", "table_index", "markdown")
 
 
+# A text of each customer with orders: a tagged piped table of them, for each third an untagged one, a tagged list.
+def _with_tables(spark, d):
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda r: F.array(r["o_orderkey"].cast("string"), r["o_orderstatus"]))
+    each = table(spark, d, "orders").groupBy("o_custkey").agg(rows.alias("rows"))
+    k = F.col("o_custkey")
+    number = k.cast("string")
+    lines = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))), "\n")
+    third = F.when(k % 3 == 0, F.concat(F.lit("\n\nthen\n| x | y |\n|---|---|\n| "), number, F.lit(" | 1 |\nend"))).otherwise("")
+    text_ = F.concat(F.lit("before "), number, F.lit("\n<!-- 표 1 -->\n\n| key | status |\n|---|---|\n"), lines, F.lit("\n\nbetween"), third, F.lit("\n<!-- 표 2 -->[표 데이터]\n항목 1:\n- 부서: a"), number, F.lit("\n- 이름: b\n항목 2:\n- 부서: c\n- 이름: d"))
+    return each.select("o_custkey", text_.alias("text"))
+
+
+@R.add("c6_detected_tables", """WITH o AS (SELECT o_custkey AS k, string_agg(o_orderkey || ',' || o_orderstatus, ';' ORDER BY o_orderkey) AS cells FROM orders GROUP BY 1)
+ SELECT k AS o_custkey, 0 AS table_index, 'piped' AS kind, '표 1' AS title, 'key,status' AS headers, cells FROM o UNION ALL SELECT k, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END, 'list', '표 2', '부서,이름', 'a' || k || ',b;c,d' FROM o
+ UNION ALL SELECT k, 1, 'piped', NULL, 'x,y', k || ',1' FROM o WHERE k % 3 = 0""")
+def _(spark, d):
+    found = chunking.table_list(_with_tables(spark, d), "o_custkey")
+    return found.select("o_custkey", "table_index", "kind", "title", F.array_join("headers", ",").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("cells"))
+
+
+@R.add("c7_segments", """WITH k AS (SELECT DISTINCT o_custkey AS k FROM orders), s AS (SELECT k, unnest([{'i': 0, 'kind': 'text', 'start': 'before ' || k}, {'i': 1, 'kind': 'table', 'start': '<!-- 표 1 -->'}, {'i': 2, 'kind': 'text', 'start': 'between'},
+ {'i': 3, 'kind': 'table', 'start': '| x | y |'}, {'i': 4, 'kind': 'text', 'start': 'end'}, {'i': 5, 'kind': 'table', 'start': '<!-- 표 2 -->[표 데이터]'}]) AS x FROM k)
+ SELECT k AS o_custkey, CASE WHEN k % 3 > 0 AND x.i = 5 THEN 3 ELSE x.i END AS segment, x.kind, x.start FROM s WHERE k % 3 = 0 OR x.i NOT IN (3, 4)""")
+def _(spark, d):
+    found = chunking.segmented(_with_tables(spark, d), "o_custkey")
+    first = F.get(F.split(F.trim(F.regexp_replace("content", "^\\n+", "")), "\n"), 0)
+    return found.select("o_custkey", "segment", "kind", first.alias("start"))
+
+
+@R.add("c11_normalized_texts", """SELECT o_custkey, 'before ' || o_custkey || chr(10) || '<!-- 표 1 -->' || repeat(chr(10), 2) || '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey)
+ || repeat(chr(10), 2) || 'between' || CASE WHEN o_custkey % 3 = 0 THEN repeat(chr(10), 2) || 'then' || chr(10) || '| x | y |' || chr(10) || '|---|---|' || chr(10) || '| ' || o_custkey || ' | 1 |' || chr(10) || 'end' ELSE '' END
+ || chr(10) || '<!-- 표 2 -->[표 데이터]' || chr(10) || '항목 1:' || chr(10) || '- 부서: a' || o_custkey || chr(10) || '- 이름: b' || chr(10) || '항목 2:' || chr(10) || '- 부서: c' || chr(10) || '- 이름: d' AS text FROM orders GROUP BY 1""")
+def _(spark, d):
+    return tables.normalized_texts(_with_tables(spark, d), "text").select("o_custkey", F.col("normalized").alias("text"))
+
+
 @R.add("c6_table_counts", "SELECT doc_id, len(string_split(text, ' | ')) - 1 AS pipes, len(list_filter(string_split(text, chr(10)), lambda p: contains(p, '|'))) AS lines FROM documents")
 def _(spark, d):
     lines = F.filter(F.split("text", "\n", -1), lambda p: p.contains("|"))
