@@ -40,7 +40,7 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 def representatives(df: DataFrame, group: str, key: str, vector: str, n: int = 5) -> DataFrame:
     """The n rows nearest to each group's mean."""
-    joined = df.join(F.broadcast(centroids(df, group, vector)), group)
+    joined = df.join(centroids(df, group, vector), group)
     difference = F.zip_with(vector, "centroid", lambda a, b: a.cast("double") - b)
     near = joined.withColumn("distance", F.round(F.sqrt(dot(difference, difference)), 6))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("distance", key))).where(F.col("rank") <= n).select(group, key, "distance", "rank")

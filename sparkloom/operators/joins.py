@@ -26,7 +26,7 @@ def prefix_join(left: DataFrame, right: DataFrame, code: str, prefix: str) -> Da
 
 def tree(major: DataFrame, unit: DataFrame, leaf: DataFrame, major_key: str, unit_key: str, unit_parent: str, leaf_parent: str, leaf_name: str, major_name: str, unit_name: str) -> DataFrame:
     """major, units: array<struct<unit, leaves: array<string>>>; sorted, majors and units without children too."""
-    leaves = leaf.groupBy(F.col(leaf_parent).alias("__u")).agg(F.array_sort(F.collect_list(leaf_name)).alias("leaves"))
+    leaves = leaf.select(leaf_parent, leaf_name).groupBy(F.col(leaf_parent).alias("__u")).agg(F.array_sort(F.collect_list(leaf_name)).alias("leaves"))
     units = unit.join(leaves, unit[unit_key] == leaves["__u"], "left").withColumn("leaves", F.coalesce("leaves", F.array().cast("array<string>")))
     grouped = units.groupBy(F.col(unit_parent).alias("__m")).agg(F.array_sort(F.collect_list(F.struct(F.col(unit_name).alias("unit"), "leaves"))).alias("units"))
     return major.join(grouped, major[major_key] == grouped["__m"], "left").select(F.col(major_name).alias("major"), "units")
@@ -51,15 +51,15 @@ def attached_files(attachments: DataFrame, files: DataFrame, name: str, path: st
     """``attachments`` with the first file, by path, whose name contains the stem of theirs (column ``file``); null if none does or the stem is empty.
 
     Stems meet file names by their first 1, 2, 4, 8 or 16 characters, the most they have, at any place of the name, so both sides join by equality; then the
-    whole stem is looked for. Only file names of up to ``longest`` characters are cut up, which is all that file systems allow; a longer one raises.
+    whole stem is looked for. Only file names of up to ``longest`` characters are cut up, which is all that file systems allow; a longer one raises. Null paths are no files.
     """
     stem = file_stem(F.col(name))
     size = lambda n: F.when(n >= 16, 16).when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
     asked = attachments.select(F.col(name).alias("__name"), stem.alias("__stem")).where("__stem != ''").distinct()
     asked = asked.withColumn("__key", F.substr("__stem", F.lit(1), size(F.char_length("__stem"))))
     own = F.regexp_extract(path, r"([^/\\]*)$", 1)
-    named = files.select(F.col(path).alias("__path"), own.alias("__own")).distinct()
-    named = named.withColumn("__own", F.when(F.char_length("__own") <= longest, F.col("__own")).otherwise(F.raise_error(F.lit("a file name is too long"))))
+    named = files.select(F.col(path).alias("__path"), own.alias("__own")).where(F.col(path).isNotNull()).distinct()
+    named = named.withColumn("__own", F.when(F.char_length("__own") > longest, F.raise_error(F.lit("a file name is too long"))).otherwise(F.col("__own")))
     cuts = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 4, 8, 16))), lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("__own") - g + 1, F.lit(1))), lambda i: F.substr(F.col("__own"), i, g))))
     wanted = asked.select("__key").distinct()
     pieces = named.withColumn("__key", F.explode(F.array_distinct(cuts))).join(wanted, "__key", "left_semi")
@@ -68,8 +68,8 @@ def attached_files(attachments: DataFrame, files: DataFrame, name: str, path: st
 
 
 def keyword_hits(docs: DataFrame, text: str, keywords: DataFrame, word: str) -> DataFrame:
-    """Documents with each keyword that their text contains (any case). ``keywords`` is a dictionary: it is broadcast, so keep it small."""
-    return docs.withColumn("__text", F.lower(text)).join(F.broadcast(keywords), F.col("__text").contains(F.lower(word))).drop("__text")
+    """Documents with each keyword that their text contains (any case). ``keywords`` is a dictionary; Spark broadcasts it if it is small enough."""
+    return docs.withColumn("__text", F.lower(text)).join(keywords, F.col("__text").contains(F.lower(word))).drop("__text")
 
 
 def linked(left: DataFrame, right: DataFrame, blocks: list[tuple[Column, Column]], score: Column, left_id: str, right_id: str, at_least: float) -> DataFrame:

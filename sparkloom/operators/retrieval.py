@@ -51,9 +51,12 @@ def hybrid(semantic: DataFrame, lexical_hits: DataFrame, query_key: str, key: st
     return lexical.best(ranked.withColumn("score", score).select(query_key, key, "score"), query_key, key, n, 8)
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, plan: Plan, doc_key: str, query_key: str, text: str = "text", vector: str = "vector") -> DataFrame:
-    """query_key, doc_key, score, rank. Steps apply per query: fusion only where there are over ``hybrid_over`` candidates, rerank over ``rerank_over``."""
-    found = vectors.top_k(docs, queries, doc_key, vector, query_key, vector, plan.candidates)
+def retrieve(docs: DataFrame, queries: DataFrame, plan: Plan, doc_key: str, query_key: str, text: str = "text", vector: str = "vector", search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """query_key, doc_key, score, rank. Steps apply per query: fusion only where there are over ``hybrid_over`` candidates, rerank over ``rerank_over``.
+
+    ``search(queries, k)`` may take the place of the exact vector search: it gives query_key, doc_key, score, rank of at most k rows a query; filters go into it.
+    """
+    found = search(queries, plan.candidates) if search else vectors.top_k(docs, queries, doc_key, vector, query_key, vector, plan.candidates)
     if plan.strategy == "basic":
         return found.where(F.col("rank") <= plan.results).select(query_key, doc_key, "score", "rank")
     many = found.withColumn("__n", F.count("*").over(Window.partitionBy(query_key)))
@@ -87,6 +90,22 @@ def rerank(pairs: DataFrame, score: Callable[[list[str], list[str]], list[float]
     return lexical.best(found, query_key, key, n).withColumn("rank_change", F.col("__old") - F.col("rank")).drop("__old")
 
 
+def answered(prompts: DataFrame, answer: Callable[[list[str], list[str]], list[str]], prompt: str, system: str | None = None, out: str = "answer") -> DataFrame:
+    """``prompts`` with what ``answer(systems, prompts)`` says to each, a batch at a time; null prompts get null, a batch that fails gets nulls. No model is shipped."""
+
+    @F.pandas_udf("string")
+    def said(systems: pd.Series, asked: pd.Series) -> pd.Series:
+        have = asked.notna()
+        result = pd.Series([None] * len(asked), dtype=object)
+        try:
+            result[have] = list(answer(systems[have].fillna("").tolist(), asked[have].tolist()))
+        except Exception:
+            result[:] = None
+        return result
+
+    return prompts.withColumn(out, said(F.col(system) if system else F.lit(""), F.col(prompt)))
+
+
 def multi_hop(first: DataFrame, search: Callable[[DataFrame], DataFrame], next_queries: Callable[[DataFrame], DataFrame], hops: int = 3) -> DataFrame:
     """Hits of each hop, numbered; ``next_queries`` makes the next hop's queries out of the hits. The number of hops is fixed and small."""
     queries, found = first, None

@@ -18,9 +18,10 @@ queries, oracle_sql = R.queries, R.oracle_sql
 def _(spark, d):
     path = fresh_path(spark, "chunks")
     docs = table(spark, d, "documents")
-    # A file for each hundred documents at most, either form by turns.
-    part = F.collect_list(F.struct("doc_id", "text"))
-    each = docs.groupBy("source", "lang", (F.col("doc_id") % 20).alias("k")).agg(part.alias("c"))
+    # A file for about a hundred documents, however many a group has; either form by turns.
+    sizes = docs.groupBy("source", "lang").agg(F.ceil(F.count("*") / 100).alias("files"))
+    docs = docs.join(sizes, ["source", "lang"]).withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("files")))
+    each = docs.groupBy("source", "lang", "k").agg(F.collect_list(F.struct("doc_id", "text")).alias("c"))
     body = F.when(F.col("k") % 2 == 0, F.to_json("c")).otherwise(F.to_json(F.struct(F.col("c").alias("chunks"))))
     each.select(body.alias("value"), "source", "lang", F.lit("2024-01").alias("month"), "k").repartition("source").write.partitionBy("source", "lang", "month", "k").text(path)
     found = files.read_chunk_files(spark, path, "doc_id:bigint,text:string", r"/source=([^/]+)/lang=([^/]+)/month=([^/]+)/[^/]+/[^/]*$")
@@ -69,7 +70,10 @@ def _(spark, d):
     path = fresh_path(spark, "store")
     record = F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     entries = F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), record)))
-    table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(entries).alias("value")).select("value").repartition("value").write.option("maxRecordsPerFile", 1).text(path)
+    customers = table(spark, d, "customer")
+    stores = customers.agg(F.ceil(F.count("*") / 100).alias("stores"))
+    dealt = customers.crossJoin(F.broadcast(stores)).withColumn("k", F.pmod(F.xxhash64("c_custkey"), F.col("stores")))  # about a hundred entries a store
+    dealt.groupBy("k").agg(F.to_json(entries).alias("value")).select("value").repartition("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.migrate(spark, path, "name:string,balance:double")
 
 
@@ -123,8 +127,8 @@ def _(spark, d):
 def _(spark, d):
     path = fresh_path(spark, "progress")
 
-    def add(df, number):
-        df.agg(F.count("*").alias("processed"), F.count_if(F.col("event_type") == "error").alias("failed"), F.sum("value").alias("cost")).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+    def add(df, number):  # a batch that is run again replaces its row
+        df.agg(F.count("*").alias("processed"), F.count_if(F.col("event_type") == "error").alias("failed"), F.sum("value").alias("cost")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     ingest.run_to_end(ingest.source(spark, f"{d}/events.parquet"), add)
     return spark.read.parquet(path).agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.round(F.sum("cost"), 2).alias("cost"))

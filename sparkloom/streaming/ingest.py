@@ -46,8 +46,16 @@ def sliding_failures(stream: DataFrame, ts: str, failed: Column, width: str = "2
     return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "runs", "failed", F.round(100.0 * F.col("failed") / F.col("runs"), 1).alias("rate"))
 
 
+def _keep(df: DataFrame, path: str, number: int) -> None:
+    """A batch in a folder of its own: one that is run again replaces what it wrote before."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def ingest(stream: DataFrame, key: Column, known: DataFrame | None = None) -> DataFrame:
-    """Rows whose key is new, in this stream and against ``known`` (a table with column key), written and read back; the first of equal keys by content."""
+    """Rows whose key is new, in this stream and against ``known`` (a table with column key), written and read back with the number of their batch.
+
+    Of equal keys the first batch counts, and in a batch any one row. A batch that is run again changes nothing. Of earlier batches only the keys are read.
+    """
     spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "catalog")
 
     def add(df: DataFrame, number: int) -> None:
@@ -55,48 +63,65 @@ def ingest(stream: DataFrame, key: Column, known: DataFrame | None = None) -> Da
         if known is not None:
             new = new.join(known, "key", "left_anti")
         if number:
-            new = new.join(spark.read.parquet(path).select("key"), "key", "left_anti")
-        new.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+            new = new.join(spark.read.parquet(path).where(F.col("batch") < number).select("key"), "key", "left_anti")
+        _keep(new, path, number)
 
     run_to_end(stream.withColumn("key", key), add)
     return spark.read.parquet(path)
 
 
-def stuck_runs(stream: DataFrame, key: str, ts: str, started: Column, finished: Column, minutes: int = 30) -> DataFrame:
-    """key, started, status: runs that ended in time (done) or had no end within the limit (stuck) by event time; those still open aren't told."""
-    events = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.when(started, 1).when(finished, 2).otherwise(0).alias("what")).where("what > 0")
+def stuck_runs(stream: DataFrame, key: str, ts: str, started: Column, finished: Column, minutes: int = 30, late: str = "2 days") -> DataFrame:
+    """key, started, status: runs that ended in time (done) or had no end within the limit (stuck) by event time.
+
+    A run is stuck once a later event of its key shows it, or once the watermark, ``late`` behind the latest event of all, is past its limit: no further event of the key is needed.
+    Later runs are still open and aren't told. Rows later than the watermark are dropped, rows without a time too.
+    """
+    events = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.when(started, 1).when(finished, 2).otherwise(0).alias("what"))
+    events = events.withWatermark("ts", late).where("what > 0 and ts is not null")
     limit = minutes * 60_000_000
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         open_at = state.get[0] if state.exists else None
         out = []
-        rows = pd.concat(list(frames)) if not state.hasTimedOut else pd.DataFrame({"ts": [], "what": []})
-        for at, what in sorted(zip(rows["ts"].astype("datetime64[us]").astype("int64") if len(rows) else [], rows["what"], strict=True)):
-            if open_at is not None and (at - open_at > limit or what == 2):
-                out.append((open_at, "stuck" if at - open_at > limit else "done"))
-                open_at = None
-            if what == 1 and open_at is None:
-                open_at = at
+        if state.hasTimedOut:
+            out, open_at = [(open_at, "stuck")], None
+        else:
+            rows = pd.concat(list(frames))
+            for at, what in sorted(zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["what"], strict=True)):
+                if open_at is not None and (at - open_at > limit or what == 2):
+                    out.append((open_at, "stuck" if at - open_at > limit else "done"))
+                    open_at = None
+                if what == 1 and open_at is None:
+                    open_at = at
         if open_at is None:
             if state.exists:
                 state.remove()
         else:
             state.update((open_at,))
+            state.setTimeoutTimestamp(max((open_at + limit) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [group[0]] * len(out), "started": [a for a, _ in out], "status": [s for _, s in out]})
 
     schema = f"key {stream.schema[key].dataType.simpleString()}, started long, status string"
-    return events.groupBy("key").applyInPandasWithState(step, schema, "open_at long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(step, schema, "open_at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def appended(stream: DataFrame) -> DataFrame:
     """What an append-mode stream wrote, after the last batch."""
     spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "appended")
-    run_to_end(stream, lambda df, _: df.write.mode("append").parquet(path))
-    return spark.read.parquet(path)
+    run_to_end(stream, lambda df, number: _keep(df, path, number))
+    return spark.read.parquet(path).drop("batch")
 
 
 def embed_new(stream: DataFrame, key: str, embed: Callable[[DataFrame], DataFrame], known: DataFrame) -> DataFrame:
-    """Vectors of rows that ``known`` doesn't have yet, a batch at a time."""
+    """Vectors of rows that ``known`` doesn't have yet, a batch at a time; of a key that comes again, the vector of its last batch (in one batch: of its greatest row)."""
     spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "vectors")
-    run_to_end(stream, lambda df, _: embed(df.join(known.select(key), key, "left_anti")).write.mode("append").parquet(path))
-    return spark.read.parquet(path)
+
+    def add(df: DataFrame, number: int) -> None:
+        rest = [c for c in df.columns if c != key]
+        last = df.groupBy(key).agg(F.max(F.struct(*rest)).alias("__row")).select(key, "__row.*")
+        _keep(embed(last.join(known.select(key), key, "left_anti")), path, number)
+
+    run_to_end(stream, add)
+    found = spark.read.parquet(path)
+    rest = [c for c in found.columns if c not in (key, "batch")]
+    return found.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("__row")).select(key, "__row.*")

@@ -231,3 +231,47 @@ def test_no_cluster_without_a_shared_folder(monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(_jsc=none, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.shared_dir(cluster)
+
+
+def test_runs_that_see_no_other_event_are_stuck_once_the_watermark_is_past_them(spark, tmp_path):
+    from sparkloom.streaming import ingest
+
+    path = str(tmp_path / "events.parquet")
+    rows_ = [(1, "2024-01-01 00:00:00", "start"), (2, "2024-01-01 00:00:00", "start"), (2, "2024-01-01 00:10:00", "end"), (3, "2024-01-09 00:00:00", "start"), (4, None, "start")]
+    spark.createDataFrame(rows_, "k int, ts string, what string").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("k int, ts string, what string").parquet(path)
+    found = ingest.appended(ingest.stuck_runs(stream, "k", "ts", F.col("what") == "start", F.col("what") == "end"))
+    assert sorted((r.key, r.status) for r in found.collect()) == [(1, "stuck"), (2, "done")]
+
+
+def test_batches_that_run_again_add_nothing(spark, tmp_path):
+    from sparkloom.streaming import ingest
+
+    path = str(tmp_path / "kept")
+    for ids in ([1, 2], [1, 2, 3]):
+        ingest._keep(spark.createDataFrame([(i,) for i in ids], "k int"), path, 0)
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_search_and_text_functions_plug_in(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "d int, text string")
+    asked = spark.createDataFrame([(7, "a"), (8, None)], "q int, text string")
+    search = lambda queries, k: queries.crossJoin(docs.select("d")).select("q", "d", F.lit(1.0).alias("score"), F.col("d").alias("rank")).where(F.col("rank") <= k)
+    got = retrieval.retrieve(docs, asked, retrieval.default_plan("basic"), "d", "q", search=search)
+    assert sorted((r.q, r.d) for r in got.collect()) == [(7, 1), (7, 2), (8, 1), (8, 2)]
+    said = retrieval.answered(asked, lambda systems, prompts: [p.upper() for p in prompts], "text")
+    assert sorted((r.q, r.answer) for r in said.collect()) == [(7, "A"), (8, None)]
+
+
+def test_attached_files_need_the_whole_stem(spark):
+    asked = spark.createDataFrame([(1, "re:port of the year and of much more"), (2, "x"), (3, ""), (4, None), (5, "report")], "k int, name string")
+    files_ = spark.createDataFrame([("b/07_re_port of the year and of much.pdf",), ("a/1_re_port of the year.pdf",), ("c/x.txt",), (None,)], "path string")
+    got = joins.attached_files(asked, files_, "name", "path").orderBy("k").collect()
+    assert [r.file for r in got] == ["b/07_re_port of the year and of much.pdf", "c/x.txt", None, None, None]
+
+
+def test_tables_of_both_kinds_are_found_without_overlaps():
+    text_ = "a\n<!-- 표 1 -->\n\n| h | n |\n|---|---|\n| x | 1 |\n\nb\n<!-- 표 2 -->[표 데이터]\n- k: v\n\nafter"
+    got = chunking.detected_tables(text_)
+    assert [(t.kind, t.title, t.headers, t.rows) for t in got] == [("piped", "표 1", ["h", "n"], [["x", "1"]]), ("list", "표 2", ["k"], [["v"]])]
+    assert "".join(c for _, c in chunking.segments(text_)) == text_ and chunking.detected_tables("") == []
