@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import repair, table_functions, text
+from sparkloom.functions import pages, repair, table_functions, text
 from sparkloom.operators import classify, clusters, joins, lexical, ranking, retrieval, tables, vectors
 from sparkloom.plans.registry import Registry, table
 
@@ -52,6 +52,18 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, '<html lang="([a-z]+)"', 1).alias("lang"), text.count(h, "<li>").cast("long").alias("items"))
 
 
+@R.add("c31_page_structure", """SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS language, 'About ' || page_id AS description, 'a, b' || page_id AS keywords, 'Who' || page_id AS author,
+ '1. one' || chr(10) || '2. ' || page_id AS last_list, 'k | v ' || page_id || chr(10) || ' | w' AS last_table, len(regexp_extract_all(html, '(?s)<ul>.*?</ul>|<ol>.*?</ol>')) + 1 AS lists FROM pages""")
+def _(spark, d):
+    number = F.col("page_id").cast("string")
+    metas = F.concat(F.lit("<head><META content='About "), number, F.lit("' Name='description'/><meta name=\"keywords\" content=\"old\"><meta\nname=keywords content=\"a, b"), number, F.lit("\"><meta name=author content=Who"), number, F.lit(">"))
+    end = F.concat(F.lit("<TABLE class=x><tr><th>k</th><td> <b>v</b> "), number, F.lit("</td></tr><tr><td></td></tr><tr><td></td><td>w</td></tr></TABLE><ol start=1><li>one</li><li><i>"), number, F.lit("</i></li></ol>"))
+    html = F.concat(F.replace("html", F.lit("<head>"), metas), end)
+    each = table(spark, d, "pages").select("page_id", html.alias("html"))
+    found = each.select("page_id", pages.metadata(F.col("html")).alias("m"), pages.lists(F.col("html")).alias("l"), pages.tables(F.col("html")).alias("t"))
+    return found.select("page_id", "m.*", F.try_element_at("l", F.lit(-1)).alias("last_list"), F.try_element_at("t", F.lit(-1)).alias("last_table"), F.size("l").cast("long").alias("lists"))
+
+
 @R.add("c34_batch_classified", "SELECT doc_id, lang, CASE WHEN contains(lower(text), 'license') THEN 'law' ELSE 'other' END AS type FROM documents")
 def _(spark, d):
     c = classify.classify(F.col("text"), {"law": ["license"]}, {"none": ["\x00"]}, {"any": ["the "]})
@@ -91,6 +103,43 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.array_join(tables.hierarchy_paths(rows), ";").alias("paths"))
 
 
+@R.add("c16_header_rows_of_orders", "SELECT o_orderkey, least(3, 1 + o_orderkey % 5)::INT AS header_rows FROM orders")
+def _(spark, d):  # up to five rows of words before the numbers, of which three count
+    words = F.transform(F.sequence(F.lit(0), F.col("o_orderkey") % 5), lambda i: F.array(F.col("o_orderstatus"), F.lit("total"), F.lit("price")))
+    numbers = F.array(F.array(F.col("o_orderkey").cast("string"), F.floor("o_totalprice").cast("string"), F.col("o_orderstatus")))
+    return table(spark, d, "orders").select("o_orderkey", tables.header_rows(F.concat(words, numbers, words)).alias("header_rows"))
+
+
+@R.add("c17_flat_headers_of_parts", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || '_size,' || p_brand || '_price,' || p_type ELSE p_brand || '_size,' || p_type || '_price,' || p_type END AS header FROM part")
+def _(spark, d):
+    upper = F.array("p_brand", F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_type")), "p_type")
+    rows = F.array(upper, F.array(F.lit("size"), F.lit("price"), F.col("p_type")), F.array(F.lit("1"), F.lit("2"), F.lit("3")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(tables.flat_header(rows, F.lit(2)), ",").alias("header"))
+
+
+@R.add("c10_hierarchy_of_parts", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || ';' || p_type WHEN 1 THEN p_brand || ';' || p_brand || ' > ' || p_type ELSE p_brand || ';' || p_brand || ' > ' || p_type || ';' || p_brand || ' > ' || p_type || ' > ' || p_size END AS paths FROM part")
+def _(spark, d):
+    first, second = F.array(F.array("p_brand")), F.array(F.array(F.lit(""), "p_type"))
+    third = F.array(F.array(F.lit(""), F.lit(""), F.col("p_size").cast("string")))
+    k = F.col("p_partkey") % 3
+    rows = F.when(k == 0, F.concat(first, F.array(F.array("p_type")))).when(k == 1, F.concat(first, second)).otherwise(F.concat(first, second, third))
+    return table(spark, d, "part").select("p_partkey", F.array_join(tables.hierarchy_paths(rows), ";").alias("paths"))
+
+
+@R.add("c13_merged_cells_of_orders", """WITH s AS (SELECT o_orderkey AS k, 1 + o_orderkey % 2 AS h, 1 + o_orderkey % 3 AS w, o_orderstatus AS t FROM orders)
+ SELECT k AS o_orderkey, r::INT AS row, c::INT AS column, CASE WHEN r = 0 AND c = 0 THEN t ELSE '' END AS text FROM s, range(0, 2) a(r), range(0, 3) b(c) WHERE r < h AND c < w""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    cells = table(spark, d, "orders").select(k, F.lit(0).alias("row"), F.lit(0).alias("column"), (1 + k % 2).cast("int").alias("h"), (1 + k % 3).cast("int").alias("w"), F.col("o_orderstatus").alias("text"))
+    return tables.expanded(cells, "o_orderkey", "row", "column", "h", "w", "text")
+
+
+@R.add("c34_batch_classified_by_words", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'sale' WHEN 'error' THEN 'fault' ELSE 'other' END AS type FROM events")
+def _(spark, d):
+    c = classify.classify(F.concat(F.lit("an "), "event_type", F.lit(" event")), {"sale": ["purchase"], "fault": ["error"]}, {"none": ["\x00"]}, {"any": ["an "]})
+    return table(spark, d, "events").withColumn("class", c).select("event_id", F.col("class.type").alias("type"))
+
+
 @R.add("u6_chunk_table_function")
 def _(spark, d):
     table_functions.register(spark)
