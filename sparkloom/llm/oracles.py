@@ -25,5 +25,33 @@ OP7 = r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_e
  e AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a)
  SELECT page_id, url, text, length(text) AS n_chars FROM e"""
 
+
+def _op11(entries: int = 16, parts: int = 8, rounds: int = 6) -> str:
+    """k-means of the parts in whole numbers, a few views for each round; every sum fits in 64 bits on the given tables."""
+    steps = [
+        f"""b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM v
+  WHERE vec_id IN (SELECT DISTINCT vec_id FROM v ORDER BY 1 LIMIT {entries}))"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT vec_id, p, min({{'d': d, 'e': e}}) AS best FROM (SELECT v.vec_id, v.p, b.e,
+  list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i]))) AS d FROM v JOIN b{i} b ON b.p = v.p) GROUP BY 1, 2)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""s{i} AS (SELECT a.p, a.best.e AS e, j, sum(v.x[j]) AS s, count(*) AS n FROM a{i} a JOIN v ON v.vec_id = a.vec_id AND v.p = a.p,
+  range(1, {64 // parts} + 1) t(j) GROUP BY 1, 2, 3),
+ m{i} AS (SELECT p, e, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY j) AS x FROM s{i} GROUP BY 1, 2),
+ b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.e = b.e)"""
+            )
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ v AS MATERIALIZED (SELECT vec_id, p, x[len(x) // {parts} * p + 1:len(x) // {parts} * (p + 1)] AS x FROM k, range({parts}) t(p)),
+ {(',' + chr(10) + ' ').join(steps)},
+ c AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY 1),
+ h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+ SELECT vec_id, k.label, code, error, sum(error) OVER (PARTITION BY k.label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h"""
+
+
 #: By query. OP4 builds the CRC-32 table from its rule; OP7 reads the article by its tags, where the operator infers wrappers.
-ORACLES = {"op4_sharding": OP4, "op6_fingerprints": OP6, "op7_html_text": OP7}
+ORACLES = {"op4_sharding": OP4, "op6_fingerprints": OP6, "op7_html_text": OP7, "op11_vector_codes": _op11()}

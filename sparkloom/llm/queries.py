@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat, decontamination, fingerprints, html_text, packing, quality, sharding, simhash, token_counts, toxicity
+from sparkloom.llm import chat, decontamination, fingerprints, html_text, packing, quality, sharding, simhash, token_counts, toxicity, vector_codes
 from sparkloom.llm.oracles import ORACLES
 
 #: Contract of op4: shards 0 to 39, equal weights.
@@ -64,8 +64,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts_table(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_quality, op2_decontamination, op3_simhash, op4_sharding, op5_toxicity, op6_fingerprints, op7_html_text, op8_packing, op9_chat, op10_token_counts)
+    each = (op1_quality, op2_decontamination, op3_simhash, op4_sharding, op5_toxicity, op6_fingerprints, op7_html_text, op8_packing, op9_chat, op10_token_counts, op11_vector_codes)
     return {f.__name__: f for f in each}
 
 
