@@ -26,6 +26,22 @@ OP7 = r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_e
  SELECT page_id, url, text, length(text) AS n_chars FROM e"""
 
 
+OP12 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+ f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+  FROM w, range(1, 5) t(m)) GROUP BY 1, 2, 3),
+ c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 30),
+ k AS (SELECT c.*, k, array_to_string(ws[1:k], ' ') AS first_part, array_to_string(ws[k + 1:], ' ') AS rest FROM c, range(1, 4) t(k) WHERE k < m),
+ s AS (SELECT k.lang, k.phrase, a, min({'score': (2000000::HUGEINT * a // (x.f + y.f)::HUGEINT)::BIGINT, 'k': k, 'l': x.f, 'r': y.f}) AS b
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = first_part AND x.m = k JOIN f y ON y.lang = k.lang AND y.phrase = rest AND y.m = k.m - k GROUP BY 1, 2, 3),
+ i AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, array_to_string(ws[j:j + n - 1], ' ') AS phrase FROM c, range(2, 4) t(n), range(1, 4) u(j) WHERE n < m AND j + n - 1 <= m) GROUP BY 1, 2),
+ t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+ r AS (SELECT s.lang, s.phrase, a, b, row_number() OVER (PARTITION BY s.lang ORDER BY b.score DESC, a DESC, encode(s.phrase)) AS rank
+  FROM s LEFT JOIN i ON i.lang = s.lang AND i.phrase = s.phrase WHERE longest IS NULL OR 100 * longest < 80 * a)
+ SELECT r.lang, rank, phrase, a, b.l AS l, b.r AS r, n, b.score AS score FROM r JOIN t ON t.lang = r.lang WHERE rank <= 2000"""
+
+
 def _op11(entries: int = 16, parts: int = 8, rounds: int = 6) -> str:
     """k-means of the parts in whole numbers, a few views for each round; every sum fits in 64 bits on the given tables."""
     steps = [
@@ -54,4 +70,4 @@ def _op11(entries: int = 16, parts: int = 8, rounds: int = 6) -> str:
 
 
 #: By query. OP4 builds the CRC-32 table from its rule; OP7 reads the article by its tags, where the operator infers wrappers.
-ORACLES = {"op4_sharding": OP4, "op6_fingerprints": OP6, "op7_html_text": OP7, "op11_vector_codes": _op11()}
+ORACLES = {"op4_sharding": OP4, "op6_fingerprints": OP6, "op7_html_text": OP7, "op11_vector_codes": _op11(), "op12_collocations": OP12}
