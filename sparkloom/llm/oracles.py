@@ -69,5 +69,29 @@ def _op11(entries: int = 16, parts: int = 8, rounds: int = 6) -> str:
  SELECT vec_id, k.label, code, error, sum(error) OVER (PARTITION BY k.label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h"""
 
 
+def _op13() -> str:
+    """Every rule over every text: a lazy gap before each match gives the matches' places."""
+    from sparkloom.llm.secret_scans import BASE, MORE
+
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    keys = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = f"({keys})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    each = []
+    for rank, rule in enumerate(BASE + MORE):
+        pattern = (assign if rule.kind == "assign" else rule.pattern).replace("'", "''")
+        sizes = lambda g, p=pattern: f"list_transform(regexp_extract_all(text, '(?s:(.*?))({p})', {g}), lambda x: length(x))"
+        each.append(
+            f"SELECT id, {rank} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, {sizes(1)} AS gap, {sizes(2)} AS whole, {sizes(rule.group + 2)} AS part FROM d"
+        )
+    return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+ m AS ({' UNION ALL '.join(each)}),
+ x AS (SELECT id, rank, kind, least, part[i] AS part, list_sum(gap[1:i])::BIGINT + coalesce(list_sum(whole[1:i - 1])::BIGINT, 0) AS b, whole[i] AS n FROM m, unnest(range(1, len(gap) + 1)) t(i)),
+ s AS (SELECT id, rank, b, kind || ':' || b || ':' || (b + n) AS span FROM x WHERE part >= least),
+ g AS (SELECT id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY b, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY b, rank) AS spans FROM s GROUP BY 1)
+ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+ coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.id = d.id"""
+
+
 #: By query. OP4 builds the CRC-32 table from its rule; OP7 reads the article by its tags, where the operator infers wrappers.
-ORACLES = {"op4_sharding": OP4, "op6_fingerprints": OP6, "op7_html_text": OP7, "op11_vector_codes": _op11(), "op12_collocations": OP12}
+ORACLES = {"op4_sharding": OP4, "op6_fingerprints": OP6, "op7_html_text": OP7, "op11_vector_codes": _op11(), "op12_collocations": OP12, "op13_secret_scans": _op13()}

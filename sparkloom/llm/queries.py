@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat, collocations, decontamination, fingerprints, html_text, packing, quality, sharding, simhash, token_counts, toxicity, vector_codes
+from sparkloom.llm import chat, collocations, decontamination, fingerprints, html_text, packing, quality, secret_scans, sharding, simhash, token_counts, toxicity, vector_codes
 from sparkloom.llm.oracles import ORACLES
 
 #: Contract of op4: shards 0 to 39, equal weights.
@@ -72,8 +72,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.secret_table(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_quality, op2_decontamination, op3_simhash, op4_sharding, op5_toxicity, op6_fingerprints, op7_html_text, op8_packing, op9_chat, op10_token_counts, op11_vector_codes, op12_collocations)
+    each = (op1_quality, op2_decontamination, op3_simhash, op4_sharding, op5_toxicity, op6_fingerprints, op7_html_text, op8_packing, op9_chat, op10_token_counts, op11_vector_codes, op12_collocations, op13_secret_scans)
     return {f.__name__: f for f in each}
 
 
