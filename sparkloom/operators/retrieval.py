@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import lexical, ranking, vectors
+from sparkloom.operators import lexical, ranking, segments, vectors
+from sparkloom.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -51,20 +52,25 @@ def hybrid(semantic: DataFrame, lexical_hits: DataFrame, query_key: str, key: st
     return lexical.best(ranked.withColumn("score", score).select(query_key, key, "score"), query_key, key, n, 8)
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, plan: Plan, doc_key: str, query_key: str, text: str = "text", vector: str = "vector", search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def retrieve(
+    docs: DataFrame, queries: DataFrame, plan: Plan, doc_key: str, query_key: str, text: str = "text", vector: str = "vector",
+    search: Callable[[DataFrame, int], DataFrame] | None = None, index: segments.Index | None = None,
+) -> DataFrame:
     """query_key, doc_key, score, rank. Steps apply per query: fusion only where there are over ``hybrid_over`` candidates, rerank over ``rerank_over``.
 
     ``search(queries, k)`` may take the place of the exact vector search: it gives query_key, doc_key, score, rank of at most k rows a query; filters go into it.
+    ``index`` is a stored one of ``docs``; without one it is built, which reads the texts once. Hits are written once and read by all steps.
     """
     found = search(queries, plan.candidates) if search else vectors.top_k(docs, queries, doc_key, vector, query_key, vector, plan.candidates)
     if plan.strategy == "basic":
         return found.where(F.col("rank") <= plan.results).select(query_key, doc_key, "score", "rank")
+    found = staged(found.select(query_key, doc_key, "score", "rank"), "hits")
     many = found.withColumn("__n", F.count("*").over(Window.partitionBy(query_key)))
     asked = queries.join(many.where(F.col("__n") > plan.hybrid_over).select(query_key).distinct(), query_key, "left_semi")
-    words = lexical.best(lexical.bm25(docs, asked, doc_key, query_key, text), query_key, doc_key, plan.candidates)
+    words = (index or segments.build(docs, doc_key, text)).search(asked, query_key, doc_key, plan.candidates, text)
     fused = hybrid(many.join(asked.select(query_key), query_key, "left_semi"), words, query_key, doc_key, plan.weights, plan.fused)
     few = many.where(F.col("__n") <= plan.hybrid_over).select(query_key, doc_key, "score", "rank")
-    found = fused.select(query_key, doc_key, "score", "rank").unionByName(few)
+    found = staged(fused.select(query_key, doc_key, "score", "rank").unionByName(few), "fused")
     if plan.strategy == "hybrid":
         return found.where(F.col("rank") <= plan.results)
     counted = found.withColumn("__n", F.count("*").over(Window.partitionBy(query_key)))

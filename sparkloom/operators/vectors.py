@@ -1,4 +1,4 @@
-"""Vector retrieval for many queries at once: exact by block products, approximate by cells."""
+"""Vector retrieval for many queries at once, exact by block products (``cells`` has the approximate one)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.lexical import best
+from sparkloom.operators.lexical import best, terms
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,52 +72,10 @@ def _blocks(queries: DataFrame, size: int):
         yield block
 
 
-class CellIndex:
-    """Rows dealt to the cells of k-means centres; a query looks into its ``probe`` nearest cells.
-
-    The centres are fitted on a sample of at most ``sample`` rows; every row is indexed.
-    """
-
-    def __init__(self, df: DataFrame, key: str, vector: str, cells: int = 16, sample: int = 20_000, seed: int = 42):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        unit = F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(F.col(vector), F.col(vector))))
-        self.key, self.rows = key, df.select(F.col(key), F.col(vector).alias("vector"))
-        drawn = df.orderBy(F.xxhash64(F.col(key))).limit(sample).select(array_to_vector(unit).alias("features"))
-        self.centres = KMeans(k=cells, seed=seed, maxIter=20).fit(drawn).clusterCenters()
-        self.rows = self.rows.withColumn("cell", self._nearest(1)("vector")[0])
-
-    def _nearest(self, n: int):
-        centres = np.array(self.centres)
-
-        @F.pandas_udf("array<int>")
-        def nearest(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_list()).astype(np.float64) if len(vectors) else np.zeros((0, centres.shape[1]))
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-            far = (centres**2).sum(1)[None] - 2 * x @ centres.T
-            return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :n].astype(np.int32)))
-
-        return nearest
-
-    def search(self, queries: DataFrame, query_key: str, query_vector: str, k: int, probe: int = 10) -> DataFrame:
-        asked = queries.select(F.col(query_key), F.col(query_vector).alias("asked"), F.explode(self._nearest(probe)(query_vector)).alias("cell"))
-        pairs = asked.join(self.rows, "cell").withColumn("score", cosine(F.col("asked"), F.col("vector"), 0.0))
-        return best(pairs.select(query_key, self.key, "score"), query_key, self.key, k)
-
-
-def recall(found: DataFrame, exact: DataFrame, query_key: str, key: str) -> DataFrame:
-    """Share of the exact hits that were found."""
-    hit = exact.join(found.select(query_key, key, F.lit(1).alias("__hit")), [query_key, key], "left")
-    return hit.agg(F.count("*").alias("exact"), F.round(F.avg(F.coalesce("__hit", F.lit(0))), 4).alias("recall"))
-
-
 def hashed_vectors(docs: DataFrame, text: str, dimension: int = 64, out: str = "vector") -> DataFrame:
     """A deterministic stand-in for an embedding model: normalized counts of hashed terms."""
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    from sparkloom.operators.lexical import terms
-
     tf = HashingTF(numFeatures=dimension, inputCol="__terms", outputCol="__tf").transform(docs.withColumn("__terms", terms(F.coalesce(text, F.lit("")))))
     return Normalizer(inputCol="__tf", outputCol="__unit").transform(tf).withColumn(out, vector_to_array("__unit")).drop("__terms", "__tf", "__unit")

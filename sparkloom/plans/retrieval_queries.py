@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import classify, clusters, lexical, ranking, retrieval, vectors
+from sparkloom.operators import cells, classify, clusters, lexical, ranking, retrieval, segments, vectors
 from sparkloom.plans.registry import Registry, table
 
 R = Registry()
@@ -25,16 +25,16 @@ def _(spark, d):
 
 @R.add("r5_bm25_top10", f"WITH {_BM25} SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10")
 def bm25_top10(spark, d):
-    scored = lexical.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", pattern=PATTERN)
-    return lexical.best(scored, "item_id", "doc_id", 10)
+    index = segments.build(table(spark, d, "documents"), "doc_id", pattern=PATTERN)
+    return index.search(table(spark, d, "benchmark"), "item_id", "doc_id", 10)
 
 
 @R.add("r6_bm25_plain", f"""WITH {_TERMS}, g AS (SELECT avg(length(text)) AS avgdl FROM documents),
  s AS (SELECT item_id, doc_id, round(sum(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length(text) / avgdl))), 6) AS score FROM (SELECT DISTINCT item_id, term FROM q) JOIN p USING (term) JOIN documents USING (doc_id), g GROUP BY 1, 2)
  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""")
 def _(spark, d):
-    scored = lexical.bm25_plain(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", pattern=PATTERN)
-    return lexical.best(scored, "item_id", "doc_id", 10)
+    index = segments.build(table(spark, d, "documents"), "doc_id", pattern=PATTERN)
+    return index.search(table(spark, d, "benchmark"), "item_id", "doc_id", 10, plain=True)
 
 
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"
@@ -60,8 +60,7 @@ def _(spark, d):
 @R.add("r3_cell_recall")
 def _(spark, d):
     v = table(spark, d, "embeddings")
-    exact = vectors.top_k(v, _asked(v), "vec_id", "embedding", "query_id", "asked", 10)
-    return vectors.recall(vectors.CellIndex(v, "vec_id", "embedding").search(_asked(v), "query_id", "asked", 10), exact, "query_id", "vec_id")
+    return cells.CellIndex(v, "vec_id", "embedding").report(_asked(v), "query_id", "asked", 10)
 
 
 @R.add("c12_collection_info", "SELECT count(*) AS count, max(len(embedding)) AS dimension, min(len(embedding)) = max(len(embedding)) AS uniform FROM embeddings")
