@@ -17,31 +17,53 @@ are those of ASCII alone. Only ``text`` and ``lang`` are read, so other columns
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import count
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import by_bytes, staged
+from sparkloom.llm.common import by_bytes, ragged, staged
 
 LONGEST = 4  # words of a phrase
 SHARED = LONGEST - 1  # words that neighbouring chunks share
 BITS = 27  # of the bitmap's size
 _SEP, _DOC = b"\xff", b"\xfe"  # never in UTF-8
-_CLEAN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + _SEP * 10)
+_CLEAN = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + b" " + _SEP * 10)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29))
 
+# Hashes of words and phrases: they place triggers and prune; what is counted as one phrase is compared byte by byte
 
-class Numbers(defaultdict):
-    """Numbers from 0 for what is looked up, in the order of the first look."""
 
-    def __init__(self) -> None:
-        super().__init__(count().__next__)
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, 1 << size of each."""
+    base = int(_MIX[0])
+    return tuple(np.cumprod(np.full(1 << size, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def _values() -> np.ndarray:
+    values = np.arange(1, 257, dtype=np.uint64)
+    values[[32, 254, 255]] = 0
+    return values
+
+
+_VALUE = _values()
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a buffer that begin at ``starts``, each up to the next one's start without spaces: a polynomial of its bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(max(16, int(len(data)).bit_length()))
+    h = np.add.reduceat(_VALUE[data] * up[: len(data)], starts) * down[starts]
+    h ^= h >> _MIX[2]
+    return h * _MIX[1]
 
 
 def _joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -51,49 +73,41 @@ def _joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x * _MIX[1]
 
 
-def _word_hashes(words: list[bytes], langs: list[str] | None = None) -> np.ndarray:
-    if langs is None:
-        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return np.array([xxhash.xxh64_intdigest(w, xxhash.xxh32_intdigest(lang)) for w, lang in zip(words, langs, strict=True)], np.uint64)
-
-
 # Chunks of texts
 
 
-def chunks(texts: list[str], every: int) -> Iterator[tuple[int, bytes, bool]]:
+def chunks(texts: list[str], every: int) -> list[tuple[int, bytes, bool]]:
     """(number of the text, words of the chunk with spaces between, whether it is its piece's last) of all texts."""
-    tokens = (b" " + _DOC + b" ").join(t.encode().translate(_CLEAN).replace(_SEP, b" \xff ") for t in texts).split()
-    numbers = Numbers()
-    stop, document = numbers[_SEP], numbers[_DOC]
-    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    text = np.cumsum(ids == document)
-    cuts = np.concatenate(([-1], np.flatnonzero((ids == stop) | (ids == document)), [len(ids)]))
-    begins, ends = cuts[:-1] + 1, cuts[1:]
-    begins, ends = begins[ends > begins], ends[ends > begins]
-    if not len(begins):
-        return
-    hashes = _word_hashes(list(numbers))[ids]
-    inside = np.zeros(len(ids), bool)  # where a window of shared words starts, not at its piece's start
-    room = ends - begins > SHARED
-    piece = np.repeat(np.arange(len(begins)), ends - begins)
-    at = _runs(begins, ends)
-    inside[at] = room[piece] & (at > begins[piece]) & (at + SHARED <= ends[piece])
+    raw = (b" " + _DOC + b" ").join(t.encode().translate(_CLEAN).replace(_SEP, b" \xff ") for t in texts)
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    raw = raw.strip(b" ")
+    data = np.frombuffer(raw, np.uint8)
+    if not len(data):
+        return []
+    starts = np.concatenate(([0], np.flatnonzero(data == 32) + 1))
+    ends = np.append(starts[1:] - 1, len(data))
+    kind = data[starts]
+    text = np.cumsum(kind == _DOC[0])
+    cuts = np.concatenate(([-1], np.flatnonzero(kind >= _DOC[0]), [len(starts)]))
+    first, beyond = cuts[:-1] + 1, cuts[1:]
+    first, beyond = first[beyond > first], beyond[beyond > first]
+    if not len(first):
+        return []
+    sizes = beyond - first
+    inside = np.zeros(len(starts), bool)  # where a window of shared words starts, not at its piece's start
+    at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    inside[at] = (at > np.repeat(first, sizes)) & (at + SHARED <= np.repeat(beyond, sizes))
+    hashes = _word_hashes(data, starts)
     window = hashes.copy()
     for k in range(1, SHARED):
         window[:-k] = _joined(window[:-k], hashes[k:])
-    triggers = np.flatnonzero(inside & (window % np.uint64(every) == 0))
-    starts = np.sort(np.concatenate((begins, triggers)))
-    of = np.searchsorted(begins, starts, "right") - 1
-    last = np.append(of[1:] != of[:-1], True)
-    stops = np.where(last, ends[of], np.append(starts[1:], 0) + SHARED)
-    for n, a, b, final in zip(text[starts].tolist(), starts.tolist(), stops.tolist(), last.tolist(), strict=True):
-        yield n, b" ".join(tokens[a:b]), final
-
-
-def _runs(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sizes = ends - begins
-    at = np.arange(sizes.sum())
-    return at + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+    begins = np.sort(np.concatenate((first, np.flatnonzero(inside & (window % np.uint64(every) == 0)))))
+    piece = np.searchsorted(first, begins, "right") - 1
+    last = np.append(piece[1:] != piece[:-1], True)
+    stops = np.where(last, beyond[piece], np.append(begins[1:], 0) + SHARED)
+    cut = [raw[a:b] for a, b in zip(starts[begins].tolist(), ends[stops - 1].tolist(), strict=True)]
+    return list(zip(text[begins].tolist(), cut, last.tolist(), strict=True))
 
 
 def _chunked(every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -101,17 +115,15 @@ def _chunked(every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for whole in batches:
             for batch in by_bytes(whole, whole.schema.get_field_index("text")):
                 langs = batch.column("lang").to_pylist()
-                found: defaultdict[tuple[str, bytes, bool], int] = defaultdict(int)
-                for n, chunk, last in chunks(batch.column("text").to_pylist(), every):
-                    found[langs[n], chunk, last] += 1
-                rows = list(found)
-                columns = [[r[0] for r in rows], [r[1].decode() for r in rows], [r[2] for r in rows], list(found.values())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CHUNKS.types, strict=True)], schema=_CHUNKS)
+                found = Counter((langs[n], chunk, last) for n, chunk, last in chunks(batch.column("text").to_pylist(), every))
+                columns = [*(zip(*found, strict=True) if found else ((), (), ())), found.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t).cast(k) for c, t, k in zip(columns, _AS, _CHUNKS.types, strict=True)], schema=_CHUNKS)
 
     return run
 
 
 _CHUNKS = pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("last", pa.bool_()), ("n", pa.int64())])
+_AS = (pa.string(), pa.binary(), pa.bool_(), pa.int64())
 
 
 def parsed(docs: DataFrame, every: int = 16) -> DataFrame:
@@ -123,67 +135,100 @@ def parsed(docs: DataFrame, every: int = 16) -> DataFrame:
 # Phrases of chunks
 
 
+class Texts:
+    """Strings of words with single spaces between, in one buffer: where words start and end, whose they are, their hashes with the language."""
+
+    def __init__(self, strings: pa.Array, langs: pa.Array):
+        offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+        self.data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets -= offsets[0]
+        self.starts = np.sort(np.concatenate((offsets[:-1], np.flatnonzero(self.data == 32) + 1)))
+        self.first = np.searchsorted(self.starts, offsets)
+        self.lengths = np.diff(self.first)
+        self.ends = np.append(self.starts[1:], len(self.data)) - 1
+        self.ends[self.first[1:] - 1] += 1
+        coded = langs.dictionary_encode()
+        self.langs, self.code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        salts = np.array([xxhash.xxh64_intdigest(x.encode()) for x in self.langs.to_pylist()], np.uint64)
+        self.hashes = _joined(_word_hashes(self.data, self.starts), np.repeat(salts[self.code], self.lengths))
+
+    def joined(self, n: int) -> np.ndarray:
+        """Hashes of the n words from each word on, whether or not they are of one string."""
+        h = self.hashes
+        for k in range(1, n):
+            h = _joined(h[:-1], self.hashes[k:])
+        return h
+
+
 def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def phrases(rows: list[tuple[str, bytes, bool, int]], n: int, bits: np.ndarray | None) -> Iterator[tuple[str, bytes, int]]:
-    """(language, phrase, number of occurrences) of the phrases of n words in chunks, without those that have a part outside ``bits``."""
-    split = [r[1].split(b" ") for r in rows]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    tokens = [w for words in split for w in words]
-    langs, numbers = Numbers(), Numbers()
-    lang = np.repeat(np.fromiter((langs[r[0]] for r in rows), np.int64, len(rows)), lengths)
-    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    # A word of a language: its number here, and its hash.
-    keys, word = np.unique(ids * len(langs) + lang, return_inverse=True)
-    spelled, spoken = list(numbers), list(langs)
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    shared = np.repeat(np.where([r[2] for r in rows], 0, SHARED), lengths)
-    at = np.arange(len(ids))
-    starts = (at + n <= ends) & (at < ends - shared)
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the bytes at a and at b are the same, ``size`` of them each; eight at a time."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    part = a != b
+    a, b, size = a[part], b[part], size[part]
+    while len(a):
+        unread = (np.maximum(0, 8 - size) * 8).astype(np.uint64)  # bits beyond the end
+        if ((eights[a] ^ eights[b]) << unread).any():
+            return False
+        part = size > 8
+        a, b, size = a[part] + 8, b[part] + 8, size[part] - 8
+    return True
+
+
+def phrases(strings: pa.Array, langs: pa.Array, last: np.ndarray, times: np.ndarray, n: int, bits: np.ndarray | None) -> pa.RecordBatch:
+    """lang, phrase, f of the phrases of n words in chunks (each occurs ``times`` times), without those that have a part outside ``bits``."""
+    t = Texts(strings, langs)
+    row = np.repeat(np.arange(len(strings)), t.lengths)
+    at = np.arange(len(row))
+    room = t.first[1:][row] - at  # words from here on
+    good = (room >= n) & (room > np.where(last, 0, SHARED)[row])
     if n > 1:
-        hashes = _word_hashes([spelled[k // len(langs)] for k in keys.tolist()], [spoken[k % len(langs)] for k in keys.tolist()])[word]
-        h = hashes
-        for k in range(1, n - 1):
-            h = _joined(h[:-1], hashes[k:])
-        good = _known(bits, h)
-        starts[: max(0, len(good) - 1)] &= good[:-1] & good[1:]
-    at = np.flatnonzero(starts)
-    code = word[at]
-    for k in range(1, n):
-        _, code = np.unique(code * len(keys) + word[at + k], return_inverse=True)
-    if not len(at):
-        return
-    order = np.argsort(code, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
-    times = np.repeat(np.fromiter((r[3] for r in rows), np.int64, len(rows)), lengths)[at]
-    sums = np.add.reduceat(times[order], first)
-    for p, f in zip(at[order[first]].tolist(), sums.tolist(), strict=True):
-        yield spoken[lang[p]], b" ".join(tokens[p : p + n]), f
+        alive = _known(bits, t.joined(n - 1))
+        good[: max(0, len(alive) - 1)] &= alive[:-1] & alive[1:]
+    at = np.flatnonzero(good)
+    h = t.joined(n)[at]
+    order = np.argsort(h)
+    at, h = at[order], h[order]
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    begin, size, lang = t.starts[at], t.ends[at + n - 1] - t.starts[at], t.code[row[at]]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]  # the first of the same hash
+    if not (np.array_equal(size, size[head]) and np.array_equal(lang, lang[head]) and _equal(t.data, begin, begin[head], size)):
+        # Different phrases of one hash: grouped by what they are.
+        spelled: dict = {}
+        group = np.array([spelled.setdefault((x, t.data[b : b + s].tobytes()), len(spelled)) for x, b, s in zip(lang.tolist(), begin.tolist(), size.tolist(), strict=True)], np.int64)
+        order = np.argsort(group, kind="stable")
+        at, begin, size, lang = at[order], begin[order], size[order], lang[order]
+        new = np.append(True, np.diff(group[order]) != 0)
+    where = np.flatnonzero(new)
+    sums = np.add.reduceat(times[row[at]], where) if len(where) else np.zeros(0, np.int64)
+    offsets = np.concatenate(([0], np.cumsum(size[where]))).astype(np.int32)
+    text = pa.StringArray.from_buffers(len(where), pa.py_buffer(offsets), pa.py_buffer(ragged(t.data, begin[where], size[where])))
+    return pa.RecordBatch.from_arrays([t.langs.take(pa.array(lang[where])), text, pa.array(sums, pa.int64())], schema=_COUNTS)
 
 
 def _counted(n: int, bits, bytes_at_once: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Phrases of n words of a task's chunks, added up over some megabytes of chunks at a time."""
 
-    def out(rows: list) -> pa.RecordBatch:
-        found = list(phrases(rows, n, bits.value if bits else None))
-        columns = [[r[0] for r in found], [r[1].decode() for r in found], [r[2] for r in found]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COUNTS.types, strict=True)], schema=_COUNTS)
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        chunk, lang, last, times = (pa.concat_arrays([b.column(c) for b in held]) for c in ("chunk", "lang", "last", "n"))
+        return phrases(chunk, lang, last.to_numpy(zero_copy_only=False), times.to_numpy(zero_copy_only=False), n, bits.value if bits else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        held, size = [], 0
         for whole in batches:
-            for batch in by_bytes(whole, whole.schema.get_field_index("chunk")):
-                texts = [c.encode() for c in batch.column("chunk").to_pylist()]
-                rows += zip(batch.column("lang").to_pylist(), texts, batch.column("last").to_pylist(), batch.column("n").to_pylist(), strict=True)
-                held += sum(map(len, texts))
-                if held >= bytes_at_once:
-                    yield out(rows)
-                    rows, held = [], 0
-        if rows:
-            yield out(rows)
+            for batch in by_bytes(whole, whole.schema.get_field_index("chunk"), bytes_at_once):
+                held.append(batch)
+                size += pc.sum(pc.binary_length(batch.column("chunk"))).as_py() or 0
+                if size >= bytes_at_once:
+                    yield out(held)
+                    held, size = [], 0
+        if size:
+            yield out(held)
 
     return run
 
@@ -191,22 +236,21 @@ def _counted(n: int, bits, bytes_at_once: int = 4 << 20) -> Callable[[Iterator[p
 _COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where phrases stand in the bitmap, counted from 1 as Spark's bitmaps do."""
-    for batch in batches:
-        langs, split = batch.column("lang").to_pylist(), [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
-        columns = [_word_hashes(list(words), langs) for words in zip(*split, strict=True)]
-        if not columns:
-            continue
-        h = columns[0]
-        for more in columns[1:]:
-            h = _joined(h, more)
-        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - BITS)).astype(np.int64) + 1)], ["place"])
+def _places(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Where phrases of n words stand in the bitmap, counted from 1 as Spark's bitmaps do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h = Texts(batch.column("phrase"), batch.column("lang")).joined(n)[::n]
+                yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - BITS)).astype(np.int64) + 1)], ["place"])
+
+    return run
 
 
-def _bitmap(frequent: DataFrame):
-    """A broadcast bitmap of 2^BITS bits of the phrases (all of one length); it comes to the driver in blocks of 4 KB, 16 MB in all."""
-    places = frequent.select("lang", "phrase").mapInArrow(_places, "place long")
+def _bitmap(frequent: DataFrame, n: int):
+    """A broadcast bitmap of 2^BITS bits of phrases of n words; it comes to the driver in blocks of 4 KB, 16 MB in all."""
+    places = frequent.select("lang", "phrase").mapInArrow(_places(n), "place long")
     blocks = places.groupBy(F.expr("bitmap_bucket_number(place)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
     bits = np.zeros(1 << BITS - 3, np.uint8)
     for r in blocks.collect():
@@ -221,7 +265,7 @@ def frequencies(docs: DataFrame, least: int = 30, every: int = 16) -> tuple[list
     words = staged(dictionary.mapInArrow(_counted(1, None), _DDL).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "words")
     found = [words.where(F.col("f") >= least)]
     for n in range(2, LONGEST + 1):
-        bits = _bitmap(found[-1])
+        bits = _bitmap(found[-1], n - 1)
         counted = dictionary.mapInArrow(_counted(n, bits), _DDL).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         found.append(staged(counted.where(F.col("f") >= least), f"phrases{n}"))
         bits.unpersist()

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import collocations
@@ -58,6 +59,15 @@ def found(spark, rows, **settings):
     return set(got)
 
 
+def totals(chunks, m):
+    langs, texts, last = zip(*chunks, strict=True)
+    times = np.array(list(chunks.values()))
+    rows = collocations.phrases(pa.array([c.decode() for c in texts]), pa.array(langs), np.array(last), times, m, ALL).to_pylist()
+    got = {(r["lang"], r["phrase"]): r["f"] for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
 def invented(seed, texts=40, words=9):
     rng = random.Random(seed)
     vocabulary = ["Of", "the", "sea", "çA", "ß", "A", "to", "'s", "中文", "x y"][:words]
@@ -74,10 +84,20 @@ def test_each_phrase_is_counted_once(every):
         chunks["und" if rows[n][0] is None else rows[n][0], chunk, last] += 1
     want = counted(rows)
     for m in range(1, 5):
-        got = {(lang, p.decode()): c for lang, p, c in collocations.phrases([(*k, v) for k, v in chunks.items()], m, ALL)}
+        got = totals(chunks, m)
         assert got == {(lang, " ".join(p)): c for lang, by in want[m].items() for p, c in by.items()}
 
 
+def test_phrases_of_one_hash_stay_apart(monkeypatch):
+    chunks = Counter()
+    rows = list(invented(9))
+    for n, chunk, last in collocations.chunks([t for _, t in rows], 5):
+        chunks["und" if rows[n][0] is None else rows[n][0], chunk, last] += 1
+    want = [totals(chunks, m) for m in range(1, 5)]
+    monkeypatch.setattr(collocations, "_joined", lambda h, word: np.zeros_like(h))
+    assert [totals(chunks, m) for m in range(1, 5)] == want
+
+
 def test_equal_passages_give_equal_chunks():
     rng = random.Random(3)
     passage = " ".join(f"w{rng.randrange(50)}" for _ in range(400))
