@@ -67,11 +67,6 @@ def attached_files(attachments: DataFrame, files: DataFrame, name: str, path: st
     return attachments.join(found, attachments[name].eqNullSafe(found["__name"]), "left").drop("__name")
 
 
-def keyword_hits(docs: DataFrame, text: str, keywords: DataFrame, word: str) -> DataFrame:
-    """Documents with each keyword that their text contains (any case). ``keywords`` is a dictionary; Spark broadcasts it if it is small enough."""
-    return docs.withColumn("__text", F.lower(text)).join(keywords, F.col("__text").contains(F.lower(word))).drop("__text")
-
-
 def linked(left: DataFrame, right: DataFrame, blocks: list[tuple[Column, Column]], score: Column, left_id: str, right_id: str, at_least: float) -> DataFrame:
     """Pairs that share a blocking key, scored once each, and of every left row the best of at least ``at_least``.
 

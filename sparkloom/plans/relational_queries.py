@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import filters, joins, ranking, stats
+from sparkloom.operators import filters, joins, keywords, ranking, stats
 from sparkloom.plans.registry import Registry, table
 
 R = Registry()
@@ -220,7 +220,16 @@ def _(spark, d):
 
 @R.add("j13_keyword_hits", "SELECT doc_id, word FROM documents JOIN (VALUES ('idiot'), ('License'), ('token')) k(word) ON contains(lower(text), lower(word))")
 def _(spark, d):
-    return joins.keyword_hits(table(spark, d, "documents"), "text", spark.createDataFrame([("idiot",), ("License",), ("token",)], "word string"), "word").select("doc_id", "word")
+    return keywords.keyword_hits(table(spark, d, "documents"), "text", spark.createDataFrame([("idiot",), ("License",), ("token",)], "word string"), "word").select("doc_id", "word")
+
+
+_LONG_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS word FROM benchmark"
+
+
+@R.add("j13_benchmark_words", f"SELECT doc_id, word FROM documents JOIN ({_LONG_WORDS}) ON contains(lower(text), lower(word))")
+def _(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), 0)).alias("word")).distinct()
+    return keywords.keyword_hits(table(spark, d, "documents").select("doc_id", "text"), "text", words, "word").select("doc_id", "word")
 
 
 @R.add("j14_change_counts", """SELECT n_name, count(DISTINCT c_custkey) AS boards, count(o_orderkey) AS changes FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey GROUP BY 1""")

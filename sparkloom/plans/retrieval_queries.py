@@ -202,29 +202,44 @@ def _(spark, d):
     return scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.7 * F.coalesce("good", F.lit(0.0)) + 0.3 * (1 - F.coalesce("bad", F.lit(0.0)))))).orderBy(F.desc("score"), "cluster")
 
 
-_TYPES = {"law": ["license", "apache"], "secret": ["token", "key ="], "insult": ["idiot", "clown", "moron"]}
-_TAGS = {"phone": ["555-"], "mail": ["@"], "table": [" | "]}
-_DEPTHS = {"deep": ["therefore", "theand"], "plain": ["the "]}
+_BY = classify.Dictionary(
+    types={"law": ["license", "apache"], "secret": ["token", "key ="], "insult": ["idiot", "clown", "moron"]},
+    sectors={"phone": ["555-"], "mail": ["@"], "table": [" | "]},
+    depths={"agency": ["1"], "local": ["2", "3"]},
+    phases={"deep": ["therefore", "theand"], "plain": ["the ", " en "], "short": ["site"]},
+)
 
 
-def _count(words):
-    return " + ".join(f"contains(lower(text), '{w}')::INT" for w in words)
+def _classes(groups, text):
+    """What each group has in a text, in SQL: how many of its words."""
+    return {g: " + ".join(f"contains({text}, '{w}')::INT" for w in words) for g, words in groups.items()}
 
 
-_CLASS = f"""WITH n AS (SELECT doc_id, text, source, {', '.join(f'({_count(w)}) AS {t}' for t, w in _TYPES.items())}, list_filter([{', '.join(f"CASE WHEN {_count(w)} > 0 THEN '{t}' END" for t, w in _TAGS.items())}], lambda x: x IS NOT NULL) AS tags FROM documents),
- c AS (SELECT *, CASE WHEN greatest(law, secret, insult) = 0 THEN 'other' WHEN law = greatest(law, secret, insult) THEN 'law' WHEN secret = greatest(law, secret, insult) THEN 'secret' ELSE 'insult' END AS type,
- CASE WHEN {_count(_DEPTHS['deep'])} > 0 THEN 'deep' WHEN {_count(_DEPTHS['plain'])} > 0 THEN 'plain' END AS depth, round(least(1.0, (greatest(law, secret, insult) + len(tags)) / 5), 6)::DOUBLE AS confidence FROM n)"""
+def _first(groups, text, default):
+    return "CASE " + " ".join(f"WHEN {n} > 0 THEN '{g}'" for g, n in _classes(groups, text).items()) + f" ELSE {default} END"
+
+
+_MOST = "greatest(" + ", ".join(_BY.types) + ")"
+_CLASS = f"""WITH x AS (SELECT doc_id, source, concat(source, ' ', lang, ' ', text) AS t FROM documents),
+ n AS (SELECT doc_id, source, t, {', '.join(f'{n} AS {g}' for g, n in _classes(_BY.types, 't').items())},
+  list_filter([{', '.join(f"CASE WHEN {n} > 0 THEN '{g}' END" for g, n in _classes(_BY.sectors, 't').items())}], lambda s: s IS NOT NULL) AS found FROM x),
+ s AS (SELECT *, CASE WHEN len(found) = 0 THEN ['general'] ELSE found END AS sectors FROM n),
+ c AS (SELECT doc_id, CASE WHEN {_MOST} = 0 THEN 'other' {' '.join(f"WHEN {g} = {_MOST} THEN '{g}'" for g in _BY.types)} END AS type, sectors,
+  {_first(_BY.depths, 'source', "'headquarters'")} AS depth, {_first(_BY.phases, 't', 'NULL')} AS phase, round(least(1.0, ({_MOST} + len(sectors)) / 5), 6)::DOUBLE AS confidence,
+  list_filter([{', '.join(f"CASE WHEN contains(t, '{w}') THEN '{w}' END" for g in (_BY.types, _BY.sectors) for ws in g.values() for w in ws)}], lambda w: w IS NOT NULL)[1:10] AS keywords FROM s)"""
 
 
 def _classified(spark, d):
-    return table(spark, d, "documents").select("doc_id", classify.classify(F.col("text"), _TYPES, _TAGS, _DEPTHS).alias("c")).select("doc_id", "c.*")
+    found = classify.classified(table(spark, d, "documents"), "text", "source", "lang", _BY)
+    return found.select("doc_id", "classified.*").withColumn("confidence", F.round("confidence", 6))
 
 
-@R.add("c33_classified", f"{_CLASS} SELECT doc_id, type, array_to_string(tags, ',') AS tags, depth, confidence FROM c")
+@R.add("c33_classified", f"{_CLASS} SELECT doc_id, type, array_to_string(sectors, ',') AS sectors, depth, phase, confidence, array_to_string(keywords, ',') AS keywords FROM c")
 def _(spark, d):
-    return _classified(spark, d).select("doc_id", "type", F.array_join("tags", ",").alias("tags"), "depth", F.round("confidence", 6).alias("confidence"))
+    return _classified(spark, d).withColumns({c: F.array_join(c, ",") for c in ("sectors", "keywords")})
 
 
-@R.add("a20_classification_stats", f"{_CLASS} SELECT type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, sum(len(tags))::BIGINT AS tags FROM c GROUP BY 1")
+@R.add("a20_classification_stats", f"{_CLASS} SELECT type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, sum(len(sectors))::BIGINT AS tags FROM c GROUP BY 1")
 def _(spark, d):
-    return _classified(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg(F.round("confidence", 6)), 6).alias("mean_confidence"), F.sum(F.size("tags")).alias("tags"))
+    found = _classified(spark, d).groupBy("type")
+    return found.agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.sum(F.size("sectors")).alias("tags"))
