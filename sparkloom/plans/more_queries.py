@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import pages, repair, table_functions, text
-from sparkloom.operators import classify, clusters, joins, lexical, ranking, retrieval, tables, vectors
+from sparkloom.operators import classify, clusters, joins, lexical, linkage, ranking, retrieval, tables, vectors
 from sparkloom.plans.registry import Registry, table
 
 R = Registry()
@@ -219,3 +219,38 @@ def _(spark, d):
 def _(spark, d):
     codes = spark.createDataFrame([("ECO",), ("PRO",), ("STA",)], "code string")
     return joins.prefix_join(table(spark, d, "part"), codes, "p_type", "code").groupBy("code").agg(F.count("*").alias("n"))
+
+
+# Endpoints of parts: names, base names and targets that some rows share; every second row is described on either side.
+_ENDPOINTS = """WITH e AS (SELECT p_partkey AS id, CASE WHEN p_size % 7 > 0 THEN '/api/' || lower(p_type) || '/' || replace(p_brand, '#', '') || p_size || '.do' END AS path,
+  p_name || CASE WHEN p_partkey % 4 < 3 THEN ' ' || p_brand || ' ' || p_size ELSE '' END AS name, CASE WHEN p_partkey % 3 = 0 THEN '{"target":"' || p_type || p_size || p_brand || '"}' END AS params,
+  CASE WHEN p_partkey % 5 = 0 THEN [p_type, p_name] ELSE [] END AS fields FROM part),
+ f AS (SELECT *, params::JSON->>'$.target' AS target, lower(name) AS low, replace(regexp_extract(path, '[^/]*$'), '.do', '') AS base FROM e)"""
+_WORDS = ["bolt", "gear", "ring", "small", "hot", "brand"]
+_POINTS = """(CASE WHEN l.path = r.path THEN 100 ELSE 0 END + CASE WHEN l.base = r.base THEN 80 ELSE 0 END + CASE WHEN l.target = r.target THEN 50 ELSE 0 END + CASE WHEN l.name = r.name THEN 40 ELSE 0 END
+  + CASE WHEN contains(l.low, r.low) OR contains(r.low, l.low) THEN 20 ELSE 0 END + {words})""".format(words=" + ".join(f"CASE WHEN contains(l.low, '{w}') AND contains(r.low, '{w}') THEN 10 ELSE 0 END" for w in _WORDS))
+
+
+@R.add("j15_merged_endpoints", f"""{_ENDPOINTS},
+ a AS (SELECT * FROM f WHERE id % 2 = 0), b AS (SELECT * FROM f WHERE id % 2 = 1),
+ m AS (SELECT l.id, arg_max({{'id': r.id, 'score': {_POINTS}, 'path': r.path, 'params': r.params, 'fields': r.fields}}, ({_POINTS}, -r.id)) AS r FROM a l, b r WHERE {_POINTS} >= 30 GROUP BY 1),
+ g AS (SELECT l.id, l.name, coalesce(l.path, m.r.path) AS path, coalesce(l.params, m.r.params) AS params, CASE WHEN len(l.fields) > 0 THEN l.fields ELSE coalesce(m.r.fields, l.fields) END AS fields, m.r.id AS matched, m.r.score AS score FROM a l LEFT JOIN m ON m.id = l.id),
+ h AS (SELECT *, params::JSON->>'$.target' AS target, lower(name) AS low, replace(regexp_extract(path, '[^/]*$'), '.do', '') AS base FROM g),
+ u AS (SELECT b.*, row_number() OVER (ORDER BY b.id) AS n FROM b WHERE id NOT IN (SELECT r.id FROM h l, b r WHERE {_POINTS} >= 50)),
+ e2 AS (SELECT r.n, list(l.n) FILTER ({_POINTS} >= 50) AS before FROM u r LEFT JOIN u l ON l.n < r.n GROUP BY 1),
+ k AS (WITH RECURSIVE k(n, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k.n + 1, CASE WHEN list_has_any(kept, coalesce(before, [])) THEN kept ELSE list_append(kept, k.n + 1) END FROM k JOIN e2 ON e2.n = k.n + 1)
+  SELECT unnest(arg_max(kept, n)) AS n FROM k)
+ SELECT id, name, path, params, array_to_string(fields, ',') AS fields, matched, score::INT AS score, false AS appended FROM h
+ UNION ALL SELECT id, name, path, params, array_to_string(fields, ','), NULL, NULL, true FROM u JOIN k USING (n)""")
+def _(spark, d):
+    size = F.col("p_size").cast("string")
+    every = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.when(F.col("p_size") % 7 > 0, F.concat(F.lit("/api/"), F.lower("p_type"), F.lit("/"), F.regexp_replace("p_brand", "#", ""), size, F.lit(".do"))).alias("path"),
+        F.concat("p_name", F.when(F.col("p_partkey") % 4 < 3, F.concat(F.lit(" "), "p_brand", F.lit(" "), size)).otherwise("")).alias("name"),
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('{"target":"'), "p_type", size, "p_brand", F.lit('"}'))).alias("params"),
+        F.when(F.col("p_partkey") % 5 == 0, F.array("p_type", "p_name")).otherwise(F.array().cast("array<string>")).alias("fields"),
+    )
+    by = linkage.Linkage(params="params", keywords=tuple(_WORDS))
+    found = linkage.merged(every.where("id % 2 = 0"), every.where("id % 2 = 1"), by, ("fields",), ("path", "params"))
+    return found.withColumn("fields", F.array_join("fields", ","))
