@@ -53,17 +53,23 @@ def _values() -> np.ndarray:
     return values
 
 
-_VALUE = _values()
+_VALUE, _WINDOW = _values(), 1 << 17
 
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes of the words of a buffer that begin at ``starts``, each up to the next one's start without spaces: a polynomial of its bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(max(16, int(len(data)).bit_length()))
-    h = np.add.reduceat(_VALUE[data] * up[: len(data)], starts) * down[starts]
-    h ^= h >> _MIX[2]
-    return h * _MIX[1]
+    """Hashes of the words of a buffer that begin at ``starts``, each up to the next one's start without spaces: a polynomial of its bytes.
+
+    In windows of 128 KB, so that little is held at a time; a longer word alone.
+    """
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        end = max(at + 1, int(starts.searchsorted(starts[at] + _WINDOW, "right")) - 1) if starts[-1] > starts[at] + _WINDOW else len(starts)
+        a, b = int(starts[at]), int(starts[end]) if end < len(starts) else len(data)
+        up, down = _powers(max(17, (b - a).bit_length()))
+        out[at:end] = np.add.reduceat(_VALUE[data[a:b]] * up[: b - a], starts[at:end] - a) * down[starts[at:end] - a]
+        at = end
+    out ^= out >> _MIX[2]
+    return out * _MIX[1]
 
 
 def _joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -113,7 +119,7 @@ def chunks(texts: list[str], every: int) -> list[tuple[int, bytes, bool]]:
 def _chunked(every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, whole.schema.get_field_index("text")):
+            for batch in by_bytes(whole, whole.schema.get_field_index("text"), 1 << 20):
                 langs = batch.column("lang").to_pylist()
                 found = Counter((langs[n], chunk, last) for n, chunk, last in chunks(batch.column("text").to_pylist(), every))
                 columns = [*(zip(*found, strict=True) if found else ((), (), ())), found.values()]
@@ -211,7 +217,7 @@ def phrases(strings: pa.Array, langs: pa.Array, last: np.ndarray, times: np.ndar
     return pa.RecordBatch.from_arrays([t.langs.take(pa.array(lang[where])), text, pa.array(sums, pa.int64())], schema=_COUNTS)
 
 
-def _counted(n: int, bits, bytes_at_once: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counted(n: int, bits, bytes_at_once: int = 2 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Phrases of n words of a task's chunks, added up over some megabytes of chunks at a time."""
 
     def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
