@@ -8,7 +8,7 @@ from sparkloom.operators import stats, vectors
 from sparkloom.plans.registry import Registry, table
 from sparkloom.sources import files, nested
 from sparkloom.sources.staging import fresh_path
-from sparkloom.streaming import ingest
+from sparkloom.streaming import ingest, progress, runs
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
@@ -95,8 +95,26 @@ def _(spark, d):
 
 @R.add("x1_stream_ingest", "SELECT substr(sha256(regexp_replace(url, '[?#].*$', '')), 1, 16) AS key, count(*) AS kept FROM (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages) GROUP BY 1")
 def _(spark, d):
+    return _ingested(spark, d)[0].groupBy("key").agg(F.count("*").alias("kept"))
+
+
+def _ingested(spark, d):
     key = F.substring(F.sha2(F.regexp_replace("url", "[?#].*$", ""), 256), 1, 16)
-    return ingest.ingest(ingest.source(spark, f"{d}/pages.parquet").select("page_id", "url"), key).groupBy("key").agg(F.count("*").alias("kept"))
+    return ingest.ingest(ingest.source(spark, f"{d}/pages.parquet").select("page_id", "url"), key)
+
+
+@R.add("x1_ingest_counts", """WITH u AS (SELECT count(*) AS seen, count(DISTINCT regexp_replace(url, '[?#].*$', '')) AS added FROM pages) SELECT seen, added, seen - added AS skipped FROM u""")
+def _(spark, d):
+    return _ingested(spark, d)[1].agg(*[F.sum(c).alias(c) for c in ("seen", "added", "skipped")])
+
+
+@R.add("x1_ingest_of_event_kinds", """WITH k AS (SELECT user_id || event_type AS key, user_id % 5 = 0 AS known FROM events)
+ SELECT count(*) AS seen, count(DISTINCT CASE WHEN NOT known THEN key END) AS added, count(*) - count(DISTINCT CASE WHEN NOT known THEN key END) AS skipped FROM k""")
+def _(spark, d):
+    key = F.concat(F.col("user_id").cast("string"), "event_type")
+    known = table(spark, d, "events").where("user_id % 5 = 0").select(key.alias("key")).distinct()
+    found = ingest.ingest(ingest.source(spark, f"{d}/events.parquet"), key, known, "ts", "60 days")[1]
+    return found.agg(*[F.sum(c).alias(c) for c in ("seen", "added", "skipped")])
 
 
 @R.add("x2_stream_timeline", "SELECT strftime(ts, '%Y-%m-%d') || ' 00:00' AS start, count(*) AS n FROM events GROUP BY 1")
@@ -110,10 +128,25 @@ def _(spark, d):
     return ingest.final_table(ingest.sliding_failures(ingest.source(spark, f"{d}/events.parquet"), "ts", F.col("event_type") == "error"))
 
 
-@R.add("x4_stream_stuck")
+# A run is stuck once the last event is more than two days after its limit.
+_RUNS = """WITH s AS (SELECT user_id AS key, ts FROM events WHERE event_type = 'view'), f AS (SELECT user_id AS key, ts FROM events WHERE event_type = 'purchase'), n AS (SELECT max(ts) - INTERVAL 2 DAY AS now FROM events),
+ e AS (SELECT s.key, s.ts, f.ts AS finish FROM s ASOF LEFT JOIN f ON s.key = f.key AND s.ts <= f.ts),
+ r AS (SELECT key, epoch_us(ts) AS started, CASE WHEN finish <= ts + INTERVAL 1 DAY THEN 'done' WHEN ts + INTERVAL 1 DAY < now THEN 'stuck' END AS status FROM e, n)"""
+
+
+def _runs(spark, d):
+    found = runs.stuck_runs(ingest.source(spark, f"{d}/events.parquet"), "user_id", "ts", F.col("event_type") == "view", F.col("event_type") == "purchase", 24 * 60)
+    return ingest.appended(found)
+
+
+@R.add("x4_stream_stuck", f"{_RUNS} SELECT key, status, count(*) AS n FROM r WHERE status IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    return _runs(spark, d).groupBy("key", "status").agg(F.count("*").alias("n"))
+
+
+@R.add("x4_stream_runs", f"{_RUNS} SELECT key, started, status FROM r WHERE status IS NOT NULL")
 def _(spark, d):
-    found = ingest.stuck_runs(ingest.source(spark, f"{d}/events.parquet"), "user_id", "ts", F.col("event_type") == "view", F.col("event_type") == "purchase", 24 * 60)
-    return ingest.appended(found).groupBy("key", "status").agg(F.count("*").alias("n"))
+    return _runs(spark, d).select("key", "started", "status")
 
 
 @R.add("x5_stream_embedding", "SELECT doc_id, 64 AS dimension FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -125,10 +158,8 @@ def _(spark, d):
 
 @R.add("x6_stream_progress", "SELECT count(*) AS processed, count(*) FILTER (event_type = 'error') AS failed, round(sum(value), 2) AS cost FROM events")
 def _(spark, d):
-    path = fresh_path(spark, "progress")
-
-    def add(df, number):  # a batch that is run again replaces its row
-        df.agg(F.count("*").alias("processed"), F.count_if(F.col("event_type") == "error").alias("failed"), F.sum("value").alias("cost")).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    ingest.run_to_end(ingest.source(spark, f"{d}/events.parquet"), add)
-    return spark.read.parquet(path).agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.round(F.sum("cost"), 2).alias("cost"))
+    stream = ingest.source(spark, f"{d}/events.parquet")
+    metrics = [F.count("*").alias("processed"), F.count_if(F.col("event_type") == "error").alias("failed"), F.sum("value").alias("cost")]
+    found = progress.run(progress.observed(stream, "totals", *metrics))["totals"]
+    batches = progress.table(spark, found, "processed long, failed long, cost double")
+    return batches.agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.round(F.sum("cost"), 2).alias("cost"))

@@ -5,14 +5,13 @@ Every function takes a streaming DataFrame; ``run_to_end`` runs one over what is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkloom.sources.staging import fresh_path
+from sparkloom.streaming import progress, runs
 
 
 def source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -51,58 +50,27 @@ def _keep(df: DataFrame, path: str, number: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def ingest(stream: DataFrame, key: Column, known: DataFrame | None = None) -> DataFrame:
-    """Rows whose key is new, in this stream and against ``known`` (a table with column key), written and read back with the number of their batch.
+def ingest(stream: DataFrame, key: Column, known: DataFrame | None = None, ts: str | None = None, within: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is new, in this stream and against ``known`` (a table with column key), with the number of their batch; and batch, seen, added, skipped.
 
-    Of equal keys the first batch counts, and in a batch any one row. A batch that is run again changes nothing. Of earlier batches only the keys are read.
+    Of equal keys the first batch counts, and in a batch any one row. Keys are remembered by the stream's state, so no batch reads what
+    earlier ones wrote. With ``ts`` and ``within`` a key is remembered for so long by event time and rows later than that are skipped;
+    without, for good. A batch that is run again changes nothing. Counts are observed in the query, not read from the table.
     """
     spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "catalog")
-
-    def add(df: DataFrame, number: int) -> None:
-        new = df.dropDuplicates(["key"])
-        if known is not None:
-            new = new.join(known, "key", "left_anti")
-        if number:
-            new = new.join(spark.read.parquet(path).where(F.col("batch") < number).select("key"), "key", "left_anti")
-        _keep(new, path, number)
-
-    run_to_end(stream.withColumn("key", key), add)
-    return spark.read.parquet(path)
-
-
-def stuck_runs(stream: DataFrame, key: str, ts: str, started: Column, finished: Column, minutes: int = 30, late: str = "2 days") -> DataFrame:
-    """key, started, status: runs that ended in time (done) or had no end within the limit (stuck) by event time.
-
-    A run is stuck once a later event of its key shows it, or once the watermark, ``late`` behind the latest event of all, is past its limit: no further event of the key is needed.
-    Later runs are still open and aren't told. Rows later than the watermark are dropped, rows without a time too.
-    """
-    events = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.when(started, 1).when(finished, 2).otherwise(0).alias("what"))
-    events = events.withWatermark("ts", late).where("what > 0 and ts is not null")
-    limit = minutes * 60_000_000
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_at = state.get[0] if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            out, open_at = [(open_at, "stuck")], None
-        else:
-            rows = pd.concat(list(frames))
-            for at, what in sorted(zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["what"], strict=True)):
-                if open_at is not None and (at - open_at > limit or what == 2):
-                    out.append((open_at, "stuck" if at - open_at > limit else "done"))
-                    open_at = None
-                if what == 1 and open_at is None:
-                    open_at = at
-        if open_at is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((open_at,))
-            state.setTimeoutTimestamp(max((open_at + limit) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": [group[0]] * len(out), "started": [a for a, _ in out], "status": [s for _, s in out]})
-
-    schema = f"key {stream.schema[key].dataType.simpleString()}, started long, status string"
-    return events.groupBy("key").applyInPandasWithState(step, schema, "open_at long", "append", GroupStateTimeout.EventTimeTimeout)
+    spark.conf.set(*runs.PROVIDER)
+    rows = progress.observed(stream.withColumn("key", key), "seen", F.count(F.lit(1)).alias("n"))
+    if ts:
+        rows = rows.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", within).dropDuplicatesWithinWatermark(["key"]).drop("__ts")
+    else:
+        rows = rows.dropDuplicates(["key"])
+    if known is not None:
+        rows = rows.join(known.select("key"), "key", "left_anti")
+    rows = progress.observed(rows, "added", F.count(F.lit(1)).alias("n"))
+    found = progress.run(rows, lambda df, number: _keep(df, path, number))
+    seen, added = ({b: r["n"] for b, r in found.get(name, {}).items()} for name in ("seen", "added"))
+    counts = [(b, n, added.get(b, 0), n - added.get(b, 0)) for b, n in sorted(seen.items()) if n]
+    return spark.read.parquet(path), spark.createDataFrame(counts, "batch long, seen long, added long, skipped long")
 
 
 def appended(stream: DataFrame) -> DataFrame:
