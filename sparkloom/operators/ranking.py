@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators import scans
+
 
 def order(by: list[Column], tie: str) -> list[Column]:
     """The sort keys with the id last, so that ties come out alike every time."""
@@ -21,23 +23,33 @@ def page(df: DataFrame, by: list[Column], limit: int, offset: int = 0) -> DataFr
     return df.orderBy(*by).offset(offset).limit(limit)
 
 
-def islands(df: DataFrame, group: list[str], by: list[str], continues: Column, out: str = "chain") -> DataFrame:
-    """Numbers runs of rows: a row where ``continues`` isn't true begins a new one. ``continues`` may use windows."""
-    w = Window.partitionBy(*group).orderBy(*by)
+def islands(df: DataFrame, group: list[str], by: list[str], continues: Column, out: str = "chain", most: int | None = None) -> DataFrame:
+    """Numbers runs of rows: a row where ``continues`` isn't true begins a new one. ``continues`` may use windows.
+
+    Here and below, ``most`` says how many rows of a group one task may take (``scans``, which reads ``df`` more than once).
+    """
     begins = df.withColumn("__new", F.when(continues, 0).otherwise(1))
-    return begins.withColumn(out, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+    return _scanned(begins, group, by, {out: ("sum", F.col("__new"))}, most).drop("__new")
 
 
-def within_budget(df: DataFrame, group: list[str], by: list[str], size: Column, limit: int) -> DataFrame:
+def within_budget(df: DataFrame, group: list[str], by: list[str], size: Column, limit: int, most: int | None = None) -> DataFrame:
     """Rows in order until the sum of sizes would exceed ``limit``; nothing after the first that doesn't fit."""
-    w = Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("__sum", F.sum(size).over(w)).where(F.col("__sum") <= limit).drop("__sum")
+    return _scanned(df, group, by, {"__sum": ("sum", size)}, most).where(F.col("__sum") <= limit).drop("__sum")
 
 
-def filled_down(df: DataFrame, group: list[str], by: list[str], columns: list[str]) -> DataFrame:
+def filled_down(df: DataFrame, group: list[str], by: list[str], columns: list[str], most: int | None = None) -> DataFrame:
     """Empty cells (null or "") take the last value above."""
-    w = Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({c: F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(w) for c in columns})
+    outs = {f"__{c}": ("last", F.nullif(F.col(c), F.lit(""))) for c in columns}
+    filled = _scanned(df, group, by, outs, most).withColumns({c: F.col(f"__{c}") for c in columns})
+    return filled.drop(*outs)
+
+
+def running_total(df: DataFrame, group: list[str], by: list[str], value: Column, out: str = "total", most: int | None = None) -> DataFrame:
+    return _scanned(df, group, by, {out: ("sum", value)}, most)
+
+
+def _scanned(df: DataFrame, group: list[str], by: list[str], outs: scans.Outs, most: int | None) -> DataFrame:
+    return scans.scan(df, group, by, outs, most) if most else scans.scan_groups(df, group, by, outs)
 
 
 def min_max(df: DataFrame, group: str, score: str, out: str = "norm") -> DataFrame:

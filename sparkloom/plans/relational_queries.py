@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import filters, joins, keywords, ranking, stats
+from sparkloom.operators import filters, joins, keywords, ranking, scans, stats
 from sparkloom.plans.registry import Registry, table
 
 R = Registry()
@@ -267,9 +267,9 @@ def _(spark, d):
  c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS chain FROM f) SELECT user_id, chain::BIGINT AS chain, count(*) AS n, min(event_id) AS first FROM c GROUP BY 1, 2""")
 def _(spark, d):
     events = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = events.withColumn("gap", F.col("ts") - F.lag("ts").over(w))
-    return ranking.islands(gap, ["user_id"], ["ts", "event_id"], F.col("gap") <= F.expr("interval 6 hours")).groupBy("user_id", "chain").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    gap = scans.scan(events, ["user_id"], ["ts", "event_id"], {"previous": ("lag", F.col("ts"))})
+    near = F.col("ts") - F.col("previous") <= F.expr("interval 6 hours")
+    return ranking.islands(gap, ["user_id"], ["ts", "event_id"], near, most=scans.MOST).groupBy("user_id", "chain").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
 @R.add("w3_rank_change", "SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey))::INT AS change FROM customer")
@@ -280,8 +280,15 @@ def _(spark, d):
 
 @R.add("w4_running_total", "SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS total FROM events")
 def _(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, d, "events").select("user_id", "event_id", F.round(F.sum("value").over(w), 2).alias("total"))
+    found = ranking.running_total(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("value"), most=scans.MOST)
+    return found.select("user_id", "event_id", F.round("total", 2).alias("total"))
+
+
+@R.add("w4_running_total_of_all", "SELECT event_id, sum(event_id % 1000) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total, lag(event_type) OVER (ORDER BY ts, event_id) AS previous FROM events")
+def _(spark, d):
+    one = table(spark, d, "events").withColumn("all", F.lit(0))  # one group: a thousand rows a task
+    outs = {"total": ("sum", F.col("event_id") % 1000), "previous": ("lag", F.col("event_type"))}
+    return scans.scan(one, ["all"], ["ts", "event_id"], outs, 1000).select("event_id", "total", "previous")
 
 
 @R.add("w5_latest_n", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::INT AS rank FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 10")
@@ -291,7 +298,7 @@ def _(spark, d):
 
 @R.add("w6_context_budget", """WITH c AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents) SELECT source, count(*) AS docs, max(doc_id) AS last FROM c WHERE s <= 8000 GROUP BY 1""")
 def _(spark, d):
-    kept = ranking.within_budget(table(spark, d, "documents"), ["source"], ["doc_id"], F.col("n_chars"), 8000)
+    kept = ranking.within_budget(table(spark, d, "documents"), ["source"], ["doc_id"], F.col("n_chars"), 8000, scans.MOST)
     return kept.groupBy("source").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
 
 
@@ -304,7 +311,7 @@ def _(spark, d):
 @R.add("w8_down_fill", "SELECT event_id, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS event_type FROM events")
 def _(spark, d):
     holes = table(spark, d, "events").withColumn("event_type", F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(""))
-    return ranking.filled_down(holes, ["user_id"], ["ts", "event_id"], ["event_type"]).select("event_id", "event_type")
+    return ranking.filled_down(holes, ["user_id"], ["ts", "event_id"], ["event_type"], scans.MOST).select("event_id", "event_type")
 
 
 @R.add("w11_min_max", "SELECT vec_id, round(CASE WHEN max(x) OVER w - min(x) OVER w < 1e-10 THEN 0.5 ELSE (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) END, 6) AS norm FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS x FROM embeddings) WINDOW w AS (PARTITION BY label)")
