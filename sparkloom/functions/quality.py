@@ -1,53 +1,163 @@
-"""Rule-based text quality: scores out of regular expressions, all native. The script's character class is an argument."""
+"""Rule-based text quality: scores out of counts of patterns, all native. The script's character class is an argument.
+
+Counts are taken once for each text; the rules are steps over them. Null texts are empty.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import count
 
+HANGUL = r"[\x{AC00}-\x{D7A3}]"
 LATIN = "[A-Za-z]"
-#: The replacement character, and what isn't text.
-BROKEN = r"\x{FFFD}|[\x00-\x08\x0b\x0c\x0e-\x1f]"
+#: What isn't text, and the marks of list items.
+BROKEN = r"[\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f]"
+BULLETS = "-•○※ㅇ□▶▷◆◇★☆►◎⦁⦾"
+#: White space as in Unicode.
+_WS = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_S, _X = f"[{_WS}]", f"[^{_WS}]"
+_LINE_WS = r"[^\S\n]"
+_PRIVATE = r"[\x{E000}-\x{F8FF}]"
+_PAIRS = r"([A-Z])\1([A-Z])\2([A-Z])\3([A-Z])\4|([0-9])\5([0-9])\6([0-9])\7([0-9])\8"
+_LINE = rf"{_X}(?:[^\n]*{_X})?"
+_LISTED = rf"(?md)^{_LINE_WS}*(?:[{BULLETS}]{_LINE_WS}*\S|[0-9]+[.)]|\([가-힣0-9]+\))"
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _counts(x: Column, script: str) -> Column:
+    x = F.coalesce(x, F.lit(""))
+    found = {
+        "n": F.char_length(x), "solid": count(x, _X), "script": count(x, script), "hangul": count(x, HANGUL), "digits": count(x, r"\p{Nd}"), "latin": count(x, LATIN), "broken": count(x, BROKEN),
+        "stripped": F.char_length(F.regexp_replace(x, f"^{_S}+|{_S}+$", "")), "words": count(x, f"{_X}+"), "lines": count(x, "\n") + 1, "table_lines": count(x, r"(?md)^[^\n|]*\|[^\n|]*\|"),
+        "list_lines": count(x, _LISTED), "ends": count(x, f"[.!?。]{_S}"), "full_lines": count(x, _LINE), "in_lines": F.char_length(x) - F.char_length(F.regexp_replace(x, _LINE, "")),
+        "runs": count(x, r"([^\n])\1{4,}"), "tags": count(x, "<[^>]+>"), "pairs": count(x, _PAIRS), "private": count(x, _PRIVATE), "noise": count(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFD}-\x{FFFF}]"),
+        "unseen": count(x, r"[\x00-\x1f]"),
+    }
+    return F.struct(*[c.cast("double").alias(k) for k, c in found.items()])
+
+
+def _share(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(0.0)
+
+
+def _steps(x: Column, steps: list[tuple[float, float]], rest: float) -> Column:
+    """The value of the first step that x reaches."""
+    out = F.lit(rest)
+    for least, value in reversed(steps):
+        out = F.when(x >= least, value).otherwise(out)
+    return out
+
+
+def _script_score(ratio: Column, low: list[tuple[float, float]], rest: float) -> Column:
+    """1 from 0.55 to 0.90, 0.7 a little under or above, less below; ``rest`` over 0.95."""
+    return F.when(ratio > 0.95, rest).when(ratio > 0.90, 0.7).otherwise(_steps(ratio, [(0.55, 1.0), (0.40, 0.7), *low], rest))
+
+
+def _sentence_score(c: Column) -> Column:
+    each = c["words"] / c["ends"]
+    return F.when(each.between(5, 30), 1.0).when(each.between(3, 50), 0.7).otherwise(0.4)
+
+
+def _misencoded(c: Column) -> Column:
+    rare = (_share(c["hangul"], c["solid"]) < 0.01) & (_share(c["private"], c["solid"]) > 0.3)
+    return (c["n"] >= 100) & (c["solid"] > 0) & ((c["pairs"] >= 5) | (_share(c["noise"], c["n"]) > 0.10) | rare)
 
 
-def parts(x: Column, script: str = LATIN) -> dict[str, Column]:
-    """0 to 1 each: share of the script (0.7 is full), broken characters, sentence ends, repeated characters, encoding."""
-    n = F.greatest(F.char_length(x), F.lit(1))
-    solid = F.greatest(count(x, r"\S"), F.lit(1))
+def misencoded(x: Column) -> Column:
+    """Whether a text of 100 characters or more is surely of another encoding: doubled letters or digits in runs of four, five times;
+    over a tenth broken characters; or hardly any Hangul and over three tenths private characters."""
+    return _let(_counts(x, HANGUL), _misencoded)
+
+
+def _structure(c: Column) -> Column:
+    """Tables and lists are as good as sentences; then lines of a fair length."""
+    mean_line = c["in_lines"] / c["full_lines"]
+    lines = F.when((c["full_lines"] >= 5) & mean_line.between(10, 200), 0.7).otherwise(0.5)
+    sentences = F.when(c["ends"] > 0, _sentence_score(c)).otherwise(lines)
+    listed = F.when(c["list_lines"] >= 3, F.when(c["list_lines"] / c["lines"] >= 0.2, 1.0).otherwise(0.85)).otherwise(sentences)
+    tables = F.when(c["table_lines"] >= 3, F.when(c["table_lines"] / c["lines"] >= 0.2, 1.0).otherwise(0.9)).otherwise(listed)
+    return F.when(c["words"] < 10, 0.5).otherwise(tables)
+
+
+def _broken_score(c: Column) -> Column:
+    return 1 - F.least(_share(c["broken"], c["n"]) * 5, F.lit(1.0))
+
+
+def _parts(c: Column) -> dict[str, Column]:
+    ratio = _share(c["script"], c["solid"])
+    technical = (_share(c["digits"], c["solid"]) > 0.15) | (_share(c["latin"], c["solid"]) > 0.20)
+    usual = _script_score(ratio, [(0.25, 0.5), (0.15, 0.3)], 0.1)
     return {
-        "script": F.least(F.lit(1.0), count(x, script) / solid / 0.7),
-        "broken": F.greatest(F.lit(0.0), 1 - 10.0 * count(x, BROKEN) / n),
-        "sentence": F.least(F.lit(1.0), 100.0 * count(x, r"[.!?](\s|$)") / n),
-        "repetition": F.greatest(F.lit(0.0), 1 - 5.0 * count(x, r"!!+|[*][*]+|%%+|##+|[$][$]+|&&+") / n),
-        "encoding": F.greatest(F.lit(0.0), 1 - 20.0 * count(x, r"Ã.|â€|\x{FFFD}") / n),
-    }
+        "script": F.when(technical & (ratio >= 0.05), _steps(ratio, [(0.20, 1.0), (0.10, 0.8)], 0.6)).otherwise(usual), "broken": _broken_score(c), "sentence": _structure(c),
+        "repetition": F.greatest(F.lit(0.0), 1 - c["runs"] / F.greatest(c["n"] / 100, F.lit(1.0)) * 0.2), "encoding": F.when(_misencoded(c), 0.0).otherwise(1.0),
+    }
+
+
+#: What each part weighs.
+WEIGHTS = {"script": 0.30, "broken": 0.25, "sentence": 0.15, "repetition": 0.10, "encoding": 0.20}
+
+
+def details(x: Column, script: str = HANGUL) -> Column:
+    """struct of the parts (0 to 1) and ``overall``, their weighted sum to four digits; texts under ten characters have 0 overall."""
+
+    def of(c: Column) -> Column:
+        parts = _parts(c)
+        total = sum((WEIGHTS[k] * v for k, v in parts.items()), F.lit(0.0))
+        return F.struct(*[v.alias(k) for k, v in parts.items()], F.when(c["stripped"] < 10, 0.0).otherwise(F.round(total, 4)).alias("overall"))
+
+    return _let(_counts(x, script), of)
+
+
+def score(x: Column, script: str = HANGUL) -> Column:
+    return details(x, script)["overall"]
+
+
+def page_score(x: Column, script: str = HANGUL) -> Column:
+    """For text out of pages: 0.30 script + 0.25 broken + 0.20 sentences + 0.15 (a tenth off for each tag left, 0.3 at least) + 0.10."""
 
+    def of(c: Column) -> Column:
+        ratio = _share(c["script"], c["solid"])
+        sentence = F.when((c["ends"] > 0) & (c["words"] >= 10), _sentence_score(c)).otherwise(0.5)
+        tags = F.greatest(F.lit(0.3), 1 - c["tags"] * 0.1)
+        total = 0.30 * _script_score(ratio, [(0.25, 0.4)], 0.1) + 0.25 * _broken_score(c) + 0.20 * sentence + 0.15 * tags + 0.10
+        return F.when(c["stripped"] < 10, 0.0).otherwise(F.round(total, 4))
 
-def score(x: Column, script: str = LATIN) -> Column:
-    """0.30 script + 0.25 broken + 0.15 sentence + 0.10 repetition + 0.20 encoding."""
-    p = parts(x, script)
-    return 0.30 * p["script"] + 0.25 * p["broken"] + 0.15 * p["sentence"] + 0.10 * p["repetition"] + 0.20 * p["encoding"]
+    return _let(_counts(x, script), of)
 
 
-def page_score(x: Column, script: str = LATIN) -> Column:
-    """For text out of pages: 0.30 script + 0.25 broken + 0.20 sentence + 0.15 (no tags left) + 0.10."""
-    p = parts(x, script)
-    tags = F.greatest(F.lit(0.0), 1 - 50.0 * count(x, "<[a-zA-Z/][^>]*>") / F.greatest(F.char_length(x), F.lit(1)))
-    return 0.30 * p["script"] + 0.25 * p["broken"] + 0.20 * p["sentence"] + 0.15 * tags + 0.10
+def gate(x: Column, script: str = HANGUL) -> Column:
+    """struct<valid, score, reason>: short, doubled, broken, private, invalid or poor; reason is null for valid texts."""
 
+    def of(c: Column) -> Column:
+        ratio, broken = _share(c["script"], c["solid"]), _share(c["noise"], c["n"])
+        fit = _share(c["n"] - c["unseen"] - c["private"], c["n"])
+        total = fit * 0.5 + ratio * 0.3 + (1 - broken) * 0.2
+        rules = [
+            ((c["stripped"] < 10) | (c["solid"] == 0), 0.0, "short"), (c["pairs"] >= 5, 0.1, "doubled"), (broken > 0.1, 0.2, "broken"),
+            (_share(c["private"], c["solid"]) > 0.15, 0.2, "private"), ((ratio < 0.05) & (fit < 0.5), 0.3, "invalid"), (total < 0.5, None, "poor"),
+        ]
+        points, reason = total, F.lit(None).cast("string")
+        for met, value, name in reversed(rules):
+            points = F.when(met, value if value is not None else total).otherwise(points)
+            reason = F.when(met, name).otherwise(reason)
+        return F.struct(reason.isNull().alias("valid"), F.round(points, 6).alias("score"), reason.alias("reason"))
 
-def gate(x: Column, shortest: int = 50, script: str = LATIN) -> Column:
-    """Why a text isn't worth keeping: empty, short, broken, no_script; null if it is."""
-    n = F.greatest(F.char_length(x), F.lit(1))
-    return F.when(F.coalesce(F.trim(x), F.lit("")) == "", "empty").when(F.char_length(F.trim(x)) < shortest, "short").when(count(x, BROKEN) / n > 0.1, "broken").when(count(x, script) / n < 0.2, "no_script")
+    return _let(_counts(x, script), of)
 
 
 def decoding_score(x: Column) -> Column:
-    """0.6 valid + 0.4 (1 - replaced) of a decoded text."""
-    n = F.greatest(F.char_length(x), F.lit(1))
-    return 0.6 * count(x, r"[A-Za-z0-9\s.,!?;:'()\-]") / n + 0.4 * (1 - count(x, r"\x{FFFD}") / n)
+    """0.6 valid + 0.4 (1 - replaced) of a decoded text: control characters (but tab and line ends), delete and private ones aren't valid; 0 if empty."""
+    n = F.char_length(x)
+    invalid = count(x, rf"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|{_PRIVATE}")
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise((n - invalid) / n * 0.6 + (1 - count(x, r"\x{FFFD}") / n) * 0.4)
 
 
 def advice(scores: dict[str, Column], at_least: float, knobs: dict[str, str]) -> Column:

@@ -35,29 +35,74 @@ _docs("s23_postprocessed", lambda: F.md5(text.half_width(text.replaced(_text(),
 _docs("s25_citations", lambda: F.array_join(text.citations(_text(), ["(Th[a-z]+)", "([A-Z]{3,})"]), "|"), "array_to_string((list_filter(x, lambda v, i: list_position(x, v) = i))[1:15], '|') AS x FROM (SELECT doc_id, list_filter(list_transform(list_concat(regexp_extract_all(text, '(Th[a-z]+)', 1), regexp_extract_all(text, '([A-Z]{3,})', 1)), lambda s: trim(s)), lambda s: s <> '' AND length(s) < 200) AS x FROM documents) --")
 _docs("s29_keyword_count", lambda: F.size(text.keywords(_text(), "[a-z0-9]+", ["the", "and", "of"])).cast("long"), "len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'and', 'of')))")
 _docs("s33_token_estimate_words", lambda: text.token_estimate_words(_text(), "[àâçéèêëîïôûùüÿñæœäöß]"), f"ceil(2.5 * {N('[àâçéèêëîïôûùüÿñæœäöß]')} + 0.4 * {N('[A-Za-z]+')} + 0.5 * len(regexp_extract_all(regexp_replace(text, '[àâçéèêëîïôûùüÿñæœäöß]', '', 'g'), '[^A-Za-z\\s]')))::BIGINT")
-_docs("c29_quality_gate", lambda: quality.gate(_text()), f"CASE WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) < 50 THEN 'short' WHEN {N('[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')} / greatest(length(text), 1) > 0.1 THEN 'broken' WHEN {N('[A-Za-z]')} / greatest(length(text), 1) < 0.2 THEN 'no_script' END")
-_docs("c30_decoding_score", lambda: F.round(quality.decoding_score(_text()), 6), "round(0.6 * len(regexp_extract_all(text, '[A-Za-z0-9\\s.,!?;:''()\\-]')) / greatest(length(text), 1) + 0.4 * 1, 6)")
+_docs("c30_decoding_score", lambda: F.round(quality.decoding_score(_text()), 6), "round(0.6 * (length(text) - len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{E000}-\\x{F8FF}]'))) / length(text) + 0.4 * (1 - len(regexp_extract_all(text, '\\x{FFFD}')) / length(text)), 6)")
 
-_SOLID = f"greatest({N('\\S')}, 1)"
-_LEN = "greatest(length(text), 1)"
-_PARTS = {
-    "script": f"least(1.0, {N('[A-Za-z]')}::DOUBLE / {_SOLID} / 0.7::DOUBLE)", "broken": "1.0", "sentence": f"least(1.0, 100.0 * {N('[.!?](\\s|$)')} / {_LEN})",
-    "repetition": f"greatest(0.0, 1 - 5.0 * {N('!!+|[*][*]+|%%+|##+|[$][$]+|&&+')} / {_LEN})", "encoding": f"greatest(0.0, 1 - 20.0 * {N('Ã.|â€')} / {_LEN})",
-}
-_SCORE = f"0.30 * {_PARTS['script']} + 0.25 + 0.15 * {_PARTS['sentence']} + 0.10 * {_PARTS['repetition']} + 0.20 * {_PARTS['encoding']}"
-_docs("c27_quality_score", lambda: F.round(quality.score(_text()), 5), f"round({_SCORE}, 5)")
+_BULLETS = "-•○※ㅇ□▶▷◆◇★☆►◎⦁⦾"
 
 
-@R.add("c35_retry_advice", f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN {_PARTS['script']} < 0.9 THEN 'language' END, CASE WHEN {_PARTS['sentence']} < 0.9 THEN 'layout' END, CASE WHEN {_PARTS['repetition']} < 0.9 THEN 'engine' END], lambda x: x IS NOT NULL), ',') AS advice FROM documents""")
+def _rules(frm, key, script="[A-Za-z]"):
+    """Counts (k), scores of the parts (s) and the total (t) by the published steps; doubled letters are spelled out, as backreferences are unknown here."""
+    n = lambda p: f"len(regexp_extract_all(text, '{p}'))"
+    doubled = lambda chars: "(?:" + "|".join(c + c for c in chars) + "){4}"
+    control = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{FFFD}]"
+    listed = f"(?m)^[ \\t\\r\\f]*(?:[{_BULLETS}][ \\t\\r\\f]*\\S|[0-9]+[.)]|\\([가-힣0-9]+\\))"
+    average = "CASE WHEN words / ends BETWEEN 5 AND 30 THEN 1.0 WHEN words / ends BETWEEN 3 AND 50 THEN 0.7 ELSE 0.4 END"
+    return f"""d AS ({frm}),
+ u AS (SELECT {key}, ch, i, lag(ch) OVER w AS before, lead(ch) OVER w AS c1, lead(ch, 2) OVER w AS c2, lead(ch, 3) OVER w AS c3, lead(ch, 4) OVER w AS c4
+  FROM (SELECT {key}, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM d) WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+ r AS (SELECT {key}, count(*) AS runs FROM u WHERE ch <> chr(10) AND before IS DISTINCT FROM ch AND ch = c1 AND ch = c2 AND ch = c3 AND ch = c4 GROUP BY 1),
+ k AS (SELECT {key}, text, length(text)::DOUBLE AS n, {n('\\S')}::DOUBLE AS solid, {n(script)}::DOUBLE AS script, {n('[가-힣]')}::DOUBLE AS hangul, {n('[0-9]')}::DOUBLE AS digits, {n('[A-Za-z]')}::DOUBLE AS latin,
+  {n(control)}::DOUBLE AS broken, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS stripped, {n('\\S+')}::DOUBLE AS words, {n('\\n')} + 1.0 AS lines, {n('(?m)^[^\\n|]*[|][^\\n|]*[|]')}::DOUBLE AS table_lines,
+  {n(listed)}::DOUBLE AS list_lines, {n('[.!?。]\\s')}::DOUBLE AS ends, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13))), lambda l: l <> '') AS filled,
+  coalesce(runs, 0)::DOUBLE AS runs, {n('<[^>]+>')} AS tags, {n(doubled('ABCDEFGHIJKLMNOPQRSTUVWXYZ') + '|' + doubled('0123456789'))} AS pairs, {n('[\\x{E000}-\\x{F8FF}]')}::DOUBLE AS private,
+  {n('[\\x00-\\x1f]')}::DOUBLE AS unseen FROM d LEFT JOIN r USING ({key})),
+ s AS (SELECT *, script / solid AS ratio, CASE WHEN (digits / solid > 0.15 OR latin / solid > 0.20) AND script / solid >= 0.05 THEN CASE WHEN script / solid >= 0.20 THEN 1.0 WHEN script / solid >= 0.10 THEN 0.8 ELSE 0.6 END
+   WHEN script / solid BETWEEN 0.55 AND 0.90 THEN 1.0 WHEN script / solid BETWEEN 0.40 AND 0.95 THEN 0.7 WHEN script / solid > 0.95 THEN 0.1 WHEN script / solid >= 0.25 THEN 0.5 WHEN script / solid >= 0.15 THEN 0.3 ELSE 0.1 END AS p_script,
+  1.0 - least(broken / n * 5, 1.0) AS p_broken, greatest(0.0, 1.0 - runs / greatest(n / 100, 1.0) * 0.2) AS p_repetition,
+  CASE WHEN n >= 100 AND (pairs >= 5 OR broken / n > 0.1 OR hangul / solid < 0.01 AND private / solid > 0.3) THEN 0.0 ELSE 1.0 END AS p_encoding,
+  CASE WHEN words < 10 THEN 0.5 WHEN table_lines >= 3 THEN CASE WHEN table_lines / lines >= 0.2 THEN 1.0 ELSE 0.9 END WHEN list_lines >= 3 THEN CASE WHEN list_lines / lines >= 0.2 THEN 1.0 ELSE 0.85 END
+   WHEN ends > 0 THEN {average} WHEN len(filled) >= 5 AND list_avg(list_transform(filled, lambda l: length(l))) BETWEEN 10 AND 200 THEN 0.7 ELSE 0.5 END AS p_sentence,
+  CASE WHEN script / solid BETWEEN 0.55 AND 0.90 THEN 1.0 WHEN script / solid BETWEEN 0.40 AND 0.95 THEN 0.7 WHEN script / solid BETWEEN 0.25 AND 0.40 THEN 0.4 ELSE 0.1 END AS page_script,
+  CASE WHEN ends > 0 AND words >= 10 THEN {average} ELSE 0.5 END AS page_sentence, CASE WHEN tags = 0 THEN 1.0 ELSE greatest(0.3, 1.0 - tags * 0.1) END AS page_tags FROM k)"""
+
+
+_OF_DOCS = _rules("SELECT doc_id, text FROM documents", "doc_id")
+_OVERALL = "CASE WHEN stripped < 10 THEN 0.0 ELSE round((0.30 * p_script + 0.25 * p_broken + 0.15 * p_sentence + 0.10 * p_repetition + 0.20 * p_encoding)::DOUBLE, 4) END"
+
+
+@R.add("c27_quality_score", f"WITH {_OF_DOCS} SELECT doc_id, {', '.join(f'round(p_{p}::DOUBLE, 4) AS {p}' for p in quality.WEIGHTS)}, {_OVERALL} AS overall FROM s")
+def _(spark, d):
+    found = table(spark, d, "documents").select("doc_id", quality.details(_text(), quality.LATIN).alias("q"))
+    return found.select("doc_id", *[F.round(F.col("q")[p], 4).alias(p) for p in quality.WEIGHTS], "q.overall")
+
+
+# A third of the texts is damaged: doubled capitals, controls, private characters.
+_DAMAGED = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text || repeat('AABBCCDD 1 ', 5) WHEN 1 THEN text || repeat(chr(1), (length(text) / 3)::INT) WHEN 2 THEN text || repeat(chr(57345), (length(text) // 2)::INT)
+ WHEN 3 THEN left(text, 8) ELSE text END AS text FROM documents"""
+
+
+@R.add("c29_quality_gate", f"""WITH {_rules(_DAMAGED, 'doc_id')}, g AS (SELECT *, (n - unseen - private) / n AS fit FROM s),
+ h AS (SELECT *, fit * 0.5 + ratio * 0.3 + (1 - broken / n) * 0.2 AS total FROM g),
+ v AS (SELECT doc_id, CASE WHEN stripped < 10 THEN 'short' WHEN pairs >= 5 THEN 'doubled' WHEN broken / n > 0.1 THEN 'broken' WHEN private / solid > 0.15 THEN 'private' WHEN ratio < 0.05 AND fit < 0.5 THEN 'invalid' WHEN total < 0.5 THEN 'poor' END AS reason, total FROM h)
+ SELECT doc_id, reason IS NULL AS valid, round(CASE reason WHEN 'short' THEN 0 WHEN 'doubled' THEN 0.1 WHEN 'broken' THEN 0.2 WHEN 'private' THEN 0.2 WHEN 'invalid' THEN 0.3 ELSE total END, 6)::DOUBLE AS score, reason FROM v""")
+def _(spark, d):
+    third = F.col("doc_id") % 6
+    tail = lambda x, n: F.concat(_text(), F.repeat(F.lit(x), n))
+    text = F.when(third == 0, tail("AABBCCDD 1 ", F.lit(5))).when(third == 1, tail("\x01", F.round(F.char_length("text") / 3).cast("int")))
+    text = text.when(third == 2, tail("\ue001", F.floor(F.char_length("text") / 2).cast("int"))).when(third == 3, F.left("text", F.lit(8))).otherwise(_text())
+    return table(spark, d, "documents").select("doc_id", quality.gate(text, quality.LATIN).alias("g")).select("doc_id", "g.*")
+
+
+@R.add("c35_retry_advice", f"""WITH {_OF_DOCS} SELECT doc_id, array_to_string(list_filter([CASE WHEN p_script < 0.9 THEN 'language' END, CASE WHEN p_sentence < 0.9 THEN 'layout' END, CASE WHEN p_repetition < 0.9 THEN 'engine' END], lambda x: x IS NOT NULL), ',') AS advice FROM s""")
 def _(spark, d):
-    found = quality.advice(quality.parts(_text()), 0.9, {"script": "language", "sentence": "layout", "repetition": "engine"})
-    return table(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("advice"))
+    scored = table(spark, d, "documents").select("doc_id", quality.details(_text(), quality.LATIN).alias("q"))
+    found = quality.advice({p: F.col("q")[p] for p in quality.WEIGHTS}, 0.9, {"script": "language", "sentence": "layout", "repetition": "engine"})
+    return scored.select("doc_id", F.array_join(found, ",").alias("advice"))
 
 
-@R.add("c28_page_quality", """WITH p AS (SELECT page_id, html AS text FROM pages) SELECT page_id, round(0.30 * least(1.0, len(regexp_extract_all(text, '[A-Za-z]'))::DOUBLE / greatest(len(regexp_extract_all(text, '\\S')), 1) / 0.7::DOUBLE) + 0.25 + 0.20 * least(1.0, 100.0 * len(regexp_extract_all(text, '[.!?](\\s|$)')) / length(text))
- + 0.15 * greatest(0.0, 1 - 50.0 * len(regexp_extract_all(text, '<[a-zA-Z/][^>]*>')) / length(text)) + 0.10, 5) AS score FROM p""")
+@R.add("c28_page_quality", f"""WITH {_rules('SELECT page_id, html AS text FROM pages', 'page_id')} SELECT page_id, CASE WHEN stripped < 10 THEN 0.0 ELSE round((0.30 * page_script + 0.25 * p_broken + 0.20 * page_sentence + 0.15 * page_tags + 0.10)::DOUBLE, 4) END AS score FROM s""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.round(quality.page_score(F.col("html")), 5).alias("score"))
+    return table(spark, d, "pages").select("page_id", quality.page_score(F.col("html"), quality.LATIN).alias("score"))
 
 
 @R.add("c32_best_engine", """WITH c AS (SELECT source || '/' || lang AS file, doc_id, round(1.0 * len(regexp_extract_all(text, '[A-Za-z]')) / greatest(length(text), 1), 6) AS q FROM documents) SELECT file, arg_max(doc_id, (q, -doc_id)) AS best, max(q) AS quality FROM c GROUP BY 1""")
