@@ -143,12 +143,18 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
+def _at_each_place(wanted: set[str]) -> str:
+    """An expression that looks for the wanted trigrams at each place of a text, by their first characters; one pass whatever their number."""
+    by_first: dict[str, list[str]] = {}
+    for gram in sorted(wanted):
+        by_first.setdefault(gram[0], []).append(re.escape(gram[1:]))
+    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + "))"
+
+
 def trigram_index(docs: DataFrame, wanted: set[str], blocks: int) -> DataFrame:
     """block, gram, keys: the distinct texts of a block that hold a trigram, for the wanted trigrams."""
-    grams = F.array(*map(F.lit, sorted(wanted)))
-    held = docs.select(text_key(_text()).alias("key"), F.lower(_text()).alias("low"))
-    held = held.select("key", F.filter(grams, lambda g: F.contains(F.col("low"), g)).alias("grams"))
-    rows = held.select("key", F.explode("grams").alias("gram")).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    grams = F.array_distinct(F.regexp_extract_all(F.lower(_text()), F.lit(_at_each_place(wanted)), 1))
+    rows = docs.select(text_key(_text()).alias("key"), F.explode(grams).alias("gram")).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     return rows.groupBy("block", "gram").agg(F.collect_set("key").alias("keys"))
 
 
