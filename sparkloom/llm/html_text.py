@@ -15,8 +15,8 @@ many pages is no long task. Wrappers are joined to pages by host as Spark sees f
 slots: then all of its text counts. The order of alignment follows the partitions; what all pages share doesn't depend on it.
 
 Edge cases: a null page is empty; a null or odd URL has the host ""; a page that doesn't have its wrapper's article path is read by its own
-wrapper; unclosed and cut-off tags, comments and scripts end with the page; groups over ``DEPTH`` deep are text of the group at that depth, as far as
-wrappers go; no pages give no rows.
+wrapper; unclosed and cut-off tags, comments and scripts end with the page; groups over ``DEPTH`` deep are
+text of the group at that depth, as in browsers; no pages give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
+import sys
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,7 +36,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import staged
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(noscript|template|svg|iframe|textarea|select)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?<!/)>.*?</\2\s*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<""", re.S | re.I)
+#: Attributes as browsers read them: a quote counts after an equals sign alone, elsewhere it is part of a name. Nothing is tried twice.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>)))?+)*+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|[^<]++|<""", re.S)
+#: Elements that hold no text of the page, up to their closing tag; the first two to the page's end without one.
+SWALLOWED = tuple("script style noscript template svg iframe textarea select".split())
+_CLOSING = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in SWALLOWED}
 _MARK = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -57,8 +63,9 @@ NAMED_BY_ID = set("h1 h2 h3 h4 h5 h6 section".split())
 ARTICLE_WORDS = {"article", "articlebody", "post", "entry", "story", "main", "content"}
 #: Groups of running text: neighbours of one kind are one repeated group, whatever they say.
 RUNNING = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr td th table tbody thead tfoot pre blockquote option figure figcaption hr #".split())
-#: Groups within groups that a wrapper tells apart; like neighbours that it tells apart; pairs of children that are aligned one by one.
-DEPTH, RUN, PAIRS = 100, 8, 40_000
+#: Groups within groups that a page can have, as in browsers; pairs of children up to which the best alignment is worked out.
+DEPTH, PAIRS = 512, 40_000
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 #: Wrappers that a task holds at once.
 HELD = 2000
 
@@ -89,8 +96,11 @@ def parse(page: str) -> Iterator[tuple[str, str]]:
         held[tag] -= 1
         return tag, key
 
-    for m in _TOKEN.finditer(page):
-        tag = m[4]
+    at, unclosed = 0, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        tag = m[2]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 yield "text", m[0]
@@ -98,10 +108,16 @@ def parse(page: str) -> Iterator[tuple[str, str]]:
         tag = tag.lower()
         if tag in INLINE:
             continue
-        if tag in VOID or m[5].endswith("/") and tag not in CLOSED_BY_TAG:
+        if tag in SWALLOWED and not m[1] and tag not in unclosed and not (m[3].endswith("/") and tag not in ("script", "style")):
+            end = _CLOSING[tag].search(page, at)
+            if end or tag in ("script", "style"):
+                at = page.find(">", end.end() - 1) + 1 or len(page) if end else len(page)
+                continue
+            unclosed.add(tag)  # nor is a later one closed
+        if tag in VOID or m[3].endswith("/") and tag not in CLOSED_BY_TAG:
             yield "text", " "
             continue
-        if m[3]:
+        if m[1]:
             while held[tag]:
                 top, key = close()
                 yield "close", key
@@ -116,7 +132,7 @@ def parse(page: str) -> Iterator[tuple[str, str]]:
             yield "close", cell[1]
             if tag == "tr" and cell[0] != "tr" and stack and stack[-1][0] == "tr":
                 yield "close", close()[1]
-        key = _key(tag, m[5])
+        key = _key(tag, m[3])
         stack.append((tag, key))
         held[tag] += 1
         yield "open", key
@@ -187,10 +203,8 @@ def _alike(a: Node, b: Node) -> bool:
 def fold(children: list[Node]) -> list[Node]:
     """Like neighbours as one repeated group; the same for runs of two unlike groups (terms and their texts, rows and rules)."""
     out: list[Node] = []
-    run = 0
     for c in children:
-        run = run + 1 if out and out[-1][0] == c[0] else 1
-        if out and (_alike(out[-1], c) or run > RUN and out[-1][0] == c[0]):
+        if out and _alike(out[-1], c):
             out[-1] = merge(out[-1], c)
             out[-1][4] = True
         elif len(out) >= 3 and _alike(out[-3], out[-1]) and _alike(out[-2], c):
@@ -202,16 +216,49 @@ def fold(children: list[Node]) -> list[Node]:
     return out
 
 
-def _squeezed(children: list[Node]) -> list[Node]:
-    """One repeated group of each kind, in the order of the first."""
-    out: dict[str, Node] = {}
-    for c in children:
-        if c[0] in out:
-            out[c[0]] = merge(out[c[0]], c)
-            out[c[0]][4] = True
-        else:
-            out[c[0]] = c
-    return list(out.values())
+def _worth(c: Node, d: Node) -> int:
+    return (2 + (c[5] == d[5] != 0)) if c[0] == d[0] else 0
+
+
+def _pairs(x: list[Node], y: list[Node]) -> Iterator[tuple[int, int]]:
+    """Children of either side that are aligned, in order: the best alignment, or where there are very many children, each with the next of its kind."""
+    start, end = 0, 0
+    while start < min(len(x), len(y)) and _worth(x[start], y[start]) == 3:
+        yield start, start
+        start += 1
+    while end < min(len(x), len(y)) - start and _worth(x[-1 - end], y[-1 - end]) == 3:
+        end += 1
+    x, y = x[start : len(x) - end], y[start : len(y) - end]
+    if len(x) * len(y) > PAIRS:
+        places: dict[tuple, deque[int]] = defaultdict(deque)
+        for j, d in enumerate(y):
+            places[d[0]].append(j)
+        least = 0
+        for i, c in enumerate(x):
+            of = places[c[0]]
+            while of and of[0] < least:
+                of.popleft()
+            if of:
+                least = of.popleft() + 1
+                yield start + i, start + least - 1
+    else:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                fit = _worth(x[i], y[j])
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + fit if fit else 0)
+        i = j = 0
+        while i < len(x) and j < len(y):
+            fit = _worth(x[i], y[j])
+            if fit and best[i][j] == best[i + 1][j + 1] + fit:
+                yield start + i, start + j
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    for k in range(end):
+        yield start + len(x) + k, start + len(y) + k
 
 
 def merge(a: Node, b: Node) -> Node:
@@ -220,26 +267,13 @@ def merge(a: Node, b: Node) -> Node:
     if literal and not a[4] and not b[4] or a[0] == "#":
         return [a[0], a[1], a[2] + b[2], a[3] or b[3], a[4] or b[4], literal]
     x, y = a[1], b[1]
-    if len(x) * len(y) > PAIRS:
-        x, y = _squeezed(x), _squeezed(y)
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    worth = lambda c, d: (2 + (c[5] == d[5] != 0)) if c[0] == d[0] else 0
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            fit = worth(x[i], y[j])
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + fit if fit else 0)
     out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        fit = worth(x[i], y[j]) if i < len(x) and j < len(y) else 0
-        if fit and best[i][j] == best[i + 1][j + 1] + fit:
-            out.append(merge(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*x[i][:3], True, *x[i][4:]])
-            i += 1
-        else:
-            out.append([*y[j][:3], True, *y[j][4:]])
-            j += 1
+    optional = lambda c: [*c[:3], True, *c[4:]]
+    for p, q in [*_pairs(x, y), (len(x), len(y))]:
+        out += map(optional, [*x[i:p], *y[j:q]])
+        if p < len(x):
+            out.append(merge(x[p], y[q]))
+        i, j = p + 1, q + 1
     return [a[0], fold(out), a[2] + b[2], a[3] or b[3], a[4] or b[4], literal]
 
 
@@ -257,7 +291,7 @@ def _has_text(node: Node) -> bool:
 
 class Reading:
     """Where a wrapper's article is: ``paths`` (keys joined by spaces) of its groups, and of those under them that stay against their words;
-    ``drops``: literals of groups in it that are the template's; ``marked``: whether the page says so itself."""
+    ``drops``: literals and paths of groups in it that are the template's; ``marked``: whether the page says so itself."""
 
     def __init__(self, root: Node):
         self.root = root
@@ -266,7 +300,7 @@ class Reading:
         self.differs = self.differs and self.mass(root, "") > 0
         self._spare()
         self.paths, self.marked = self._article()
-        self.drops: set[int] = set()
+        self.drops: set[str] = set()
         if self.differs:
             self._template(root, "")
 
@@ -281,23 +315,23 @@ class Reading:
         return own + sum(self.mass(c, f"{path} {c[0]}".strip(), within) for c in node[1])
 
     def _spare(self) -> None:
-        """Groups that words tell to be outside, but without which less than a fifth of the text would be left, stay."""
-        left = self.mass(self.root, "")
+        """Groups that words of layout tell to be outside stay if they enclose an article: one with a heading of the page, an article or main, or
+        by words of their own. Comments, sidebars and adverts don't stay, however much they hold."""
+
+        def encloses(node: Node) -> bool:
+            tag, *words = node[0].split(".")
+            return tag in ("article", "main", "h1") or not ARTICLE_WORDS.isdisjoint(words) or any(encloses(c) for c in node[1] if not outside(c[0], True))
 
         def look(node: Node, path: str) -> None:
-            nonlocal left
             for c in node[1]:
                 at = f"{path} {c[0]}".strip()
                 tag = c[0].partition(".")[0]
-                if tag in OUTSIDE_TAGS or tag in ("#", "header"):
+                if tag in OUTSIDE_TAGS or tag in ("#", "header") or outside(c[0], True):
                     continue
-                if outside(c[0]) and at not in self.spared:
-                    self.spared.add(at)
-                    held = self.mass(c, at)
-                    if held <= 4 * left:
-                        self.spared.discard(at)
+                if outside(c[0]):
+                    if not encloses(c):
                         continue
-                    left += held
+                    self.spared.add(at)
                 look(c, at)
 
         look(self.root, "")
@@ -340,13 +374,13 @@ class Reading:
             tag = c[0].partition(".")[0]
             inside = any(at == p or at.startswith(p + " ") or not p for p in self.paths)
             if c[5] and inside and not c[4] and tag not in RUNNING and (not self.marked or outside(c[0]) and not outside(c[0], True)):
-                self.drops.add(c[5])
+                self.drops.add(f"{c[5]} {at}")
             elif not c[5] or not inside:
                 self._template(c, at)
 
 
-def main_text(page: str, paths: list[str], drops: set[int] = frozenset()) -> str | None:
-    """The text under these paths, without groups whose literal is in ``drops``; None if the page has none of them."""
+def main_text(page: str, paths: list[str], drops: set[str] = frozenset()) -> str | None:
+    """The text under these paths, without groups whose literal and path are in ``drops``; None if the page has none of them."""
     blocks: list[list[str]] = [[]]
     path: list[str] = []
     begun: list[int] = []
@@ -371,10 +405,10 @@ def main_text(page: str, paths: list[str], drops: set[int] = frozenset()) -> str
                 within = -1
             if out == len(path):
                 out = -1
-            marks -= path.pop().partition(".")[0] in ("article", "main")
             at = begun.pop()
-            if literal in drops:
+            if drops and f"{literal} {' '.join(path)}" in drops:
                 del blocks[at:]
+            marks -= path.pop().partition(".")[0] in ("article", "main")
             blocks.append([])
         elif within >= 0 and out < 0:
             blocks[-1].append(value)
@@ -424,7 +458,7 @@ def infer_wrappers(pages: DataFrame, url_col="url", html_col="html") -> DataFram
         salted = whole.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).alias("__salt")).agg(F.collect_list("wrapper").alias("wrappers"))
         whole = salted.select("host", "wrappers").mapInArrow(aligned, "host string, wrapper string")
 
-    @F.pandas_udf("expression string, paths array<string>, drops array<long>")
+    @F.pandas_udf("expression string, paths array<string>, drops array<string>")
     def decided(wrappers: pd.Series) -> pd.DataFrame:
         parsed = [json.loads(w) for w in wrappers]
         readings = [Reading(w) for w in parsed]
