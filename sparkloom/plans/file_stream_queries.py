@@ -58,6 +58,30 @@ def _(spark, d):
     return files.decoded(table(spark, d, "pages").select("page_id", content.alias("content")), "page_id", "content")
 
 
+# Pages written as files of other kinds and charsets, then told apart and read by what is in them.
+@R.add("i6_file_heads", """SELECT page_id, ['pdf', 'docx', 'html', 'hwp', 'xlsx'][page_id % 5 + 1] AS kind, CASE page_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 16 WHEN 2 THEN 5 WHEN 3 THEN 28 ELSE 14 END + octet_length(encode(html)) AS length FROM pages""")
+def _(spark, d):
+    ole = "D0CF11E0" + "FileHeader".encode("utf-16-le").hex()
+    marks = ["255044462D", "504B0304" + b"word/doc.xml".hex(), b"<html".hex(), ole + "00000000", "504B0304" + b"xl/book.x~".hex()]
+    mark = F.unhex(F.element_at(F.array(*map(F.lit, marks)), (F.col("page_id") % 5 + 1).cast("int")))
+    path = fresh_path(spark, "heads")
+    rows = table(spark, d, "pages").select("page_id", F.base64(F.concat(mark, F.encode("html", "UTF-8"))).alias("body"))
+    files.write_each(rows, "page_id", "body", path)
+    found = files.heads(spark, path, 64)
+    kind = F.coalesce(files.container_kind(F.col("head")), files.actual_format(F.col("head"), F.col("path"))[1])
+    return found.select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("page_id"), kind.alias("kind"), "length")
+
+
+@R.add("i7_decoded_files", "SELECT doc_id, ['utf-8', 'euc-kr', 'cp949', 'utf-16'][doc_id % 4 + 1] AS charset, '한국어 문서 ' || CASE doc_id % 4 WHEN 2 THEN '똠햏뷁샾뙇 ' ELSE '' END || doc_id AS text FROM documents")
+def _(spark, d):
+    path = fresh_path(spark, "charsets")
+    text = F.concat(F.lit("한국어 문서 "), F.when(F.col("doc_id") % 4 == 2, "똠햏뷁샾뙇 ").otherwise(""), F.col("doc_id").cast("string"))
+    rows = table(spark, d, "documents").select("doc_id", text.alias("text"), F.element_at(F.array(*map(F.lit, ("utf-8", "euc-kr", "cp949", "utf-16"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("charset"))
+    files.write_each(files.encoded(rows, "text", "charset", "body"), "doc_id", "body", path)
+    contents = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id"), "content")
+    return files.decoded(contents, "doc_id", "content")
+
+
 @R.add("i8_partitioned_save", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
 def _(spark, d):
     path = fresh_path(spark, "saved")

@@ -13,10 +13,31 @@ R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
 
 
-@R.add("s15_numeral_repair", "SELECT o_orderkey, '총 ' || (1000 + o_orderkey % 7 * 1000) || '원 외 ㅇㅇ시' AS text, 3::BIGINT AS repaired FROM orders")
+# Damage in the five contexts, and where the letter stays.
+_NUMERALS = ["총 {n}ㅇㅇㅇ원 외 ㅇㅇ시", "{n}ㅇ{n} 그리고 {n}ㅇㅇ", "값 {n}.{n}ㅇㅇ, ㅇ{n}시", "{n}ㅇ번지 ㅇㅇㅇ 님", "({n}ㅇ) {n}ㅇ월 {n}ㅇ말", "ㅇ{n} {n}ㅇ{n}ㅇ{n} ㅇ"]
+_REPAIRED = ["총 {n}000원 외 ㅇㅇ시", "{n}0{n} 그리고 {n}00", "값 {n}.{n}00, 0{n}시", "{n}0번지 ㅇㅇㅇ 님", "({n}0) {n}0월 {n}ㅇ말", "0{n} {n}0{n}ㅇ{n} ㅇ"]
+_MENDED = [3, 3, 3, 1, 2, 2]
+
+
+def _of_orders(templates):
+    return "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN replace('{t}', '{{n}}', (o_orderkey % 7 + 1)::VARCHAR)" for i, t in enumerate(templates)) + " END"
+
+
+@R.add("s15_numeral_repair", f"SELECT o_orderkey, {_of_orders(_REPAIRED)} AS text, ([{', '.join(map(str, _MENDED))}])[o_orderkey % 6 + 1]::BIGINT AS repaired FROM orders")
+def _(spark, d):
+    digit = (1 + F.col("o_orderkey") % 7).cast("string")
+    damaged = F.element_at(F.array(*[F.replace(F.lit(t), F.lit("{n}"), digit) for t in _NUMERALS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", repair.zeros_and_count(damaged).alias("r")).select("o_orderkey", "r.text", "r.repaired")
+
+
+@R.add("s16_space_garbage", """SELECT o_orderkey, '주문 ' || o_orderkey || ' 확인' || CASE o_orderkey % 4 WHEN 0 THEN ' 문서' WHEN 1 THEN '문 서' WHEN 2 THEN ' 漢字 문서' ELSE ' 문서 x' END AS text,
+ CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END::BIGINT AS removed FROM orders""")
 def _(spark, d):
-    damaged = F.concat(F.lit("총 "), (1 + F.col("o_orderkey") % 7).cast("string"), F.lit("ㅇㅇㅇ원 외 ㅇㅇ시"))
-    return table(spark, d, "orders").select("o_orderkey", repair.zeros(damaged).alias("text"), repair.zeros_repaired(damaged).cast("long").alias("repaired"))
+    # A known sequence and a character; a unit in Hangul, one of a letter; common Han stays; units without Hangul near, not in Han.
+    tails = ["漠杳杰문서", "\u6F20문\u5B20서", "\u3000 漢字 문서", "\u4020\u2003문서 x"]
+    tail = F.element_at(F.array(*map(F.lit, tails)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    r = repair.without_space_garbage(F.concat(F.lit("주문 "), F.col("o_orderkey").cast("string"), F.lit(" 확인"), tail)).alias("r")
+    return table(spark, d, "orders").select("o_orderkey", r).select("o_orderkey", "r.text", "r.removed")
 
 
 @R.add("s16_stray_characters", "SELECT doc_id, md5(text) AS text FROM documents WHERE length(text) > 100")

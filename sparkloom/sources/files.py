@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: What files of each format begin with.
 MAGIC = {"25504446": "pdf", "504B0304": "zip", "D0CF11E0": "ole", "89504E47": "png", "FFD8FFE0": "jpg", "EFBBBF3C": "html", "3C21444F": "html", "3C68746D": "html"}
@@ -45,20 +48,49 @@ def actual_format(content: Column, name: Column) -> tuple[Column, Column]:
     return declared, F.when(family == own, declared).otherwise(F.coalesce(family, F.lit("unknown")))
 
 
-def decode(content: bytes, charsets: tuple[str, ...] = ("utf-8", "euc-kr", "cp949", "utf-16")) -> tuple[str, str]:
-    """(text, charset): the first that fits, else what a meta tag names, else UTF-8 without what doesn't fit. A byte-order mark decides at once."""
-    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        charsets = ("utf-16", *charsets)
-    for c in charsets:
+#: What contents are tried as, in this order.
+CHARSETS = ("utf-8", "euc-kr", "cp949", "utf-16", "utf-16-le", "utf-16-be", "latin-1")
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
+def decoding_score(text: str) -> float:
+    """As ``quality.decoding_score``, for a text at hand: 0.6 valid + 0.4 (1 - replaced)."""
+    if not text:
+        return 0.0
+    invalid = sum(c < " " and c not in "\t\n\r" or c == "\x7f" or "\ue000" <= c <= "\uf8ff" for c in text)
+    return (len(text) - invalid) / len(text) * 0.6 + (1 - text.count("\ufffd") / len(text)) * 0.4
+
+
+def _tried(content: bytes, charset: str) -> str | None:
+    """Strictly, else with replacements if they are a tenth at most."""
+    try:
+        return content.decode(charset)
+    except UnicodeDecodeError:
+        text = content.decode(charset, "replace")
+        return None if text.count("\ufffd") > 0.1 * max(len(text), 1) else text
+    except LookupError:
+        return None
+
+
+def decode(content: bytes, charsets: tuple[str, ...] = CHARSETS, enough: float = 0.9) -> tuple[str, str]:
+    """(text, charset): by a byte-order mark; else what a meta tag names, if all of it fits; else the candidate of the best score, the first over ``enough``."""
+    for mark, charset in _MARKS:
+        if content.startswith(mark) and (text := _tried(content, charset)) is not None:
+            return text, charset.removesuffix("-sig")
+    named = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", content[:4096])
+    if named:
         try:
-            return content.decode(c), c
+            return content.decode(named[1].decode()), named[1].decode().lower()
         except (UnicodeDecodeError, LookupError):
-            continue
-    m = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", content[:4096])
-    try:
-        return content.decode(m[1].decode()) if m else content.decode("latin-1"), m[1].decode() if m else "latin-1"
-    except (UnicodeDecodeError, LookupError):
-        return content.decode("utf-8", "ignore"), "utf-8"
+            pass
+    best = ("", "", -1.0)
+    for charset in charsets:
+        text = _tried(content, charset)
+        if text and (score := decoding_score(text)) > best[2]:
+            best = (text, charset, score)
+            if score > enough:
+                break
+    return best[0], best[1] or charsets[0]
 
 
 def decoded(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -73,6 +105,31 @@ def decoded(df: DataFrame, key: str, content: str) -> DataFrame:
     return df.select(key, F.col(content).alias("__content")).mapInPandas(run, f"{key} {kind}, text string, charset string")
 
 
+def encoded(df: DataFrame, text: str, charset: str, out: str) -> DataFrame:
+    """``df`` with the base64 of each text in its own charset; characters that it lacks become question marks."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, charsets: pd.Series) -> pd.Series:
+        return pd.Series([base64.b64encode(t.encode(c, "replace")).decode() if t is not None else None for t, c in zip(texts, charsets, strict=True)], dtype=object)
+
+    return df.withColumn(out, run(text, charset))
+
+
+def write_each(df: DataFrame, key: str, content: str, path: str) -> None:
+    """A file for each row, named by its key, in a folder that executors share; contents are base64. A task that runs again replaces its files."""
+
+    def run(rows) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(root)
+        for r in rows:
+            with store.open_output_stream(f"{root}/{r[0]}") as f:
+                f.write(base64.b64decode(r[1] or ""))
+
+    df.select(key, content).foreachPartition(run)
+
+
 def save(df: DataFrame, path: str, by: list[str], format: str = "parquet") -> None:
     df.write.partitionBy(*by).format(format).save(path)
 
@@ -85,3 +142,73 @@ def migrate(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "|") -> DataFrame:
     return spark.read.csv(path, schema=schema, sep=sep, header=False)
+
+
+class Heads(DataSource):
+    """Files as path, length and their first bytes (option ``bytes``, 4096): contents are opened, not read through.
+
+    ``spark.read.format("heads").option("bytes", 8).load(paths as a JSON list)``: paths are listed by Spark's own file source before
+    (see ``heads``), and read in tasks by what all of them can open.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "heads"
+
+    def schema(self) -> str:
+        return "path string, length long, head binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HeadReader(self.options)
+
+
+class _HeadReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.paths, self.n = json.loads(options["path"]), int(options.get("bytes", "4096"))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(self.paths[i : i + 100]) for i in range(0, len(self.paths), 100)]
+
+    def read(self, partition: InputPartition):
+        from pyarrow import fs
+
+        for path in partition.value:
+            store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            with store.open_input_file(at) as f:
+                yield path, f.size(), f.read(self.n)
+
+
+def heads(spark: SparkSession, path: str, n: int = 8, glob: str = "*", block: int = 100_000) -> DataFrame:
+    """path, length, head: the first ``n`` bytes of each file under a folder, by paths in blocks of ``block``."""
+    spark.dataSource.register(Heads)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path")
+    out, held = None, []
+
+    def block_of(paths: list[str]) -> DataFrame:
+        return spark.read.format("heads").option("bytes", n).load(json.dumps(paths))
+
+    for row in listed.toLocalIterator():
+        held.append(row["path"])
+        if len(held) == block:
+            out, held = block_of(held) if out is None else out.unionByName(block_of(held)), []
+    if held or out is None:
+        out = block_of(held) if out is None else out.unionByName(block_of(held))
+    return out
+
+
+#: Entries that only some kinds of ZIP and OLE files have.
+ZIP_KINDS = (("hwpx", b"mimetypeapplication/hwp+zip"), ("docx", b"word/"), ("xlsx", b"xl/"), ("pptx", b"ppt/"))
+OLE_KINDS = (("hwp", "FileHeader"), ("doc", "WordDocument"), ("xls", "Workbook"), ("ppt", "PowerPoint Document"))
+
+
+def container_kind(head: Column) -> Column:
+    """What a ZIP or OLE file is by names in its first bytes (some kilobytes): hwpx, docx, xlsx, pptx, hwp, doc, xls, ppt; else zip, ole or null."""
+    text = F.hex(head)
+    wide = lambda name: name.encode("utf-16-le").hex().upper()
+    has = lambda bytes_hex: F.locate(bytes_hex, text) > 0
+    zipped, ole = F.lit("zip"), F.lit("ole")
+    for kind, name in reversed(ZIP_KINDS):
+        zipped = F.when(has(name.hex().upper()), kind).otherwise(zipped)
+    for kind, name in reversed(OLE_KINDS):
+        ole = F.when(has(wide(name)), kind).otherwise(ole)
+    return F.when(text.startswith("504B0304"), zipped).when(text.startswith("D0CF11E0"), ole)
