@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import filters, joins, keywords, ranking, scans, stats
 from sparkloom.plans.registry import Registry, table
+from sparkloom.sources.buckets import Buckets
+from sparkloom.sources.staging import fresh_path
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
@@ -407,14 +409,25 @@ def _(spark, d):
 @R.add("s9_replace_chunks", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 10 <> 0 UNION ALL SELECT l_orderkey, l_partkey, l_quantity + 1 FROM lineitem WHERE l_orderkey % 10 = 0")
 def _(spark, d):
     items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    new = items.where("l_orderkey % 10 = 0").withColumn("l_quantity", F.col("l_quantity") + 1)
-    return items.join(new.select("l_orderkey").distinct(), "l_orderkey", "left_anti").unionByName(new)
+    store = Buckets(spark, fresh_path(spark, "chunks"), "l_orderkey", 16).create(items)
+    store.upsert(items.where("l_orderkey % 10 = 0").withColumn("l_quantity", F.col("l_quantity") + 1))
+    return store.read()
+
+
+@R.add("s9_chunks_removed", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1")
+def _(spark, d):
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    store = Buckets(spark, fresh_path(spark, "chunks"), "l_orderkey", 16).create(items)
+    store.delete(items.where("l_orderkey % 10 = 0"))
+    return store.read().groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
 @R.add("i9_upsert_vectors", "SELECT count(*) FILTER (label > 5) AS added, count(*) FILTER (label IN (4, 5)) AS updated, count(*) AS total FROM embeddings")
 def _(spark, d):
     v = table(spark, d, "embeddings")
-    return ranking.upsert_report(v.where("label <= 5"), v.where("label >= 4 and embedding is not null"), "vec_id")
+    store = Buckets(spark, fresh_path(spark, "vectors"), "vec_id", 16).create(v.where("label <= 5"))
+    counts = store.upsert(v.where("label >= 4 and embedding is not null"))
+    return store.read().agg(F.lit(counts["added"]).cast("long").alias("added"), F.lit(counts["replaced"]).cast("long").alias("updated"), F.count("*").alias("total"))
 
 
 @R.add("i10_bulk_upsert", "SELECT vec_id, CASE WHEN label >= 4 THEN label + 100 ELSE label END AS label, lang FROM embeddings LEFT JOIN documents ON doc_id = vec_id")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.buckets import Buckets
 from sparkloom.sources.staging import fresh_path
 from sparkloom.streaming import progress, runs
 
@@ -80,16 +81,23 @@ def appended(stream: DataFrame) -> DataFrame:
     return spark.read.parquet(path).drop("batch")
 
 
-def embed_new(stream: DataFrame, key: str, embed: Callable[[DataFrame], DataFrame], known: DataFrame) -> DataFrame:
-    """Vectors of rows that ``known`` doesn't have yet, a batch at a time; of a key that comes again, the vector of its last batch (in one batch: of its greatest row)."""
-    spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "vectors")
+def embed_new(stream: DataFrame, key: str, embed: Callable[[DataFrame], DataFrame], known: DataFrame, buckets: int = 64) -> DataFrame:
+    """Vectors of rows that ``known`` doesn't have yet, upserted a batch at a time into a table of buckets, of which a batch writes those that it
+    touches; of a key that comes again, the vector of its last batch (in one batch: of its greatest row)."""
+    spark = stream.sparkSession
+    store = Buckets(spark, fresh_path(spark, "vectors"), key, buckets)
+    made = False
 
     def add(df: DataFrame, number: int) -> None:
+        nonlocal made
         rest = [c for c in df.columns if c != key]
         last = df.groupBy(key).agg(F.max(F.struct(*rest)).alias("__row")).select(key, "__row.*")
-        _keep(embed(last.join(known.select(key), key, "left_anti")), path, number)
+        vectors = embed(last.join(known.select(key), key, "left_anti"))
+        if made:
+            store.upsert(vectors)
+        else:
+            store.create(vectors)
+            made = True
 
     run_to_end(stream, add)
-    found = spark.read.parquet(path)
-    rest = [c for c in found.columns if c not in (key, "batch")]
-    return found.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("__row")).select(key, "__row.*")
+    return store.read()
