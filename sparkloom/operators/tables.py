@@ -58,11 +58,29 @@ def numeric_share(row: Column) -> Column:
     return F.size(F.filter(row, lambda c: F.trim(c).rlike(NUMERIC))) / F.greatest(F.size(F.filter(row, lambda c: F.trim(c) != "")), F.lit(1))
 
 
-def header_rows(rows: Column, most: int = 3) -> Column:
-    """How many rows are header: those before the first where at least half the cells are numbers; 1 to ``most``."""
-    numeric = F.transform(rows, lambda r: numeric_share(r) >= 0.5)
-    first = F.coalesce(F.array_position(numeric, F.lit(True)).cast("int"), F.lit(0))
-    return F.when(first == 0, 1).otherwise(F.greatest(F.lit(1), F.least(first - 1, F.lit(most))))
+#: Words of header cells, as expressions over lower case.
+HEADER_WORDS = "번호|항목|구분|분류|명칭|단위|합계|소계|총|계|no|item|category|name|unit"
+
+
+def is_header_row(row: Column, words: str = HEADER_WORDS) -> Column:
+    """Whether a row other than the first is header: a cell has a word of headers; else unless over 0.7 of the cells are empty, more cells are text than numbers."""
+    cells = F.transform(row, lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    filled = F.filter(cells, lambda c: c != "")
+
+    def judged(f: Column) -> Column:
+        numbers = F.size(F.filter(f, lambda c: c.rlike(r"^[0-9,.\-+%]+$")))
+        worded = F.exists(f, lambda c: F.lower(c).rlike(words))
+        sparse = F.size(row) - F.size(f) > 0.7 * F.size(row)
+        return F.when(F.size(f) == 0, F.lit(False)).when(worded, F.lit(True)).when(sparse, F.lit(False)).otherwise(F.size(f) > 2 * numbers)
+
+    return _let(filled, judged)
+
+
+def header_rows(rows: Column, most: int = 3, words: str = HEADER_WORDS) -> Column:
+    """How many rows are header: the first, and those after it that are, to the first that isn't; ``most`` at most."""
+    flags = F.transform(F.slice(rows, 2, most - 1), lambda r: is_header_row(r, words))
+    first = F.array_position(F.transform(flags, lambda x: F.coalesce(x, F.lit(False))), F.lit(False)).cast("int")
+    return F.coalesce(F.when(first > 0, first).otherwise(F.size(flags) + 1), F.lit(1))
 
 
 def flat_header(rows: Column, n: Column) -> Column:
@@ -102,10 +120,16 @@ def column_kinds(cells: DataFrame, table: str, column: str, text: str) -> DataFr
     return flags.groupBy(table, column).agg(F.when(share("p"), "percentage").when(share("n"), "numeric").when(share("d"), "date").otherwise("text").alias("kind"))
 
 
-def position_score(bottom: Column, top: Column, height: Column) -> Column:
-    """1 if a table ends in the page's last tenth and the next begins in the first tenth of its page; less, the farther off."""
-    near = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (x - 0.1) / 0.4))
-    return (near((height - bottom) / height) + near(top / height)) / 2
+def position_score(a: Column, b: Column, height: Column) -> Column:
+    """Whether a table of box ``a`` (left, top, right, bottom) may go on in one of box ``b`` on the next page: 0.4 if it ends in the page's last
+    0.15, 0.4 if the other begins in the first 0.15, and 0.2 times the overlap of their widths over both; 0.5 if something is unknown."""
+    at = F.get
+    overlap = F.least(at(a, 2), at(b, 2)) - F.greatest(at(a, 0), at(b, 0))
+    union = F.greatest(at(a, 2), at(b, 2)) - F.least(at(a, 0), at(b, 0))
+    ends = F.when(at(a, 3) >= height * 0.85, 0.4).otherwise(0.0)
+    begins = F.when(at(b, 1) <= height * 0.15, 0.4).otherwise(0.0)
+    found = F.least(F.lit(1.0), ends + begins + F.when(union > 0, 0.2 * overlap / union).otherwise(0.0))
+    return F.when(height.isNull() | (height == 0) | a.isNull() | b.isNull(), 0.5).otherwise(found)
 
 
 def similarity(a: str, b: str):
@@ -265,15 +289,7 @@ def continuity(pairs: DataFrame, a: str, b: str, height: str | None = None, leas
     likeness = F.aggregate(near, F.lit(0.0), lambda n, x: n + x) / F.size(near)
     columns = F.when((F.size(shares[a]) > 0) & (F.size(shares[b]) > 0) & (columns > 0), 0.6 * columns + 0.4 * likeness).otherwise(columns)
 
-    position = F.lit(0.5)
-    if height and has("box"):
-        at = lambda s, i: F.get(f(s, "box"), i)
-        overlap = F.least(at(a, 2), at(b, 2)) - F.greatest(at(a, 0), at(b, 0))
-        union = F.greatest(at(a, 2), at(b, 2)) - F.least(at(a, 0), at(b, 0))
-        ends = F.when(at(a, 3) >= F.col(height) * 0.85, 0.4).otherwise(0.0)
-        begins = F.when(at(b, 1) <= F.col(height) * 0.15, 0.4).otherwise(0.0)
-        found = F.least(F.lit(1.0), ends + begins + F.when(union > 0, 0.2 * overlap / union).otherwise(0.0))
-        position = F.when(F.col(height).isNull() | f(a, "box").isNull() | f(b, "box").isNull(), 0.5).otherwise(found)
+    position = position_score(f(a, "box"), f(b, "box"), F.col(height)) if height and has("box") else F.lit(0.5)
 
     alike = F.zip_with(F.col(f"__{a}_patterns"), F.col(f"__{b}_patterns"), lambda x, y: F.when(x == y, 1.0).when(x["kind"] == y["kind"], 0.7).when(x.isNotNull() & y.isNotNull(), 0.0))
     pairs = pairs.withColumn("__alike", F.array_compact(alike))

@@ -92,10 +92,15 @@ def _(spark, d):
     return tables.column_kinds(each, "o_custkey", "col", "text")
 
 
-@R.add("c21_position_score", "SELECT p_partkey, round((greatest(0, least(1, 1 - ((800 - (600 + p_size * 4)) / 800.0 - 0.1) / 0.4)) + greatest(0, least(1, 1 - (p_size * 10 / 800.0 - 0.1) / 0.4))) / 2, 6)::DOUBLE AS score FROM part")
-def _(spark, d):
-    score = tables.position_score(600 + F.col("p_size") * 4.0, F.col("p_size") * 10.0, F.lit(800.0))
-    return table(spark, d, "part").select("p_partkey", F.round(score, 6).alias("score"))
+@R.add("c21_position_score", """WITH x AS (SELECT p_partkey, p_size * 1.5 AS l1, 300.0 + p_partkey % 50 AS r1, 600.0 + p_size * 4 AS bottom, 20.0 AS l2, 310.0 AS r2, p_size * 10.0 AS top, CASE WHEN p_partkey % 9 > 0 THEN 800.0 END AS h FROM part)
+ SELECT p_partkey, round(CASE WHEN h IS NULL THEN 0.5 ELSE least(1.0, CASE WHEN bottom >= h * 0.85 THEN 0.4 ELSE 0 END + CASE WHEN top <= h * 0.15 THEN 0.4 ELSE 0 END
+  + 0.2 * (least(r1, r2) - greatest(l1, l2)) / (greatest(r1, r2) - least(l1, l2))) END, 6)::DOUBLE AS score FROM x""")
+def _(spark, d):
+    size = F.col("p_size").cast("double")
+    first = F.array(size * 1.5, F.lit(50.0), 300.0 + F.col("p_partkey") % 50, 600.0 + size * 4)
+    second = F.array(F.lit(20.0), size * 10, F.lit(310.0), F.lit(790.0))
+    height = F.when(F.col("p_partkey") % 9 > 0, 800.0)
+    return table(spark, d, "part").select("p_partkey", F.round(tables.position_score(first, second, height), 6).alias("score"))
 
 
 @R.add("c24_linearized", "SELECT n_nationkey, 'key: ' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ' | name: ' || n_name ELSE '' END || ' | region: ' || n_regionkey AS line FROM nation")

@@ -91,11 +91,16 @@ def _(spark, d):
     return table(spark, d, "documents").withColumn("class", c).select("doc_id", "lang", F.col("class.type").alias("type"))
 
 
-@R.add("c16_header_rows", "SELECT o_custkey, 1 AS header_rows FROM (SELECT DISTINCT o_custkey FROM orders)")
+# The first row, then a row with a word of headers, a sparse one with or without such a word, one of numbers, or one of words.
+@R.add("c16_header_rows", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 3 END AS header_rows FROM orders""")
 def _(spark, d):
-    cells = F.collect_list(F.array(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), "o_orderstatus"))
-    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.concat(F.array(F.array(F.lit("key"), F.lit("price"), F.lit("status"))), cells).alias("rows"))
-    return rows.select("o_custkey", tables.header_rows(F.col("rows")).alias("header_rows"))
+    key, price = F.col("o_orderkey").cast("string"), F.floor("o_totalprice").cast("string")
+    a = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    seconds = [a(key, price, "Item No.", price), a("", "", "", "O"), a("", "", "", "unit"), a(key, price, "7%", "F"), a("open", "paid", key, "x")]
+    second = F.element_at(F.array(*seconds), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    third = F.when(F.col("o_orderkey") % 5 == 4, a("합계", key, price, price)).otherwise(a(key, price, "1.5", "-"))
+    rows = F.array(a(key, key, key, key), second, third, a("name", "name", "name", "name"))
+    return table(spark, d, "orders").select("o_orderkey", tables.header_rows(rows).alias("header_rows"))
 
 
 @R.add("c17_flat_headers", "SELECT n_nationkey, n_name || '_amount|' || n_name || '_rate|name' AS header FROM nation")
