@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.keywords import keyword_hits
+
 
 def prefix_join(left: DataFrame, right: DataFrame, code: str, prefix: str) -> DataFrame:
     """Rows of ``left`` with each row of ``right`` whose ``prefix`` is the whole ``code`` or begins it.
@@ -24,6 +26,23 @@ def prefix_join(left: DataFrame, right: DataFrame, code: str, prefix: str) -> Da
     return keyed.join(right, keyed["__prefix"] == right[prefix]).drop("__prefix")
 
 
+def number_prefixes(ranges: Column, pattern: str = "(?i)[IC]-[A-Z0-9]+") -> Column:
+    """What ranges of management numbers begin with: the numbers in a text without their last digits, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(ranges, F.lit(pattern), 0), lambda r: F.regexp_replace(r, "[0-9]+$", "")))
+
+
+def by_number_range(facilities: DataFrame, units: DataFrame, number: str, ranges: str) -> DataFrame:
+    """Each facility with each unit in whose ranges is a prefix that the facility's number contains, once.
+
+    The prefixes are a dictionary that one automaton looks for in each number; facilities and units then meet by equality.
+    """
+    keyed = units.withColumn("__prefix", F.explode(number_prefixes(F.col(ranges))))
+    known = keyed.select("__prefix").distinct()
+    met = keyword_hits(facilities, number, known, "__prefix", fold=False)
+    columns = [*facilities.columns, *units.columns]
+    return met.join(keyed, "__prefix").select(*columns).distinct()
+
+
 def tree(major: DataFrame, unit: DataFrame, leaf: DataFrame, major_key: str, unit_key: str, unit_parent: str, leaf_parent: str, leaf_name: str, major_name: str, unit_name: str) -> DataFrame:
     """major, units: array<struct<unit, leaves: array<string>>>; sorted, majors and units without children too."""
     leaves = leaf.select(leaf_parent, leaf_name).groupBy(F.col(leaf_parent).alias("__u")).agg(F.array_sort(F.collect_list(leaf_name)).alias("leaves"))

@@ -46,19 +46,20 @@ def matcher(spark, words: list[str]) -> Callable[[Column], Column]:
     return found
 
 
-def keyword_hits(docs: DataFrame, text: str, keywords: DataFrame, word: str, block: int = BLOCK) -> DataFrame:
-    """Documents with each row of ``keywords`` whose word their text contains, in any case.
+def keyword_hits(docs: DataFrame, text: str, keywords: DataFrame, word: str, block: int = BLOCK, fold: bool = True) -> DataFrame:
+    """Documents with each row of ``keywords`` whose word their text contains, in any case (unless ``fold`` is false).
 
     Texts are read once for each block of words. The words found then join the dictionary by equality. An empty word is in every text,
     a null one in none; null texts hold nothing.
     """
     spark = docs.sparkSession
-    known = keywords.withColumn("__word", F.lower(word)).where("__word is not null")
+    case = F.lower if fold else F.col
+    known = keywords.withColumn("__word", case(word)).where("__word is not null")
     out = None
     for words in _blocks(known.select("__word").distinct().toLocalIterator(), block):
         find = matcher(spark, words)
         listed = spark.createDataFrame(list(enumerate(words)), "__at int, __word string")
-        rows = docs.withColumn("__found", find(F.lower(text)))
+        rows = docs.withColumn("__found", find(case(text)))
         if "" in words:
             rows = rows.withColumn("__found", F.when(F.col(text).isNotNull(), F.array_append("__found", F.lit(words.index("")))).otherwise(F.col("__found")))
         found = rows.withColumn("__at", F.explode("__found")).drop("__found").join(F.broadcast(listed), "__at").drop("__at")  # a block of words

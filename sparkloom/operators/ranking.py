@@ -92,3 +92,17 @@ def upsert_report(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def named_order(*names: str, locale: str = "ko") -> list[Column]:
     """What to order by for names as a reader of the locale expects them: letters of any case together, the small one first."""
     return [F.collate(F.col(n), locale) for n in names]
+
+
+def best_of_engines(results: DataFrame, file: str, engine: str, order: str, quality: str, enough: float) -> DataFrame:
+    """file, engine, quality, tried: engines are tried in order until one reaches ``enough``; of those tried the best, the first of equal ones.
+
+    An engine that failed has a null quality and is tried all the same; a file that all failed on has nulls.
+    """
+    row = F.struct(F.col(order).alias("o"), F.col(engine).alias("e"), F.col(quality).alias("q"))
+    first = F.min_by(row, F.when(F.col(quality) >= enough, F.col(order)))
+    best = F.max_by(row, F.when(F.col(quality).isNotNull(), F.struct(F.col(quality), -F.col(order))))
+    found = results.groupBy(file).agg(first.alias("__first"), best.alias("__best"), F.array_sort(F.collect_list(order)).alias("__orders"))  # engines of a file are few
+    tried = F.size(F.filter("__orders", lambda o: F.col("__first").isNull() | (o <= F.col("__first.o"))))
+    chosen = F.coalesce("__first", "__best")
+    return found.select(file, chosen["e"].alias(engine), chosen["q"].alias(quality), tried.cast("long").alias("tried"))

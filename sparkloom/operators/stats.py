@@ -156,8 +156,11 @@ def running_stats(usage: DataFrame, ok: Column, tokens: Column, rate: float) ->
 
 
 def group_by_key(df: DataFrame, key: str, targets: str, name: str) -> DataFrame:
-    """Rows of equal key as one: their names and the union of their targets, both sorted."""
-    return df.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(targets)))).alias("targets"), F.array_sort(F.collect_list(name)).alias("names"))
+    """Rows of equal key as one: their names and the union of their targets, both sorted. Targets are made distinct before any key gathers them."""
+    distinct = df.select(key, F.explode(targets).alias("__t")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("__t")).alias("targets"))
+    names = df.groupBy(key).agg(F.array_sort(F.collect_list(name)).alias("names"))  # what was asked for: all names, one each
+    none = F.array().cast(df.schema[targets].dataType)
+    return names.join(distinct, key, "left").select(key, F.coalesce("targets", none).alias("targets"), "names")
 
 
 def cost_estimate(df: DataFrame, tokens: Column, rates: DataFrame) -> DataFrame:

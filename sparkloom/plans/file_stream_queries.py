@@ -23,7 +23,7 @@ def _(spark, d):
     docs = docs.join(sizes, ["source", "lang"]).withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("files")))
     each = docs.groupBy("source", "lang", "k").agg(F.collect_list(F.struct("doc_id", "text")).alias("c"))
     body = F.when(F.col("k") % 2 == 0, F.to_json("c")).otherwise(F.to_json(F.struct(F.col("c").alias("chunks"))))
-    each.select(body.alias("value"), "source", "lang", F.lit("2024-01").alias("month"), "k").repartition("source").write.partitionBy("source", "lang", "month", "k").text(path)
+    each.select(body.alias("value"), "source", "lang", F.lit("2024-01").alias("month"), "k").repartition("source", "lang", "k").write.partitionBy("source", "lang", "month", "k").text(path)
     found = files.read_chunk_files(spark, path, "doc_id:bigint,text:string", r"/source=([^/]+)/lang=([^/]+)/month=([^/]+)/[^/]+/[^/]*$")
     return found.select("org", "board", "month", "doc_id", "text")
 
@@ -31,7 +31,7 @@ def _(spark, d):
 @R.add("i2_inventory")
 def _(spark, d):
     path = fresh_path(spark, "extracted")
-    table(spark, d, "documents").select("source", "lang", "doc_id", "text").repartition("source").write.partitionBy("source", "lang").json(path)
+    table(spark, d, "documents").select("source", "lang", "doc_id", "text").hint("rebalance", "source", "lang").write.partitionBy("source", "lang").json(path)
     return files.inventory(spark, path, r"/source=([^/]+)/lang=([^/]+)/[^/]*$")
 
 
@@ -85,7 +85,7 @@ def _(spark, d):
 @R.add("i8_partitioned_save", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
 def _(spark, d):
     path = fresh_path(spark, "saved")
-    files.save(table(spark, d, "documents").repartition("lang", "source"), path, ["lang", "source"])
+    files.save(table(spark, d, "documents").hint("rebalance", "lang", "source"), path, ["lang", "source"])
     return spark.read.parquet(path).groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 

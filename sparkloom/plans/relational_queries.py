@@ -213,6 +213,21 @@ def _(spark, d):
     return words.join(F.broadcast(units), "prefix").select("p_partkey", "prefix")
 
 
+_NUMBERED = """WITH f AS (SELECT p_partkey, 'No. ' || CASE WHEN p_size % 2 = 0 THEN 'I-' ELSE 'c-' END || substr(upper(p_name), 1, 1 + p_partkey % 3) || p_size AS number FROM part),
+ u AS (SELECT n_nationkey, 'I-' || substr(n_name, 1, 2) || n_nationkey || '~' || 'i-' || substr(n_name, 1, 1) || '9, c-S' || n_nationkey AS ranges FROM nation)"""
+
+
+@R.add("j10_number_ranges", f"""{_NUMBERED}, p AS (SELECT n_nationkey, regexp_replace(unnest(regexp_extract_all(ranges, '[ICic]-[A-Za-z0-9]+')), '[0-9]+$', '') AS prefix FROM u)
+ SELECT DISTINCT p_partkey, n_nationkey FROM f JOIN p ON contains(number, prefix)""")
+def _(spark, d):
+    size = F.col("p_size").cast("string")
+    number = F.concat(F.lit("No. "), F.when(F.col("p_size") % 2 == 0, "I-").otherwise("c-"), F.substr(F.upper("p_name"), F.lit(1), (1 + F.col("p_partkey") % 3).cast("int")), size)
+    key = F.col("n_nationkey").cast("string")
+    ranges = F.concat(F.lit("I-"), F.substring("n_name", 1, 2), key, F.lit("~i-"), F.substring("n_name", 1, 1), F.lit("9, c-S"), key)
+    facilities, units = table(spark, d, "part").select("p_partkey", number.alias("number")), table(spark, d, "nation").select("n_nationkey", ranges.alias("ranges"))
+    return joins.by_number_range(facilities, units, "number", "ranges").select("p_partkey", "n_nationkey")
+
+
 @R.add("j11_tree", """WITH l AS (SELECT c_nationkey, string_agg(c_name, ',' ORDER BY c_name) AS leaves FROM customer WHERE c_acctbal > 9000 GROUP BY 1), u AS (SELECT n_regionkey, n_name || ':' || coalesce(leaves, '') AS x, n_name FROM nation LEFT JOIN l ON c_nationkey = n_nationkey)
  SELECT r_name AS major, string_agg(x, ';' ORDER BY n_name) AS units FROM region LEFT JOIN u ON n_regionkey = r_regionkey GROUP BY 1""")
 def _(spark, d):

@@ -191,14 +191,51 @@ def _(spark, d):
 @R.add("k6_candidates")
 def _(spark, d):
     docs = clusters.kmeans(vectors.hashed_vectors(table(spark, d, "documents"), "text"), "vector", k=8, starts=1)
-    return clusters.candidates(docs, "cluster", "doc_id", "text", "source")
+    return _flat(clusters.candidates(docs, "cluster", "doc_id", "text", ["source", "lang"], "vector"))
+
+
+def _flat(found):
+    """Candidates with their lists as texts."""
+    sources = F.array_join(F.transform("sources", lambda s: F.concat_ws("_", s["source"], s["lang"])), ",")
+    return found.withColumns({"keywords": F.array_join("keywords", ","), "ids": F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), "sources": sources, "score": F.col("scores.total")}).drop("scores")
+
+
+# Labels of the vectors stand for clusters of the documents of the same number.
+_GROUPS = """g AS (SELECT doc_id, text, source, lang, label, embedding AS v FROM documents JOIN embeddings ON doc_id = vec_id),
+ w AS (SELECT label, doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'), lambda w: length(w) >= 2)) AS term FROM g),
+ t AS (SELECT label, term, count(*) AS tf, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, term) AS rank FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, term) <= 10),
+ m AS (SELECT label, i, avg(v[i]::DOUBLE) AS x FROM g, range(1, 65) r(i) GROUP BY 1, 2), e AS (SELECT g.label, doc_id, round(sqrt(sum((v[i]::DOUBLE - x) ** 2)), 6) AS distance FROM g JOIN m ON m.label = g.label GROUP BY 1, 2),
+ n AS (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY distance, doc_id) AS rank FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, doc_id) <= 5),
+ s AS (SELECT n.label, n.doc_id, round(sum(CASE WHEN contains(lower(text), term) THEN 1.3 ELSE 0 END + CASE WHEN contains(lower(substr(text, 1, 200)), term) THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS score
+  FROM n JOIN g USING (doc_id) JOIN t ON t.label = n.label AND t.rank <= 5 GROUP BY 1, 2),
+ b AS (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id) <= 3)"""
+
+
+def _grouped(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("vector"))
+    return table(spark, d, "documents").join(v, "doc_id")
+
+
+@R.add("k3_reranked", f"WITH {_GROUPS} SELECT label, doc_id, rank FROM b")
+def _(spark, d):
+    docs = _grouped(spark, d)
+    near = clusters.representatives(docs, "label", "doc_id", "vector").select("label", "doc_id", "rank")
+    return clusters.reranked(docs, near, lexical.group_keywords(docs, "label", "doc_id", "text", 10), "label", "doc_id", "text")
+
+
+@R.add("k6_candidates_of_labels", f"""WITH {_GROUPS}, z AS (SELECT label, count(*) AS size FROM g GROUP BY 1 ORDER BY size DESC, label LIMIT 4),
+ k AS (SELECT label, list(term ORDER BY rank) AS ks FROM t GROUP BY 1), r AS (SELECT b.label, list(doc_id ORDER BY rank) AS ids, list(trim(substr(text, 1, 200)) ORDER BY rank)[1:2] AS heads, list(source || '_' || lang ORDER BY rank) AS ss FROM b JOIN g USING (doc_id) GROUP BY 1)
+ SELECT z.label, 'Cluster ' || (z.label + 1) || ': ' || array_to_string(ks[1:3], ', ') AS title, array_to_string(list_filter(heads, lambda h: h <> ''), ' | ') AS summary, array_to_string(ks, ',') AS keywords, array_to_string(ids, ',') AS ids, size,
+ array_to_string(list_filter(ss, lambda x, i: list_position(ss, x) = i), ',') AS sources, 0.5::DOUBLE AS score FROM z JOIN k ON k.label = z.label JOIN r ON r.label = z.label""")
+def _(spark, d):
+    return _flat(clusters.candidates(_grouped(spark, d), "label", "doc_id", "text", ["source", "lang"], "vector", 4))
 
 
 @R.add("k7_discovery")
 def _(spark, d):
     docs = clusters.kmeans(vectors.hashed_vectors(table(spark, d, "documents").where("lang = 'en'"), "text"), "vector", k=8, starts=1)
     scores = docs.join(table(spark, d, "labels"), "doc_id").groupBy("cluster").agg(F.avg("quality").alias("good"), F.avg("toxic").alias("bad"))
-    scored = clusters.candidates(docs, "cluster", "doc_id", "text", "source").join(scores, "cluster", "left")
+    scored = _flat(clusters.candidates(docs, "cluster", "doc_id", "text", ["source", "lang"], "vector")).join(scores, "cluster", "left")
     return scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.7 * F.coalesce("good", F.lit(0.0)) + 0.3 * (1 - F.coalesce("bad", F.lit(0.0)))))).orderBy(F.desc("score"), "cluster")
 
 
