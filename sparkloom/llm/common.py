@@ -24,7 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, r
     """At most ``rows`` (text, label) pairs on the driver, half of them of either label where there are enough.
 
     Only training folds; keys are drawn in the order of a hash, whatever the partitions. The keys drawn, ``rows`` at most, are
-    broadcast; texts over ``row_bytes`` bytes are then left out, so the sample has at most rows * row_bytes bytes. Only keys are shuffled.
+    broadcast; texts over ``row_bytes`` bytes are then left out, and of several texts of a key the least is taken, so the sample has at most
+    rows * row_bytes bytes. Only keys and the texts drawn are shuffled.
     """
     known = labels.select(F.col(id_col).alias("__key"), F.col(label).cast("int").alias("__label")).where("__label in (0, 1)").where(~held_out(F.col("__key")))
     known = known.join(docs.select(F.col(id_col).alias("__key")), "__key", "left_semi").groupBy("__key").agg(F.min("__label").alias("__label"))
@@ -36,10 +37,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, r
         return []
     drawn = docs.sparkSession.createDataFrame(drawn, part.schema)
     texts = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull() & (F.octet_length("__text") <= row_bytes))
-    found = texts.join(F.broadcast(drawn), "__key").select("__at", "__key", "__text", "__label").collect()
+    found = texts.join(F.broadcast(drawn), "__key").groupBy("__at", "__key", "__label").agg(F.min("__text").alias("__text")).collect()
     return [(r["__text"], r["__label"]) for r in sorted(found, key=lambda r: (r["__label"], r["__at"], r["__text"]))]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever case is."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of the batch's rows with at most ``limit`` bytes in a text column, a longer row alone, so that a task holds few texts as objects."""
     ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import held_out, labelled_sample
+from sparkloom.llm.common import free_name, held_out, labelled_sample
 
 STRIDE, DIM, FILTERS, LAGS = 16, 6, 24, 24
 #: Bytes scored at once in a task, which bounds its memory; a longer document goes through in parts of this size.
@@ -141,5 +141,6 @@ def quality_table(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` without the documents that score below ``threshold``; columns as they were."""
-    scored = with_score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col, "__score")
-    return scored.where(F.col("__score") >= threshold).drop("__score")
+    name = free_name(docs, "__score")
+    scored = with_score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col, name)
+    return scored.where(F.col(name) >= threshold).drop(name)

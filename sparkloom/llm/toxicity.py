@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import held_out, labelled_sample, ragged
+from sparkloom.llm.common import free_name, held_out, labelled_sample, ragged
 
 WINDOW, STEP, DIM, HIDDEN, ATTENTION, GRAMS = 32, 24, 12, 10, 8, (3, 4, 6)
 BUCKETS = 1 << 15
@@ -345,5 +345,6 @@ def toxicity_table(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more; columns as they were."""
-    scored = with_score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col, "__score")
-    return scored.where(F.col("__score") < threshold).drop("__score")
+    name = free_name(docs, "__score")
+    scored = with_score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col, name)
+    return scored.where(F.col(name) < threshold).drop(name)
