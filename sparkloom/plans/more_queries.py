@@ -172,7 +172,32 @@ def _(spark, d):
     return table(spark, d, "documents").alias("d").lateralJoin(table_functions.ChunkText(F.col("text").outer(), F.lit(200)).alias("c")).select("d.doc_id", "c.chunk_index", "c.kind", "c.tokens", "c.content")
 
 
-@R.add("r13_surrogate_search")
+# Cosines of some vectors with all; a surrogate keeps a part of the components.
+_NEAR = """q AS (SELECT vec_id AS g, {kept} AS a FROM embeddings WHERE vec_id % 100 = 0), n AS (SELECT g, v.vec_id, round(list_cosine_similarity(a::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM q, embeddings v),
+ {name} AS (SELECT g, vec_id, score, row_number() OVER (PARTITION BY g ORDER BY score DESC, vec_id)::INT AS rank FROM n QUALIFY row_number() OVER (PARTITION BY g ORDER BY score DESC, vec_id) <= 50)"""
+
+
+def _near(name, kept):
+    return f"{name} AS (WITH {_NEAR.format(kept=kept, name='r')} SELECT * FROM r)"
+
+
+_EVEN = "list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE 0 END)"
+_HALF = "list_transform(embedding, lambda x, i: CASE WHEN i <= 32 THEN x ELSE 0 END)"
+_HOP = """h{i} AS (WITH n AS (SELECT query_id, v.vec_id, round(list_cosine_similarity(a::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM {asked}, embeddings v)
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, {i} AS hop FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5)"""
+
+
+def _hops(n):
+    ask = "(SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0)"
+    views = []
+    for i in range(n):
+        views.append(_HOP.format(i=i, asked=ask))
+        ask = f"(SELECT query_id, embedding AS a FROM h{i} JOIN embeddings USING (vec_id) WHERE rank = 2)"
+    return f"WITH {', '.join(views)} " + " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(n))
+
+
+@R.add("r13_surrogate_search", f"""WITH {_near('x', 'embedding')}, {_near('y', _EVEN)}, u AS (SELECT g, vec_id, count(*) AS matches, max(score) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY 1, 2)
+ SELECT g AS "group", vec_id, matches, score, row_number() OVER (PARTITION BY g ORDER BY matches DESC, score DESC, vec_id)::INT AS rank FROM u QUALIFY row_number() OVER (PARTITION BY g ORDER BY matches DESC, score DESC, vec_id) <= 20""")
 def _(spark, d):
     v = table(spark, d, "embeddings")
     asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("group"), F.explode(F.array(F.col("embedding"), F.transform("embedding", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.lit(0.0)).cast("float")))).alias("asked")).withColumn("query_id", F.xxhash64("asked"))
@@ -180,7 +205,9 @@ def _(spark, d):
     return retrieval.multi_query(hits, "group", "vec_id", 20)
 
 
-@R.add("r14_direct_and_surrogate")
+@R.add("r14_direct_and_surrogate", f"""WITH {_near('x', 'embedding')}, {_near('y', _HALF)},
+ u AS (SELECT g AS query_id, vec_id, round(sum(part), 8) AS score FROM (SELECT g, vec_id, 0.6::DOUBLE / (60 + rank) AS part FROM x UNION ALL SELECT g, vec_id, 0.4::DOUBLE / (60 + rank) FROM y) GROUP BY 1, 2)
+ SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
 def _(spark, d):
     v = table(spark, d, "embeddings")
     ask = lambda f: v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.transform("embedding", f).alias("asked"))
@@ -189,7 +216,7 @@ def _(spark, d):
     return lexical.best(ranking.fused([direct, surrogate], "query_id", "vec_id", "rank", [0.6, 0.4]).drop("lists"), "query_id", "vec_id", 20, 8)
 
 
-@R.add("r17_multi_hop")
+@R.add("r17_multi_hop", _hops(3))
 def _(spark, d):
     v = table(spark, d, "embeddings")
     first = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))

@@ -136,7 +136,10 @@ def _(spark, d):
     return retrieval.retrieve(docs, asked, retrieval.default_plan("advanced").override(results=10), "doc_id", "item_id")
 
 
-@R.add("r11_model_rerank")
+@R.add("r11_model_rerank", f"""WITH {_BM25}, h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS old FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10),
+ o AS (SELECT item_id, doc_id, old, list_distinct(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda w: w <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(substr(d.text, 1, 2000), '\\s+'), lambda w: w <> '')) AS t
+  FROM h JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)), z AS (SELECT item_id, doc_id, old, round(len(list_intersect(q, t))::DOUBLE / (1 + len(q)), 6) AS score FROM o)
+ SELECT item_id, doc_id, score, row_number() OVER w::INT AS rank, (old - row_number() OVER w)::INT AS rank_change FROM z WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 5""")
 def _(spark, d):
     hits = bm25_top10(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("query")), "item_id")
     overlap = lambda qs, ts: [len(set(q.split()) & set(t.split())) / (1 + len(set(q.split()))) for q, t in zip(qs, ts, strict=True)]

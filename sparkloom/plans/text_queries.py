@@ -166,7 +166,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(text.all_matches(_text(), "[A-Z][a-z]+")), " ").alias("words"))
 
 
-@R.add("s27_expanded_query")
+@R.add("s27_expanded_query", """WITH x AS (SELECT item_id, lower(text) AS x FROM benchmark), k AS (SELECT item_id, x, list_filter(regexp_extract_all(x, '[a-z]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of')) AS ks FROM x),
+ a AS (SELECT item_id, list_filter([x, CASE WHEN contains(x, 'the') THEN replace(x, 'the', 'this') END, CASE WHEN contains(x, 'this') THEN replace(x, 'this', 'the') END, CASE WHEN contains(x, 'and') THEN replace(x, 'and', 'also') END,
+  CASE WHEN contains(x, 'also') THEN replace(x, 'also', 'and') END, CASE WHEN len(ks) > 1 THEN ks[1] || ' ' || ks[2] || ' law' END, CASE WHEN len(ks) > 1 THEN ks[1] || ' ' || ks[2] || ' plan' END], lambda q: q IS NOT NULL) AS qs FROM k),
+ d AS (SELECT item_id, list_filter(qs, lambda q, i: list_position(qs, q) = i)[1:6] AS qs FROM a) SELECT item_id, (i - 1)::INT AS pos, qs[i] AS query FROM d, unnest(range(1, len(qs) + 1)) t(i)""")
 def _(spark, d):
     found = text.expanded(F.lower("text"), [("the", "this"), ("and", "also")], ["law", "plan"], "[a-z]+", ["the", "of"])
     return table(spark, d, "benchmark").select("item_id", F.posexplode(found).alias("pos", "query"))
@@ -312,7 +315,9 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", text.impact(F.col("value") / 500).alias("impact"))
 
 
-@R.add("d12_json_array")
+@R.add("d12_json_array", """WITH f AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN [regexp_replace(substr(text, 1, 20), '[\\\\"\\n]', ' ', 'g'), 'two']
+  ELSE list_filter(list_transform(string_split(concat('1. first line', chr(10), '- ', substr(text, 1, 30), chr(10), 'no'), chr(10)), lambda p: trim(regexp_replace(p, '^\\s*(?:[-*•]|[0-9]+[.)])\\s*', ''))), lambda p: length(p) > 3) END[1:10] AS xs FROM benchmark)
+ SELECT item_id, (i - 1)::INT AS pos, xs[i] AS item FROM f, unnest(range(1, len(xs) + 1)) t(i)""")
 def _(spark, d):
     free = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit('Sure: ["'), F.regexp_replace(F.substring("text", 1, 20), '[\\\\"\\n]', " "), F.lit('", "two"] done'))).otherwise(F.concat(F.lit("1. first line\n- "), F.substring("text", 1, 30), F.lit("\nno")))
     return table(spark, d, "benchmark").select("item_id", F.posexplode(text.json_array(free)).alias("pos", "item"))
@@ -332,7 +337,8 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", m["k"].cast("long").alias("k"))
 
 
-@R.add("d15_actions")
+@R.add("d15_actions", """WITH l AS (SELECT doc_id, array_to_string(list_transform(string_split(text, '. '), lambda p, i: i || '. ' || p), chr(10)) AS t FROM documents),
+ m AS (SELECT doc_id, regexp_extract_all(t, '(?m)^\\s*[0-9]+[.)]\\s*(.+)$', 1)[1:5] AS xs FROM l) SELECT doc_id, trim(xs[i]) AS text, (['now', 'soon', 'later'])[least(i, 3)] AS category FROM m, unnest(range(1, len(xs) + 1)) t(i)""")
 def _(spark, d):
     lines = F.array_join(F.transform(F.split("text", r"\. "), lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
     return table(spark, d, "documents").select("doc_id", F.inline(text.actions(lines, ["now", "soon", "later"])))
