@@ -20,11 +20,11 @@ BULLETS = "-•○※ㅇ□▶▷◆◇★☆►◎⦁⦾"
 #: White space as in Unicode.
 _WS = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _S, _X = f"[{_WS}]", f"[^{_WS}]"
-_LINE_WS = r"[^\S\n]"
+_LINE_WS = rf"[{_WS}&&[^\n]]"
 _PRIVATE = r"[\x{E000}-\x{F8FF}]"
 _PAIRS = r"([A-Z])\1([A-Z])\2([A-Z])\3([A-Z])\4|([0-9])\5([0-9])\6([0-9])\7([0-9])\8"
 _LINE = rf"{_X}(?:[^\n]*{_X})?"
-_LISTED = rf"(?md)^{_LINE_WS}*(?:[{BULLETS}]{_LINE_WS}*\S|[0-9]+[.)]|\([가-힣0-9]+\))"
+_LISTED = rf"(?md)^{_LINE_WS}*(?:[{BULLETS}]{_LINE_WS}*{_X}|[0-9]+[.)]|\([가-힣0-9]+\))"
 
 
 def _let(x: Column, use: Callable[[Column], Column]) -> Column:
