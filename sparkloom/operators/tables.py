@@ -162,7 +162,7 @@ def signature_score(pairs: DataFrame, a: str, b: str, out: str = "score", tolera
             likeness = [1.0 if s == t else SequenceMatcher(None, s, t).ratio() for s, t in zip(p, q, strict=False)]
             return sum(x for x in likeness if x >= 0.8) / max(len(p), len(q)) if likeness else 0.0
 
-        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([one(p, q) if p is not None and q is not None else 0.0 for p, q in zip(x, y, strict=True)], dtype="float64")
 
     f = lambda s, c: F.col(f"{s}.{c}")
     count = F.least(f(a, "n"), f(b, "n")) / F.greatest(f(a, "n"), f(b, "n"), F.lit(1))
@@ -191,7 +191,7 @@ def repeats_header(header: Column, rows: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def found(heads: pd.Series, tables: pd.Series) -> pd.Series:
-        return pd.Series([any(_alike(h, r, "") for h, r in zip(a, b, strict=False)) for a, b in zip(heads, tables, strict=True)], dtype=bool)
+        return pd.Series([a is not None and b is not None and any(_alike(h, r, "") for h, r in zip(a, b, strict=False)) for a, b in zip(heads, tables, strict=True)], dtype=bool)
 
     return found(header, rows)
 
@@ -253,6 +253,28 @@ def data_patterns(rows: Column) -> Column:
     return F.when(F.size(F.get(rows, 0)) > 0, F.transform(cells, pattern)).otherwise(F.array().cast("array<struct<kind:string,share:double>>"))
 
 
+def with_features(df: DataFrame, s: str) -> DataFrame:
+    """``df`` with the struct ``s`` (page, rows, where known widths and box) as what ``continuity`` compares: without the rows, but for the first three."""
+    names = df.schema[s].dataType.names
+    rows, depth, head, shares = (F.col(f"__{s}_{c}") for c in ("rows", "depth", "head", "shares"))
+    no_widths = F.array().cast("array<double>")
+    total = F.aggregate(f"{s}.widths", F.lit(0.0), lambda n, x: n + x) if "widths" in names else None
+    # Each a column of its own, so that none is worked out again wherever it is used.
+    df = df.withColumn(f"__{s}_rows", F.coalesce(F.col(f"{s}.rows"), F.array().cast("array<array<string>>")))
+    df = df.withColumn(f"__{s}_depth", F.when(F.size(rows) > 0, header_rows(rows)).otherwise(0))
+    df = df.withColumn(f"__{s}_shares", F.coalesce(F.transform(f"{s}.widths", lambda x: x / total), no_widths) if total is not None else no_widths)
+    width = F.coalesce(F.size(F.get(rows, 0)), F.lit(0))
+    df = df.withColumn(f"__{s}_head", F.when((F.size(rows) > 0) & (width > 0), flat_header(rows, depth)).otherwise(F.array().cast("array<string>")))
+    sig = signature(head)
+    body = F.slice(rows, depth + 1, F.greatest(F.size(rows), F.lit(1)))
+    found = F.struct(
+        F.col(f"{s}.page").alias("page"), *[F.col(f"{s}.{c}").alias(c) for c in ("box",) if c in names], depth.alias("depth"), width.alias("width"), F.size(body).alias("body"),
+        data_patterns(body).alias("patterns"), shares.alias("shares"), F.slice(rows, 1, 3).alias("top"),
+        F.struct(sig["n"].alias("n"), sig["names"].alias("names"), sig["print"].alias("print"), shares.alias("widths")).alias("signature"),
+    )
+    return df.withColumn(s, F.when(F.col(s).isNotNull(), found)).drop(*[f"__{s}_{c}" for c in ("rows", "depth", "head", "shares")])
+
+
 #: The weights of the parts of a continuity score.
 CONTINUITY = {"columns": 0.30, "header": 0.25, "position": 0.20, "pattern": 0.15, "repeated": 0.10}
 
@@ -269,20 +291,12 @@ def continuity(pairs: DataFrame, a: str, b: str, height: str | None = None, leas
     """
     f = lambda s, c: F.col(f"{s}.{c}")
     has = lambda c: all(c in pairs.schema[s].dataType.names for s in (a, b))
-    side = lambda name: {s: F.col(f"__{s}_{name}") for s in (a, b)}
-    rows, depth, width, data, shares = map(side, ("rows", "depth", "width", "data", "shares"))
-    for s in (a, b):  # each a column of its own, so that none is worked out again wherever it is used
-        pairs = pairs.withColumn(f"__{s}_rows", F.coalesce(f(s, "rows"), F.array().cast("array<array<string>>")))
-        pairs = pairs.withColumn(f"__{s}_depth", F.when(F.size(rows[s]) > 0, header_rows(rows[s])).otherwise(0)).withColumn(f"__{s}_width", F.coalesce(F.size(F.get(rows[s], 0)), F.lit(0)))
-        pairs = pairs.withColumn(f"__{s}_data", F.slice(rows[s], depth[s] + 1, F.greatest(F.size(rows[s]), F.lit(1))))
-        pairs = pairs.withColumn(f"__{s}_patterns", data_patterns(data[s]))
-        total = F.aggregate(f(s, "widths"), F.lit(0.0), lambda n, x: n + x) if has("widths") else None
-        pairs = pairs.withColumn(f"__{s}_shares", F.coalesce(F.transform(f(s, "widths"), lambda x: x / total), F.array().cast("array<double>")) if has("widths") else F.array().cast("array<double>"))  # noqa: B023
-        head = F.when((F.size(rows[s]) > 0) & (width[s] > 0), flat_header(rows[s], depth[s])).otherwise(F.array().cast("array<string>"))
-        pairs = pairs.withColumn(f"__{s}_head", head)
-        sig = signature(F.col(f"__{s}_head"))
-        pairs = pairs.withColumn(f"__{s}", F.struct(sig["n"].alias("n"), sig["names"].alias("names"), sig["print"].alias("print"), shares[s].alias("widths")))
-    pairs = signature_score(pairs, f"__{a}", f"__{b}", "__header", tolerance)
+    for s in (a, b):
+        if "signature" not in pairs.schema[s].dataType.names:
+            pairs = with_features(pairs, s)
+    side = lambda name: {s: f(s, name) for s in (a, b)}
+    depth, width, shares = map(side, ("depth", "width", "shares"))
+    pairs = signature_score(pairs.withColumns({f"__{s}_sig": f(s, "signature") for s in (a, b)}), f"__{a}_sig", f"__{b}_sig", "__header", tolerance).drop(f"__{a}_sig", f"__{b}_sig")
 
     columns = F.least(width[a], width[b]) / F.greatest(width[a], width[b], F.lit(1))
     near = F.zip_with(F.slice(shares[a], 1, F.size(shares[b])), F.slice(shares[b], 1, F.size(shares[a])), lambda x, y: F.greatest(F.lit(0.0), 1 - F.abs(x - y) / tolerance))
@@ -291,14 +305,14 @@ def continuity(pairs: DataFrame, a: str, b: str, height: str | None = None, leas
 
     position = position_score(f(a, "box"), f(b, "box"), F.col(height)) if height and has("box") else F.lit(0.5)
 
-    alike = F.zip_with(F.col(f"__{a}_patterns"), F.col(f"__{b}_patterns"), lambda x, y: F.when(x == y, 1.0).when(x["kind"] == y["kind"], 0.7).when(x.isNotNull() & y.isNotNull(), 0.0))
+    alike = F.zip_with(f(a, "patterns"), f(b, "patterns"), lambda x, y: F.when(x == y, 1.0).when(x["kind"] == y["kind"], 0.7).when(x.isNotNull() & y.isNotNull(), 0.0))
     pairs = pairs.withColumn("__alike", F.array_compact(alike))
     both = F.col("__alike")
-    pattern = F.when((F.size(data[a]) == 0) | (F.size(data[b]) == 0), 0.5).when(F.size(both) == 0, 0.0).otherwise(F.aggregate(both, F.lit(0.0), lambda n, x: n + x) / F.size(both))
+    pattern = F.when((f(a, "body") == 0) | (f(b, "body") == 0), 0.5).when(F.size(both) == 0, 0.0).otherwise(F.aggregate(both, F.lit(0.0), lambda n, x: n + x) / F.size(both))
 
     parts = F.struct(
         F.abs(f(b, "page") - f(a, "page")).alias("gap"), columns.alias("columns"), F.col("__header").alias("header"),
-        repeats_header(F.slice(rows[a], 1, depth[a]), rows[b]).alias("repeated"), position.alias("position"), pattern.alias("pattern"), depth[a].alias("depth"),
+        repeats_header(F.slice(f(a, "top"), 1, depth[a]), f(b, "top")).alias("repeated"), position.alias("position"), pattern.alias("pattern"), depth[a].alias("depth"),
     )
     pairs = pairs.withColumn("__parts", parts)
     c = lambda name: F.col(f"__parts.{name}")
@@ -308,7 +322,7 @@ def continuity(pairs: DataFrame, a: str, b: str, height: str | None = None, leas
     lowered = c("repeated") | ((c("columns") >= 0.95) & (c("pattern") >= 0.5) & (c("gap") == 1))
     fits = (c("columns") >= least_columns) & ((F.col("__score") >= accept) | (lowered & (F.col("__score") >= 0.85 * accept)))
     fields = [c(n).alias(n) for n in ("gap", "columns", "header", "repeated", "position", "pattern", "depth")]
-    return pairs.withColumn("continuity", F.struct(*fields, F.col("__score").alias("score"), F.coalesce(fits, F.lit(False)).alias("accepted"))).drop("__parts", "__score", "__header", "__alike", *[f"__{s}{n}" for s in (a, b) for n in ("", "_rows", "_depth", "_width", "_data", "_patterns", "_shares", "_head")])
+    return pairs.withColumn("continuity", F.struct(*fields, F.col("__score").alias("score"), F.coalesce(fits, F.lit(False)).alias("accepted"))).drop("__parts", "__score", "__header", "__alike")
 
 
 def merged_across_pages(tables: DataFrame, doc: str = "doc_id", page: str = "page_num", index: str = "table_index", rows: str = "rows", accept: float = 0.70) -> DataFrame:
@@ -319,7 +333,8 @@ def merged_across_pages(tables: DataFrame, doc: str = "doc_id", page: str = "pag
     """
     w = Window.partitionBy(doc).orderBy(page, index)
     extra = [F.col(c) for c in ("widths", "box") if c in tables.columns]
-    t = tables.withColumn("__own", F.struct(F.col(page).alias("page"), F.col(rows).alias("rows"), *extra)).withColumn("__before", F.lag("__own").over(w))
+    t = with_features(tables.withColumn("__own", F.struct(F.col(page).alias("page"), F.col(rows).alias("rows"), *extra)), "__own")  # once for each table
+    t = t.withColumn("__before", F.lag("__own").over(w))
     t = continuity(t, "__before", "__own", "height" if "height" in tables.columns else None, accept=accept)
     t = islands(t, [doc], [page, index], F.coalesce(F.col("__before").isNotNull() & F.col("continuity.accepted"), F.lit(False)))
     no_rows = F.array().cast("array<array<string>>")
