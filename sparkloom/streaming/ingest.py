@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkloom.sources.buckets import Buckets
 from sparkloom.sources.staging import fresh_path
 from sparkloom.streaming import progress, runs
+from sparkloom.streaming.runs import stuck_runs as stuck_runs  # also found here
 
 
 def source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
