@@ -27,6 +27,7 @@ from sparkloom.operators.lexical import TERMS, best, terms
 from sparkloom.sources.staging import fresh_path
 
 BLOCK = 64  # documents of a block of postings
+ROW_GROUP = 2  # segments of a row group: readers decode one at a time, so a task holds few segments, however long a file is
 _INTS = ("lengths", "chars", "dfs", "docs", "tfs", "parts", "blocks", "most", "least_length", "least_chars")
 
 # Building
@@ -74,13 +75,16 @@ def _segmented(rows: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def build(docs: DataFrame, key: str, text: str = "text", pattern: str = TERMS, path: str | None = None, rows: int = 1024, words: int = 1 << 20) -> Index:
-    """Write the index of ``docs`` to ``path`` (else to the shared folder): one job, each text tokenized once."""
+    """Write the index of ``docs`` to ``path`` (else to the shared folder): one job, each text tokenized once.
+
+    A segment has some MB. Files get row groups of ``ROW_GROUP`` segments; Spark's reader would else decode all segments of a file at once.
+    """
     path = path or fresh_path(docs.sparkSession, "segments")
     kind = docs.schema[key].dataType.simpleString()
     texts = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(F.col(key).alias("key"), terms(texts, pattern).alias("terms"), F.char_length(texts).alias("chars"))
     schema = f"keys array<{kind}>, terms array<string>, " + ", ".join(f"{c} array<int>" for c in _INTS)
-    found.mapInArrow(_segmented(rows, words), schema).write.mode("overwrite").parquet(path)
+    found.mapInArrow(_segmented(rows, words), schema).write.mode("overwrite").option("parquet.block.row.count.limit", ROW_GROUP).parquet(path)
     return read(docs.sparkSession, path, pattern)
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,13 @@ def test_odd_vectors(spark):
     assert [r["id"] for r in cells.CellIndex(df, "id", "v").search(asked, "q", "a", 2).orderBy("rank").collect()] == [3, 3]
     none = cells.CellIndex(df.limit(0), "id", "v")
     assert none.search(asked, "q", "a", 2).collect() == [] and none.report(asked, "q", "a", 2).first()["exact"] == 0
+
+
+def test_files_of_an_index_have_row_groups_of_few_segments(spark, tmp_path):
+    """Spark's reader decodes a row group at a time; one with all segments of a file filled an executor."""
+    docs = spark.range(4000).select("id", F.concat_ws(" ", F.lit("word"), F.col("id").cast("string")).alias("text")).coalesce(1)
+    index = segments.build(docs, "id", pattern=PATTERN, path=str(tmp_path / "index"), rows=100)
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "index").glob("*.parquet")]
+    sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) == 40 and max(sizes) <= segments.ROW_GROUP
+    assert hits(index.search(spark.createDataFrame([(1, "3999")], "q long, text string"), "q", "id", 3))[0][2] == 3999
