@@ -73,7 +73,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, '<html lang="([a-z]+)"', 1).alias("lang"), text.count(h, "<li>").cast("long").alias("items"))
 
 
-@R.add("c31_page_structure", """SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS language, 'About ' || page_id AS description, 'a, b' || page_id AS keywords, 'Who' || page_id AS author,
+@R.add("c31_page_structure", """SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS language, 'About ' || page_id AS description, 'a, b' || page_id AS keywords, 'Who' || page_id AS author,
  '1. one' || chr(10) || '2. ' || page_id AS last_list, 'k | v ' || page_id || chr(10) || ' | w' AS last_table, len(regexp_extract_all(html, '(?s)<ul>.*?</ul>|<ol>.*?</ol>')) + 1 AS lists FROM pages""")
 def _(spark, d):
     number = F.col("page_id").cast("string")

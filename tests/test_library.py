@@ -275,3 +275,21 @@ def test_tables_of_both_kinds_are_found_without_overlaps():
     got = chunking.detected_tables(text_)
     assert [(t.kind, t.title, t.headers, t.rows) for t in got] == [("piped", "표 1", ["h", "n"], [["x", "1"]]), ("list", "표 2", ["k"], [["v"]])]
     assert "".join(c for _, c in chunking.segments(text_)) == text_ and chunking.detected_tables("") == []
+
+
+def test_a_fifth_of_the_overlap_is_exact(spark):
+    box = lambda *x: F.array(*map(F.lit, x))
+    found = spark.range(1).select(tables.position_score(box(0.0, 0.0, 304.5, 0.0), box(20.0, 999.0, 320.0, 999.0), F.lit(800.0)))
+    assert found.first()[0] == 56.9 / 320
+
+
+def test_titles_with_references_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    titles = ["&quot;a&quot; &amp;lt; b", "&nbsp;x &lt;y&gt; &#39;z&apos;&nbsp;", "\n t &amp;amp; "]
+    pages = spark.createDataFrame([(i, f'u{i}', f'<html lang="en"><head><title>{t}</title></head></html>') for i, t in enumerate(titles)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = QUERIES["c31_page_structure"](spark, str(tmp_path)), con.sql(SQL["c31_page_structure"])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
