@@ -128,7 +128,7 @@ def position_score(a: Column, b: Column, height: Column) -> Column:
     union = F.greatest(at(a, 2), at(b, 2)) - F.least(at(a, 0), at(b, 0))
     ends = F.when(at(a, 3) >= height * 0.85, 0.4).otherwise(0.0)
     begins = F.when(at(b, 1) <= height * 0.15, 0.4).otherwise(0.0)
-    found = F.least(F.lit(1.0), ends + begins + F.when(union > 0, 0.2 * overlap / union).otherwise(0.0))
+    found = F.least(F.lit(1.0), ends + begins + F.when(union > 0, overlap / 5 / union).otherwise(0.0))  # a fifth, as 0.2 is a bit more
     return F.when(height.isNull() | (height == 0) | a.isNull() | b.isNull(), 0.5).otherwise(found)
 
 
