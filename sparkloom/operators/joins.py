@@ -7,6 +7,7 @@ caller knows, and Spark is left to choose elsewhere.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,3 +100,34 @@ def linked(left: DataFrame, right: DataFrame, blocks: list[tuple[Column, Column]
     scored = pairs.join(left, left_id).join(right, right_id).withColumn("score", score).where(F.col("score") >= at_least)
     best = Window.partitionBy(left_id).orderBy(F.desc("score"), F.col(right_id))
     return scored.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+
+
+def agreements(left: DataFrame, right: DataFrame, points: dict[str, tuple[Column, Column, int]], blocks: list[tuple[str, ...]], left_id: str, right_id: str, at_least: int) -> DataFrame:
+    """left_id, right_id, score: for each left row the first right row of every set of parts in which both agree.
+
+    A row for each set of parts that holds a block and is worth ``at_least``, at most. Right rows are reduced to the first of each class of equal
+    parts before they are joined, so that pairs grow with the left rows, not with the square of a hot key.
+    """
+    found = []
+    for chosen in (c for n in range(1, len(points) + 1) for c in combinations(points, n)):
+        worth = sum(points[c][2] for c in chosen)
+        if worth < at_least or not any(set(b) <= set(chosen) for b in blocks):
+            continue
+        keys = [f"__{i}" for i in range(len(chosen))]
+        a = left.select(left_id, *[points[c][0].alias(k) for c, k in zip(chosen, keys, strict=True)])
+        b = right.select(right_id, *[points[c][1].alias(k) for c, k in zip(chosen, keys, strict=True)])
+        first = b.na.drop("any", subset=keys).groupBy(*keys).agg(F.min(right_id).alias(right_id))
+        found.append(a.join(first, keys).select(left_id, right_id, F.lit(worth).alias("score")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def linked_by_agreement(left: DataFrame, right: DataFrame, points: dict[str, tuple[Column, Column, int]], blocks: list[tuple[str, ...]], left_id: str, right_id: str, at_least: int) -> DataFrame:
+    """``linked`` where a score is a sum of positive ``points`` for parts that agree: left_id, right_id, score of the same best pairs.
+
+    points: (part of the left side, of the right side, what agreement is worth). blocks: parts of which one set must agree. Nulls agree with
+    nothing. Ids are unique. The best pair is the first of the class of right rows that agree in just its parts: rows of that class that agree
+    in more would be better.
+    """
+    best = Window.partitionBy(left_id).orderBy(F.desc("score"), F.col(right_id))
+    found = agreements(left, right, points, blocks, left_id, right_id, at_least)
+    return found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")

@@ -264,9 +264,8 @@ def _(spark, d):
 def _(spark, d):
     parts = table(spark, d, "part")
     side = lambda s, r: parts.where(f"p_partkey % 2 = {r}").select(*[F.col(f"p_{c}").alias(f"{s}_{n}") for c, n in (("partkey", "id"), ("name", "name"), ("brand", "brand"), ("size", "size"))])
-    points = lambda c, n: F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), n).otherwise(0)
-    key = lambda s: F.concat_ws("|", f"{s}_brand", F.col(f"{s}_size").cast("string"))
-    found = joins.linked(side("a", 0), side("b", 1), [(F.col("a_name"), F.col("b_name")), (key("a"), key("b"))], points("name", 80) + points("brand", 50) + points("size", 20), "a_id", "b_id", 70)
+    points = {c: (F.col(f"a_{c}"), F.col(f"b_{c}"), n) for c, n in (("name", 80), ("brand", 50), ("size", 20))}
+    found = joins.linked_by_agreement(side("a", 0), side("b", 1), points, [("name",), ("brand", "size")], "a_id", "b_id", 70)
     return found.select("a_id", "b_id", "score")
 
 

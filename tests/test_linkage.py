@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import classify, keywords, linkage
+from sparkloom.operators import classify, joins, keywords, linkage
 
 SCHEMA = "id long, path string, name string, fixed_params string, variable_params string, request_params array<string>, response_fields array<string>"
 FIELDS = SCHEMA.replace(",", "").split()[::2]
@@ -138,3 +138,19 @@ def test_classes_of_the_fixed_dictionary(spark):
     got = {r["id"]: tuple(r["classified"]) for r in classify.classified(df, "text", "org", "board").collect()}
     assert got == {r[0]: plain(*r[1:]) for r in rows}
     assert got[3] == ("other", ["general"], "headquarters", None, 0.2, []) and got[4][2] == "agency"
+
+
+def test_best_agreement_equals_all_pairs(spark):
+    rng = random.Random(3)
+    draw = lambda: (rng.choice(["n1", "n2", "n3", None]), rng.choice(["b1", "b2", None]), rng.choice([1, 2, None]))
+    left, right = [(i, *draw()) for i in range(80)], [(i, *draw()) for i in range(80)]
+    a, b = (spark.createDataFrame(x, f"{s}_id long, {s}_name string, {s}_brand string, {s}_size int") for s, x in (("a", left), ("b", right)))
+    points = {c: (F.col(f"a_{c}"), F.col(f"b_{c}"), n) for c, n in (("name", 80), ("brand", 50), ("size", 20))}
+    given = points, [("name",), ("brand", "size")], "a_id", "b_id", 70
+    want = {}
+    for x in left:
+        scored = [(sum(n for i, n in ((1, 80), (2, 50), (3, 20)) if x[i] is not None and x[i] == y[i]), -y[0]) for y in right]
+        if max(scored)[0] >= 70:
+            want[x[0]] = max(scored)
+    assert {r.a_id: (r.score, -r.b_id) for r in joins.linked_by_agreement(a, b, *given).collect()} == want
+    assert joins.agreements(a, b, *given).count() <= 5 * len(left)  # all pairs of a hot key before
