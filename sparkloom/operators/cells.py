@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.lexical import best
-from sparkloom.operators.vectors import top_k
+from sparkloom.operators.vectors import SCORES, top_k
 from sparkloom.sources.staging import staged
 
 MOST_CELLS = 4096
@@ -48,7 +48,9 @@ def lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(1)[None] - 2 * x @ centres.T).argmin(1)
+    """The number of the nearest centre of each row; some rows at a time, so that ``SCORES`` distances are held."""
+    step, norms = max(1, SCORES // len(centres)), (centres**2).sum(1)[None]
+    return np.concatenate([(norms - 2 * x[at : at + step] @ centres.T).argmin(1) for at in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -202,9 +204,8 @@ def _compared(shared, n: int, query_key: str, key: str) -> Callable[[Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, by_cell, by_entry, probed = shared.value
         kept_scores, kept_keys, kind = np.full((len(ids), 0), -np.inf, np.float32), np.zeros((len(ids), 0), object), None
-        for b in batches:
-            if not b.num_rows:
-                continue
+        step = max(n, SCORES // max(1, len(ids)))
+        for b in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
             kind = b.column(key).type
             cell = b.column("cell").to_numpy()
             code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)

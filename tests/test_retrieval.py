@@ -140,3 +140,23 @@ def test_files_of_an_index_have_row_groups_of_few_segments(spark, tmp_path):
     sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
     assert sum(sizes) == 40 and max(sizes) <= segments.ROW_GROUP
     assert hits(index.search(spark.createDataFrame([(1, "3999")], "q long, text string"), "q", "id", 3))[0][2] == 3999
+
+
+@pytest.mark.parametrize("scores", [1, 40, 1 << 19])
+def test_a_task_keeps_the_nearest_of_each_query_only(monkeypatch, scores):
+    """Batches went on with k rows for each query and batch, and all scores of a batch were held at once."""
+    monkeypatch.setattr(vectors, "SCORES", scores)
+    rng = np.random.default_rng(2)
+    keys, x, asked = rng.permutation(500), rng.integers(-2, 3, (500, 4)).astype(np.float64), rng.integers(-2, 3, (7, 4)).astype(np.float64)
+
+    class Shared:
+        value = [f"q{i}" for i in range(7)], asked
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([None if k == 3 else f"k{k:03}" for k in keys[a : a + 90]]), pa.array(list(x[a : a + 90]))], ["__key", "__vector"]) for a in range(0, 500, 90)]
+    got = [tuple(r.values()) for b in vectors._nearest(Shared, 5, "q", "id")(iter(batches)) for r in b.to_pylist()]
+    score = np.round(asked @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).T, 6)
+    want = []
+    for i in range(7):
+        rows = sorted((-s, "" if k == 3 else f"k{k:03}") for s, k in zip(score[i], keys, strict=True))[:5]
+        want += [(f"q{i}", k or None, -s) for s, k in rows]
+    assert got == want
