@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,16 @@ def test_tables_of_both_kinds_are_found_without_overlaps():
     assert "".join(c for _, c in chunking.segments(text_)) == text_ and chunking.detected_tables("") == []
 
 
+def test_a_task_holds_the_chunks_of_few_texts():
+    texts = ["a b. " * 20_000] * 40 + [None, "", "c d"]  # 100,000 characters each
+    batch = pa.RecordBatch.from_arrays([pa.array(range(43)), pa.array(texts)], ["doc_id", "text"])
+    cut = lambda t: [(t[a : a + 1000],) for a in range(0, len(t), 1000)]
+    got = list(chunking._spreader("doc_id", cut, pa.schema([("content", pa.string())]))(iter([batch])))
+    assert max(b.num_rows for b in got) <= 1200  # all 4,001 at once before
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["doc_id"], r["chunk_index"], r["content"]) for r in rows] == [(i, j, c) for i, t in enumerate(texts) for j, (c,) in enumerate(cut(t or ""))]
+
+
 def test_a_fifth_of_the_overlap_is_exact(spark):
     box = lambda *x: F.array(*map(F.lit, x))
     found = spark.range(1).select(tables.position_score(box(0.0, 0.0, 304.5, 0.0), box(20.0, 999.0, 320.0, 999.0), F.lit(800.0)))
