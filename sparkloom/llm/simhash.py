@@ -10,8 +10,9 @@ Copies are one fingerprint before any of this. A bucket of more than ``BUCKET``
 that its mask leaves out, by the same guarantee; after three deals at most 10 bits are free, so at most
 1,024 fingerprints meet. Within a bucket only the edges of a spanning forest come out (all links, where it has a few members), never all pairs.
 
-``near_groups`` are the components of these links. ``near_copies`` are documents whose shingle sets are alike; no fingerprint
-decides there: an exact prefix filter proposes pairs, which are then held against the sets.
+``near_groups`` are the components of these links. ``near_copies`` are documents whose shingle sets are alike: an exact prefix filter
+proposes pairs, which are then held against the sets. With a ``radius`` the links of fingerprints come first and this check follows for
+what they left apart; without one no fingerprint decides there.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; texts with fewer words than a shingle hash
 whole; a null id is a document like any other (component ids ignore it); no documents give no rows.
@@ -190,12 +191,17 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, compl
             return edges.distinct()
 
 
+def _rooted(own: DataFrame, least: str, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """fp, least (of the column of that name), root: of every distinct fingerprint of ``own``, root being one of its component."""
+    fps = staged(own.groupBy("fp").agg(F.min(least).alias("least")), "distinct")
+    roots = components(near_links(fps.select(F.lit(0).alias("part"), "fp"), radius, bucket).select("u", "v"))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """__id, fp (signed long), component: of every document, component being the least id of its group."""
     own = staged(with_fingerprint(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text", "fp", words).drop("__text"), "fingerprints")
-    fps = staged(own.groupBy("fp").agg(F.min("__id").alias("least")), "distinct")
-    roots = components(near_links(fps.select(F.lit(0).alias("part"), "fp"), radius, bucket).select("u", "v"))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(own, "__id", radius, bucket)
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return own.join(rooted.select("fp", "root").join(least, "root").select("fp", "component"), "fp")
 
@@ -287,7 +293,7 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.
         yield columns(pa.Table.from_batches(held))
 
 
-def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """__id, component: of every document, component being the least id of its group of near copies.
 
     Documents link if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or more; groups are the components of all
@@ -295,6 +301,9 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     shingles that recur come last, so few unlike texts meet. Texts of one shingle set are one throughout (told by 64 bits). Where many meet at a
     shingle, all are first held against the two whose shingles the others share most; then all that meet and aren't in one component yet against
     each other. Sizes and the places of the shared shingle leave out pairs that can't reach the similarity, so do bitmaps of the sets; the rest are held against the sets.
+
+    With a ``radius`` documents also link if their fingerprints do (as in ``near_groups``). These links are found first; what they
+    join isn't held against each other again.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     texts = rows.select("__text")
@@ -305,8 +314,9 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
         found = [shingles(t, words) for t in texts]
         return pd.DataFrame({"key": np.array([_key(x) for x in found], np.int64), "size": np.array([len(x) for x in found], np.int32), "bits": [_bitmap(x) for x in found]})
 
-    own = rows.select("__id", F.md5("__text").alias("__md5"), signature("__text").alias("s"))
-    own = staged(own.select("__id", "__md5", F.col("s.key").alias("__key"), "s.size", "s.bits"), "keys")
+    own = rows if radius is None else with_fingerprint(rows, "__text", "fp")
+    own = own.select("__id", F.md5("__text").alias("__md5"), signature("__text").alias("s"), *own.columns[2:])
+    own = staged(own.select("__id", "__md5", F.col("s.key").alias("__key"), "s.size", "s.bits", *own.columns[3:]), "keys")
     least = own.groupBy("__key").agg(F.min("__id").alias("__least"))
     known = staged(own.groupBy("__key").agg(F.min("__md5").alias("__md5"), F.first("size").alias("size"), F.first("bits").alias("bits")), "sets")
 
@@ -384,7 +394,15 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     met = staged(met.mapInArrow(meeting, "token long, key long, size int, pos int, n long"), "met")
     central = met.groupBy("key").agg((F.sum("n") / F.first("size")).alias("weight"))
     dealt = met.join(central, "key").select("token", "key", "size", "pos", "weight").repartition("token").sortWithinPartitions("token", F.desc("weight"), "key")
-    pairs = staged(dealt.mapInArrow(stars, "u long, v long").distinct(), "pairs")
+    pairs = dealt.mapInArrow(stars, "u long, v long").distinct()
+    if radius is not None:  # the sets of a component of fingerprints, each linked to the least of them
+        groups = own.select("__key", "fp").distinct().join(_rooted(own, "__key", radius).select("fp", "root"), "fp").select("root", "__key").distinct()
+        first = groups.groupBy("root").agg(F.min("__key").alias("u"))
+        known_links = staged(groups.join(first, "root").where("u <> __key").select("u", F.col("__key").alias("v")).distinct(), "alike")
+        joined = components(known_links)
+        side = lambda k: joined.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+        pairs = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").where("root_u is null or root_v is null or root_u <> root_v").select("u", "v")
+    pairs = staged(pairs, "pairs")
 
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
@@ -406,6 +424,8 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
         return staged(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v"), "linked")
 
     linked = verified(pairs)
+    if radius is not None:
+        linked = staged(linked.union(known_links), "linked")
     roots = components(linked)
     large = met.where("n > 4").join(roots.withColumnRenamed("node", "key"), "key", "left")
     large = large.select("token", "key", "size", "pos", F.coalesce("root", "key").alias("root")).repartition("token").sortWithinPartitions("token")
@@ -418,11 +438,11 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     return own.join(rooted.join(groups, "root").select("__key", "component"), "__key").select("__id", "component")
 
 
-def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one of the least id.
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
+    """``docs`` with one document of each group of near copies (with a ``radius``, of fingerprints too): the one of the least id.
 
     Rows without an id all stay; rows that repeat an id that stays, stay.
     """
-    gone = near_copies(docs, id_col, text_col, words, similarity).where(F.col("__id") != F.col("component")).select("__id").distinct()
+    gone = near_copies(docs, id_col, text_col, words, similarity, radius).where(F.col("__id") != F.col("component")).select("__id").distinct()
     gone = broadcast_if_small(staged(gone, "gone"))
     return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from sparkloom.llm import decontamination, packing, quality, toxicity
+from sparkloom.llm import decontamination, packing, quality, simhash, toxicity
 from sparkloom.llm.queries import tokenizer_path
 
 
@@ -57,3 +57,24 @@ def test_the_whole(spark, docs, sf_dir, quick):
 def test_stages_take_empty_tables(spark, docs, sf_dir, quick):
     for _, stage in P.STAGES[1:]:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_near_copies_go_by_fingerprints_and_by_shingles(spark, sf_dir):
+    refrain = [f"w{i}" for i in range(20)] * 40
+    base = [f"b{i}" for i in range(400)]
+    block = base[:133] + [f"n{i}" for i in range(50)] + base[133:]
+    rows = [(1, refrain + [f"x{i}" for i in range(12)]), (2, refrain + [f"y{i}" for i in range(12)]), (3, base), (4, block), (5, [f"z{i}" for i in range(300)])]
+    sets = {i: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for i, ws in rows}
+    likeness = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    bits = lambda i, j: (simhash.simhash(" ".join(dict(rows)[i])) ^ simhash.simhash(" ".join(dict(rows)[j]))).bit_count()
+    assert likeness(1, 2) < 0.5 and bits(1, 2) <= simhash.RADIUS  # found by operator 3 alone
+    assert likeness(3, 4) >= 0.8 and bits(3, 4) > simhash.RADIUS  # found by the exact check alone
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows] + [(6, ""), (7, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.drop_near_copies(spark, df, sf_dir).collect()) == [1, 3, 5, 6]
+
+
+def test_near_copies_keep_one_of_each_group_of_operator_3(spark, docs, sf_dir):
+    groups = simhash.near_groups_table(docs).collect()
+    kept = {r.doc_id for r in P.drop_near_copies(spark, docs, sf_dir).collect()}
+    exact = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept <= {r.component_id for r in groups} and kept <= exact and len(kept) < docs.count()
