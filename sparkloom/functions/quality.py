@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import count
+from sparkloom.functions.text import count, count_chars
 
 HANGUL = r"[\x{AC00}-\x{D7A3}]"
 LATIN = "[A-Za-z]"
@@ -20,8 +20,11 @@ BULLETS = "-•○※ㅇ□▶▷◆◇★☆►◎⦁⦾"
 #: White space as in Unicode.
 _WS = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _S, _X = f"[{_WS}]", f"[^{_WS}]"
+_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # the same
 _LINE_WS = rf"[{_WS}&&[^\n]]"
 _PRIVATE = r"[\x{E000}-\x{F8FF}]"
+_NOISE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFD}-\x{FFFF}]"
+_ODD = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{E000}-\x{F8FF}\x{FFFD}-\x{FFFF}]"  # holds BROKEN, private ones and noise
 _PAIRS = r"([A-Z])\1([A-Z])\2([A-Z])\3([A-Z])\4|([0-9])\5([0-9])\6([0-9])\7([0-9])\8"
 _LINE = rf"{_X}(?:[^\n]*{_X})?"
 _LISTED = rf"(?md)^{_LINE_WS}*(?:[{BULLETS}]{_LINE_WS}*{_X}|[0-9]+[.)]|\([가-힣0-9]+\))"
@@ -32,16 +35,32 @@ def _let(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), use)[0]
 
 
-def _counts(x: Column, script: str) -> Column:
-    x = F.coalesce(x, F.lit(""))
-    found = {
-        "n": F.char_length(x), "solid": count(x, _X), "script": count(x, script), "hangul": count(x, HANGUL), "digits": count(x, r"\p{Nd}"), "latin": count(x, LATIN), "broken": count(x, BROKEN),
-        "stripped": F.char_length(F.regexp_replace(x, f"^{_S}+|{_S}+$", "")), "words": count(x, f"{_X}+"), "lines": count(x, "\n") + 1, "table_lines": count(x, r"(?md)^[^\n|]*\|[^\n|]*\|"),
-        "list_lines": count(x, _LISTED), "ends": count(x, f"[.!?。]{_S}"), "full_lines": count(x, _LINE), "in_lines": F.char_length(x) - F.char_length(F.regexp_replace(x, _LINE, "")),
-        "runs": count(x, r"([^\n])\1{4,}"), "tags": count(x, "<[^>]+>"), "pairs": count(x, _PAIRS), "private": count(x, _PRIVATE), "noise": count(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFD}-\x{FFFF}]"),
-        "unseen": count(x, r"[\x00-\x1f]"),
-    }
-    return F.struct(*[c.cast("double").alias(k) for k, c in found.items()])
+def _counts(x: Column, script: str, names: str, use: Callable[[Column], Column]) -> Column:
+    """use(struct of the counts of these names), with ``x`` and each count evaluated once.
+
+    Letters and words are many, so they aren't listed to be counted. What only odd characters raise is looked for where there are some; Hangul counts beside
+    private characters alone (or as the ``script``).
+    """
+
+    def of(x: Column, spaced: Column, odd: Column) -> Column:
+        some = lambda c: F.when(odd > 0, c).otherwise(0)
+        found = {
+            "n": lambda: F.char_length(x), "solid": lambda: F.char_length(F.replace(spaced, F.lit(" "), F.lit(""))), "script": lambda: count_chars(x, script), "digits": lambda: count_chars(x, r"\p{Nd}"),
+            "latin": lambda: count_chars(x, LATIN), "hangul": lambda: some(count_chars(x, HANGUL)), "broken": lambda: some(count_chars(x, BROKEN)), "private": lambda: some(count_chars(x, _PRIVATE)),
+            "noise": lambda: some(count_chars(x, _NOISE)), "stripped": lambda: F.char_length(F.btrim(spaced)), "words": lambda: count(spaced, "[^ ]+"), "lines": lambda: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit(""))) + 1,
+            "table_lines": lambda: count(x, r"(?md)^[^\n|]*\|[^\n|]*\|"), "list_lines": lambda: count(x, _LISTED), "ends": lambda: count(spaced, "[.!?。] "), "full_lines": lambda: count(x, _LINE),
+            "in_lines": lambda: F.char_length(x) - F.char_length(F.regexp_replace(x, _LINE, "")), "runs": lambda: count(x, r"([^\n])\1{4,}"), "tags": lambda: count(x, "<[^>]+>"), "pairs": lambda: count(x, _PAIRS),
+            "unseen": lambda: count_chars(x, r"[\x00-\x1f]"),
+        }
+        return F.struct(*[found[k]().cast("double").alias(k) for k in names.split()])
+
+    given = lambda x: F.struct(x.alias("x"), F.translate(x, _SPACES, " " * len(_SPACES)).alias("spaced"), count_chars(x, _ODD).alias("odd"))
+    return _let(_let(_let(F.coalesce(x, F.lit("")), given), lambda g: of(g["x"], g["spaced"], g["odd"])), use)
+
+
+#: What the scores need.
+_MISENCODED = "n solid hangul private pairs noise"
+_DETAILS = f"{_MISENCODED} script digits latin broken stripped words lines table_lines list_lines ends full_lines in_lines runs"
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -74,7 +93,7 @@ def _misencoded(c: Column) -> Column:
 def misencoded(x: Column) -> Column:
     """Whether a text of 100 characters or more is surely of another encoding: doubled letters or digits in runs of four, five times;
     over a tenth broken characters; or hardly any Hangul and over three tenths private characters."""
-    return _let(_counts(x, HANGUL), _misencoded)
+    return _counts(x, HANGUL, _MISENCODED, _misencoded)
 
 
 def _structure(c: Column) -> Column:
@@ -113,7 +132,7 @@ def details(x: Column, script: str = HANGUL) -> Column:
         total = sum((WEIGHTS[k] * v for k, v in parts.items()), F.lit(0.0))
         return F.struct(*[v.alias(k) for k, v in parts.items()], F.when(c["stripped"] < 10, 0.0).otherwise(F.round(total, 4)).alias("overall"))
 
-    return _let(_counts(x, script), of)
+    return _counts(x, script, _DETAILS, of)
 
 
 def score(x: Column, script: str = HANGUL) -> Column:
@@ -130,7 +149,7 @@ def page_score(x: Column, script: str = HANGUL) -> Column:
         total = 0.30 * _script_score(ratio, [(0.25, 0.4)], 0.1) + 0.25 * _broken_score(c) + 0.20 * sentence + 0.15 * tags + 0.10
         return F.when(c["stripped"] < 10, 0.0).otherwise(F.round(total, 4))
 
-    return _let(_counts(x, script), of)
+    return _counts(x, script, "n solid script broken stripped words ends tags", of)
 
 
 def gate(x: Column, script: str = HANGUL) -> Column:
@@ -150,7 +169,7 @@ def gate(x: Column, script: str = HANGUL) -> Column:
             reason = F.when(met, name).otherwise(reason)
         return F.struct(reason.isNull().alias("valid"), F.round(points, 6).alias("score"), reason.alias("reason"))
 
-    return _let(_counts(x, script), of)
+    return _counts(x, script, "n solid script stripped pairs private noise unseen", of)
 
 
 def decoding_score(x: Column) -> Column:

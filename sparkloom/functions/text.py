@@ -18,6 +18,11 @@ def count(x: Column, pattern: str) -> Column:
     return F.regexp_count(x, F.lit(pattern))
 
 
+def count_chars(x: Column, chars: str) -> Column:
+    """How many characters are of a class, ``chars`` as in a pattern: by what is left without them, as ``count`` makes an array of all matches."""
+    return F.char_length(x) - F.char_length(F.regexp_replace(x, f"{chars}+", ""))
+
+
 def all_matches(x: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(x, F.lit(pattern), group)
 

@@ -148,3 +148,18 @@ def test_number_ranges(spark):
     facilities = spark.createDataFrame([(1, "I-A07"), (2, "X C-B99"), (3, "i-a1"), (4, None)], "f int, number string")
     got = {(r.f, r.u) for r in joins.by_number_range(facilities, units, "number", "ranges").collect()}
     assert got == {(1, 1), (2, 1), (3, 2)}
+
+
+def test_letters_are_counted_without_a_list_of_them(spark):
+    every = "".join(chr(i) for i in [*range(1, 0x3100), 0xAC00, 0xE001, 0xFFFD, 0xFFFE, 0x1F600])
+    texts = [every, " \x0b\x85 ", "", "ab 1\x1c2 c", *filter(None, TEXTS)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    names = "n solid words stripped lines script digits broken private noise"
+    for r in df.select("t", quality._counts(F.col("t"), quality.LATIN, names, lambda c: c).alias("c")).collect():
+        spaces = re.compile(r"[\s\x1c-\x1f\x85\xa0]")
+        solid = spaces.sub("", r.t)
+        assert (r.c.n, r.c.solid, r.c.words) == (len(r.t), len(solid), len([w for w in spaces.split(r.t) if w]))
+        assert (r.c.stripped, r.c["lines"], r.c.script, r.c.digits) == (len(r.t.strip()), r.t.count("\n") + 1, len(re.findall("[A-Za-z]", r.t)), len(re.findall(r"\d", r.t)))
+        assert (r.c.broken, r.c.private, r.c.noise) == tuple(len(re.findall(p, r.t)) for p in ("[�\x00-\x08\x0b\x0c\x0e-\x1f]", "[-]", "[\x00-\x08\x0b\x0c\x0e-\x1f�-￿]"))
+    plan = df.select(quality.details(F.col("t"), quality.LATIN))._jdf.queryExecution().toString()
+    assert f"regexp_extract_all(x, {quality.LATIN}" not in plan and "regexp_extract_all" in plan and quality.LATIN not in "".join(re.findall(r"regexp_extract_all\([^,]*, [^,]*,", plan))
