@@ -14,8 +14,13 @@ from sparkloom.sources.staging import staged
 
 
 def kmeans(df: DataFrame, vector: str, k: int = 15, seed: int = 42, starts: int = 10, least: int = 3) -> DataFrame:
-    """``df`` with cluster and distance; the best of several starts; clusters under ``least`` rows are dropped. k shrinks to a third of the rows."""
-    rows = df.withColumn("__features", array_to_vector(F.col(vector).cast("array<double>"))).persist()
+    """``df`` with cluster and distance; the best of several starts; clusters under ``least`` rows are dropped. k shrinks to a third of the rows.
+
+    Rows are written once with their vectors; only vectors are kept for the fit.
+    """
+    df = staged(df, "vectors")
+    features = array_to_vector(F.col(vector).cast("array<double>")).alias("__features")
+    rows = df.select(features).persist()
     n = rows.count()
     if n < k:
         k = max(2, n // 3)
@@ -23,10 +28,11 @@ def kmeans(df: DataFrame, vector: str, k: int = 15, seed: int = 42, starts: int
     model = min(models, key=lambda m: m.summary.trainingCost)
     rows.unpersist()
     centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>")
-    found = model.transform(rows).drop("__features").join(F.broadcast(centres), "cluster")
+    found = model.transform(df.select("*", features)).drop("__features").join(F.broadcast(centres), "cluster")
     difference = F.zip_with(vector, "centroid", lambda a, b: a.cast("double") - b)
     found = found.withColumn("distance", F.sqrt(dot(difference, difference)))
-    return found.withColumn("__size", F.count("*").over(Window.partitionBy("cluster"))).where(F.col("__size") >= least).drop("__size")
+    large = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return found.join(F.broadcast(large.select("cluster")), "cluster", "left_semi")  # a row for each cluster: no task has to read one whole
 
 
 def silhouette(clustered: DataFrame, vector: str) -> float:
@@ -47,6 +53,11 @@ def representatives(df: DataFrame, group: str, key: str, vector: str, n: int = 5
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("distance", key))).where(F.col("rank") <= n).select(group, key, "distance", "rank")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A few rows a group, written and then broadcast, so that the texts they are joined to aren't shuffled."""
+    return F.broadcast(staged(df, "few"))
+
+
 def reranked(df: DataFrame, near: DataFrame, keywords: DataFrame, group: str, key: str, text: str, top: int = 3, words: int = 5) -> DataFrame:
     """group, key, rank: the ``top`` of each group's representatives ``near`` (group, key, rank), by how well their texts meet its first keywords.
 
@@ -54,7 +65,7 @@ def reranked(df: DataFrame, near: DataFrame, keywords: DataFrame, group: str, ke
     """
     query = keywords.where(F.col("rank") <= words).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("q"))  # at most ``words`` a group
     query = query.select(group, F.array_join(F.transform("q", lambda s: s["term"]), " ").alias("__query"))
-    texts = near.join(df.select(key, F.col(text).alias("__text")), key).join(query, group, "left")
+    texts = staged(df.select(key, F.col(text).alias("__text")).join(_few(near), key), "texts").join(F.broadcast(query), group, "left")
     texts = texts.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(group)))
     scored = (F.col("__n") > top) & F.col("__query").isNotNull()
     again = keyword_rerank(texts.where(scored), "__query", "__text", group, key, top).select(group, key, "rank")
@@ -67,14 +78,14 @@ def candidates(df: DataFrame, group: str, key: str, text: str, sources: list[str
 
     title: the group's number from 1 and its first three keywords; summary: the first 200 characters of two representatives; sources: the
     distinct ones of the representatives, in their order, five at most. A group has five representatives, reranked to three, so nothing
-    that is collected grows with it. Scores are those before any model has judged.
+    that is collected grows with it. Scores are those before any model has judged. ``df`` is evaluated several times: stage what is costly.
     """
     top = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), group).limit(n)
     df = df.join(F.broadcast(top.select(group)), group, "left_semi")
     terms = staged(group_keywords(df, group, key, text, words), "keywords")
     near = representatives(df, group, key, vector).select(group, key, "rank")
     reps = reranked(df, near, terms, group, key, text)
-    of = reps.join(df.select(key, F.col(text).alias("__text"), F.struct(*sources).alias("__source")), key)
+    of = df.select(key, F.substring(text, 1, 200).alias("__text"), F.struct(*sources).alias("__source")).join(_few(reps), key)
     listed = of.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("id"), "__text", "__source"))).alias("r"))
     named = terms.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("keywords"))
     heads = F.filter(F.transform(F.slice("r", 1, 2), lambda s: F.trim(F.substring(F.coalesce(s["__text"], F.lit("")), 1, 200))), lambda t: t != "")

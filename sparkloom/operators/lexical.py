@@ -66,7 +66,7 @@ def keyword_rerank(candidates: DataFrame, query: str, text: str, query_key: str,
 def group_keywords(docs: DataFrame, group: str, key: str, text: str, n: int, pattern: str = TERMS, stop: list[str] | None = None, compounds: list[str] | None = None, enhanced: bool = False) -> DataFrame:
     """The n top terms of each group: by frequency, or (enhanced) by tf ln(N / df + 1), 1.2 times for 3 or 4 letters and 1.3 times for each compound they are in."""
     words = docs.select(group, key, F.explode(terms(F.col(text), pattern)).alias("term")).where(~F.col("term").isin(stop or [""]))
-    tf = words.groupBy(group, "term").agg(F.count("*").alias("tf"), F.countDistinct(key).alias("df"))
+    tf = words.groupBy(group, "term").agg(F.count("*").alias("tf"), *[F.countDistinct(key).alias("df")] * enhanced)
     score = F.col("tf").cast("double")
     if enhanced:
         size = docs.groupBy(group).agg(F.count("*").alias("n_docs"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import cells, classify, clusters, lexical, ranking, retrieval, segments, vectors
 from sparkloom.plans.registry import Registry, table
+from sparkloom.sources.staging import staged
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
@@ -216,7 +217,7 @@ _GROUPS = """g AS (SELECT doc_id, text, source, lang, label, embedding AS v FROM
 
 def _grouped(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("vector"))
-    return table(spark, d, "documents").join(v, "doc_id")
+    return staged(table(spark, d, "documents").select("doc_id", "text", "source", "lang").join(v, "doc_id"), "grouped")  # read several times, joined once
 
 
 @R.add("k3_reranked", f"WITH {_GROUPS} SELECT label, doc_id, rank FROM b")
