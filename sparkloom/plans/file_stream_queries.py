@@ -78,7 +78,7 @@ def _(spark, d):
     text = F.concat(F.lit("한국어 문서 "), F.when(F.col("doc_id") % 4 == 2, "똠햏뷁샾뙇 ").otherwise(""), F.col("doc_id").cast("string"))
     rows = table(spark, d, "documents").select("doc_id", text.alias("text"), F.element_at(F.array(*map(F.lit, ("utf-8", "euc-kr", "cp949", "utf-16"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("charset"))
     files.write_each(files.encoded(rows, "text", "charset", "body"), "doc_id", "body", path)
-    contents = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id"), "content")
+    contents = files.heads(spark, path, -1).select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id"), F.col("head").alias("content"))
     return files.decoded(contents, "doc_id", "content")
 
 

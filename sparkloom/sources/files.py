@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
-import json
+import fnmatch
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -93,16 +95,22 @@ def decode(content: bytes, charsets: tuple[str, ...] = CHARSETS, enough: float =
     return best[0], best[1] or charsets[0]
 
 
-def decoded(df: DataFrame, key: str, content: str) -> DataFrame:
-    """key, text, charset of binary contents."""
+def decoded(df: DataFrame, key: str, content: str, limit: int = 4 << 20) -> DataFrame:
+    """key, text, charset of binary contents; a task holds about ``limit`` bytes as texts, or one longer content."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [decode(bytes(x)) if x is not None else ("", "") for x in b["__content"]]
-            yield pd.DataFrame({key: b[key], "text": [t for t, _ in found], "charset": [c for _, c in found]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())).to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(ends.searchsorted((ends[at - 1] if at else 0) + limit, "right")))
+                part = batch.slice(at, end - at)
+                found = [decode(x.as_py()) if x.is_valid else ("", "") for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], [key, "text", "charset"])
+                at = end
 
-    return df.select(key, F.col(content).alias("__content")).mapInPandas(run, f"{key} {kind}, text string, charset string")
+    return df.select(key, F.col(content).alias("__content")).mapInArrow(run, f"{key} {kind}, text string, charset string")
 
 
 def encoded(df: DataFrame, text: str, charset: str, out: str) -> DataFrame:
@@ -115,19 +123,29 @@ def encoded(df: DataFrame, text: str, charset: str, out: str) -> DataFrame:
     return df.withColumn(out, run(text, charset))
 
 
-def write_each(df: DataFrame, key: str, content: str, path: str) -> None:
-    """A file for each row, named by its key, in a folder that executors share; contents are base64. A task that runs again replaces its files."""
+def _store(path: str):
+    """The file system of a path, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
-    def run(rows) -> None:
-        from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        store.create_dir(root)
+def write_each(df: DataFrame, key: str, content: str, path: str, each: int = 1000) -> None:
+    """A file for each row, named by its key, in numbered folders of about ``each`` files under one that executors share; contents are base64. A task that runs again replaces its files."""
+
+    def run(rows) -> None:
+        store, root = _store(path)
+        made = set()
         for r in rows:
-            with store.open_output_stream(f"{root}/{r[0]}") as f:
+            if r[2] not in made:
+                store.create_dir(f"{root}/{r[2]}")
+                made.add(r[2])
+            with store.open_output_stream(f"{root}/{r[2]}/{r[0]}") as f:
                 f.write(base64.b64decode(r[1] or ""))
 
-    df.select(key, content).foreachPartition(run)
+    folders = max(1, -(-df.count() // each))  # small ones, so that tasks can list them side by side
+    _store(path)[0].create_dir(_store(path)[1])
+    df.select(key, content, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(folders)).alias("__folder")).foreachPartition(run)
 
 
 def save(df: DataFrame, path: str, by: list[str], format: str = "parquet") -> None:
@@ -145,10 +163,10 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "|")
 
 
 class Heads(DataSource):
-    """Files as path, length and their first bytes (option ``bytes``, 4096): contents are opened, not read through.
+    """Files as path, length and their first bytes (option ``bytes``, 4096; -1: all): for heads, contents are opened, not read through.
 
-    ``spark.read.format("heads").option("bytes", 8).load(paths as a JSON list)``: paths are listed by Spark's own file source before
-    (see ``heads``), and read in tasks by what all of them can open.
+    ``spark.read.format("heads").option("bytes", 8).load(folder)``. The driver lists the folder itself; what is under its folders is listed
+    and read in tasks, each of which knows only its own folders. As in Spark's sources, names that begin with _ or . are passed over.
     """
 
     @classmethod
@@ -164,36 +182,52 @@ class Heads(DataSource):
 
 class _HeadReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.n = json.loads(options["path"]), int(options.get("bytes", "4096"))
+        self.path, self.n, self.glob = options["path"], int(options.get("bytes", "4096")), options.get("glob", "*")
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.paths[i : i + 100]) for i in range(0, len(self.paths), 100)]
-
-    def read(self, partition: InputPartition):
+    def _listed(self, at: str, deep: bool) -> list[tuple[str, bool]]:
+        """Paths under ``at`` (itself, if it is a file), and whether they are folders."""
         from pyarrow import fs
 
-        for path in partition.value:
-            store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-            with store.open_input_file(at) as f:
-                yield path, f.size(), f.read(self.n)
+        store = _store(self.path)[0]
+        if store.get_file_info(at).type == fs.FileType.File:
+            return [(at, False)]
+        found = [(x.path, x.type == fs.FileType.Directory) for x in store.get_file_info(fs.FileSelector(at, recursive=deep))]
+        return [(p, d) for p, d in found if not any(part[0] in "_." for part in p[len(at) :].split("/") if part)]
 
+    def partitions(self) -> list[InputPartition]:
+        top = self._listed(_store(self.path)[1].rstrip("/"), False)
+        folders, own = sorted(p for p, d in top if d), sorted(p for p, d in top if not d)
+        together = -(-len(folders) // 1000) or 1
+        cut = lambda paths, n: [InputPartition(paths[i : i + n]) for i in range(0, len(paths), n)]
+        return cut(folders, together) + cut(own, 1000) or [InputPartition([])]
 
-def heads(spark: SparkSession, path: str, n: int = 8, glob: str = "*", block: int = 100_000) -> DataFrame:
-    """path, length, head: the first ``n`` bytes of each file under a folder, by paths in blocks of ``block``."""
+    def read(self, partition: InputPartition):
+        store, root = _store(self.path)
+        scheme = self.path[: len(self.path) - len(root)] if self.path.endswith(root) else ""
+        rows, held = [], 0
+        for at in partition.value:
+            for path, folder in self._listed(at, True):
+                if folder or not fnmatch.fnmatchcase(path.rsplit("/", 1)[-1], self.glob):
+                    continue
+                with store.open_input_file(path) as f:
+                    rows.append((scheme + path, f.size(), f.read(self.n) if self.n >= 0 else f.read()))
+                held += len(rows[-1][2])
+                if len(rows) == 1000 or held >= 4 << 20:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+        path, length, head = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(length, pa.int64()), pa.array(head, pa.binary())], ["path", "length", "head"])
+
+
+def heads(spark: SparkSession, path: str, n: int = 8, glob: str = "*") -> DataFrame:
+    """path, length, head: the first ``n`` bytes (-1: all) of each file under a folder."""
     spark.dataSource.register(Heads)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path")
-    out, held = None, []
-
-    def block_of(paths: list[str]) -> DataFrame:
-        return spark.read.format("heads").option("bytes", n).load(json.dumps(paths))
-
-    for row in listed.toLocalIterator():
-        held.append(row["path"])
-        if len(held) == block:
-            out, held = block_of(held) if out is None else out.unionByName(block_of(held)), []
-    if held or out is None:
-        out = block_of(held) if out is None else out.unionByName(block_of(held))
-    return out
+    return spark.read.format("heads").option("bytes", n).option("glob", glob).load(path)
 
 
 #: Entries that only some kinds of ZIP and OLE files have.

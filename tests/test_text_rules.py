@@ -1,5 +1,7 @@
 """Quality and repair rules against their statements in plain Python, over Hangul, tables, lists, damage and odd white space."""
 
+import base64
+import os
 import random
 import re
 
@@ -163,3 +165,29 @@ def test_letters_are_counted_without_a_list_of_them(spark):
         assert (r.c.broken, r.c.private, r.c.noise) == tuple(len(re.findall(p, r.t)) for p in ("[�\x00-\x08\x0b\x0c\x0e-\x1f]", "[-]", "[\x00-\x08\x0b\x0c\x0e-\x1f�-￿]"))
     plan = df.select(quality.details(F.col("t"), quality.LATIN))._jdf.queryExecution().toString()
     assert f"regexp_extract_all(x, {quality.LATIN}" not in plan and "regexp_extract_all" in plan and quality.LATIN not in "".join(re.findall(r"regexp_extract_all\([^,]*, [^,]*,", plan))
+
+
+def test_each_row_has_a_file_and_all_are_read(spark, tmp_path):
+    rows = [(i, base64.b64encode(b"x" * i).decode()) for i in range(50)] + [(50, None)]
+    df = spark.createDataFrame(rows, "k long, body string")
+    for path in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        files.write_each(df, "k", "body", path, 7)
+        root = path.removeprefix("file://")
+        assert max(len(names) for _, _, names in os.walk(root)) < 30 and len(os.listdir(root)) > 1  # no folder has them all
+        for name in ("one.txt", "_hidden", ".hidden"):
+            with open(f"{root}/{name}", "wb") as f:
+                f.write(b"top")
+        whole = {r.path: (r.length, bytes(r["head"])) for r in files.heads(spark, path, -1).collect()}
+        assert all(p.startswith(path) for p in whole) and sorted(x for _, x in whole.values()) == sorted([b"top", b"", *[b"x" * i for i in range(50)]])
+        assert {(n, x) for n, x in whole.values()} - {(3, b"top")} == {(i, b"x" * i) for i in range(50)}
+        assert {bytes(r["head"]) for r in files.heads(spark, path, 2).collect()} == {b"to", b"", b"x", b"xx"}
+        assert files.heads(spark, path, 8, "*.txt").count() == files.heads(spark, f"{path}/one.txt").count() == 1
+    os.makedirs(tmp_path / "none")
+    assert files.heads(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_decoding_holds_few_contents_as_texts(spark):
+    texts = ["가나다" * n for n in range(40)] + [None]
+    df = spark.createDataFrame([(i, None if t is None else bytearray(t.encode("cp949" if i % 2 else "utf-8"))) for i, t in enumerate(texts)], "k long, c binary")
+    got = {r.k: r.text for r in files.decoded(df, "k", "c", limit=100).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
