@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = words.loaded(tokenizer)
         for batch in batches:
-            for part in by_bytes(batch, 1):
+            for part in by_bytes(batch, 1, words.GROUP):
                 own, piece, length, crc = [], [], [], []
                 for i, ids in enumerate(encoder.batch(part.column(1).to_pylist())):
                     ids = ids.astype("<u4").tobytes() + end

@@ -27,7 +27,7 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Special tokens, and what the tokenizer takes for symbols, but Python for white space.
 SEEN_WHOLE = (*SPECIAL, "\x1c", "\x1d", "\x1e", "\x1f")
 #: Bytes of a piece that is merged here, pieces merged at once, and characters that a group of texts has at most (a longer text is a group).
-WIDE, COLUMNS, GROUP = 64, 4096, 4 << 20
+WIDE, COLUMNS, GROUP = 64, 4096, 1 << 20
 _NEVER = np.int32(np.iinfo(np.int32).max)
 
 

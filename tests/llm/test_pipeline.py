@@ -1,6 +1,7 @@
 """The pipeline's stages, each against what its operator decides, and the whole."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
@@ -78,3 +79,15 @@ def test_near_copies_keep_one_of_each_group_of_operator_3(spark, docs, sf_dir):
     kept = {r.doc_id for r in P.drop_near_copies(spark, docs, sf_dir).collect()}
     exact = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert kept <= {r.component_id for r in groups} and kept <= exact and len(kept) < docs.count()
+
+
+def test_packing_encodes_a_megabyte_of_texts_at_a_time(spark, docs, monkeypatch):
+    assert packing.words.GROUP <= 1 << 20
+    sizes = []
+    batch = packing.words.WordIds.batch
+    monkeypatch.setattr(packing.words.WordIds, "batch", lambda self, texts: sizes.append(sum(len(t.encode()) for t in texts)) or batch(self, texts))
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": ["some words " * 500] * 600})
+    encoder = packing.words.loaded(tokenizer_path("word_bpe_49k.json"))
+    for part in packing.by_bytes(rows, 1, packing.words.GROUP):
+        encoder.batch(part.column(1).to_pylist())
+    assert len(sizes) > 3 and max(sizes) <= 1 << 20
