@@ -136,6 +136,7 @@ def matches(left: DataFrame, right: DataFrame, at_least: int = 30) -> DataFrame:
     if at_least <= HELD:
         raise ValueError("pairs that only hold each other's names aren't looked for")
     pairs = candidates(left, right).join(_named(left, "l"), "l_id").join(_named(right, "r"), "r_id").withColumn("score", score()).where(F.col("score") >= at_least)
+    pairs = pairs.groupBy("l_id", "score").agg(F.min("r_id").alias("r_id"))  # of numbers alone, so rows aren't sorted; a left row has few scores
     return pairs.groupBy("l_id").agg(F.max_by(F.struct("r_id", "score"), F.struct("score", -F.col("r_id"))).alias("x")).select("l_id", "x.r_id", "x.score")
 
 
