@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import cells, lexical, retrieval, segments, vectors
+from sparkloom.operators import cells, clusters, lexical, retrieval, segments, vectors
 
 PATTERN = "[a-z0-9]+"
 
@@ -160,3 +160,10 @@ def test_a_task_keeps_the_nearest_of_each_query_only(monkeypatch, scores):
         rows = sorted((-s, "" if k == 3 else f"k{k:03}") for s, k in zip(score[i], keys, strict=True))[:5]
         want += [(f"q{i}", k or None, -s) for s, k in rows]
     assert got == want
+
+
+def test_no_task_reads_a_whole_cluster(spark):
+    rows = [(i, [float(i % 3) * 100 + i * 0.001, 1.0]) for i in range(60)] + [(100, [9000.0, 1.0])]
+    found = clusters.kmeans(spark.createDataFrame(rows, "k long, v array<double>"), "v", k=4, starts=1)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.k for r in found.collect()} == set(range(60))  # a cluster of one is dropped
