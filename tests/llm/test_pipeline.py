@@ -91,3 +91,22 @@ def test_packing_encodes_a_megabyte_of_texts_at_a_time(spark, docs, monkeypatch)
     for part in packing.by_bytes(rows, 1, packing.words.GROUP):
         encoder.batch(part.column(1).to_pylist())
     assert len(sizes) > 3 and max(sizes) <= 1 << 20
+
+
+def test_stages_hand_texts_to_python_by_bytes(spark, docs, sf_dir, quick):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    default = spark.conf.get(key)
+    rows = spark.range(0, 3000, numPartitions=1).selectExpr("id as doc_id", "repeat('some words ', 400) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]})
+
+    try:
+        for _, stage in P.STAGES:
+            spark.conf.set(key, default)
+            stage(spark, docs, sf_dir)
+            got = rows.mapInArrow(sizes, "bytes long, rows long").collect()
+            assert sum(r.rows for r in got) == 3000 and max(r.bytes for r in got) <= 2.5e6
+    finally:
+        spark.conf.set(key, default)
