@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import staged
+from sparkloom.llm.common import sized, staged
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         order = lambda c, i=i: F.struct(F.xxhash64(F.col(c), F.lit(i)).alias("h"), F.col(c).alias("x"))
         both = links.select("u", "v").union(links.select("v", "u"))
         hooks = both.groupBy("u").agg(F.least(F.min(order("v")), F.min(order("u")))["x"].alias("to"))
-        hooks = staged(hooks, "hooks")
+        hooks = sized(staged(hooks, "hooks"))
         ends = links.join(hooks.select(F.col("u"), F.col("to").alias("a")), "u").select("a", "v")
         ends = ends.join(hooks.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         links = staged(ends.where("u <> v").distinct(), "links")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import broadcast_if_small, staged
+from sparkloom.llm.common import broadcast_if_small, sized, staged
 from sparkloom.llm.components import components
 
 BITS, RADIUS, WORDS, SEED, BUCKET = 64, 4, 4, 42, 2000
@@ -182,7 +182,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, compl
     for last in (False, False, True):
         dealt = level.mapInArrow(deal, "part int, fp long, way long, key long")
         shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = staged(dealt.join(shared, "key"), "buckets")
+        met = staged(dealt.join(shared.hint("merge"), "key"), "buckets")  # Spark takes the deal to have as many rows as the level
         few = met if last else met.where(F.col("n") <= bucket)
         found = few.groupBy("part", "key").agg(F.collect_set("fp").alias("fps")).select("part", "fps").mapInArrow(links, "part int, u long, v long")
         edges = found if edges is None else edges.union(found)
@@ -195,7 +195,7 @@ def _rooted(own: DataFrame, least: str, radius: int = RADIUS, bucket: int = BUCK
     """fp, least (of the column of that name), root: of every distinct fingerprint of ``own``, root being one of its component."""
     fps = staged(own.groupBy("fp").agg(F.min(least).alias("least")), "distinct")
     roots = components(near_links(fps.select(F.lit(0).alias("part"), "fp"), radius, bucket).select("u", "v"))
-    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return fps.join(sized(roots).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -203,7 +203,8 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     own = staged(with_fingerprint(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text", "fp", words).drop("__text"), "fingerprints")
     rooted = _rooted(own, "__id", radius, bucket)
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return own.join(rooted.select("fp", "root").join(least, "root").select("fp", "component"), "fp")
+    groups = staged(rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component"), "groups")
+    return own.join(sized(groups), "fp")
 
 
 def near_groups_table(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

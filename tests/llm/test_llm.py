@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sparkloom.llm import chat, decontamination, fingerprints, html_text, packing, quality, sharding, simhash, token_counts, toxicity, words
+from sparkloom.llm import chat, common, components, decontamination, fingerprints, html_text, packing, quality, sharding, simhash, token_counts, toxicity, words
 from sparkloom.llm.common import labelled_sample
 from sparkloom.llm.queries import tokenizer_path
 
@@ -177,6 +177,32 @@ def test_hot_buckets_find_the_same_links(spark):
         assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that simhash and components write, when no table counts as small."""
+    seen = []
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "staged", lambda df, name: seen.append((name, df._jdf.queryExecution().executedPlan().toString())) or common.staged(df, name))
+        monkeypatch.setattr(module, "sized", lambda table, rows=0: table.hint("merge"), raising=False)
+    return seen
+
+
+def test_operator_3_broadcasts_no_table_by_its_guessed_size(spark, documents, plans):
+    """The deal is 31 rows for one; sized as the fingerprints that it is made of, it was broadcast and filled the driver."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    found = simhash.near_groups_table(documents)
+    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
+    assert {"buckets", "hooks", "roots"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+
+
+def test_small_tables_are_told_by_their_rows(spark, tmp_path):
+    spark.range(0, 5000, 1, 1).selectExpr("id", "7 as root").write.parquet(str(tmp_path / "table"))
+    table, rows = spark.read.parquet(str(tmp_path / "table")), spark.range(10)
+    plan = lambda most: rows.join(common.sized(table, most), "id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(5000) and "SortMergeJoin" in plan(4999) and "Broadcast" not in plan(4999)
+
+
 def brute_copies(rows):
     """Least id of each row's group by the exact similarity of shingle sets."""
     sets = {}
