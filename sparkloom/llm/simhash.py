@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import broadcast_if_small, sized, staged
+from sparkloom.llm.common import sized, staged
 from sparkloom.llm.components import components
 
 BITS, RADIUS, WORDS, SEED, BUCKET = 64, 4, 4, 42, 2000
@@ -394,13 +394,13 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     met = texts.mapInArrow(prefixes, "token long, key long, size int, pos int").repartition("token").sortWithinPartitions("token", "key")
     met = staged(met.mapInArrow(meeting, "token long, key long, size int, pos int, n long"), "met")
     central = met.groupBy("key").agg((F.sum("n") / F.first("size")).alias("weight"))
-    dealt = met.join(central, "key").select("token", "key", "size", "pos", "weight").repartition("token").sortWithinPartitions("token", F.desc("weight"), "key")
+    dealt = met.join(central.hint("merge"), "key").select("token", "key", "size", "pos", "weight").repartition("token").sortWithinPartitions("token", F.desc("weight"), "key")
     pairs = dealt.mapInArrow(stars, "u long, v long").distinct()
     if radius is not None:  # the sets of a component of fingerprints, each linked to the least of them
-        groups = own.select("__key", "fp").distinct().join(_rooted(own, "__key", radius).select("fp", "root"), "fp").select("root", "__key").distinct()
+        groups = own.select("__key", "fp").distinct().join(_rooted(own, "__key", radius).select("fp", "root").hint("merge"), "fp").select("root", "__key").distinct()
         first = groups.groupBy("root").agg(F.min("__key").alias("u"))
-        known_links = staged(groups.join(first, "root").where("u <> __key").select("u", F.col("__key").alias("v")).distinct(), "alike")
-        joined = components(known_links)
+        known_links = staged(groups.join(first.hint("merge"), "root").where("u <> __key").select("u", F.col("__key").alias("v")).distinct(), "alike")
+        joined = sized(components(known_links))
         side = lambda k: joined.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
         pairs = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").where("root_u is null or root_v is null or root_u <> root_v").select("u", "v")
     pairs = staged(pairs, "pairs")
@@ -414,29 +414,31 @@ def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
         side = lambda k, a: known.select(F.col("__key").alias(k), F.col("size").alias(f"n{a}"), F.col("bits").alias(a))
         lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
         most = F.least(F.col("na") - lacks("a", "b"), F.col("nb") - lacks("b", "a"))  # a bit that one side alone has is a shingle that it alone has
-        near = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(most * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
+        near = pairs.join(side("u", "a").hint("merge"), "u").join(side("v", "b").hint("merge"), "v").where(most * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6)
         near = staged(near.select("u", "v"), "near")
-        wanted = near.select(F.col("u").alias("__key")).union(near.select("v")).distinct().join(known.select("__key", "__md5"), "__key")
-        wanted = broadcast_if_small(staged(wanted, "wanted"))  # so that the other texts aren't shuffled
+        wanted = near.select(F.col("u").alias("__key")).union(near.select("v")).distinct().join(known.select("__key", "__md5").hint("merge"), "__key")
+        wanted = sized(staged(wanted, "wanted"), 500_000)  # so that the other texts aren't shuffled
         made = texts.withColumn("__md5", F.md5("__text")).join(wanted, "__md5").dropDuplicates(["__key"])
         made = staged(made.select("__key", sets("__text").alias("set")), "shingles")
-        both = near.join(made.select(F.col("__key").alias("u"), F.col("set").alias("a")), "u").join(made.select(F.col("__key").alias("v"), F.col("set").alias("b")), "v")
+        side = lambda k, a: made.select(F.col("__key").alias(k), F.col("set").alias(a)).hint("merge")
+        both = near.join(side("u", "a"), "u").join(side("v", "b"), "v")
         shared = F.size(F.array_intersect("a", "b"))
         return staged(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v"), "linked")
 
     linked = verified(pairs)
     if radius is not None:
         linked = staged(linked.union(known_links), "linked")
-    roots = components(linked)
+    roots = sized(components(linked))
     large = met.where("n > 4").join(roots.withColumnRenamed("node", "key"), "key", "left")
     large = large.select("token", "key", "size", "pos", F.coalesce("root", "key").alias("root")).repartition("token").sortWithinPartitions("token")
-    rest = staged(large.mapInArrow(across, "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
+    rest = staged(large.mapInArrow(across, "u long, v long").distinct().join(pairs.hint("merge"), ["u", "v"], "left_anti"), "rest")
     more = verified(rest)
     if not more.isEmpty():
-        roots = components(linked.union(more))
+        roots = sized(components(linked.union(more)))
     rooted = least.join(roots.select(F.col("node").alias("__key"), "root"), "__key", "left").withColumn("root", F.coalesce("root", "__key"))
     groups = rooted.groupBy("root").agg(F.min("__least").alias("component"))
-    return own.join(rooted.join(groups, "root").select("__key", "component"), "__key").select("__id", "component")
+    groups = staged(rooted.join(groups.hint("merge"), "root").select("__key", "component"), "groups")
+    return own.join(sized(groups), "__key").select("__id", "component")
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
@@ -445,5 +447,5 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5,
     Rows without an id all stay; rows that repeat an id that stays, stay.
     """
     gone = near_copies(docs, id_col, text_col, words, similarity, radius).where(F.col("__id") != F.col("component")).select("__id").distinct()
-    gone = broadcast_if_small(staged(gone, "gone"))
+    gone = sized(staged(gone, "gone"), 500_000)
     return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")

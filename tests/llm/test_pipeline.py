@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
-from sparkloom.llm import decontamination, packing, quality, simhash, toxicity
+from sparkloom.llm import common, components, decontamination, packing, quality, simhash, toxicity
 from sparkloom.llm.queries import tokenizer_path
 
 
@@ -81,6 +81,18 @@ def test_near_copies_keep_one_of_each_group_of_operator_3(spark, docs, sf_dir):
     assert kept <= {r.component_id for r in groups} and kept <= exact and len(kept) < docs.count()
 
 
+def test_near_copies_broadcast_no_table_by_its_guessed_size(spark, docs, sf_dir, monkeypatch):
+    """Spark sized the deal of fingerprints and the bitmaps of shingle sets too low, broadcast them, and the driver ran out of memory."""
+    plans = []
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "staged", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or common.staged(df, name))
+        monkeypatch.setattr(module, "sized", lambda table, rows=0: table.hint("merge"), raising=False)
+    kept = P.drop_near_copies(spark, docs, sf_dir)
+    plans.append(("kept", kept._jdf.queryExecution().executedPlan().toString()))
+    assert {"buckets", "hooks", "alike", "pairs", "near", "wanted", "shingles", "linked", "rest", "gone"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+
+
 def test_packing_encodes_a_megabyte_of_texts_at_a_time(spark, docs, monkeypatch):
     assert packing.words.GROUP <= 1 << 20
     sizes = []
