@@ -79,20 +79,30 @@ def retrieve(
     return again.unionByName(counted.where(F.col("__n") <= plan.rerank_over).select(query_key, doc_key, "score", "rank"))
 
 
-def rerank(pairs: DataFrame, score: Callable[[list[str], list[str]], list[float]], query_key: str, key: str, query: str, text: str, n: int, longest: int = 2000) -> DataFrame:
-    """Model rerank: pairs scored in batches by ``score(queries, texts)``; a batch that fails scores 0.5. Adds rank, and rank_change from the rank before."""
+def rerank(
+    pairs: DataFrame, score: Callable[[list[str], list[str]], list[float]], query_key: str, key: str, query: str, text: str, n: int, longest: int = 2000, fallback: float | None = 0.5,
+) -> DataFrame:
+    """Model rerank: pairs scored in batches by ``score(queries, texts)``. Adds rank, rank_change from the rank before, and failed.
+
+    A batch that fails, or gets another number of scores than it has pairs, scores ``fallback``, and ``failed`` tells its rows from scored ones; without a fallback the job ends with the error.
+    """
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
-                b["score"] = [float(x) for x in score(b["__q"].tolist(), b["__t"].str[:longest].tolist())]
+                found = [None if x is None else float(x) for x in score(b["__q"].tolist(), b["__t"].str[:longest].tolist())]
+                if len(found) != len(b):
+                    raise ValueError(f"{len(found)} scores for {len(b)} pairs")
+                b["score"], b["failed"] = pd.Series(found, b.index, "float64"), False
             except Exception:
-                b["score"] = 0.5
-            yield b[[query_key, key, "__old", "score"]]
+                if fallback is None:
+                    raise
+                b["score"], b["failed"] = fallback, True
+            yield b[[query_key, key, "__old", "score", "failed"]]
 
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in (query_key, key)}
     rows = pairs.select(query_key, key, F.col("rank").alias("__old"), F.col(query).alias("__q"), F.col(text).alias("__t"))
-    found = rows.mapInPandas(scored, f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, __old int, score double")
+    found = rows.mapInPandas(scored, f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, __old int, score double, failed boolean")
     return lexical.best(found, query_key, key, n).withColumn("rank_change", F.col("__old") - F.col("rank")).drop("__old")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sparkloom.operators import cells, classify, clusters, lexical, ranking, retrieval, segments, vectors
@@ -143,8 +145,13 @@ def _(spark, d):
  SELECT item_id, doc_id, score, row_number() OVER w::INT AS rank, (old - row_number() OVER w)::INT AS rank_change FROM z WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 5""")
 def _(spark, d):
     hits = bm25_top10(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("query")), "item_id")
-    overlap = lambda qs, ts: [len(set(q.split()) & set(t.split())) / (1 + len(set(q.split()))) for q, t in zip(qs, ts, strict=True)]
-    return retrieval.rerank(hits, overlap, "item_id", "doc_id", "query", "text", 5)
+    return retrieval.rerank(hits, _overlap, "item_id", "doc_id", "query", "text", 5, fallback=None).drop("failed")
+
+
+def _overlap(queries, texts):
+    """Shared words to the query's words; a null text has none, a null query no score."""
+    words = lambda t: set(re.split(r"[\t\n\f\r ]+", t or "")) - {""}
+    return [None if q is None else len(words(q) & words(t)) / (1 + len(words(q))) for q, t in zip(queries, texts, strict=True)]
 
 
 @R.add("k3_representatives", """WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2), x AS (SELECT label, vec_id, round(sqrt(sum((embedding[i]::DOUBLE - m) ** 2)), 6) AS distance FROM embeddings JOIN c USING (label) GROUP BY 1, 2)

@@ -180,6 +180,33 @@ def test_rerank_falls_back(spark):
     assert [(r.d, r.score, r.rank_change) for r in got] == [(1, 0.5, 0), (2, 0.5, 0)]
 
 
+def test_a_rerank_that_failed_is_told_from_one_that_scored(spark):
+    pairs = spark.createDataFrame([(1, 1, 1, "a", "b"), (1, 2, 2, "a", "c")], "q int, d int, rank int, query string, text string").coalesce(1)
+    rerank = lambda score, **k: retrieval.rerank(pairs, score, "q", "d", "query", "text", 5, **k).orderBy("rank").collect()
+    half, short, broken = lambda qs, ts: [0.5 for _ in qs], lambda qs, ts: [0.7], lambda qs, ts: [1 / 0]
+    assert [(r.score, r.failed) for r in rerank(half)] == [(0.5, False)] * 2
+    assert [(r.score, r.failed) for r in rerank(short)] == [(r.score, r.failed) for r in rerank(broken)] == [(0.5, True)] * 2
+    for score in (short, broken):
+        with pytest.raises(Exception, match="scores for|division by zero"):
+            rerank(score, fallback=None)
+
+
+def test_model_rerank_scores_odd_rows_as_its_sql(spark, tmp_path):
+    """One null text made all pairs of its batch 0.5."""
+    import duckdb
+
+    docs = [(1, "red green blue"), (1, None), (2, "red\u00a0green red"), (3, "green\x0bblue green"), (4, "blue"), (5, None), *((i, f"pad{i}") for i in range(6, 30))]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "red green blue"), (2, None), (3, "pad7 blue")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalog.queries()["r11_model_rerank"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(catalog.oracle_sql()["r11_model_rerank"])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted({(r.item_id, r.doc_id, r.score) for r in got.collect()}) == sorted({r[:3] for r in want.fetchall()})
+
+
 def test_prefixes_join_by_equality(spark):
     left, right = spark.createDataFrame([("abc",), ("ab",), ("x",), (None,)], "c string"), spark.createDataFrame([("ab",), ("abc",), ("q",)], "p string")
     assert sorted((r.c, r.p) for r in joins.prefix_join(left, right, "c", "p").collect()) == [("ab", "ab"), ("abc", "ab"), ("abc", "abc")]
